@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotgrid.functions.spectral import clamp
+
 NO_PROBABILITY = 255
 PROBABILITY_STEPS = 254
 
@@ -59,6 +61,5 @@ def decode_probability(byte: Column) -> Column:
 
 def encode_probability(prob: Column) -> Column:
     """[0, 1] to a stored byte, null to "no probability"."""
-    clipped = F.greatest(F.least(prob, F.lit(1.0)), F.lit(0.0))
-    code = F.floor(clipped * float(PROBABILITY_STEPS) + 0.5)
+    code = F.floor(clamp(prob, 0.0, 1.0) * float(PROBABILITY_STEPS) + 0.5)
     return F.coalesce(code, F.lit(NO_PROBABILITY)).cast("smallint")

@@ -29,7 +29,8 @@ def to_unit(index: Column) -> Column:
 
 
 def clamp(value: Column, low: float = -1.0, high: float = 1.0) -> Column:
-    return F.greatest(F.least(value, F.lit(high)), F.lit(low))
+    # Not greatest/least: those skip nulls and would turn a missing value into a bound.
+    return F.when(value > high, F.lit(high)).when(value < low, F.lit(low)).otherwise(value)
 
 
 def _difference_ratio(a: Column, b: Column) -> Column:

@@ -22,9 +22,8 @@ def _origins(first_line: Column, last_line: Column, patch: int, stride: int, siz
     """Origins k*stride of full windows that cover every line of [first_line, last_line]."""
     low = F.greatest(F.ceil((last_line - (patch - 1)) / stride), F.lit(0))
     high = F.least(F.floor(first_line / stride), F.floor((_c(size) - patch) / stride))
-    return F.when(low <= high, F.transform(F.sequence(low, high), lambda k: (k * stride).cast("int"))).otherwise(
-        F.array().cast("array<int>")
-    )
+    lines = F.sequence((low * stride).cast("int"), (high * stride).cast("int"), F.lit(stride))
+    return F.when(low <= high, lines).otherwise(F.array().cast("array<int>"))
 
 
 def covering_patches(cells: DataFrame, grid: Grid, patch: int, stride: int) -> DataFrame:

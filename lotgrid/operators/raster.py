@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lotgrid.functions import geometry as G
 from lotgrid.functions.attributes import BOROUGHS
 from lotgrid.functions.grid import Grid
+from lotgrid.functions.spectral import clamp
 
 VACANT, OTHER, IGNORE = 1, 0, 255
 CELL = ["prow", "pcol"]
@@ -542,7 +543,7 @@ def percentile_stretch(cells: DataFrame, bands, prob: float = 0.98) -> DataFrame
     out = cells
     for b in bands:
         p = q.where(F.col("band") == b).agg(F.max("quantile")).scalar()
-        scaled = F.greatest(F.least(F.col(b) / F.nullif(p, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+        scaled = clamp(F.col(b) / F.nullif(p, F.lit(0.0)), 0.0, 1.0)
         out = out.withColumn(b, F.when(p == 0, F.col(b).cast("double")).otherwise(scaled))
     return out
 

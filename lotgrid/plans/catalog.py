@@ -1,6 +1,6 @@
 """Imports every query module so that ``QUERIES`` is complete."""
 
-from lotgrid.plans import parcel_queries  # noqa: F401
+from lotgrid.plans import parcel_queries, raster_queries  # noqa: F401
 from lotgrid.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
