@@ -528,7 +528,7 @@ def _(t: Inputs):
     _COPIES
     + f""", u AS (SELECT row_off, col_off, copy_no, {", ".join(f"{_draw_sql(42 + 101 + 13 * k)} AS u{b}" for k, b in enumerate("rgbn"))},
     CASE WHEN {_draw_sql(95)} < 0.4 THEN floor({_draw_sql(109)}*2) + 1 ELSE 0 END AS k FROM cp)
-    SELECT row_off, col_off, copy_no, i, j, {", ".join(f"CASE WHEN {' + '.join(f'(u{o} < u{b})::INT' for o in 'rgbn' if o != b)} < k THEN 0 ELSE {b} END AS {b}" for b in "rgbn")}
+    SELECT row_off, col_off, copy_no, i, j, {", ".join(f"CASE WHEN {' + '.join(f'(u{o} < u{b})::INT' for o in 'rgbn' if o != b)} < u.k THEN 0 ELSE {b} END AS {b}" for b in "rgbn")}
     FROM px JOIN u USING (row_off, col_off, copy_no)""",
     "raster dims",
 )
