@@ -101,28 +101,37 @@ def running_totals(
     order: str,
     totals: dict[str, str],
     *,
+    prior_max: dict[str, str] | None = None,
     by: tuple[str, ...] = (),
     descending: bool = False,
     buckets: int = 64,
 ) -> DataFrame:
-    """Add inclusive running sums over ``order`` within ``by``.
+    """Add inclusive running sums, and maxima over earlier rows, along ``order`` within ``by``.
 
-    ``totals`` maps new column -> summed column.  (by, order) must be unique.
+    ``totals`` and ``prior_max`` map new column -> source column.  (by, order) must
+    be unique.  One group may be the whole table: its rows are split over buckets.
     """
-    by = list(by)
+    by, prior_max = list(by), prior_max or {}
     sign = F.desc if descending else F.asc
     b = with_value_bucket(df, order, buckets)
-    per_bucket = b.groupBy(*by, "_bucket").agg(*[F.sum(src).alias(f"_t_{out}") for out, src in totals.items()])
-    before = Window.partitionBy(*by).orderBy(sign("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = b.groupBy(*by, "_bucket").agg(
+        *[F.sum(src).alias(f"_t_{out}") for out, src in totals.items()],
+        *[F.max(src).alias(f"_t_{out}") for out, src in prior_max.items()],
+    )
+    earlier = Window.partitionBy(*by).orderBy(sign("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
         *[F.col(c).alias(f"_o_{c}") for c in by],
         F.col("_bucket").alias("_ob"),
-        *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_off_{out}") for out in totals],
+        *[F.coalesce(F.sum(f"_t_{out}").over(earlier), F.lit(0)).alias(f"_off_{out}") for out in totals],
+        *[F.max(f"_t_{out}").over(earlier).alias(f"_off_{out}") for out in prior_max],
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy(sign(order)).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_bucket").orderBy(sign(order))
+    upto, above = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
     on = [b[c].eqNullSafe(offsets[f"_o_{c}"]) for c in by] + [b["_bucket"] == offsets["_ob"]]
     return b.join(offsets, _all(on)).select(
-        *df.columns, *[(F.sum(src).over(inside) + F.col(f"_off_{out}")).alias(out) for out, src in totals.items()]
+        *df.columns,
+        *[(F.sum(src).over(upto) + F.col(f"_off_{out}")).alias(out) for out, src in totals.items()],
+        *[F.greatest(F.max(src).over(above), F.col(f"_off_{out}")).alias(out) for out, src in prior_max.items()],
     )
 
 

@@ -121,9 +121,11 @@ def patch_tensors(cells: DataFrame, bands, patch: int, *, by=("row_off", "col_of
     position = F.col("i") * patch + F.col("j")
     packed = cells.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(position, F.struct(*bands)))).alias("_cells"))
     index = F.sequence(F.lit(0), F.lit(patch * patch - 1))
-    return packed.select(
-        *by, *[F.transform(index, lambda p, b=b: F.coalesce(F.try_element_at("_cells", p)[b].cast("double"), F.lit(0.0))).alias(b) for b in bands]
-    )
+
+    def channel(band: str) -> Column:
+        return F.transform(index, lambda p: F.coalesce(F.try_element_at("_cells", p)[band].cast("double"), F.lit(0.0)))
+
+    return packed.select(*by, *[channel(b).alias(b) for b in bands])
 
 
 def score_patches(tensors: DataFrame, make_scorer, bands, patch: int, *, batch_size: int = 8, by=("row_off", "col_off")) -> DataFrame:

@@ -215,10 +215,14 @@ def _(t: Inputs):
     return _round(E.confusion_matrix(counts), ["pct"])
 
 
+_LABELLED = "(SELECT prob, label AS y FROM score_cells WHERE label <> 255 AND prob IS NOT NULL)"
+
+
 @query(
     "score_evaluation_E2",
-    metrics_sql("SELECT 1 AS one, " + _COUNTS + " FROM (SELECT label AS y, (prob > 0.5)::INT AS p FROM score_cells WHERE label <> 255 AND prob IS NOT NULL)", "one")
-    + f" CROSS JOIN (SELECT round(sum(gain*precision), 6) AS average_precision FROM ({_curve('(SELECT prob, label AS y FROM score_cells WHERE label <> 255 AND prob IS NOT NULL)')}))".replace("SELECT round(sum", "SELECT round(sum"),
+    "SELECT m.*, a.average_precision FROM ("
+    + metrics_sql("SELECT 1 AS one, " + _COUNTS + f" FROM (SELECT y, (prob > 0.5)::INT AS p FROM {_LABELLED})", "one")
+    + f") m, (SELECT round(sum(gain*precision), 6) AS average_precision FROM ({_curve(_LABELLED)})) a",
     "score_cells",
 )
 def _(t: Inputs):

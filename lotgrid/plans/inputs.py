@@ -14,6 +14,8 @@ from lotgrid.functions import geometry as G
 from lotgrid.functions.attributes import BOROUGHS, lookup
 from lotgrid.functions.grid import Grid
 from lotgrid.functions.hashing import hash32
+from lotgrid.operators.patches import covering_patches
+from lotgrid.schemas import METRIC_FIELDS
 
 WIDTH = 128
 VACANT_CODES = ["M7"] + [f"E{i}" for i in range(10)]
@@ -108,10 +110,15 @@ class Inputs:
     @cached_property
     def raster(self) -> DataFrame:
         """Pixels, labels and boroughs of a 128-wide raster, one cell per order."""
+        return self.raster_of(self.table("orders"))
+
+    @staticmethod
+    def raster_of(orders: DataFrame) -> DataFrame:
+        """Raster cells of some orders, a batch table or a stream."""
         k, c = F.col("o_orderkey"), F.col("o_custkey")
         row, col = div(k, WIDTH), k % WIDTH
         block = (31 * div(row, 8) + 17 * div(col, 8)) % 5
-        return self.table("orders").select(
+        return orders.select(
             row.cast("int").alias("prow"),
             col.cast("int").alias("pcol"),
             ((7 * c + 13 * k) % 256).cast("smallint").alias("r"),
@@ -226,8 +233,13 @@ class Inputs:
     @cached_property
     def scores(self) -> DataFrame:
         """Scored samples from ``lineitem``."""
+        return self.scores_of(self.table("lineitem"))
+
+    @staticmethod
+    def scores_of(lineitem: DataFrame) -> DataFrame:
+        """Scored samples of some line items, a batch table or a stream."""
         prob = F.greatest(F.least(F.round(F.col("l_discount") * 5 + F.col("l_quantity") / 100, 3), F.lit(1.0)), F.lit(0.0))
-        return self.table("lineitem").select(
+        return lineitem.select(
             F.col("l_linestatus").alias("split"),
             F.col("l_linenumber").alias("run_no"),
             prob.alias("prob"),
@@ -242,9 +254,10 @@ class Inputs:
     @cached_property
     def patch_scores(self) -> DataFrame:
         """8x8 patches at stride 4 over the raster's full windows; overlapping patches disagree."""
-        from lotgrid.operators.patches import covering_patches
+        return self.patch_scores_of(self.raster)
 
-        cells = covering_patches(self.raster, self.grid, 8, 4)
+    def patch_scores_of(self, raster: DataFrame) -> DataFrame:
+        cells = covering_patches(raster, self.grid, 8, 4)
         value = (F.col("b") + 17 * div(F.col("row_off"), 4) + 5 * div(F.col("col_off"), 4)) % 256
         return cells.select(
             "row_off",
@@ -277,26 +290,71 @@ class Inputs:
 
     @cached_property
     def runs(self) -> DataFrame:
-        """One training run per customer, nested like a run record."""
+        """One training-run record per customer, nested like the stored metrics."""
         k = F.col("c_custkey")
-        unit = lambda seed: hash32(k, seed) % 1000 / 1000.0
-        metric = lambda off: F.struct(
-            *[unit(off + i).alias(n) for i, n in enumerate(("iou", "dice", "precision", "recall", "f1", "f2", "kappa", "average_precision"))]
-        )
+
+        def unit(seed: int) -> Column:
+            return hash32(k, seed) % 1000 / 1000.0
+
+        def metric(first_seed: int) -> Column:
+            return F.struct(*[unit(first_seed + i).alias(n) for i, n in enumerate(METRIC_FIELDS)])
+
+        none = F.lit(None)
         return self.table("customer").select(
             F.format_string("%03d", k).alias("run_id"),
-            F.when(k % 2 == 0, "unet").otherwise("deeplabv3plus").alias("model_type"),
+            F.when(k % 2 == 0, "unet").when(k % 9 != 0, "deeplabv3plus").alias("model_type"),
             F.when(k % 7 != 0, F.col("c_mktsegment")).alias("encoder_name"),
+            (k % 40).alias("best_epoch"),
+            F.col("c_name").alias("note"),
+            F.lit("2024-05-01").alias("trained_at"),
             F.struct(
-                (k % 2 + 4).alias("in_channels"), (k % 2 == 1).alias("use_building_prob"), F.lit("cnn").alias("type"), F.lit("resnet").alias("encoder_name")
+                F.lit("cnn").alias("type"), F.lit("resnet").alias("encoder_name"), (k % 2 + 4).alias("in_channels"), (k % 2 == 1).alias("use_building_prob")
             ).alias("model"),
-            F.struct((k % 8 + 1).alias("batch_size"), (1.0 / (k + 1)).alias("learning_rate")).alias("training"),
-            F.struct((k % 30).cast("double").alias("pos_weight")).alias("loss"),
+            F.struct(
+                (k % 8 + 1).alias("batch_size"),
+                F.lit(0.001).alias("learning_rate"),
+                *[none.cast("bigint").alias(c) for c in ("oversample_factor", "min_vacant_pixels")],
+                none.cast("double").alias("band_dropout_p"),
+                *[none.cast("bigint").alias(c) for c in ("cosine_t_max", "seed")],
+            ).alias("training"),
+            F.struct(
+                (k % 30).cast("double").alias("pos_weight"), *[none.cast("double").alias(c) for c in ("bce_weight", "dice_weight", "lovasz_weight")]
+            ).alias("loss"),
             F.struct(metric(0).alias("val"), F.when(k % 5 != 0, metric(100)).alias("test")).alias("metrics"),
-            F.concat(F.lit("data/mask_"), F.when(k % 3 == 0, "v2").otherwise("v1"), F.lit(".tif")).alias("vacancy_mask"),
-            F.concat(F.lit("data/patch_splits_"), F.element_at(F.array(*map(F.lit, ("256", "512", "1024"))), (k % 3 + 1).cast("int")), F.lit("_s.json")).alias("patch_splits"),
-            F.when(k % 4 == 0, F.lit(512).cast("bigint")).alias("config_patch_size"),
-            F.when(k % 6 != 0, F.round(unit(7), 3).cast("string")).otherwise("").alias("f2_threshold"),
+        )
+
+    @cached_property
+    def run_configs(self) -> DataFrame:
+        """Run configurations; overdrawn customers have none, three in four leave the patch size to the split file name."""
+        k = F.col("c_custkey")
+        size = F.element_at(F.array(*map(F.lit, ("256", "512", "1024"))), (k % 3 + 1).cast("int"))
+        return self.table("customer").where(F.col("c_acctbal") >= 0).select(
+            F.format_string("%03d", k).alias("run_id"),
+            F.struct(
+                F.concat(F.lit("data/mask_"), F.when(k % 3 == 0, "v2").otherwise("v1"), F.lit(".tif")).alias("vacancy_mask"),
+                F.concat(F.lit("data/patch_splits_"), size, F.lit("_s.json")).alias("patch_splits"),
+            ).alias("data_paths"),
+            F.struct(F.when(k % 4 == 0, F.lit(512).cast("bigint")).alias("size")).alias("patch"),
+            F.when(k % 2 == 0, F.lit(256).cast("bigint")).alias("eval_stride"),
+        )
+
+    @cached_property
+    def registry(self) -> DataFrame:
+        """Exported registry rows: text metrics, a hand-entered threshold column."""
+        k = F.col("c_custkey")
+        threshold = hash32(k, 7) % 1000
+        text = F.when(k % 6 == 0, "").when(k % 6 == 1, (threshold / 10.0).cast("string")).otherwise((threshold / 1000.0).cast("string"))
+        return self.table("customer").select(
+            F.format_string("%03d", k).alias("run_id"),
+            F.when(k % 2 == 0, "unet").otherwise("deeplabv3plus").alias("model_type"),
+            F.when(k % 3 == 0, "mask_v2.tif").when(k % 3 == 1, "mask.tif").alias("vacancy_mask"),
+            F.when(k % 4 != 0, hash32(k, 5) % 1000 / 1000.0).alias("best_val_f2"),
+            (hash32(k, 6) % 1000 / 1000.0).alias("val_f2"),
+            F.when(k % 5 != 0, hash32(k, 8) % 1000 / 1000.0).alias("test_f2"),
+            F.when(k % 7 == 0, hash32(k, 9) % 1000 / 1000.0).alias("test_best_f2_computed"),
+            F.when(k % 8 != 0, F.element_at(F.array(*map(F.lit, (256, 512, 1024))), (k % 3 + 1).cast("int"))).alias("patch_size"),
+            text.alias("f2_threshold"),
+            F.lit("host").alias("machine"),
         )
 
     @cached_property

@@ -192,17 +192,25 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "runs": (
         (),
-        "SELECT lpad(c_custkey::VARCHAR, greatest(3, length(c_custkey::VARCHAR))::INT, '0') AS run_id, c_custkey AS k, "
-        "CASE WHEN c_custkey % 2 = 0 THEN 'unet' ELSE 'deeplabv3plus' END AS model_type, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS encoder_name, "
+        "SELECT c_custkey AS k, lpad(c_custkey::VARCHAR, greatest(3, length(c_custkey::VARCHAR))::INT, '0') AS run_id, c_name, c_mktsegment, c_acctbal, "
         + ", ".join(
-            f"{hash_sql('c_custkey', i)} % 1000 / 1000.0::DOUBLE AS val_{n}, "
-            f"CASE WHEN c_custkey % 5 <> 0 THEN {hash_sql('c_custkey', 100 + i)} % 1000 / 1000.0::DOUBLE END AS test_{n}"
+            f"printf('%.4f', {hash_sql('c_custkey', i)} % 1000 / 1000.0::DOUBLE) AS val_{n}, "
+            f"CASE WHEN c_custkey % 5 <> 0 THEN printf('%.4f', {hash_sql('c_custkey', 100 + i)} % 1000 / 1000.0::DOUBLE) ELSE '' END AS test_{n}"
             for i, n in enumerate(("iou", "dice", "precision", "recall", "f1", "f2", "kappa", "ap"))
         )
-        + ", 'data/mask_' || CASE WHEN c_custkey % 3 = 0 THEN 'v2' ELSE 'v1' END || '.tif' AS vacancy_mask, "
-        "'data/patch_splits_' || ['256','512','1024'][c_custkey % 3 + 1] || '_s.json' AS patch_splits, "
-        "CASE WHEN c_custkey % 4 = 0 THEN 512 END AS config_patch_size, "
-        f"CASE WHEN c_custkey % 6 <> 0 THEN round({hash_sql('c_custkey', 7)} % 1000 / 1000.0::DOUBLE, 3)::VARCHAR ELSE '' END AS f2_threshold FROM customer",
+        + " FROM customer",
+    ),
+    "registry": (
+        (),
+        f"""SELECT c_custkey AS k, lpad(c_custkey::VARCHAR, greatest(3, length(c_custkey::VARCHAR))::INT, '0') AS run_id,
+        CASE WHEN c_custkey % 2 = 0 THEN 'unet' ELSE 'deeplabv3plus' END AS model_type,
+        CASE c_custkey % 3 WHEN 0 THEN 'mask_v2.tif' WHEN 1 THEN 'mask.tif' END AS vacancy_mask,
+        CASE WHEN c_custkey % 4 <> 0 THEN {hash_sql('c_custkey', 5)} % 1000 / 1000.0::DOUBLE END AS best_val_f2,
+        {hash_sql('c_custkey', 6)} % 1000 / 1000.0::DOUBLE AS val_f2,
+        CASE WHEN c_custkey % 5 <> 0 THEN {hash_sql('c_custkey', 8)} % 1000 / 1000.0::DOUBLE END AS test_f2,
+        CASE WHEN c_custkey % 7 = 0 THEN {hash_sql('c_custkey', 9)} % 1000 / 1000.0::DOUBLE END AS test_best_f2_computed,
+        CASE WHEN c_custkey % 8 <> 0 THEN [256, 512, 1024][c_custkey % 3 + 1] END AS patch_size,
+        CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN ({hash_sql('c_custkey', 7)} % 1000) / 10.0::DOUBLE ELSE ({hash_sql('c_custkey', 7)} % 1000) / 1000.0::DOUBLE END AS f2_value FROM customer""",
     ),
     "history": (
         (),
@@ -233,6 +241,8 @@ def with_views(names, body: str) -> str:
     if not ordered:
         return body
     ctes = ",\n".join(f"{name} AS ({VIEWS[name][1]})" for name in ordered)
+    if body.lstrip().upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body.lstrip()[15:]}"
     if body.lstrip().upper().startswith("WITH "):
         return f"WITH {ctes},\n{body.lstrip()[5:]}"
     return f"WITH {ctes}\n{body}"
