@@ -65,16 +65,14 @@ def _(t: Inputs):
 
 
 @query(
-    "run_folders_S8",
+    "run_records_S8",
     "SELECT run_id, val_f2, test_ap FROM runs",
     "runs",
 )
 def _(t: Inputs):
     root = scratch_path(t.spark, "runs")
-    # One folder per run, the way trainers leave them.
-    t.runs.withColumns({"_model": F.lit("cnn"), "_run": F.col("run_id")}).write.partitionBy("_model", "_run").json(root + "/by_run")
-    stored = t.spark.read.schema(t.runs.schema).json(root + "/by_run").drop("_model", "_run")
-    flat = RG.flatten_runs(stored, t.run_configs)
+    t.runs.write.json(root)
+    flat = RG.flatten_runs(readers.read_run_records(t.spark, root), t.run_configs)
     return flat.select("run_id", "val_f2", "test_ap")
 
 
@@ -86,7 +84,7 @@ def _(t: Inputs):
 def _(t: Inputs):
     path = scratch_path(t.spark, "permits")
     t.permits.withColumn("year", F.col("year").cast("string")).write.json(path)
-    return readers.read_permits(t.spark, path).select("name", "year", "total_units_per_capita", "3_to_4_units_units_per_capita")
+    return readers.read_permits(t.spark, path, one_document=False).select("name", "year", "total_units_per_capita", "3_to_4_units_units_per_capita")
 
 
 @query(

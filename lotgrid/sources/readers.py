@@ -86,6 +86,11 @@ def read_parcel_stats(
     return stats.join(parcels.select(*wanted), key, "left")
 
 
+def read_run_records(spark: SparkSession, path: str) -> DataFrame:
+    """Run records gathered into line-wise JSON files, the form for a large registry."""
+    return spark.read.schema(RUN_METRICS).json(path)
+
+
 def read_runs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """``metrics``, ``configs`` and ``history`` of every ``<root>/<model>/<run>/`` folder, keyed by run folder.
 
@@ -108,11 +113,11 @@ def read_runs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {"metrics": keyed.drop("run_dir"), "configs": configs, "history": history}
 
 
-def read_permits(spark: SparkSession, path: str) -> DataFrame:
-    """Permit records (one JSON array of objects); years may be text or numbers."""
+def read_permits(spark: SparkSession, path: str, *, one_document: bool = True) -> DataFrame:
+    """Permit records, one JSON array of objects or one object per line; years may be text or numbers."""
     metrics = ("total_units", "total_bldgs", "1_unit_units", "2_units_units", "3_to_4_units_units", "5_plus_units_units")
     schema = T.StructType(
         [T.StructField("name", T.StringType()), T.StructField("year", T.StringType())]
         + [T.StructField(f"{m}_per_capita", T.DoubleType()) for m in metrics]
     )
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("year", F.col("year").try_cast("int"))
+    return spark.read.schema(schema).json(path, multiLine=one_document).withColumn("year", F.col("year").try_cast("int"))
