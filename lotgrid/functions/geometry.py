@@ -57,55 +57,62 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def _cross(e: Column) -> Column:
-    return e.ax * e.by - e.bx * e.ay
-
-
 def _ring_sign(index: Column) -> Column:
     return F.when(index == 0, 1.0).otherwise(-1.0)
 
 
+def _ring_area(points: Column) -> Column:
+    """Shoelace area of one ring, whichever way it runs."""
+    doubled = F.aggregate(ring_edges(points), F.lit(0.0), lambda acc, e: acc + (e.ax * e.by - e.bx * e.ay))
+    return F.abs(doubled) / 2.0
+
+
 def area(geom: Column) -> Column:
-    """Shoelace area, holes subtracted."""
-    return _total(
-        F.transform(
-            geom,
-            lambda poly: _total(
-                F.transform(poly, lambda r, i: _ring_sign(i) * F.abs(_total(F.transform(ring_edges(r), _cross))) / 2.0)
-            ),
-        )
-    )
+    """Shell areas less hole areas."""
+    signed = F.flatten(F.transform(geom, lambda poly: F.transform(poly, lambda r, i: _ring_sign(i) * _ring_area(r))))
+    return _total(signed)
 
 
 def perimeter(geom: Column) -> Column:
     """Length of every ring, holes included."""
-    return _total(
-        F.transform(edges(geom), lambda e: F.sqrt((e.bx - e.ax) * (e.bx - e.ax) + (e.by - e.ay) * (e.by - e.ay)))
-    )
+    return F.aggregate(edges(geom), F.lit(0.0), lambda acc, e: acc + F.hypot(e.bx - e.ax, e.by - e.ay))
 
 
 def centroid(geom: Column) -> Column:
     """Area centroid as ``struct<x, y>``; null when the area is zero."""
 
-    def moments(r: Column, i: Column) -> Column:
-        es = ring_edges(r)
-        signed = _total(F.transform(es, _cross)) / 2.0
-        # A ring may run either way round; make shells count up and holes count down.
-        turn = F.when(signed < 0, -1.0).otherwise(1.0) * _ring_sign(i)
+    def moments(acc: Column, e: Column) -> Column:
+        cross = e.ax * e.by - e.bx * e.ay
         return F.struct(
-            (turn * signed).alias("a"),
-            (turn * _total(F.transform(es, lambda e: (e.ax + e.bx) * _cross(e))) / 6.0).alias("mx"),
-            (turn * _total(F.transform(es, lambda e: (e.ay + e.by) * _cross(e))) / 6.0).alias("my"),
+            (acc.a + cross / 2.0).alias("a"),
+            (acc.mx + (e.ax + e.bx) * cross / 6.0).alias("mx"),
+            (acc.my + (e.ay + e.by) * cross / 6.0).alias("my"),
         )
 
-    parts = F.flatten(F.transform(geom, lambda poly: F.transform(poly, moments)))
-    total = _total(F.transform(parts, lambda p: p.a))
-    weight = F.nullif(total, F.lit(0.0))
-    return F.struct(
-        (_total(F.transform(parts, lambda p: p.mx)) / weight).alias("x"),
-        (_total(F.transform(parts, lambda p: p.my)) / weight).alias("y"),
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
+    rings = F.flatten(
+        F.transform(
+            geom,
+            lambda poly: F.transform(
+                poly,
+                lambda r, i: F.struct(F.aggregate(ring_edges(r), zero, moments).alias("m"), _ring_sign(i).alias("s")),
+            ),
+        )
     )
 
+    # A ring may run either way round; shells count up and holes count down.
+    def combine(acc: Column, r: Column) -> Column:
+        turn = F.when(r.m.a < 0, -r.s).otherwise(r.s)
+        return F.struct(
+            (acc.a + turn * r.m.a).alias("a"), (acc.mx + turn * r.m.mx).alias("mx"), (acc.my + turn * r.m.my).alias("my")
+        )
+
+    def centre(acc: Column) -> Column:
+        weight = F.nullif(acc.a, F.lit(0.0))
+        return F.struct((acc.mx / weight).alias("x"), (acc.my / weight).alias("y"))
+
+    return F.aggregate(rings, zero, combine, centre)
+
 
 def bounds(geom: Column) -> Column:
     """``struct<xmin, ymin, xmax, ymax>``."""

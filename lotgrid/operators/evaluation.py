@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotgrid.functions.attributes import class_prefix, class_prefix_label, clean_land_use, land_use_label
-from lotgrid.operators.ranking import best_by, exact_quantiles, running_totals
+from lotgrid.operators.ranking import ROWS_PER_TASK, best_by, exact_quantiles, running_totals
 from lotgrid.operators.summary import share_within
+from lotgrid.session import cut_lineage
 
 COUNTS = ("tp", "fp", "fn", "tn")
 METRICS = ("iou", "dice", "precision", "recall", "f1", "f2", "kappa", "n")
@@ -115,27 +116,30 @@ def class_report(df: DataFrame, label: str, pred: str) -> DataFrame:
 # ---------------------------------------------------------------- precision-recall
 
 
-def _score_totals(scores: DataFrame, by, weight: str | None, buckets: int) -> DataFrame:
-    """One row per distinct score with running weighted positives and negatives, highest score first."""
+def _score_totals(scores: DataFrame, by, weight: str | None, rows_per_task: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct scores with running weighted positives and negatives, highest score first, and the merged table."""
     w = F.col(weight) if weight else F.lit(1)
-    merged = (
+    merged = cut_lineage(
         scores.where(F.col("prob").isNotNull())
         .groupBy(*by, "prob")
-        .agg(F.sum(w * F.col("y")).alias("_pos"), F.sum(w * (1 - F.col("y"))).alias("_neg"))
+        .agg(F.sum(w * F.col("y")).alias("_pos"), F.sum(w * (1 - F.col("y"))).alias("_neg")),
+        "score-totals",
     )
-    return running_totals(merged, "prob", {"_cum_pos": "_pos", "_cum_neg": "_neg"}, by=tuple(by), descending=True, buckets=buckets)
+    totals = {"_cum_pos": "_pos", "_cum_neg": "_neg"}
+    run = running_totals(merged, "prob", totals, by=tuple(by), descending=True, rows_per_task=rows_per_task, stored=True)
+    return run, merged
 
 
-def pr_curve(scores: DataFrame, *, by=(), weight: str | None = None, buckets: int = 64) -> DataFrame:
+def pr_curve(scores: DataFrame, *, by=(), weight: str | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(by, threshold, precision, recall) per distinct score, in distributed prefix form."""
     by = list(by)
-    run = _score_totals(scores, by, weight, buckets)
+    run, merged = _score_totals(scores, by, weight, rows_per_task)
     if by:
-        totals = run.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.sum("_pos").alias("_all"))
+        totals = merged.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.sum("_pos").alias("_all"))
         cond = [run[c].eqNullSafe(totals[f"_g_{c}"]) for c in by]
         joined = run.join(totals, cond)
     else:
-        joined = run.withColumn("_all", run.agg(F.sum("_pos")).scalar())
+        joined = run.withColumn("_all", merged.agg(F.sum("_pos")).scalar())
     return joined.select(
         *by,
         F.col("prob").alias("threshold"),
@@ -145,9 +149,9 @@ def pr_curve(scores: DataFrame, *, by=(), weight: str | None = None, buckets: in
     )
 
 
-def average_precision(scores: DataFrame, *, by=(), weight: str | None = None, buckets: int = 64) -> DataFrame:
+def average_precision(scores: DataFrame, *, by=(), weight: str | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Step-wise AP with tied scores merged; null without positives."""
-    curve = pr_curve(scores, by=by, weight=weight, buckets=buckets)
+    curve = pr_curve(scores, by=by, weight=weight, rows_per_task=rows_per_task)
     return curve.groupBy(*by).agg(F.sum(F.col("_gain") * F.col("precision")).alias("average_precision"))
 
 
@@ -242,7 +246,7 @@ def recall_curve(fractions: DataFrame, steps: int = 200) -> DataFrame:
 def fraction_summary(fractions: DataFrame) -> DataFrame:
     """Mean, exact median, and shares of parcels at 10 % and 20 %."""
     f = F.col("pred_fraction")
-    known = fractions.where(f.isNotNull())
+    known = cut_lineage(fractions.where(f.isNotNull()).select("pred_fraction"), "fractions")
     median = exact_quantiles(known, "pred_fraction", [0.5]).select("quantile").scalar()
     return known.agg(
         F.avg(f).alias("mean"), F.avg((f >= 0.1).cast("int")).alias("share_10"), F.avg((f >= 0.2).cast("int")).alias("share_20")

@@ -27,7 +27,7 @@ def fill_values(df: DataFrame, columns, method: str = "median") -> DataFrame:
     require_columns(df, columns)
     long = _stacked(df, columns)
     if method == "median":
-        return exact_quantiles(long, "value", [0.5], by=("feature",), buckets=16).select("feature", F.col("quantile").alias("value"))
+        return exact_quantiles(long, "value", [0.5], by=("feature",)).select("feature", F.col("quantile").alias("value"))
     if method == "mean":
         return long.groupBy("feature").agg(F.avg("value").alias("value"))
     raise ValueError(f"unknown imputation method: {method}")

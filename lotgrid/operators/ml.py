@@ -21,6 +21,7 @@ from lotgrid.operators import evaluation as E
 from lotgrid.operators.impute import Imputer, Scaler, fit_imputer, fit_scaler
 from lotgrid.operators.parcels import stratified_folds
 from lotgrid.operators.summary import mean_and_spread, union_all
+from lotgrid.session import cut_lineage
 
 
 @contextmanager
@@ -89,14 +90,11 @@ class ClusterModel:
     projection: Projection | None
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        scaled = self.scaler.apply(self.imputer.apply(df.select(*df.columns)))
-        vector = assemble(scaled, self.features)
-        return vector
+        return assemble(self.scaler.apply(self.imputer.apply(df)), self.features)
 
     def assign(self, df: DataFrame) -> DataFrame:
         """Cluster (and component) columns added; missing values get the training fill values."""
-        originals = {f: F.col(f).alias(f) for f in self.features}
-        keep = df.withColumns({f"_raw_{f}": c for f, c in originals.items()})
+        keep = df.withColumns({f"_raw_{f}": F.col(f) for f in self.features})
         out = self.kmeans.transform(self.prepare(keep))
         if self.projection is not None:
             out = self.projection.apply(out)
@@ -271,17 +269,22 @@ def cross_validate(df: DataFrame, models: dict, *, label: str = "y", key: str =
     """(model, fold, f1, average_precision) over stratified folds.
 
     ``models`` maps a name to a function from a weighted training table to a fitted
-    model with ``transform``.  Fitted models stay on the driver; scores never do.
+    model with ``transform``.
     """
-    with kept(stratified_folds(df, label, key, folds, seed)) as folded:
-        rows = []
-        for name, fit in models.items():
-            for fold in range(folds):
-                train = balanced_weights(folded.where(F.col("fold") != fold), label)
-                scored = fit(train).transform(folded.where(F.col("fold") == fold))
-                m = evaluate_classifier(scored, label=label)["metrics"].first()
-                rows.append((name, fold, float(m["f1"]), None if m["average_precision"] is None else float(m["average_precision"])))
-    return df.sparkSession.createDataFrame(rows, "model string, fold int, f1 double, average_precision double")
+    folded = cut_lineage(stratified_folds(df, label, key, folds, seed), "folds")
+    scored = []
+    for name, fit in models.items():
+        for fold in range(folds):
+            model = fit(balanced_weights(folded.where(F.col("fold") != fold), label))
+            out = positive_score(model.transform(folded.where(F.col("fold") == fold)))
+            scored.append(
+                out.select(F.lit(name).alias("model"), "fold", F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("p"), "prob")
+            )
+    # All folds of all models are measured together, in one aggregate and one ordering.
+    rows = cut_lineage(union_all(scored), "fold-scores")
+    by = ["model", "fold"]
+    counts = E.with_metrics(E.confusion_counts(rows, F.col("y"), F.col("p"), by=by)).select(*by, "f1")
+    return counts.join(E.average_precision(rows, by=by), by, "left")
 
 
 def cv_summary(folds: DataFrame) -> DataFrame:

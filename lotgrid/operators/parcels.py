@@ -180,10 +180,9 @@ def clean_attributes(parcels: DataFrame) -> DataFrame:
 def clip_percentiles(df: DataFrame, value: str, clip: float = 0.95) -> DataFrame:
     """Rows inside the central ``clip`` share of the column, both ends included, nulls dropped."""
     tail = (1.0 - clip) / 2.0
-    q = exact_quantiles(df, value, [tail, 1.0 - tail])
-    low = q.agg(F.min("quantile")).scalar()
-    high = q.agg(F.max("quantile")).scalar()
-    return df.where(F.col(value).between(low, high))
+    ends = sorted(r["quantile"] for r in exact_quantiles(df, value, [tail, 1.0 - tail]).collect())
+    # Two numbers by now, so the range test is pushed into the scan.
+    return df.where(F.col(value).between(ends[0], ends[-1])) if ends else df.where(F.col(value).isNotNull())
 
 
 def sample_category(parcels: DataFrame, sampled: DataFrame, test: DataFrame, id_col: str = "bbl") -> DataFrame:

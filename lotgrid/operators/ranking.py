@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotgrid.functions.hashing import HASH_RANGE, hash32
+from lotgrid.session import cut_lineage
+
+# Rows one task may order; below this a plain window is used.
+ROWS_PER_TASK = 500_000
 
 _HASH_BUCKETS = 1 << 16
 
@@ -85,15 +89,14 @@ def hash_positions(df: DataFrame, key: str, *, by: str, seed: int = 0, hash_buck
     )
 
 
-def with_value_bucket(df: DataFrame, order: str, buckets: int, name: str = "_bucket") -> DataFrame:
-    """Add a bucket number of ``order`` from approximate quantile cuts of the column.
+def value_cuts(df: DataFrame, order: str, buckets: int) -> list[float]:
+    """Approximate quantile cuts of a column: buckets - 1 numbers.
 
-    The cuts only decide where work is split, never the result.
+    They only decide where work is split, never the result.
     """
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, 10000).alias("cuts")).scalar()
-    below = F.size(F.filter("_cuts", lambda c: c <= F.col(order).cast("double")))
-    return df.withColumn("_cuts", cuts).withColumn(name, F.coalesce(below, F.lit(0))).drop("_cuts")
+    probs = [i / buckets for i in range(1, buckets)]
+    found = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, 10000)).first()[0]
+    return sorted(set(found or []))
 
 
 def running_totals(
@@ -104,16 +107,30 @@ def running_totals(
     prior_max: dict[str, str] | None = None,
     by: tuple[str, ...] = (),
     descending: bool = False,
-    buckets: int = 64,
+    rows_per_task: int = ROWS_PER_TASK,
+    stored: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums, and maxima over earlier rows, along ``order`` within ``by``.
 
     ``totals`` and ``prior_max`` map new column -> source column.  (by, order) must
-    be unique.  One group may be the whole table: its rows are split over buckets.
+    be unique.  The input is stored once (unless it already is) and counted; a table
+    within ``rows_per_task`` rows takes a plain window, a larger one is split into
+    value buckets so that even a group holding everything is shared by many tasks.
     """
     by, prior_max = list(by), prior_max or {}
     sign = F.desc if descending else F.asc
-    b = with_value_bucket(df, order, buckets)
+    b = df if stored else cut_lineage(df, "ordered")
+    cuts = value_cuts(b, order, min(1024, b.count() // rows_per_task + 1))
+    if not cuts:
+        inside = Window.partitionBy(*by).orderBy(sign(order))
+        upto, above = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+        return b.select(
+            *df.columns,
+            *[F.sum(src).over(upto).alias(out) for out, src in totals.items()],
+            *[F.max(src).over(above).alias(out) for out, src in prior_max.items()],
+        )
+    limits = F.array(*[F.lit(c) for c in cuts])
+    b = b.withColumn("_bucket", F.coalesce(F.size(F.filter(limits, lambda c: c <= F.col(order).cast("double"))), F.lit(0)))
     per_bucket = b.groupBy(*by, "_bucket").agg(
         *[F.sum(src).alias(f"_t_{out}") for out, src in totals.items()],
         *[F.max(src).alias(f"_t_{out}") for out, src in prior_max.items()],
@@ -135,13 +152,13 @@ def running_totals(
     )
 
 
-def global_row_number(df: DataFrame, order: str, name: str = "row_no", *, buckets: int = 64) -> DataFrame:
-    """1-based position over a unique numeric ``order`` column, without a single-task window."""
-    return running_totals(df.withColumn("_one", F.lit(1)), order, {name: "_one"}, buckets=buckets).drop("_one")
+def global_row_number(df: DataFrame, order: str, name: str = "row_no", *, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """1-based position over a unique numeric ``order`` column."""
+    return running_totals(df.withColumn("_one", F.lit(1)), order, {name: "_one"}, rows_per_task=rows_per_task).drop("_one")
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs, *, by: tuple[str, ...] = (), buckets: int = 64
+    df: DataFrame, value: str, probs, *, by: tuple[str, ...] = (), rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group: columns (by, prob, quantile).
 
@@ -149,10 +166,10 @@ def exact_quantiles(
     the column costs one row.
     """
     by = list(by)
-    counted = (
-        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    counted = cut_lineage(
+        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")), "value-counts"
     )
-    ranked = running_totals(counted, value, {"_upto": "_n"}, by=tuple(by), buckets=buckets)
+    ranked = running_totals(counted, value, {"_upto": "_n"}, by=tuple(by), rows_per_task=rows_per_task, stored=True)
     if by:
         sizes = counted.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.sum("_n").alias("_size"))
         sized = ranked.join(sizes, _all(ranked[c].eqNullSafe(sizes[f"_g_{c}"]) for c in by))

@@ -1,8 +1,8 @@
 """Raster work on tables keyed by (prow, pcol).
 
-Polygons are turned into row spans before anything is shuffled: a span row is
-about one polygon width smaller than its cells, and no join with the pixel table
-is needed to know which cells a polygon covers.
+Polygons are cut into bands of raster rows, shuffled in that compact form, and only
+then grow into row spans and cells; no join with the pixel table is needed to know
+which cells a polygon covers.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from lotgrid.functions import geometry as G
 from lotgrid.functions.attributes import BOROUGHS
 from lotgrid.functions.grid import Grid
 from lotgrid.functions.spectral import clamp
+from lotgrid.session import cut_lineage
 
 VACANT, OTHER, IGNORE = 1, 0, 255
 CELL = ["prow", "pcol"]
@@ -26,36 +27,51 @@ def _c(value) -> Column:
 # ---------------------------------------------------------------- polygons and lines to cells
 
 
-def _spread(spans: DataFrame) -> DataFrame:
-    """Even out the spans before they grow into cells, so one huge polygon is shared by all tasks."""
-    return spans.repartition("prow", "col_lo", "col_hi")
+BAND_ROWS = 64
 
 
-def polygon_spans(shapes: DataFrame, grid: Grid, geom: str = "geom") -> DataFrame:
-    """Covered column ranges per raster row: shape columns plus prow, col_lo, col_hi.
+def _bands(shapes: DataFrame, grid: Grid, geom: str) -> DataFrame:
+    """Shapes cut into bands of raster rows, each with only the edges that reach it.
 
-    A cell is covered when its centre is inside (even-odd, half-open edges).
+    The bands are what is shuffled, so a polygon that covers a third of the raster,
+    or has very many vertices, is shared by many tasks before it grows into cells.
     """
     keep = [c for c in shapes.columns if c != geom]
-    y0, dy, x0, dx = _c(grid.y0), _c(grid.dy), _c(grid.x0), _c(grid.dx)
+    y0, dy = _c(grid.y0), _c(grid.dy)
     b = G.bounds(F.col(geom))
     first = F.greatest(F.ceil((y0 - b.ymax) / dy - 0.5), F.lit(0)).cast("int")
     last = F.least(F.floor((y0 - b.ymin) / dy - 0.5), _c(grid.height) - 1).cast("int")
-    rows = (
+    placed = (
         shapes.where(F.col(geom).isNotNull())
-        .select(
-            *keep,
-            G.edges(F.col(geom)).alias("_edges"),
-            first.alias("_first"),
-            last.alias("_last"),
-            x0.alias("_x0"),
-            (_c(grid.width) - 1).alias("_last_col"),
-        )
+        .select(*keep, G.edges(F.col(geom)).alias("_edges"), first.alias("_first"), last.alias("_last"))
         .where("_first <= _last")
-        .withColumn("prow", F.explode(F.sequence("_first", "_last")))
-        .withColumn("_yc", grid.centre_y(F.col("prow")))
     )
-    yc = F.col("_yc")
+    banded = (
+        placed.withColumn("_band", F.explode(F.sequence(F.floor(F.col("_first") / BAND_ROWS), F.floor(F.col("_last") / BAND_ROWS))))
+        .withColumns(
+            {
+                "_from": F.greatest("_first", (F.col("_band") * BAND_ROWS).cast("int")),
+                "_to": F.least("_last", (F.col("_band") * BAND_ROWS + (BAND_ROWS - 1)).cast("int")),
+            }
+        )
+        .withColumns({"_top": grid.y_of(F.col("_from")), "_bottom": grid.y_of(F.col("_to") + 1)})
+    )
+    reaching = F.filter("_edges", lambda e: (F.least(e.ay, e.by) <= F.col("_top")) & (F.greatest(e.ay, e.by) >= F.col("_bottom")))
+    return banded.select(*keep, "_from", "_to", reaching.alias("_edges")).repartition(F.xxhash64("_from", "_edges"))
+
+
+def polygon_spans(shapes: DataFrame, grid: Grid, geom: str = "geom") -> DataFrame:
+    """Covered column ranges per raster row: shape columns plus prow, col_lo, col_hi.
+
+    A cell is covered when its centre is inside (even-odd, half-open edges).
+    """
+    keep = [c for c in shapes.columns if c != geom]
+    rows = (
+        _bands(shapes, grid, geom)
+        .select(*keep, "_edges", F.explode(F.sequence("_from", "_to")).alias("prow"))
+        .withColumns({"_yc": grid.centre_y(F.col("prow")), "_x0": _c(grid.x0), "_last_col": _c(grid.width) - 1})
+    )
+    yc, dx = F.col("_yc"), _c(grid.dx)
     crossing = F.filter("_edges", lambda e: (e.ay > yc) != (e.by > yc))
     xs = F.array_sort(F.transform(crossing, lambda e: e.ax + (yc - e.ay) * (e.bx - e.ax) / (e.by - e.ay)))
 
@@ -115,7 +131,7 @@ def line_spans(lines: DataFrame, grid: Grid, geom: str = "geom") -> DataFrame:
 def span_cells(spans: DataFrame) -> DataFrame:
     """One row per covered cell."""
     keep = [c for c in spans.columns if c not in ("col_lo", "col_hi")]
-    return _spread(spans).select(*keep, F.explode(F.sequence("col_lo", "col_hi")).alias("pcol"))
+    return spans.select(*keep, F.explode(F.sequence("col_lo", "col_hi")).alias("pcol"))
 
 
 def polygon_cells(shapes: DataFrame, grid: Grid, geom: str = "geom") -> DataFrame:
@@ -135,7 +151,8 @@ def rasterise(shapes: DataFrame, grid: Grid, value: str, order: str, geom: str =
 
 def rasterise_lines(lines: DataFrame, grid: Grid, geom: str = "geom") -> DataFrame:
     """Distinct cells touched by the lines."""
-    return span_cells(line_spans(lines.select(geom), grid, geom)).select(*CELL).distinct()
+    spans = line_spans(lines.select(geom), grid, geom).repartition("prow", "col_lo", "col_hi")
+    return span_cells(spans).select(*CELL).distinct()
 
 
 def points_in_polygons(
@@ -324,7 +341,8 @@ def label_mask(
     roadbed: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Layered label mask; each value of the result is the mask after that stage."""
-    burned = burn_labels(parcels, overrides, grid, min_pixels=min_pixels)
+    # The erosion reads the burned mask three times and the overlay once more.
+    burned = cut_lineage(burn_labels(parcels, overrides, grid, min_pixels=min_pixels), "burned")
     eroded = erode_boundary(burned, erosion)
     layers = [polygon_cells(p.select("geom"), grid) for p in (water, roadbed) if p is not None]
     if roads is not None:
@@ -539,13 +557,10 @@ def percentile_stretch(cells: DataFrame, bands, prob: float = 0.98) -> DataFrame
     from lotgrid.operators.ranking import exact_quantiles
 
     long = cells.select(*[F.col(b).cast("double").alias(b) for b in bands]).unpivot([], list(bands), "band", "value")
-    q = exact_quantiles(long, "value", [prob], by=("band",), buckets=8)
-    out = cells
-    for b in bands:
-        p = q.where(F.col("band") == b).agg(F.max("quantile")).scalar()
-        scaled = clamp(F.col(b) / F.nullif(p, F.lit(0.0)), 0.0, 1.0)
-        out = out.withColumn(b, F.when(p == 0, F.col(b).cast("double")).otherwise(scaled))
-    return out
+    top = {r["band"]: r["quantile"] for r in exact_quantiles(long, "value", [prob], by=("band",)).collect()}
+    return cells.withColumns(
+        {b: clamp(F.col(b) / F.lit(top[b]), 0.0, 1.0) if top.get(b) else F.col(b).cast("double") for b in bands}
+    )
 
 
 def densest_blocks(outcomes: DataFrame, grid: Grid, block: int, n: int, *, seed: int = 42, min_share: float = 0.02) -> DataFrame:

@@ -166,7 +166,7 @@ def patience_stop(
     minimum-gain rule then walks those few rows per run.
     """
     numbered = running_totals(
-        history.withColumn("_one", F.lit(1)), epoch, {"_pos": "_one"}, prior_max={"_best": metric}, by=(by,)
+        history.select(by, epoch, metric, F.lit(1).alias("_one")), epoch, {"_pos": "_one"}, prior_max={"_best": metric}, by=(by,)
     ).withColumn("_pos", F.col("_pos") - 1)
     records = numbered.where(F.col("_best").isNull() | (F.col(metric) > F.col("_best")))
     lengths = numbered.groupBy(F.col(by).alias("_run")).agg(F.max("_pos").alias("_last"))

@@ -27,7 +27,7 @@ def describe(df: DataFrame, columns) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    q = exact_quantiles(long, "value", QUARTILES, by=("feature",), buckets=8)
+    q = exact_quantiles(long, "value", QUARTILES, by=("feature",))
     wide = q.groupBy(F.col("feature").alias("_f")).agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for p, name in zip(QUARTILES, ("q25", "q50", "q75"))]
     )

@@ -31,9 +31,12 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     # ---------------------------------------------------------------- parcels
 
@@ -141,7 +144,7 @@ class Inputs:
     def boro(self) -> DataFrame:
         return self.raster.select("prow", "pcol", "boro_code")
 
-    @property
+    @cached_property
     def height(self) -> Column:
         """Raster height as a scalar subquery."""
         return self.table("orders").agg((div(F.max("o_orderkey"), WIDTH) + 1).cast("int").alias("h")).scalar()

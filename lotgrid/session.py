@@ -27,20 +27,21 @@ def get_session(app: str = "lotgrid", master: str | None = None, conf: dict[str,
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and return the stored copy.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables on the storage the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without that setting (a local test) gets a temporary one.
+    Only a session without that setting (a local test) gets a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lotgrid-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables, beside the checkpoints on shared storage."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lotgrid-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` to shared storage and return the stored table.
+
+    For a table that several branches of a plan read: it is computed once, survives
+    the loss of executors, and is read back with column pruning and known size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
