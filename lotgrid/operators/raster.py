@@ -41,13 +41,17 @@ def _bands(shapes: DataFrame, grid: Grid, geom: str) -> DataFrame:
     b = G.bounds(F.col(geom))
     first = F.greatest(F.ceil((y0 - b.ymax) / dy - 0.5), F.lit(0)).cast("int")
     last = F.least(F.floor((y0 - b.ymin) / dy - 0.5), _c(grid.height) - 1).cast("int")
-    placed = (
-        shapes.where(F.col(geom).isNotNull())
-        .select(*keep, G.edges(F.col(geom)).alias("_edges"), first.alias("_first"), last.alias("_last"))
-        .where("_first <= _last")
+    placed = shapes.where(F.col(geom).isNotNull()).select(
+        *keep, G.edges(F.col(geom)).alias("_edges"), first.alias("_first"), last.alias("_last")
+    )
+    # A condition inside the generator, not a filter: a filter would be pushed down and
+    # repeat the array work of the columns it tests.
+    bands = F.when(
+        F.col("_first") <= F.col("_last"),
+        F.sequence(F.floor(F.col("_first") / BAND_ROWS), F.floor(F.col("_last") / BAND_ROWS)),
     )
     banded = (
-        placed.withColumn("_band", F.explode(F.sequence(F.floor(F.col("_first") / BAND_ROWS), F.floor(F.col("_last") / BAND_ROWS))))
+        placed.withColumn("_band", F.explode(bands))
         .withColumns(
             {
                 "_from": F.greatest("_first", (F.col("_band") * BAND_ROWS).cast("int")),
@@ -57,7 +61,10 @@ def _bands(shapes: DataFrame, grid: Grid, geom: str) -> DataFrame:
         .withColumns({"_top": grid.y_of(F.col("_from")), "_bottom": grid.y_of(F.col("_to") + 1)})
     )
     reaching = F.filter("_edges", lambda e: (F.least(e.ay, e.by) <= F.col("_top")) & (F.greatest(e.ay, e.by) >= F.col("_bottom")))
-    return banded.select(*keep, "_from", "_to", reaching.alias("_edges")).repartition(F.xxhash64("_from", "_edges"))
+    # A fixed number of partitions: the bands are few bytes, and sized by bytes they would be
+    # coalesced into one task just before they grow.
+    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return banded.select(*keep, "_from", "_to", reaching.alias("_edges")).repartition(tasks, F.xxhash64("_from", "_edges"))
 
 
 def polygon_spans(shapes: DataFrame, grid: Grid, geom: str = "geom") -> DataFrame:
@@ -87,8 +94,7 @@ def polygon_spans(shapes: DataFrame, grid: Grid, geom: str = "geom") -> DataFram
     )
     return (
         rows.select(*keep, "prow", "_x0", "_last_col", xs.alias("_xs"))
-        .where(F.size("_xs") >= 2)
-        .select(*keep, "prow", F.inline(ranges))
+        .select(*keep, "prow", F.inline(F.when(F.size("_xs") >= 2, ranges)))
         .where("col_lo <= col_hi")
     )
 
@@ -101,11 +107,7 @@ def line_spans(lines: DataFrame, grid: Grid, geom: str = "geom") -> DataFrame:
     top, bottom = F.greatest("ay", "by"), F.least("ay", "by")
     first = F.greatest(F.floor((y0 - top) / dy), F.lit(0)).cast("int")
     last = F.least(F.floor((y0 - bottom) / dy), _c(grid.height) - 1).cast("int")
-    rows = (
-        segments.withColumns({"_first": first, "_last": last})
-        .where("_first <= _last")
-        .withColumn("prow", F.explode(F.sequence("_first", "_last")))
-    )
+    rows = segments.withColumn("prow", F.explode(F.when(first <= last, F.sequence(first, last))))
     # The part of the segment inside the row band, as parameters along the segment.
     rise = F.col("by") - F.col("ay")
     band_top, band_bottom = grid.y_of(F.col("prow")), grid.y_of(F.col("prow") + 1)

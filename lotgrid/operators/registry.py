@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotgrid.functions.attributes import parse_threshold
 from lotgrid.operators.evaluation import best_threshold
 from lotgrid.operators.ranking import running_totals
+from lotgrid.session import cut_lineage
 
 # Column order of the registry table.
 REGISTRY_COLUMNS = [
@@ -162,37 +166,60 @@ def patience_stop(
     """Epoch at which training stops and the best epoch then; the stop is null if patience never runs out.
 
     Positions and earlier maxima are computed in buckets, so a long run is shared
-    by many tasks.  Only new-best epochs can reset the counter; the sequential
-    minimum-gain rule then walks those few rows per run.
+    by many tasks.  Only a new best can reset the counter; the sequential minimum-gain
+    rule walks those few epochs in order, holding one run's state at a time.
     """
     numbered = running_totals(
         history.select(by, epoch, metric, F.lit(1).alias("_one")), epoch, {"_pos": "_one"}, prior_max={"_best": metric}, by=(by,)
     ).withColumn("_pos", F.col("_pos") - 1)
+    numbered = cut_lineage(numbered, "numbered-epochs")
     records = numbered.where(F.col("_best").isNull() | (F.col(metric) > F.col("_best")))
-    lengths = numbered.groupBy(F.col(by).alias("_run")).agg(F.max("_pos").alias("_last"))
-    steps = records.groupBy(by).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("pos"), F.col(metric).cast("double").alias("v"), F.col(epoch).cast("bigint").alias("e")))).alias("_rec")
+    walked = (
+        records.select(F.col(by).alias("run"), F.col("_pos").alias("pos"), F.col(metric).cast("double").alias("value"))
+        .repartition("run")
+        .sortWithinPartitions("run", "pos")
+        .mapInPandas(_walk_records(patience, min_delta), numbered.select(F.col(by).alias("run"), F.col("_pos").alias("best_pos")).schema)
     )
-    start = F.struct(
-        F.lit(-1).cast("bigint").alias("pos"), F.lit(float("-inf")).alias("v"), F.lit(-1).cast("bigint").alias("e"), F.lit(False).alias("stopped")
+    lengths = numbered.groupBy(F.col(by).alias("_run")).agg(F.max("_pos").alias("_last"))
+    ended = walked.join(lengths, walked["run"] == lengths["_run"]).select(
+        F.col("run").alias(by),
+        "best_pos",
+        F.when(F.col("best_pos") + patience <= F.col("_last"), F.col("best_pos") + patience).alias("stop_pos"),
     )
 
-    def walk(state: Column, r: Column) -> Column:
-        ran_out = state.stopped | ((state.pos >= 0) & (r.pos > state.pos + patience))
-        gains = (state.pos < 0) | (r.v > state.v + min_delta)
-        moved = F.struct(r.pos.alias("pos"), r.v.alias("v"), r.e.alias("e"), F.lit(False).alias("stopped"))
-        stays = F.struct(state.pos.alias("pos"), state.v.alias("v"), state.e.alias("e"), F.lit(False).alias("stopped"))
-        stops = F.struct(state.pos.alias("pos"), state.v.alias("v"), state.e.alias("e"), F.lit(True).alias("stopped"))
-        return F.when(ran_out, stops).when(gains, moved).otherwise(stays)
-
-    walked = steps.withColumn("_end", F.aggregate("_rec", start, walk))
-    ended = walked.join(lengths, walked[by] == lengths["_run"]).select(
-        F.col(by),
-        F.col("_end.e").alias("best_epoch"),
-        F.when(F.col("_end.pos") + patience <= F.col("_last"), F.col("_end.pos") + patience).alias("_stop"),
+    def epoch_at(position: str, name: str) -> DataFrame:
+        return numbered.select(F.col(by).alias(f"_r_{name}"), F.col("_pos").alias(position), F.col(epoch).alias(name))
+
+    best, stop = epoch_at("_bp", "best_epoch"), epoch_at("_sp", "stop_epoch")
+    return (
+        ended.join(best, (ended[by] == best["_r_best_epoch"]) & (ended["best_pos"] == best["_bp"]))
+        .join(stop, (ended[by] == stop["_r_stop_epoch"]) & (ended["stop_pos"] == stop["_sp"]), "left")
+        .select(by, "best_epoch", "stop_epoch")
     )
-    at = numbered.select(F.col(by).alias("_run"), F.col("_pos"), F.col(epoch).alias("stop_epoch"))
-    return ended.join(at, (ended[by] == at["_run"]) & (ended["_stop"] == at["_pos"]), "left").select(by, "best_epoch", "stop_epoch")
+
+
+def _walk_records(patience: int, min_delta: float):
+    """Fold over new-best epochs sorted by run and position: the position of the best one when patience runs out."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, pos, value, stopped = None, 0, 0.0, False
+        for batch in batches:
+            done = []
+            for r, p, v in zip(batch["run"], batch["pos"], batch["value"]):
+                if r != run:
+                    if run is not None:
+                        done.append((run, pos))
+                    run, pos, value, stopped = r, p, v, False
+                elif not stopped:
+                    if p > pos + patience:
+                        stopped = True
+                    elif v > value + min_delta:
+                        pos, value = p, v
+            yield pd.DataFrame(done, columns=["run", "best_pos"])
+        if run is not None:
+            yield pd.DataFrame([(run, pos)], columns=["run", "best_pos"])
+
+    return walk
 
 
 def resume_history(stored: DataFrame, new: DataFrame, start_epoch: int) -> DataFrame:

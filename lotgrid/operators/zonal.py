@@ -4,29 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotgrid.functions.grid import Grid
+from lotgrid.operators.ranking import exact_quantiles
 from lotgrid.operators.raster import CELL, polygon_cells
+from lotgrid.session import cut_lineage
 
 
 def _stats(bands, stats) -> list[Column]:
-    # Medians count each distinct value once; for 8-bit bands that is at most 256 per zone.
-    build = {
-        "mean": lambda b: F.avg(b),
-        "stdDev": lambda b: F.stddev_pop(b),
-        "median": lambda b: F.percentile(b, F.lit(0.5)),
-        "count": lambda b: F.count(b),
-    }
+    build = {"mean": F.avg, "stdDev": F.stddev_pop, "median": lambda b: F.percentile(b, F.lit(0.5)), "count": F.count}
     return [build[s](F.col(b)).alias(f"{b}_{s}") for b in bands for s in stats]
 
 
+def _has_few_values(pixels: DataFrame, band: str) -> bool:
+    return isinstance(pixels.schema[band].dataType, (T.ByteType, T.ShortType))
+
+
 def zonal_by_raster(
     pixels: DataFrame, zones: DataFrame, bands, *, zone: str = "parcel_id", stats=("mean", "stdDev", "count"), subset: DataFrame | None = None
 ) -> DataFrame:
-    """Band statistics per zone of an id raster; every statistic is a partial aggregate."""
+    """Band statistics per zone of an id raster; every statistic is a partial aggregate.
+
+    The median of an 8-bit band is one too: its state is at most 256 value counts.
+    Other bands could fill a task with the distinct values of one large zone, so their
+    medians are ranked in a distributed way and joined back.
+    """
     if subset is not None:
         zones = zones.join(subset.select(F.col(zone).alias("_z")), F.col(zone) == F.col("_z"), "left_semi")
-    return pixels.select(*CELL, *bands).join(zones, CELL).groupBy(zone).agg(*_stats(bands, stats))
+    joined = pixels.select(*CELL, *bands).join(zones, CELL)
+    ranked = [b for b in bands if "median" in stats and not _has_few_values(pixels, b)]
+    plain = [c for b in bands for c in _stats([b], [s for s in stats if s != "median" or b not in ranked])]
+    if not ranked:
+        return joined.groupBy(zone).agg(*plain)
+    joined = cut_lineage(joined, "zone-cells")
+    long = joined.select(zone, *[F.col(b).cast("double").alias(b) for b in ranked]).unpivot([zone], ranked, "band", "value")
+    medians = exact_quantiles(long, "value", [0.5], by=(zone, "band")).groupBy(F.col(zone).alias("_m")).agg(
+        *[F.max(F.when(F.col("band") == b, F.col("quantile"))).alias(f"{b}_median") for b in ranked]
+    )
+    counted = joined.groupBy(zone).agg(*plain)
+    wanted = [zone, *[f"{b}_{s}" for b in bands for s in stats]]
+    return counted.join(medians, counted[zone] == medians["_m"], "left").select(*wanted)
 
 
 def zonal_by_polygon(

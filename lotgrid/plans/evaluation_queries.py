@@ -220,15 +220,14 @@ _LABELLED = "(SELECT prob, label AS y FROM score_cells WHERE label <> 255 AND pr
 
 @query(
     "score_evaluation_E2",
-    "SELECT m.*, a.average_precision FROM ("
+    "SELECT m.* EXCLUDE (one), a.average_precision FROM ("
     + metrics_sql("SELECT 1 AS one, " + _COUNTS + f" FROM (SELECT y, (prob > 0.5)::INT AS p FROM {_LABELLED})", "one")
     + f") m, (SELECT round(sum(gain*precision), 6) AS average_precision FROM ({_curve(_LABELLED)})) a",
     "score_cells",
 )
 def _(t: Inputs):
     scored = t.score_cells.where("prob IS NOT NULL").join(t.mask, ["prow", "pcol"])
-    out = E.evaluate_scores(scored.withColumn("one", F.lit(1)), by=["one"])
-    return _round(out, [*_ROUNDED, "average_precision"])
+    return _round(E.evaluate_scores(scored), [*_ROUNDED, "average_precision"])
 
 
 # ---------------------------------------------------------------- parcel evaluation

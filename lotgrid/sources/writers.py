@@ -32,12 +32,14 @@ def load_splits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return patches, spark.read.schema("boro_code int, split string").json(f"{path}/split")
 
 
-def split_document(patches: DataFrame) -> DataFrame:
-    """One row per split with its origins as an array, the shape of a one-document record.
+def split_document(patches: DataFrame, chunk: int = 4096) -> DataFrame:
+    """Origins as arrays per split, the shape of a one-document record.
 
-    For export of report-sized grids; scoring and training read the row form.
+    A split may hold most of the grid, so it is cut into square chunks of ``chunk``
+    pixels: no array is longer than one chunk's patches.
     """
-    return patches.groupBy("split").agg(F.sort_array(F.collect_list(F.struct(*ORIGIN))).alias("origins"))
+    chunks = [F.floor(F.col(c) / chunk).alias(f"chunk_{c}") for c in ORIGIN]
+    return patches.groupBy("split", *chunks).agg(F.sort_array(F.collect_list(F.struct(*ORIGIN))).alias("origins"))
 
 
 def document_origins(document: DataFrame) -> DataFrame:
