@@ -81,19 +81,15 @@ def changed_parcels(first: DataFrame, second: DataFrame, key: str = "bbl") -> Da
 
 
 def change_stats(changes: DataFrame) -> DataFrame:
-    """Count and area per (borough, category) and for ALL boroughs, in one grouping-sets aggregate.
+    """Count and area per (borough, category) and for ALL boroughs.
 
-    Parcels without a borough count in ALL only.
+    The parcels are aggregated once; the grouping sets run over that small table, so
+    no parcel row is doubled.  Parcels without a borough count in ALL only.
     """
+    base = changes.groupBy("borough", "change_category").agg(F.count("*").alias("parcels"), F.sum("area_m2").alias("area"))
     return (
-        changes.groupingSets(
-            [["borough", "change_category"], ["change_category"]], "borough", "change_category"
-        )
-        .agg(
-            F.count("*").alias("parcels"),
-            F.sum("area_m2").alias("total_area_m2"),
-            F.grouping("borough").alias("_all"),
-        )
+        base.groupingSets([["borough", "change_category"], ["change_category"]], "borough", "change_category")
+        .agg(F.sum("parcels").alias("parcels"), F.sum("area").alias("total_area_m2"), F.grouping("borough").alias("_all"))
         .where((F.col("_all") == 1) | F.col("borough").isNotNull())
         .select(
             F.when(F.col("_all") == 1, "ALL").otherwise(F.col("borough")).alias("borough"),

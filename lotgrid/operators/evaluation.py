@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotgrid.functions.attributes import class_prefix, class_prefix_label, clean_land_use, land_use_label
-from lotgrid.operators.ranking import ROWS_PER_TASK, best_by, exact_quantiles, running_totals
+from lotgrid.operators.ranking import ROWS_PER_TASK, best_by, column_quantiles, running_totals
 from lotgrid.operators.summary import share_within
 from lotgrid.session import cut_lineage
 
@@ -116,52 +116,70 @@ def class_report(df: DataFrame, label: str, pred: str) -> DataFrame:
 # ---------------------------------------------------------------- precision-recall
 
 
-def _score_totals(scores: DataFrame, by, weight: str | None, rows_per_task: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct scores with running weighted positives and negatives, highest score first, and the merged table."""
+def score_totals(scores: DataFrame, *, by=(), weight: str | None = None) -> DataFrame:
+    """Stored (by, prob, pos, neg): weighted positives and negatives per distinct score.
+
+    The only pass over the scores; confusion counts at any threshold, the curve and
+    the average precision all follow from this table.
+    """
     w = F.col(weight) if weight else F.lit(1)
-    merged = cut_lineage(
+    merged = (
         scores.where(F.col("prob").isNotNull())
         .groupBy(*by, "prob")
-        .agg(F.sum(w * F.col("y")).alias("_pos"), F.sum(w * (1 - F.col("y"))).alias("_neg")),
-        "score-totals",
+        .agg(F.sum(w * F.col("y")).alias("pos"), F.sum(w * (1 - F.col("y"))).alias("neg"))
+    )
+    return cut_lineage(merged, "score-totals")
+
+
+def counts_from_totals(totals: DataFrame, *, by=(), threshold: float = 0.5) -> DataFrame:
+    """TP/FP/FN/TN of ``prob > threshold`` from unweighted score totals."""
+    hit = F.col("prob") > threshold
+    zero = F.lit(0).cast("bigint")
+
+    def total(column: str, when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, F.col(column))), zero).cast("bigint")
+
+    return totals.groupBy(*by).agg(
+        total("pos", hit).alias("tp"), total("neg", hit).alias("fp"), total("pos", ~hit).alias("fn"), total("neg", ~hit).alias("tn")
     )
-    totals = {"_cum_pos": "_pos", "_cum_neg": "_neg"}
-    run = running_totals(merged, "prob", totals, by=tuple(by), descending=True, rows_per_task=rows_per_task, stored=True)
-    return run, merged
 
 
-def pr_curve(scores: DataFrame, *, by=(), weight: str | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """(by, threshold, precision, recall) per distinct score, in distributed prefix form."""
+def curve_from_totals(totals: DataFrame, *, by=(), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(by, threshold, precision, recall) per distinct score, highest first, plus the recall gained there."""
     by = list(by)
-    run, merged = _score_totals(scores, by, weight, rows_per_task)
+    sums = {"_cum_pos": "pos", "_cum_neg": "neg"}
+    run = running_totals(totals, "prob", sums, by=tuple(by), descending=True, rows_per_task=rows_per_task, stored=True)
     if by:
-        totals = merged.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.sum("_pos").alias("_all"))
-        cond = [run[c].eqNullSafe(totals[f"_g_{c}"]) for c in by]
-        joined = run.join(totals, cond)
+        positives = totals.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.sum("pos").alias("_all"))
+        joined = run.join(positives, [run[c].eqNullSafe(positives[f"_g_{c}"]) for c in by])
     else:
-        joined = run.withColumn("_all", merged.agg(F.sum("_pos")).scalar())
+        joined = run.withColumn("_all", totals.agg(F.sum("pos")).scalar())
     return joined.select(
         *by,
         F.col("prob").alias("threshold"),
         F.try_divide("_cum_pos", F.col("_cum_pos") + F.col("_cum_neg")).alias("precision"),
         F.try_divide("_cum_pos", "_all").alias("recall"),
-        F.try_divide("_pos", "_all").alias("_gain"),
+        F.try_divide("pos", "_all").alias("_gain"),
     )
 
 
-def average_precision(scores: DataFrame, *, by=(), weight: str | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Step-wise AP with tied scores merged; null without positives."""
-    curve = pr_curve(scores, by=by, weight=weight, rows_per_task=rows_per_task)
+def precision_from_totals(totals: DataFrame, *, by=(), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Step-wise average precision with tied scores merged; null without positives."""
+    curve = curve_from_totals(totals, by=by, rows_per_task=rows_per_task)
     return curve.groupBy(*by).agg(F.sum(F.col("_gain") * F.col("precision")).alias("average_precision"))
 
 
+def average_precision(scores: DataFrame, *, by=(), weight: str | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    return precision_from_totals(score_totals(scores, by=by, weight=weight), by=by, rows_per_task=rows_per_task)
+
+
 def pr_points(scores: DataFrame, *, by=(), weight: str | None = None, cap: int | None = None, key: str | None = None, seed: int = 42) -> DataFrame:
     """PR curve points; with ``cap`` from a uniform sample of the scores by the integer ``key``."""
     from lotgrid.operators.ranking import sample_exact
 
     if cap is not None:
         scores = sample_exact(scores, cap, key, seed=seed, strata=tuple(by))
-    return pr_curve(scores, by=by, weight=weight).drop("_gain")
+    return curve_from_totals(score_totals(scores, by=by, weight=weight), by=by).drop("_gain")
 
 
 def best_threshold(points: DataFrame, *, beta: float = 2.0, by=()) -> DataFrame:
@@ -177,38 +195,42 @@ def thresholds_for(runs: DataFrame, points: DataFrame, *, by=("run_id",), beta:
     )
 
 
-def evaluate_scores(scored: DataFrame, *, by=(), threshold: float = 0.5, weight: str | None = None) -> DataFrame:
-    """Confusion metrics and average precision of a scored table (label 0/1/255, prob)."""
-    by = list(by)
-    labelled = scored.where(F.col("label").isin(0, 1))
-    metrics = with_metrics(confusion_counts(labelled, F.col("label"), (F.col("prob") > threshold).cast("int"), by=by))
-    ap = average_precision(labelled.withColumn("y", F.col("label")), by=by, weight=weight)
+def _combine(metrics: DataFrame, precision: DataFrame, by) -> DataFrame:
     if not by:
-        return metrics.withColumn("average_precision", ap.scalar())
-    return metrics.join(ap, by, "left")
+        return metrics.withColumn("average_precision", precision.scalar())
+    return metrics.join(precision, list(by), "left")
+
+
+def evaluate_scores(scored: DataFrame, *, by=(), threshold: float = 0.5) -> DataFrame:
+    """Confusion metrics and average precision of a scored table (label 0/1/255, prob), in one pass over it."""
+    by = list(by)
+    labelled = scored.where(F.col("label").isin(0, 1)).withColumn("y", F.col("label"))
+    totals = score_totals(labelled, by=by)
+    metrics = with_metrics(counts_from_totals(totals, by=by, threshold=threshold))
+    return _combine(metrics, precision_from_totals(totals, by=by), by)
 
 
 def evaluate_model(features: DataFrame, model, *, by=(), reservoir: int | None = None, key: str = "cell_id", seed: int = 42) -> DataFrame:
     """One model applied to a split: confusion over every labelled cell, AP over all or a class-stratified sample.
 
-    With ``reservoir`` the AP uses at most half of it per class, weighted by seen/kept.
+    Every cell is scored once.  With ``reservoir`` the AP uses at most half of it per
+    class, weighted by seen/kept.
     """
     from lotgrid.operators.ranking import sample_exact
     from lotgrid.operators.scoring import score_with_model
 
     by = list(by)
-    scored = score_with_model(features, model).where(F.col("label").isin(0, 1)).withColumn("y", F.col("label"))
-    metrics = with_metrics(confusion_counts(scored, F.col("label"), F.col("pred"), by=by))
+    scored = score_with_model(features.where(F.col("label").isin(0, 1)), model)
     if reservoir is None:
-        ap = average_precision(scored, by=by)
-    else:
-        strata = (*by, "label")
-        kept = sample_exact(scored.select(*by, key, "label", "y", "prob"), reservoir // 2, key, seed=seed, strata=strata)
-        seen = scored.groupBy(*strata).agg(F.count("*").alias("_seen"))
-        weights = seen.join(kept.groupBy(*strata).agg(F.count("*").alias("_kept")), list(strata))
-        weighted = kept.join(weights.withColumn("_w", F.col("_seen") / F.col("_kept")), list(strata))
-        ap = average_precision(weighted, by=by, weight="_w")
-    return metrics.join(ap, by, "left") if by else metrics.withColumn("average_precision", ap.scalar())
+        return evaluate_scores(scored, by=by)
+    scored = cut_lineage(scored.select(*by, key, "label", F.col("label").alias("y"), "prob"), "scored")
+    metrics = with_metrics(confusion_counts(scored, F.col("label"), (F.col("prob") > 0.5).cast("int"), by=by))
+    strata = (*by, "label")
+    kept = sample_exact(scored, reservoir // 2, key, seed=seed, strata=strata)
+    seen = scored.groupBy(*strata).agg(F.count("*").alias("_seen"))
+    weights = seen.join(kept.groupBy(*strata).agg(F.count("*").alias("_kept")), list(strata))
+    weighted = kept.join(weights.withColumn("_w", F.col("_seen") / F.col("_kept")), list(strata))
+    return _combine(metrics, average_precision(weighted, by=by, weight="_w"), by)
 
 
 # ---------------------------------------------------------------- parcel recall
@@ -247,7 +269,7 @@ def fraction_summary(fractions: DataFrame) -> DataFrame:
     """Mean, exact median, and shares of parcels at 10 % and 20 %."""
     f = F.col("pred_fraction")
     known = cut_lineage(fractions.where(f.isNotNull()).select("pred_fraction"), "fractions")
-    median = exact_quantiles(known, "pred_fraction", [0.5]).select("quantile").scalar()
+    median = F.lit(column_quantiles(known, ["pred_fraction"], [0.5])["pred_fraction"].get(0.5)).cast("double")
     return known.agg(
         F.avg(f).alias("mean"), F.avg((f >= 0.1).cast("int")).alias("share_10"), F.avg((f >= 0.2).cast("int")).alias("share_20")
     ).withColumn("median", median)

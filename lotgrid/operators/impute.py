@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotgrid.operators.ranking import exact_quantiles
+from lotgrid.operators.ranking import column_quantiles
 from lotgrid.schemas import require_columns
 
 METHODS = ("median", "mean", "drop")
@@ -22,14 +22,13 @@ def _stacked(df: DataFrame, columns) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
 
 
-def fill_values(df: DataFrame, columns, method: str = "median") -> DataFrame:
-    """(feature, value): the exact median or the mean of each column, computed distributed."""
+def fill_values(df: DataFrame, columns, method: str = "median") -> dict[str, float | None]:
+    """The exact median or the mean of each column; None for a column without values."""
     require_columns(df, columns)
-    long = _stacked(df, columns)
     if method == "median":
-        return exact_quantiles(long, "value", [0.5], by=("feature",)).select("feature", F.col("quantile").alias("value"))
+        return {c: q.get(0.5) for c, q in column_quantiles(df, columns, [0.5]).items()}
     if method == "mean":
-        return long.groupBy("feature").agg(F.avg("value").alias("value"))
+        return df.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
     raise ValueError(f"unknown imputation method: {method}")
 
 
@@ -38,7 +37,7 @@ class Imputer:
     """Fitted fill values: a handful of numbers, kept with the model so new rows use the training ones."""
 
     method: str
-    values: dict[str, float]
+    values: dict[str, float | None]
 
     def apply(self, df: DataFrame) -> DataFrame:
         if self.method == "drop":
@@ -52,17 +51,12 @@ def fit_imputer(df: DataFrame, columns, method: str = "median") -> Imputer:
     require_columns(df, columns)
     if method == "drop":
         return Imputer(method, {c: float("nan") for c in columns})
-    found = {r["feature"]: r["value"] for r in fill_values(df, columns, method).collect()}
-    return Imputer(method, {c: found[c] for c in columns})
+    return Imputer(method, fill_values(df, columns, method))
 
 
 def impute(df: DataFrame, columns, method: str = "median") -> DataFrame:
-    """Fill or drop missing values without leaving the plan (the fill values are one scalar subquery)."""
-    if method == "drop":
-        return require_columns(df, columns).dropna(subset=list(columns))
-    values = fill_values(df, columns, method)
-    row = values.agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m")).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), F.try_element_at(row, F.lit(c))) for c in columns})
+    """Fill or drop missing values with the table's own statistics."""
+    return fit_imputer(df, columns, method).apply(df)
 
 
 def missing_counts(df: DataFrame, columns) -> DataFrame:

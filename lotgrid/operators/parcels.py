@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotgrid.functions import attributes as A
 from lotgrid.functions import geometry as G
-from lotgrid.operators.ranking import exact_quantiles, hash_positions, sample_exact
+from lotgrid.operators.ranking import column_quantiles, hash_positions, sample_exact
 from lotgrid.schemas import require_columns
 
 
@@ -180,9 +180,11 @@ def clean_attributes(parcels: DataFrame) -> DataFrame:
 def clip_percentiles(df: DataFrame, value: str, clip: float = 0.95) -> DataFrame:
     """Rows inside the central ``clip`` share of the column, both ends included, nulls dropped."""
     tail = (1.0 - clip) / 2.0
-    ends = sorted(r["quantile"] for r in exact_quantiles(df, value, [tail, 1.0 - tail]).collect())
+    ends = column_quantiles(df, [value], [tail, 1.0 - tail])[value]
+    if not ends:
+        return df.where(F.col(value).isNotNull())
     # Two numbers by now, so the range test is pushed into the scan.
-    return df.where(F.col(value).between(ends[0], ends[-1])) if ends else df.where(F.col(value).isNotNull())
+    return df.where(F.col(value).between(ends[tail], ends[1.0 - tail]))
 
 
 def sample_category(parcels: DataFrame, sampled: DataFrame, test: DataFrame, id_col: str = "bbl") -> DataFrame:

@@ -74,7 +74,7 @@ def borough_to_split(train, val, test) -> dict[int, str]:
 def majority_borough(patches: DataFrame, boro: DataFrame, grid: Grid, patch: int, stride: int) -> DataFrame:
     """Most common borough (> 0) of each patch, the smaller code on ties; null without any."""
     votes = patch_counts(boro.where("boro_code > 0"), grid, patch, stride, {"_n": F.lit(1).cast("bigint")}, by=("boro_code",))
-    winner = votes.groupBy(*ORIGIN).agg(F.max_by("boro_code", F.struct("_n", -F.col("boro_code"))).alias("majority_boro"))
+    winner = votes.groupBy(*ORIGIN).agg(F.max_by("boro_code", F.col("_n") * (1 << 32) - F.col("boro_code")).alias("majority_boro"))
     return patches.join(winner, ORIGIN, "left")
 
 

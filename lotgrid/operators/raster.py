@@ -157,35 +157,41 @@ def rasterise_lines(lines: DataFrame, grid: Grid, geom: str = "geom") -> DataFra
     return span_cells(spans).select(*CELL).distinct()
 
 
-def points_in_polygons(
-    points: DataFrame, shapes: DataFrame, *, x: str = "x", y: str = "y", geom: str = "geom", tile: float = 64.0
-) -> DataFrame:
+def points_in_polygons(points: DataFrame, shapes: DataFrame, *, x: str = "x", y: str = "y", geom: str = "geom") -> DataFrame:
     """Inner join of free points with the polygons that contain them.
 
-    Both sides meet on a square tile key, so it is an ordinary equi-join that
-    adaptive execution can split when one tile is crowded; the exact test follows.
+    Each polygon is filed under the power-of-two tiles that match its own size, so it
+    meets at most four tiles and a tile holds only polygons about as large as itself.
+    Points look into one tile per size that occurs.  It is an ordinary equi-join, which
+    adaptive execution splits where points crowd into one tile; the exact test follows.
     """
-    b = G.bounds(F.col(geom))
     keep = [c for c in shapes.columns if c != geom]
+    boxed = shapes.where(F.col(geom).isNotNull()).select(*keep, geom, G.bounds(F.col(geom)).alias("_b"))
+    extent = F.greatest(F.col("_b.xmax") - F.col("_b.xmin"), F.col("_b.ymax") - F.col("_b.ymin"))
+    level = F.ceil(F.log2(F.greatest(extent, F.lit(1e-6)))).cast("int")
+    sized = boxed.select(*keep, G.edges(F.col(geom)).alias("_edges"), "_b", level.alias("_level"))
+    # A few dozen at most: one per doubling of polygon size.
+    levels = [r[0] for r in sized.select("_level").distinct().collect()]
+    side = F.pow(F.lit(2.0), F.col("_level"))
 
     def tiles(low: Column, high: Column) -> Column:
-        return F.sequence(F.floor(low / tile), F.floor(high / tile))
-
-    tiled = (
-        shapes.where(F.col(geom).isNotNull())
-        .select(*keep, G.edges(F.col(geom)).alias("_edges"), b.alias("_b"))
-        .withColumn("_tx", F.explode(tiles(F.col("_b.xmin"), F.col("_b.xmax"))))
-        .withColumn("_ty", F.explode(tiles(F.col("_b.ymin"), F.col("_b.ymax"))))
-    )
-    keyed = points.withColumns({"_px": F.floor(F.col(x) / tile), "_py": F.floor(F.col(y) / tile)})
+        return F.explode(F.sequence(F.floor(low / side), F.floor(high / side)))
+
+    tiled = sized.withColumn("_tx", tiles(F.col("_b.xmin"), F.col("_b.xmax"))).withColumn("_ty", tiles(F.col("_b.ymin"), F.col("_b.ymax")))
+    if not levels:
+        levels = [0]
+    keyed = points.withColumn("_plevel", F.explode(F.array(*[F.lit(v) for v in sorted(levels)])))
+    cell = F.pow(F.lit(2.0), F.col("_plevel"))
+    keyed = keyed.withColumns({"_px": F.floor(F.col(x) / cell), "_py": F.floor(F.col(y) / cell)})
     hit = (
-        (F.col("_px") == F.col("_tx"))
+        (F.col("_plevel") == F.col("_level"))
+        & (F.col("_px") == F.col("_tx"))
         & (F.col("_py") == F.col("_ty"))
         & F.col(x).between(F.col("_b.xmin"), F.col("_b.xmax"))
         & F.col(y).between(F.col("_b.ymin"), F.col("_b.ymax"))
         & G.contains_point(F.col("_edges"), F.col(x), F.col(y))
     )
-    return keyed.join(tiled, hit).drop("_px", "_py", "_tx", "_ty", "_edges", "_b")
+    return keyed.join(tiled, hit).select(*points.columns, *keep)
 
 
 # ---------------------------------------------------------------- parcel id raster
@@ -448,28 +454,33 @@ def proportion_table(crosstab: DataFrame, classes) -> DataFrame:
 # ---------------------------------------------------------------- mosaics and composites
 
 
+# The aggregates below keep one number per band and one number as the order: states of
+# plain numbers are updated in place by the hash aggregate, structs would force a sort.
+
+
 def mosaic(scene_pixels: DataFrame, bands, *, date: str = "acq_date", excluded_dates=(), tie: str = "scene_id") -> DataFrame:
-    """Newest scene on top per cell, excluded dates left out."""
+    """Newest scene on top per cell, excluded dates left out; scenes of one day in a fixed order."""
     kept = scene_pixels
     if excluded_dates:
         kept = kept.where(~F.col(date).isin(list(excluded_dates)))
-    top = F.max_by(F.struct(*bands), F.struct(date, tie)).alias("_top")
-    return kept.groupBy(*CELL).agg(top).select(*CELL, "_top.*")
+    order = F.unix_date(F.col(date)).cast("bigint") * (1 << 32) + F.crc32(F.col(tie).cast("binary"))
+    placed = kept.select(*CELL, *bands, order.alias("_order"))
+    return placed.groupBy(*CELL).agg(*[F.max_by(b, "_order").alias(b) for b in bands])
 
 
 def merge_first(sources: DataFrame, values, order: str) -> DataFrame:
     """First source wins per cell."""
-    return sources.groupBy(*CELL).agg(F.min_by(F.struct(*values), F.col(order)).alias("_top")).select(*CELL, "_top.*")
+    return sources.groupBy(*CELL).agg(*[F.min_by(v, order).alias(v) for v in values])
 
 
 def mode_composite(scenes: DataFrame, value: str, *, cells=None, date: str | None = None, start=None, end=None) -> DataFrame:
-    """Most frequent value per cell over [start, end); the smallest on ties."""
+    """Most frequent integer value per cell over [start, end); the smallest on ties."""
     cells = list(cells or CELL)
     kept = scenes
     if date is not None:
         kept = kept.where((F.col(date) >= F.lit(start)) & (F.col(date) < F.lit(end)))
     counted = kept.groupBy(*cells, value).agg(F.count("*").alias("_n"))
-    return counted.groupBy(*cells).agg(F.max_by(value, F.struct("_n", -F.col(value))).alias(value))
+    return counted.groupBy(*cells).agg(F.max_by(value, F.col("_n") * (1 << 32) - F.col(value)).alias(value))
 
 
 def load_mosaic(scene_pixels: DataFrame, bands, *, start, end, window: dict | None = None, order: str = "acq_date") -> DataFrame:
@@ -556,12 +567,11 @@ def resample_bilinear(cells: DataFrame, value: str, height, width, scale_num: in
 
 def percentile_stretch(cells: DataFrame, bands, prob: float = 0.98) -> DataFrame:
     """clip(v / p98, 0, 1) per band; a band whose p98 is 0 is left alone."""
-    from lotgrid.operators.ranking import exact_quantiles
+    from lotgrid.operators.ranking import column_quantiles
 
-    long = cells.select(*[F.col(b).cast("double").alias(b) for b in bands]).unpivot([], list(bands), "band", "value")
-    top = {r["band"]: r["quantile"] for r in exact_quantiles(long, "value", [prob], by=("band",)).collect()}
+    top = {b: q.get(prob) for b, q in column_quantiles(cells, bands, [prob]).items()}
     return cells.withColumns(
-        {b: clamp(F.col(b) / F.lit(top[b]), 0.0, 1.0) if top.get(b) else F.col(b).cast("double") for b in bands}
+        {b: clamp(F.col(b) / F.lit(top[b]), 0.0, 1.0) if top[b] else F.col(b).cast("double") for b in bands}
     )
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotgrid.operators.ranking import exact_quantiles
+from lotgrid.operators.ranking import column_quantiles
 from lotgrid.schemas import require_columns
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -16,24 +16,25 @@ QUARTILES = (0.25, 0.5, 0.75)
 def describe(df: DataFrame, columns) -> DataFrame:
     """count, mean, std (n-1), min, quartiles and max per column, one row per feature.
 
-    The columns are stacked and aggregated once; quartiles are exact and distributed.
+    The columns are aggregated side by side in one pass; quartiles are exact.
     """
     require_columns(df, columns)
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
-    moments = long.groupBy("feature").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    q = exact_quantiles(long, "value", QUARTILES, by=("feature",))
-    wide = q.groupBy(F.col("feature").alias("_f")).agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for p, name in zip(QUARTILES, ("q25", "q50", "q75"))]
-    )
-    return moments.join(wide, F.col("feature") == F.col("_f"), "left").select(
-        "feature", "n", "mean", "std", "min", "q25", "q50", "q75", "max"
+    columns = list(columns)
+    quartiles = column_quantiles(df, columns, QUARTILES)
+    measures = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = df.agg(*[F.struct(*[f(F.col(c).cast("double")).alias(m) for m, f in measures.items()]).alias(f"_{i}") for i, c in enumerate(columns)])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("feature"),
+                *[F.col(f"_{i}")[m].alias(m) for m in ("n", "mean", "std", "min")],
+                *[F.lit(quartiles[c].get(p)).cast("double").alias(name) for p, name in zip(QUARTILES, ("q25", "q50", "q75"))],
+                F.col(f"_{i}")["max"].alias("max"),
+            )
+            for i, c in enumerate(columns)
+        ]
     )
+    return wide.select(F.inline(rows))
 
 
 def value_counts(df: DataFrame, column: str, n: int | None = 10) -> DataFrame:

@@ -10,7 +10,7 @@ from lotgrid.operators import impute, ml, scoring
 from lotgrid.operators import patches as PT
 from lotgrid.plans.inputs import Inputs
 from lotgrid.plans.registry import query
-from lotgrid.session import scratch_path
+from lotgrid.session import cut_lineage, scratch_path
 
 COLS = [f"f{i}" for i in range(10)]
 
@@ -115,6 +115,16 @@ MODELS = {
     "forest": lambda train: ml.forest(COLS, trees=50, depth=8, min_leaf=1).fit(train),
 }
 
+@query(
+    "balanced_weights_M9",
+    "SELECT y, count(*) AS parcels, round(sum(count(*)) OVER ()/(2.0*count(*)), 6) AS weight FROM emb GROUP BY 1",
+    "emb",
+)
+def _(t: Inputs):
+    weighted = ml.balanced_weights(t.features)
+    return weighted.groupBy("y").agg(F.count("*").alias("parcels"), F.round(F.max("weight"), 6).alias("weight"))
+
+
 for _name, _tag in (("logistic", "M9"), ("kernel_svm", "M10"), ("forest", "M11")):
 
     @query(f"{_name}_{_tag}")
@@ -124,19 +134,26 @@ for _name, _tag in (("logistic", "M9"), ("kernel_svm", "M10"), ("forest", "M11")
         return ml.positive_score(model.transform(_scaled(t))).select("bbl", "y", F.round("prob", 6).alias("prob"))
 
 
-def _pixels(t: Inputs):
-    """Labelled pixel features with a text-free key for sampling."""
-    cells = t.raster.select("prow", "pcol", "label", "boro_code", "r", "g", "b", "n")
+def _cells(t: Inputs):
+    """Raster cells with an integer key for sampling."""
     key = F.col("prow").cast("bigint") * 1000003 + F.col("pcol")
-    return feature_stack(cells.withColumn("cell_id", key), ["prow", "pcol", "label", "boro_code", "cell_id"])
+    return t.raster.withColumn("cell_id", key)
+
+
+_KEEP = ["prow", "pcol", "label", "boro_code", "cell_id"]
+
+
+def _pixels(t: Inputs):
+    return feature_stack(_cells(t), _KEEP)
 
 
 def _pixel_model(t: Inputs, pipeline):
-    """Reservoir sample, seen/kept weights, fit."""
-    features = _pixels(t)
-    sample = PT.reservoir_pixels(features, 2000, 4000)
-    weights = {r["label"]: r["class_weight"] for r in PT.class_weights(PT.reservoir_report(features, sample)).collect()}
-    with ml.kept(ml.class_weight_column(sample.withColumn("y", F.col("label").cast("int")), weights)) as train:
+    """Reservoir sample, seen/kept weights, fit.  Features are computed for the sampled cells only."""
+    cells = _cells(t)
+    sample = cut_lineage(PT.reservoir_pixels(cells, 2000, 4000), "pixel-sample")
+    weights = {r["label"]: r["class_weight"] for r in PT.class_weights(PT.reservoir_report(cells, sample)).collect()}
+    features = feature_stack(sample, _KEEP).withColumn("y", F.col("label").cast("int"))
+    with ml.kept(ml.class_weight_column(features, weights)) as train:
         return pipeline.fit(train)
 
 

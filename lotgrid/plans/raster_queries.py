@@ -124,7 +124,7 @@ def full_mask(t: Inputs):
 )
 def _(t: Inputs):
     pts = t.pixels.select((F.col("pcol") + 0.5).alias("x"), (-(F.col("prow") + 0.5)).alias("y"))
-    return R.points_in_polygons(pts, t.lots.select("bbl", "geom"), tile=16.0).groupBy("bbl").agg(F.count("*").alias("points"))
+    return R.points_in_polygons(pts, t.lots.select("bbl", "geom")).groupBy("bbl").agg(F.count("*").alias("points"))
 
 
 @query("rasterise_R1", "SELECT prow, pcol, max(bbl) AS bbl FROM lot_cells GROUP BY 1, 2", "lot_cells")

@@ -163,6 +163,23 @@ def test_exact_quantiles_match_numpy(spark, per_task):
         assert q == pytest.approx(np.quantile(values, p))
 
 
+@pytest.mark.parametrize("whole_below", [10, 100_000])
+def test_column_quantiles_bracketed_and_whole(spark, whole_below):
+    import numpy as np
+
+    # A third of one column is a single value; the other has gaps.
+    n = 30_000
+    a = [7.0 if i % 3 == 0 else float((i * 7919) % 10007) / 3 for i in range(n)]
+    b = [None if i % 5 == 0 else float((i * 104729) % 30011) for i in range(n)]
+    df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
+    probs = [0.0, 0.025, 0.25, 0.5, 0.975, 1.0]
+    got = ranking.column_quantiles(df, ["a", "b"], probs, whole_below=whole_below)
+    for c, values in (("a", a), ("b", [v for v in b if v is not None])):
+        for p in probs:
+            assert got[c][p] == pytest.approx(np.quantile(values, p)), (c, p)
+    assert ranking.column_quantiles(df.where("a < 0"), ["a"], [0.5]) == {"a": {}}
+
+
 def test_even_subset_like_linspace(spark, rows):
     import numpy as np
 

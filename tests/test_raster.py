@@ -68,7 +68,7 @@ def test_polygons_match_brute_force(spark, seed):
                 want.add((i, j))
     assert got == want
     points = spark.createDataFrame([(i, j, j + 0.5, size - i - 0.5) for i in range(0, size, 3) for j in range(0, size, 3)], "i int, j int, x double, y double")
-    joined = R.points_in_polygons(points, shape(spark, 1, G.polygon(pts)), tile=32.0)
+    joined = R.points_in_polygons(points, shape(spark, 1, G.polygon(pts)))
     assert {(r.i, r.j) for r in joined.collect()} == {(i, j) for i, j in want if i % 3 == 0 and j % 3 == 0}
 
 
