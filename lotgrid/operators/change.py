@@ -20,13 +20,13 @@ def tag_vintage(parcels: DataFrame, codes, code_col: str = "bldg_class") -> tupl
 
 
 def join_vintages(first: DataFrame, second: DataFrame, key: str = "bbl") -> DataFrame:
-    """Full outer join on the integer id as text; every column gets a _y1/_y2 suffix plus ``side``.
+    """Full outer join on the integer id; every column gets a _y1/_y2 suffix plus ``side`` and the id as text.
 
     Null ids are removed first, so they neither match nor pile up on one task.
     """
 
     def keyed(df: DataFrame, suffix: str) -> DataFrame:
-        ids = F.col(key).cast("bigint").cast("string")
+        ids = F.col(key).cast("bigint")
         return df.where(F.col(key).isNotNull()).select(
             ids.alias(f"_k{suffix}"), *[F.col(c).alias(f"{c}_{suffix}") for c in df.columns]
         )
@@ -39,7 +39,7 @@ def join_vintages(first: DataFrame, second: DataFrame, key: str = "bbl") -> Data
         .otherwise("right_only")
     )
     return joined.select(
-        F.coalesce("_ky2", "_ky1").alias("bbl_key"), side.alias("side"), *[c for c in joined.columns if not c.startswith("_k")]
+        F.coalesce("_ky2", "_ky1").cast("string").alias("bbl_key"), side.alias("side"), *[c for c in joined.columns if not c.startswith("_k")]
     )
 
 

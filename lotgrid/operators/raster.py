@@ -38,16 +38,19 @@ def _bands(shapes: DataFrame, grid: Grid, geom: str) -> DataFrame:
     """
     keep = [c for c in shapes.columns if c != geom]
     y0, dy = _c(grid.y0), _c(grid.dy)
-    b = G.bounds(F.col(geom))
-    first = F.greatest(F.ceil((y0 - b.ymax) / dy - 0.5), F.lit(0)).cast("int")
-    last = F.least(F.floor((y0 - b.ymin) / dy - 0.5), _c(grid.height) - 1).cast("int")
-    placed = shapes.where(F.col(geom).isNotNull()).select(
-        *keep, G.edges(F.col(geom)).alias("_edges"), first.alias("_first"), last.alias("_last")
+    # Everything comes from the edges, so the geometry is read once; a null one yields no band.
+    shapes_edges = shapes.select(*keep, G.edges(F.col(geom)).alias("_edges"))
+    ys = F.transform("_edges", lambda e: e.ay)
+    placed = shapes_edges.select(
+        *keep,
+        "_edges",
+        F.greatest(F.ceil((y0 - F.array_max(ys)) / dy - 0.5), F.lit(0)).cast("int").alias("_first"),
+        F.least(F.floor((y0 - F.array_min(ys)) / dy - 0.5), _c(grid.height) - 1).cast("int").alias("_last"),
     )
     # A condition inside the generator, not a filter: a filter would be pushed down and
     # repeat the array work of the columns it tests.
     bands = F.when(
-        F.col("_first") <= F.col("_last"),
+        (F.size("_edges") > 0) & (F.col("_first") <= F.col("_last")),
         F.sequence(F.floor(F.col("_first") / BAND_ROWS), F.floor(F.col("_last") / BAND_ROWS)),
     )
     banded = (

@@ -161,7 +161,14 @@ def best_epoch(history: DataFrame, *, by: str = "run_id", epoch: str = "epoch",
 
 
 def patience_stop(
-    history: DataFrame, *, patience: int = 10, min_delta: float = 1e-4, by: str = "run_id", epoch: str = "epoch", metric: str = "val_iou"
+    history: DataFrame,
+    *,
+    patience: int = 10,
+    min_delta: float = 1e-4,
+    mode: str = "max",
+    by: str = "run_id",
+    epoch: str = "epoch",
+    metric: str = "val_iou",
 ) -> DataFrame:
     """Epoch at which training stops and the best epoch then; the stop is null if patience never runs out.
 
@@ -169,8 +176,11 @@ def patience_stop(
     by many tasks.  Only a new best can reset the counter; the sequential minimum-gain
     rule walks those few epochs in order, holding one run's state at a time.
     """
+    if mode not in ("max", "min"):
+        raise ValueError(f"unknown mode: {mode}")
+    signed = F.col(metric) if mode == "max" else -F.col(metric)
     numbered = running_totals(
-        history.select(by, epoch, metric, F.lit(1).alias("_one")), epoch, {"_pos": "_one"}, prior_max={"_best": metric}, by=(by,)
+        history.select(by, epoch, signed.alias(metric), F.lit(1).alias("_one")), epoch, {"_pos": "_one"}, prior_max={"_best": metric}, by=(by,)
     ).withColumn("_pos", F.col("_pos") - 1)
     numbered = cut_lineage(numbered, "numbered-epochs")
     records = numbered.where(F.col("_best").isNull() | (F.col(metric) > F.col("_best")))

@@ -117,15 +117,23 @@ def score_with_model(features: DataFrame, model, *, label: str = "label", thresh
 
 
 def patch_tensors(cells: DataFrame, bands, patch: int, *, by=("row_off", "col_off")) -> DataFrame:
-    """One row per patch with a row-major ``array<double>`` per band (patch*patch values, absent cells 0)."""
-    position = F.col("i") * patch + F.col("j")
-    packed = cells.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(position, F.struct(*bands)))).alias("_cells"))
-    index = F.sequence(F.lit(0), F.lit(patch * patch - 1))
+    """One row per patch with a row-major ``array<double>`` per band (patch*patch values, absent cells 0).
+
+    A group is one patch.  Absent positions are added as zeros and everything is
+    sorted once, so the work stays close to linear in the patch.
+    """
+    position = (F.col("i") * patch + F.col("j")).cast("int").alias("p")
+    values = [F.col(b).cast("double").alias(b) for b in bands]
+    packed = cells.groupBy(*by).agg(F.collect_list(F.struct(position, *values)).alias("_cells"))
+    every = F.sequence(F.lit(0), F.lit(patch * patch - 1))
+    absent = F.array_except(every, F.transform("_cells", lambda c: c.p))
+    zeros = F.transform(absent, lambda p: F.struct(p.alias("p"), *[F.lit(0.0).alias(b) for b in bands]))
+    filled = packed.select(*by, F.sort_array(F.concat("_cells", zeros)).alias("_cells"))
 
     def channel(band: str) -> Column:
-        return F.transform(index, lambda p: F.coalesce(F.try_element_at("_cells", p)[band].cast("double"), F.lit(0.0)))
+        return F.transform("_cells", lambda c: F.coalesce(c[band], F.lit(0.0)))
 
-    return packed.select(*by, *[channel(b).alias(b) for b in bands])
+    return filled.select(*by, *[channel(b).alias(b) for b in bands])
 
 
 def score_patches(tensors: DataFrame, make_scorer, bands, patch: int, *, batch_size: int = 8, by=("row_off", "col_off")) -> DataFrame:

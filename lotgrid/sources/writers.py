@@ -73,6 +73,30 @@ def cached_grid(
     return found.drop(*params)
 
 
+def stored_or_built(spark: SparkSession, path: str, build: Callable[[], DataFrame], *, overwrite: bool = False) -> DataFrame:
+    """The table at ``path``; built and stored first when it is absent or ``overwrite`` is set.
+
+    For long-lived outputs such as the parcel id raster and its mapping.
+    """
+    if not overwrite:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            pass
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def store_raster(cells: DataFrame, table: str, *, buckets: int) -> DataFrame:
+    """Raster table bucketed and sorted by cell.
+
+    Rasters of one grid stored with the same bucket count (pixels, masks, boroughs,
+    scores) join cell by cell without a shuffle.
+    """
+    cells.write.mode("overwrite").bucketBy(buckets, "prow", "pcol").sortBy("prow", "pcol").saveAsTable(table)
+    return cells.sparkSession.table(table)
+
+
 def write_layers(layers: dict[str, DataFrame], path: str) -> None:
     """Every layer under ``<path>/layer=<name>``; layers without rows are left out."""
     for name, df in layers.items():

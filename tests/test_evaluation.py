@@ -60,6 +60,8 @@ def test_patience_and_best_epoch(spark, rows):
     runs = {"a": [0.1, 0.2, 0.2, 0.2, 0.9], "b": [0.1, 0.2, 0.3], "c": [0.5, 0.50005, 0.50009, 0.6, 0.1]}
     df = spark.createDataFrame([(k, i, v) for k, vs in runs.items() for i, v in enumerate(vs)], "run_id string, epoch int, val_iou double")
     assert rows(RG.patience_stop(df, patience=2)) == [("a", 1, 3), ("b", 2, None), ("c", 0, 2)]
+    losses = df.withColumn("val_iou", 1 - F.col("val_iou"))
+    assert rows(RG.patience_stop(losses, patience=2, mode="min")) == [("a", 1, 3), ("b", 2, None), ("c", 0, 2)]
     assert rows(RG.best_epoch(df)) == [("a", 4, 0.9), ("b", 2, 0.3), ("c", 3, 0.6)]
     assert rows(RG.best_so_far(df).where("is_best"), "run_id", "epoch")[:3] == [("a", 0), ("a", 1), ("a", 4)]
 
@@ -127,6 +129,32 @@ def test_cached_grid_is_built_once_per_parameter_set(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_outputs_are_reused_until_overwritten(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(len(calls))
+
+    for overwrite, size in ((False, 1), (False, 1), (True, 2)):
+        assert writers.stored_or_built(spark, str(tmp_path / "ids"), build, overwrite=overwrite).count() == size
+
+
+def test_bucketed_rasters_join_without_a_shuffle(spark):
+    cells = spark.range(400).select((F.col("id") / 20).cast("int").alias("prow"), (F.col("id") % 20).cast("int").alias("pcol"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = writers.store_raster(cells, "bucketed_a", buckets=4)
+        b = writers.store_raster(cells.withColumnRenamed("v", "w"), "bucketed_b", buckets=4)
+        joined = a.join(b, ["prow", "pcol"])
+        assert joined.where("v = w").count() == 400
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for t in ("bucketed_a", "bucketed_b"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
 def test_csv_order_and_layers(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 2.5)], "z int, y string, x double")
     writers.write_csv(df, str(tmp_path / "c"), ["x", "absent", "z"])

@@ -10,6 +10,7 @@ from lotgrid.functions.grid import Grid, decode_probability, encode_probability
 from lotgrid.operators import patches as PT
 from lotgrid.operators import raster as R
 from lotgrid.operators import scoring, texture, zonal
+from lotgrid.schemas import GEOM
 
 GRID = Grid(width=6, height=6, x0=0.0, y0=6.0)
 
@@ -285,6 +286,15 @@ def test_zonal_medians_of_wide_and_narrow_bands_agree(spark):
     lots = shape(spark, 1, G.box(0, 0, 3, 3)).union(shape(spark, 2, G.box(1, 1, 6, 5)))
     for r in zonal.zonal_by_polygon(px, lots, GRID, ["r", "x"]).collect():
         assert r.r_median == r.x_median and r.r_mean == r.x_mean and r.r_count == r.x_count
+    raster, ids = R.parcel_raster(lots, GRID)
+    subset = ids.where("bbl = 2").select("parcel_id")
+    only = zonal.zonal_by_raster(px, raster, ["r"], subset=subset).collect()
+    assert [(r.parcel_id, r.r_count) for r in only] == [(2, 20)]
+
+
+def test_empty_and_missing_shapes_cover_nothing(spark):
+    df = shape(spark, 1, F.lit(None).cast(GEOM)).union(shape(spark, 2, F.array().cast(GEOM))).union(shape(spark, 3, G.box(8, 8, 9, 9)))
+    assert R.polygon_cells(df, GRID).count() == 0
 
 
 def test_mode_composite_tie_takes_smaller_class(spark, rows):
