@@ -78,14 +78,15 @@ def _(t: Inputs):
 
 @query(
     "pixel_coordinates_X11",
-    "SELECT prow, pcol, 580000.0 + (pcol+0.5)*0.6 AS x, 4510000.0 - (prow+0.5)*0.6 AS y, 580000.0 + (10+pcol)*0.6 AS crop_x FROM raster",
+    "SELECT prow, pcol, round(580000.0 + (pcol+0.5)*0.6, 6)::DOUBLE AS x, round(4510000.0 - (prow+0.5)*0.6, 6)::DOUBLE AS y, round(580000.0 + (10+pcol)*0.6, 6)::DOUBLE AS crop_x FROM raster",
     "raster",
 )
 def _(t: Inputs):
     g = Grid(WIDTH, 1, 580000.0, 4510000.0, 0.6, 0.6)
-    return t.pixels.select(
+    placed = t.pixels.select(
         "prow", "pcol", g.centre_x(F.col("pcol")).alias("x"), g.centre_y(F.col("prow")).alias("y"), g.shifted(5, 10).x_of(F.col("pcol")).alias("crop_x")
     )
+    return _rounded(placed, ["x", "y", "crop_x"], ["prow", "pcol"])
 
 
 _GLCM = """, win AS (SELECT c.prow, c.pcol, a.prow AS ai, a.pcol AS aj, a.n AS av FROM raster c JOIN raster a ON a.prow BETWEEN c.prow-1 AND c.prow+1 AND a.pcol BETWEEN c.pcol-1 AND c.pcol+1),
@@ -378,7 +379,7 @@ _OUTCOME = "CASE WHEN label = 1 THEN CASE WHEN prob > 0.5 THEN 'TP' ELSE 'FN' EN
     f"""WITH o AS (SELECT prow, pcol, {_OUTCOME} AS outcome FROM score_cells WHERE prob IS NOT NULL AND label <> 255),
     c AS (SELECT outcome, prow//10 AS brow, pcol//10 AS bcol, count(*) AS cells FROM o GROUP BY ALL),
     p AS (SELECT c.*, row_number() OVER (PARTITION BY outcome ORDER BY cells DESC, brow, bcol)::INT AS density_rank FROM c, dims WHERE brow < height//10 AND bcol < width//10 AND cells > 2)
-    SELECT outcome, cells, density_rank, bcol*10 + 5.5 AS x, -(brow*10 + 5.5) AS y FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY {hash_sql('brow*1000003+bcol', 42)}, brow, bcol) AS k
+    SELECT outcome, cells, density_rank, (bcol*10 + 5.5)::DOUBLE AS x, (-(brow*10 + 5.5))::DOUBLE AS y FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY {hash_sql('brow*1000003+bcol', 42)}, brow, bcol) AS k
     FROM p WHERE density_rank <= 20) WHERE k <= 4""",
     "score_cells dims",
 )
@@ -469,7 +470,7 @@ def _(t: Inputs):
 
 @query(
     "patch_outlines_D5",
-    _PW8 + _PATCHES + "SELECT row_off, col_off, split, col_off::DOUBLE AS xmin, -(row_off+8)::DOUBLE AS ymin, (col_off+8)::DOUBLE AS xmax, -row_off::DOUBLE AS ymax FROM sp",
+    _PW8 + _PATCHES + "SELECT row_off, col_off, split, col_off::DOUBLE AS xmin, -(row_off+8)::DOUBLE AS ymin, (col_off+8)::DOUBLE AS xmax, (0 - row_off)::DOUBLE AS ymax FROM sp",
     "raster dims",
 )
 def _(t: Inputs):

@@ -50,7 +50,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN p_size%13 <> 0 THEN (p_size%13)::VARCHAR END AS land_use, (p_partkey%5+1)::INT AS boro_code, p_retailprice AS lot_area,
         CASE WHEN p_size%4 <> 3 THEN (p_size%4)::DOUBLE END AS num_bldgs,
         CASE WHEN p_size%5 <> 0 THEN CASE WHEN p_size%5 < 3 THEN 0.0 ELSE p_retailprice END END AS bldg_area,
-        CASE WHEN p_size%3 <> 0 THEN CASE WHEN p_size%3 = 1 THEN 0.0 ELSE 1.5 END END AS built_far FROM part""",
+        CASE WHEN p_size%3 <> 0 THEN CASE WHEN p_size%3 = 1 THEN 0.0 ELSE 1.5 END::DOUBLE END AS built_far FROM part""",
     ),
     "rules": (
         ("attrs",),
