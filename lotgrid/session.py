@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +27,29 @@ def get_session(app: str = "lotgrid", master: str | None = None, conf: dict[str,
     return builder.getOrCreate()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables on the storage the cluster names in ``spark.checkpoint.dir``.
+def scratch_root(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share.
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    ``spark.checkpoint.dir``, else the folder given to ``setCheckpointDir``, else a folder
+    in the warehouse.  A warehouse on a local disk is shared only where the whole session
+    runs in one machine, so elsewhere one of the first two has to be set.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lotgrid-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        named = context._jsc.sc().getCheckpointDir()
+        base = named.get() if named.isDefined() else None
+    if not base:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if urlparse(warehouse).scheme in ("", "file") and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{warehouse.rstrip('/')}/scratch"
+    return base.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table under ``scratch_root``."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
