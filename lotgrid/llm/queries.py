@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgrid.llm import line_dedup
+from lotgrid.llm import line_dedup, warc
 from lotgrid.llm.common import table
 
 
@@ -13,10 +13,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_site_lines(docs, n_lines="n_lines", n_dropped="n_dropped").drop("source")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_warc": op3_warc,
 }
 
 LLM_SQL = {
     "op1_line_dedup": line_dedup.SQL,
+    "op3_warc": warc.SQL,
 }
