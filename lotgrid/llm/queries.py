@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgrid.llm import line_dedup, warc
+from lotgrid.llm import html_text, license_scan, line_dedup, warc
 from lotgrid.llm.common import table
 
 
@@ -17,9 +17,19 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_warc": op3_warc,
+    "op7_license_scan": op7_license_scan,
+    "op9_html_text": op9_html_text,
 }
 
 LLM_SQL = {
