@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgrid.llm import html_text, license_scan, line_dedup, warc
+from lotgrid.llm import html_text, license_scan, line_dedup, packing, warc
 from lotgrid.llm.common import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_site_lines(docs, n_lines="n_lines", n_dropped="n_dropped").drop("source")
@@ -21,6 +28,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -29,6 +40,7 @@ LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_warc": op3_warc,
     "op7_license_scan": op7_license_scan,
+    "op8_packing": op8_packing,
     "op9_html_text": op9_html_text,
 }
 
