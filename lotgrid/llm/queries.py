@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgrid.llm import html_text, license_scan, line_dedup, packing, warc
+from lotgrid.llm import html_text, language_id, license_scan, line_dedup, packing, warc
 from lotgrid.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -39,6 +43,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_warc": op3_warc,
+    "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_packing": op8_packing,
     "op9_html_text": op9_html_text,
