@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgrid.llm import html_text, language_id, license_scan, line_dedup, packing, warc
+from lotgrid.llm import html_text, language_id, license_scan, line_dedup, packing, quality, warc
 from lotgrid.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_warc": op3_warc,
+    "op4_quality": op4_quality,
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_packing": op8_packing,
