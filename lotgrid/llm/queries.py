@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgrid.llm import html_text, language_id, license_scan, line_dedup, packing, quality, warc
+from lotgrid.llm import decontamination, html_text, language_id, license_scan, line_dedup, packing, quality, warc
 from lotgrid.llm.common import table
 
 
@@ -45,6 +45,11 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.drop("key", "distance")
+
+
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_warc": op3_warc,
@@ -53,9 +58,11 @@ LLM_QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op8_packing": op8_packing,
     "op9_html_text": op9_html_text,
+    "op10_decontamination": op10_decontamination,
 }
 
 LLM_SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op3_warc": warc.SQL,
+    "op10_decontamination": decontamination.SQL,
 }
