@@ -44,19 +44,22 @@ def _shingle_count(words: str) -> Column:
 def _shingle_hashes(words: str) -> Column:
     """Hash of each ``WIDTH`` words by position; a shorter text is one shingle."""
     at = ", ".join(f"get({words}, i + {k})" for k in range(WIDTH))
-    return F.expr(f"transform(sequence(0, greatest(size({words}) - {WIDTH}, 0)), i -> xxhash64({at}))")
+    every = f"transform(sequence(0, greatest(size({words}) - {WIDTH}, 0)), i -> xxhash64({at}))"
+    return F.expr(f"IF(size({words}) > 0, {every}, array())")
 
 
 def _counted_shingles(words: str) -> Column:
     """Shingles as text, numbered by occurrence, so that a set intersection respects weights."""
     plain = f"transform(sequence(1, greatest(size({words}) - {WIDTH - 1}, 1)), i -> array_join(slice({words}, i, {WIDTH}), ' '))"
-    return F.expr(f"transform({plain}, (s, i) -> s || '#' || size(filter(slice({plain}, 1, i + 1), o -> o = s)))")
+    # The outer one-element transform names the shingles, so that they are built once.
+    return F.expr(f"get(transform(array({plain}), p -> transform(p, (s, i) -> s || '#' || size(filter(slice(p, 1, i + 1), o -> o = s)))), 0)")
 
 
 def simhash(words: str) -> Column:
     """64-bit SimHash of an array of words; each occurrence votes with its word's hash."""
-    vote = f"aggregate(transform({words}, w -> xxhash64(w)), 0, (n, h) -> n + IF(bit_get(h, b) = 1, 1, -1))"
-    return F.expr(f"aggregate(sequence(0, 63), 0L, (bits, b) -> bits | shiftleft(IF({vote} > 0, 1L, 0L), b))")
+    vote = "aggregate(hs, 0, (n, h) -> n + IF(bit_get(h, b) = 1, 1, -1))"
+    bits = f"aggregate(sequence(0, 63), 0L, (bits, b) -> bits | shiftleft(IF({vote} > 0, 1L, 0L), b))"
+    return F.expr(f"get(transform(array(transform({words}, w -> xxhash64(w))), hs -> {bits}), 0)")
 
 
 def _block_masks(radius: int) -> list[tuple[int, int]]:
@@ -70,6 +73,10 @@ def _blocks(fingerprint: str, radius: int) -> Column:
     return F.explode(F.array(*parts))
 
 
+# Exploding uses the outer forms: the inner ones make the optimizer test the size of an array
+# first, by computing it a second time, with its own inputs recomputed for every element.
+
+
 def _first_equal_block(difference: Column, radius: int) -> Column:
     first = F.lit(None).cast("int")
     for k, (a, w) in reversed(list(enumerate(_block_masks(radius)))):
@@ -116,15 +123,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", radius
 
     placed = (
         named.select("doc_id", "key", _words("text").alias("words"))
-        .where(F.size("words") > 0)
         .select("doc_id", "key", F.size("words").alias("n"), _shingle_hashes("words").alias("hashes"))
-        .select("doc_id", "key", "n", F.posexplode("hashes").alias("pos", "hash"))
+        .select("doc_id", "key", "n", F.posexplode_outer("hashes").alias("pos", "hash"))
     )
     # Every window of the item's size whose anchor is no further off its place than shingles may be missing.
     starts = F.expr("transform(sequence(-slack, slack), d -> greatest(0, least(pos - at + d, n - size)))")
     windows = (
         placed.join(_bounded(anchors, anchors.count()), "hash")
-        .select("doc_id", "key", "size", F.explode(F.array_distinct(starts)).alias("first"))
+        .select("doc_id", "key", "size", F.explode_outer(F.array_distinct(starts)).alias("first"))
         .distinct()
         .groupBy("doc_id", "key")
         .agg(F.collect_set(F.struct("first", "size")).alias("windows"))
@@ -134,7 +140,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", radius
     laid = (
         named.join(windows, named["doc_id"].eqNullSafe(windows["d"]) & (named["key"] == windows["k"]))
         .select("doc_id", "key", "windows", _words("text").alias("words"))
-        .select("doc_id", "key", F.explode(cut).alias("w"))
+        .select("doc_id", "key", F.explode_outer(cut).alias("w"))
         .select("doc_id", "key", "w.*")
         .withColumn("fingerprint", simhash("words"))
     )
@@ -145,14 +151,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", radius
     near = (
         probes.join(_bounded(index, index.count()), ["size", "block", "bits"])
         .where((F.bit_count(difference) <= radius) & (_first_equal_block(difference, radius) == F.col("block")))
-        .select("doc_id", "key", "item_id", "first", "words", "shingles", F.bit_count(difference).alias("distance"), _counted_shingles("words").alias("own"))
+        .select("doc_id", "key", "item_id", "first", "words", "shingles", F.bit_count(difference).alias("distance"), F.size("words").alias("n_words"), _counted_shingles("words").alias("own"))
     )
-    common = F.size(F.array_intersect("own", "shingles"))
-    scored = near.withColumn("similarity", common / (F.size("own") + F.size("shingles") - common)).where(F.col("similarity") >= min_similarity)
-    best = F.max(F.struct("similarity", (-F.col("first")).alias("back"), F.size("words").alias("n_words"), (-F.col("distance")).alias("near")))
+    near = near.withColumn("common", F.size(F.array_intersect("own", "shingles"))).drop("words")
+    scored = near.withColumn("similarity", F.col("common") / (F.size("own") + F.size("shingles") - F.col("common")))
+    best = F.max(F.struct("similarity", (-F.col("first")).alias("back"), "n_words", (-F.col("distance")).alias("near")))
     return (
         scored.groupBy("doc_id", "key", "item_id")
         .agg(best.alias("b"))
+        .where(F.col("b.similarity") >= min_similarity)
         .select(
             "doc_id",
             "key",

@@ -40,7 +40,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float, min_pa
     )
     # The page total travels with the lines as one more, null, key: one pass over the texts.
     counted = (
-        slim.select("site", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "keys")).alias("key"))
+        slim.select("site", F.explode_outer(F.concat(F.array(F.lit(None).cast("bigint")), "keys")).alias("key"))
         .groupBy("site", "key")
         .agg(F.count(F.lit(1)).alias("n"))
         .where((F.col("n") >= min_pages) | F.col("key").isNull())
