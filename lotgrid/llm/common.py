@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,3 +22,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def fresh(prefix: str) -> str:
     """A column name that no input column has."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete intermediate tables that nothing reads any more, and let go of finished shuffles.
+
+    Shuffle files go when the driver collects the garbage of finished queries, which on a
+    quiet driver may take half an hour; asking for it keeps executor disks free.
+    """
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()

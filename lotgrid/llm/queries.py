@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgrid.llm import decontamination, html_text, language_id, license_scan, line_dedup, packing, quality, warc
+from lotgrid.llm import decontamination, html_text, jaccard_join, language_id, license_scan, line_dedup, packing, quality, warc
 from lotgrid.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_site_lines(docs, n_lines="n_lines", n_dropped="n_dropped").drop("source")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -52,6 +56,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
     "op6_language_id": op6_language_id,
@@ -63,6 +68,7 @@ LLM_QUERIES = {
 
 LLM_SQL = {
     "op1_line_dedup": line_dedup.SQL,
+    "op2_jaccard_join": jaccard_join.SQL,
     "op3_warc": warc.SQL,
     "op10_decontamination": decontamination.SQL,
 }
