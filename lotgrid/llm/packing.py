@@ -14,6 +14,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ CAPACITY = 2048
 END_ID = 0
 GROUP_BINS = 2048  # sequences that one packing task fills
 FULL = 0.999  # bins filled less than this go to the second round
-MEMO_WORDS = 500_000  # words whose ids one Python worker remembers
+MEMO_WORDS = 1_000_000  # words whose ids one Python worker remembers
 TEXTS_AT_ONCE = 256
 PATIENCE = 16  # bins in a row that the local search fails to empty before it stops
 
@@ -56,7 +58,7 @@ class WordIds:
         ids = np.array(encoded.ids, "u4")
         lengths = np.fromiter(map(len, new), "i8", len(new))
         begins = np.cumsum(lengths + 1) - lengths - 1
-        at = np.fromiter((a for a, _ in encoded.offsets), "i8", len(ids))
+        at = np.fromiter(map(itemgetter(0), encoded.offsets), "i8", len(ids))
         sizes = np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(new))
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
         self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
@@ -66,13 +68,14 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.SPACE.split(t) if re.search(r"[\x1c-\x1f]", t) else t.split() for t in texts]
         split = [[w for w in ws if w] if ws and not (ws[0] and ws[-1]) else ws for ws in split]
-        every = [w for ws in split for w in ws]
+        every = list(chain.from_iterable(split))
         if len(self.index) > MEMO_WORDS:
             self._forget()
-        if new := [w for w in set(every) if w not in self.index]:
-            self._learn(sorted(new))
-        index = self.index
-        at = np.fromiter((index[w] for w in every), "i8", len(every))
+        found = list(map(self.index.get, every))
+        if None in found:
+            self._learn(list({w for w, k in zip(every, found, strict=True) if k is None}))
+            found = map(self.index.__getitem__, every)
+        at = np.fromiter(found, "i8", len(every))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
