@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotgrid.llm.common import dropped, stored
+from lotgrid.llm.common import dropped, fresh, stored
 from lotgrid.llm.components import components
 from lotgrid.llm.wordhash import shingle_sets, split_words
 
@@ -231,6 +231,25 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one document of each group of linked ones: that with the smallest id.
+
+    Columns stay as they are; rows without shingles all stay; of repeated rows one stays.
+    ``docs`` has to be a stored table: its rows are numbered, in each of two readings alike.
+    """
+    row = fresh("row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    groups = stored(similar_documents(numbered.select(F.col(row).alias("doc_id"), F.col(text).alias("text"))), "join_groups")
+    ids = numbered.select(F.col(row).alias("doc_id"), F.col(doc_id).alias("own"))
+    # Only groups of two and more are looked at again.
+    many = groups.where("doc_id <> component_id").select("component_id").distinct()
+    inside = groups.join(many, "component_id", "left_semi").join(ids, "doc_id").select("component_id", F.struct(F.col("own").isNull().alias("none"), "own", "doc_id").alias("who"))
+    inside = stored(inside, "join_inside")
+    first = stored(inside.groupBy("component_id").agg(F.min("who").alias("first")), "join_first")
+    gone = inside.join(first, "component_id").where(F.col("who.doc_id") != F.col("first.doc_id")).select(F.col("who.doc_id").alias(row))
+    return numbered.join(stored(gone, "join_gone"), row, "left_anti").drop(row)
+
+
 SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

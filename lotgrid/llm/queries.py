@@ -4,15 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgrid.llm import decontamination, html_text, jaccard_join, language_id, license_scan, line_dedup, packing, quality, warc
-from lotgrid.llm.common import table
-
-
-def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    """A vocabulary file of the installed public tokenizers."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+import corpus_pipeline
+from lotgrid.llm import decontamination, html_text, jaccard_join, language_id, license_scan, line_dedup, packing, quality, vector_search, warc
+from lotgrid.llm.common import table, tokenizer_path
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +27,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -59,11 +57,13 @@ LLM_QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
+    "op5_vector_search": op5_vector_search,
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_packing": op8_packing,
     "op9_html_text": op9_html_text,
     "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 LLM_SQL = {
