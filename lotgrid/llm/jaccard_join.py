@@ -33,6 +33,8 @@ CELL_BITS = 24  # the counting table has 2**24 cells of one byte: 16 MB, whateve
 CELL_BLOCKS = 64
 RARE = 16  # tokens counted at most this often (beside the table's noise) are alike rare
 GROUP_SIZE = 64
+# Rows of 16 bytes up to this number are sent to all tasks: 8 MB.
+BROADCAST_ROWS = 500_000
 TEXTS_AT_ONCE = 256
 
 
@@ -137,11 +139,12 @@ def _may_link(p: str, q: str) -> Column:
     return (4 * F.least(np_, nq) >= 3 * F.greatest(np_, nq)) & (7 * bound >= 3 * (np_ + nq))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets really have a similarity of 3/4; sets are built for their nodes only."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    owners = stored(members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("owner")), "join_owners")
-    chosen = docs.select("doc_id", "text").join(owners, F.col("doc_id") == F.col("owner")).select("text", "node")
+def _token_sets(nodes: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``node, tokens`` of the given nodes, from the text of one document each."""
+    owners = stored(members.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("owner")), "join_owners")
+    # Texts stay where they are while the list of owners is short; a longer one is met by shuffle.
+    side = F.broadcast(owners) if owners.count() <= BROADCAST_ROWS else owners
+    chosen = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("owner")).select("text", "node")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, sets in _batches(frames):
@@ -149,15 +152,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFram
             rows = [(k, s.astype("i8").tolist()) for k, s in zip(batch["node"], sets, strict=True) if _node(s) == k]
             yield pd.DataFrame(rows, columns=["node", "tokens"])
 
-    sets = stored(chosen.mapInPandas(run, "node long, tokens array<long>"), "join_sets").dropDuplicates(["node"])
+    return stored(chosen.mapInPandas(run, "node long, tokens array<long>"), "join_sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets really have a similarity of 3/4."""
+    sets = sets.dropDuplicates(["node"])
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("ta", "tb"))
     counted = both.select("a", "b", common.alias("common"), (F.size("ta") + F.size("tb")).alias("total"))
     return stored(counted.where(7 * F.col("common") >= 3 * F.col("total")).select("a", "b"), "join_links")
 
 
+def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose nodes are not in one component yet."""
+    of = lambda n: comps.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))
+    known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return known.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def _across_groups(postings: DataFrame, comps: DataFrame, signatures: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of nodes in different groups that the token-group matrix cannot rule out.
 
@@ -213,14 +228,26 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     dropped(shared)
     sides = signatures.select("node", F.struct("n", "wide", "narrow").alias("s")).dropDuplicates(["node"])
     sides = stored(sides.join(postings.select("node").distinct(), "node", "left_semi"), "join_sides")
-    first = postings.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    first = first.join(sides.select(F.col("node").alias("a"), F.col("s").alias("p")), "a").join(sides.select(F.col("node").alias("b"), F.col("s").alias("q")), "b")
-    first = stored(first.where(_may_link("p", "q")).select("a", "b"), "join_pairs")
-    links = _verified(first, docs, members)
-    more = _across_groups(postings.select("token", "node"), components(links), sides.select("node", "s.*"))
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, docs, members))
+    dropped(signatures)
+    led = postings.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("w"))
+    led = led.join(sides.select(F.col("node").alias("a"), F.col("s").alias("p")), "a").join(sides.select(F.col("node").alias("b"), F.col("s").alias("q")), "b")
+    led = stored(led.where(_may_link("p", "q")).select("a", "b", "w"), "join_led")
+    sets = _token_sets(led.select(F.explode(F.array("a", "b")).alias("node")), docs, members)
+    # Most nodes settle with the leader they share most tokens with; only pairs that are still
+    # apart afterwards have to be compared.
+    best = led.groupBy("a").agg(F.max_by("b", F.struct("w", "b")).alias("b"))
+    links = _verified(best, sets)
+    comps = components(links)
+    more = _across_groups(postings.select("token", "node"), comps, sides.select("node", "s.*"))
+    rest = stored(_between(led.select("a", "b"), comps).unionByName(more).distinct(), "join_rest")
+    if not rest.isEmpty():
+        missing = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
+        missing = stored(missing, "join_missing")
+        if not missing.isEmpty():
+            sets = sets.unionByName(_token_sets(missing, docs, members))
+        links = links.unionByName(_verified(rest, sets))
     comps = components(links)
+    dropped(sets, sides, postings)
     ids = stored(members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id")), "join_ids")
     placed = ids.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = stored(placed.groupBy("comp").agg(F.min("first_id").alias("component_id")), "join_named")
