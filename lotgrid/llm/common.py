@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lotgrid.session import cut_lineage
@@ -45,3 +47,32 @@ def dropped(*tables: DataFrame) -> None:
     if tables:
         gc.collect()
         tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def map_texts(
+    df: DataFrame,
+    keep: list[str],
+    text: str,
+    made: dict[str, tuple[str, pa.DataType]],
+    work: Callable[[list[str | None]], tuple[list[int] | None, dict[str, list]]],
+    at_once: int = 256,
+) -> DataFrame:
+    """Run ``work`` over the texts of ``df``, ``at_once`` rows at a time.
+
+    ``work`` returns the columns of ``made`` (name to Spark and Arrow type) and, unless there
+    is one output row per text, the text's position for every output row.  The ``keep``
+    columns pass through Arrow untouched, so that ids keep all their digits beside nulls.
+    """
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{c}` {k}" for c, (k, _) in made.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, at_once):
+                batch = whole.slice(k, at_once)
+                rows, columns = work(batch.column(text).to_pylist())
+                kept = [batch.column(c) if rows is None else batch.column(c).take(pa.array(rows, pa.int64())) for c in keep]
+                new = [pa.array(columns[c], kind) for c, (_, kind) in made.items()]
+                yield pa.RecordBatch.from_arrays([*kept, *new], [*keep, *made])
+
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

@@ -13,6 +13,8 @@ shingles per item decide where windows are laid.  Only built-in functions run he
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +43,10 @@ def _shingle_count(words: str) -> Column:
     return F.when(F.size(words) == 0, 0).otherwise(F.greatest(F.size(words) - (WIDTH - 1), F.lit(1)))
 
 
-def _shingle_hashes(words: str) -> Column:
-    """Hash of each ``WIDTH`` words by position; a shorter text is one shingle."""
-    at = ", ".join(f"get({words}, i + {k})" for k in range(WIDTH))
-    every = f"transform(sequence(0, greatest(size({words}) - {WIDTH}, 0)), i -> xxhash64({at}))"
+def _shingle_hashes(words: str, width: int = WIDTH) -> Column:
+    """Hash of each ``width`` words by position; a shorter text is one shingle."""
+    at = ", ".join(f"get({words}, i + {k})" for k in range(width))
+    every = f"transform(sequence(0, greatest(size({words}) - {width}, 0)), i -> xxhash64({at}))"
     return F.expr(f"IF(size({words}) > 0, {every}, array())")
 
 
@@ -121,10 +123,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", radius
     anchors = stored(_anchors(items), "leak_anchors")
     named = docs.select("doc_id", F.xxhash64(text).alias("key"), F.col(text).alias("text"))
 
-    placed = (
-        named.select("doc_id", "key", _words("text").alias("words"))
-        .select("doc_id", "key", F.size("words").alias("n"), _shingle_hashes("words").alias("hashes"))
-        .select("doc_id", "key", "n", F.posexplode_outer("hashes").alias("pos", "hash"))
+    # An item of fewer words is one shingle of its own width.
+    short = [r["size"] for r in items.where(F.col("size") < WIDTH).select("size").distinct().collect()]
+    placed = reduce(
+        DataFrame.unionByName,
+        [
+            named.select("doc_id", "key", _words("text").alias("words"))
+            .select("doc_id", "key", F.size("words").alias("n"), _shingle_hashes("words", width).alias("hashes"))
+            .select("doc_id", "key", "n", F.posexplode_outer("hashes").alias("pos", "hash"))
+            for width in [WIDTH, *sorted(short)]
+        ],
     )
     # Every window of the item's size whose anchor is no further off its place than shingles may be missing.
     starts = F.expr("transform(sequence(-slack, slack), d -> greatest(0, least(pos - at + d, n - size)))")

@@ -12,11 +12,12 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lotgrid.llm.common import map_texts
+
 # Production parameters.
 THRESHOLD = 0.35  # share of the mean fused ratio, weighted by text, that a content path needs
 CONTAINER_SHARE = 0.9  # share of the content's text that the chosen section has to hold
@@ -225,10 +226,9 @@ def extract_pages(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     empty page; page_id and url are passed on, null or repeated.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            text = [extract(h, threshold) for h in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
+    def run(sources: list[str | None]) -> tuple[None, dict[str, list]]:
+        text = [extract(h, threshold) for h in sources]
+        return None, {"text": text, "n_chars": [len(t) for t in text]}
 
-    kind = dict(pages.dtypes)
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")
+    made = {"text": ("string", pa.string()), "n_chars": ("long", pa.int64())}
+    return map_texts(pages, ["page_id", "url"], "html", made, run)

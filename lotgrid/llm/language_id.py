@@ -16,9 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotgrid.llm.common import map_texts
+
 # Production parameters.
 TRAIN_DOCS = 800  # labelled documents per language, whole texts, the only bounded sample here
 MAX_ORDER = 3
@@ -184,23 +187,22 @@ def predict(docs: DataFrame, model: Model, folds: int = FOLDS, held_fold: int =
     go to the first name.  A null text, one without a letter, and any text when nothing was
     learnt are ``und`` with score 0.
     """
-    kind = dict(docs.dtypes)["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(sources: list[str | None]) -> tuple[None, dict[str, list]]:
         model = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            live = [k for k, t in enumerate(texts) if LETTER.search(t)] if model.langs else []
-            bits = model.code_lengths([texts[k] for k in live])
-            for k, b in zip(live, bits, strict=True):
-                best = int(np.argmin(b))
-                lang[k], score[k] = model.langs[best], float(1.0 / np.exp2(b[best] - b).sum())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": lang, "score": score})
+        texts = [t or "" for t in sources]
+        lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        live = [k for k, t in enumerate(texts) if LETTER.search(t)] if model.langs else []
+        bits = model.code_lengths([texts[k] for k in live])
+        for k, b in zip(live, bits, strict=True):
+            best = int(np.argmin(b))
+            lang[k], score[k] = model.langs[best], float(1.0 / np.exp2(b[best] - b).sum())
+        return None, {"lang_pred": lang, "score": score}
 
     held = F.coalesce(fold_of("doc_id", folds) == held_fold, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    made = {"lang_pred": ("string", pa.string()), "score": ("double", pa.float64())}
+    return map_texts(docs.select("doc_id", held.alias("held_out"), "text"), ["doc_id", "held_out"], "text", made, run, at_once=1024)
 
 
 def identify(docs: DataFrame) -> DataFrame:

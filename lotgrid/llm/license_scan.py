@@ -9,12 +9,13 @@ template's order, into spans; a template covered well enough gives its label.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lotgrid.llm.common import map_texts
+
 # Phrases that give the base labels.
 BASE_PHRASES = {
     "mit license": "mit",
@@ -229,33 +230,23 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str
     used, spoken = TEMPLATES if templates is None else templates, list((BASE_PHRASES if phrases is None else phrases).values())
     automaton, sizes = build(templates, phrases)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for source in batch[text]:
-                tokens = words(source)
-                places, spans = scan(tokens, automaton, sizes)
-                starts = [p for p, _ in places]
-                base = {spoken[k] for _, k in places}
-                labels = base | {used[t][0] for t, *_ in spans}
-                rows.append(
-                    (
-                        len(tokens),
-                        len(places),
-                        min(starts) if starts else None,
-                        max(starts) if starts else None,
-                        ",".join(sorted(base)),
-                        ",".join(sorted(labels)),
-                        [{"label": used[t][0], "template": t, "first": f, "last": e, "coverage": c} for t, f, e, c in spans],
-                        1.0 if places else max((s[3] for s in spans), default=0.0),
-                    )
-                )
-            names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "spans", "score"]
-            out = pd.DataFrame(rows, columns=names, index=batch.index).astype({"first_word": "Int64", "last_word": "Int64"})
-            out.insert(0, "doc_id", batch["doc_id"])
-            yield out
-
-    kind = dict(docs.dtypes)["doc_id"]
-    spans = "spans array<struct<label: string, template: int, first: long, last: long, coverage: double>>"
-    schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, {spans}, score double"
-    return docs.select("doc_id", text).mapInPandas(run, schema)
+    def run(texts: list[str | None]) -> tuple[None, dict[str, list]]:
+        out: dict[str, list] = {name: [] for name in made}
+        for source in texts:
+            tokens = words(source)
+            places, spans = scan(tokens, automaton, sizes)
+            starts = [p for p, _ in places]
+            base = {spoken[k] for _, k in places}
+            labels = base | {used[t][0] for t, *_ in spans}
+            found = [{"label": used[t][0], "template": t, "first": f, "last": e, "coverage": c} for t, f, e, c in spans]
+            score = 1.0 if places else max((s[3] for s in spans), default=0.0)
+            row = (len(tokens), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), found, score)
+            for name, value in zip(made, row, strict=True):
+                out[name].append(value)
+        return None, out
+
+    span = pa.struct([("label", pa.string()), ("template", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("coverage", pa.float64())])
+    made = {c: ("long", pa.int64()) for c in ("n_words", "n_base", "first_word", "last_word")}
+    made |= {c: ("string", pa.string()) for c in ("base_labels", "labels")}
+    made |= {"spans": ("array<struct<label: string, template: int, first: long, last: long, coverage: double>>", pa.list_(span)), "score": ("double", pa.float64())}
+    return map_texts(docs, ["doc_id"], text, made, run)

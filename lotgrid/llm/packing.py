@@ -13,16 +13,15 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
 from itertools import chain
 from operator import itemgetter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotgrid.llm.common import stored
+from lotgrid.llm.common import map_texts, stored
 
 # Production parameters.
 CAPACITY = 2048
@@ -52,18 +51,16 @@ class WordIds:
         self.index: dict[str, int] = {}
         self.starts, self.sizes, self.flat = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "u4")
 
-    def _learn(self, new: list[str]) -> None:
-        joined = " ".join(new)
-        encoded = self.tokenizer.encode(joined, add_special_tokens=False)
-        ids = np.array(encoded.ids, "u4")
-        lengths = np.fromiter(map(len, new), "i8", len(new))
+    def _learn(self, words: list[str]) -> None:
+        encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        lengths = np.fromiter(map(len, words), "i8", len(words))
         begins = np.cumsum(lengths + 1) - lengths - 1
-        at = np.fromiter(map(itemgetter(0), encoded.offsets), "i8", len(ids))
-        sizes = np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(new))
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+        at = np.fromiter(map(itemgetter(0), encoded.offsets), "i8", len(encoded.ids))
+        sizes = np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(words))
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, ids])
+        self.flat = np.concatenate([self.flat, np.array(encoded.ids, "u4")])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.SPACE.split(t) if re.search(r"[\x1c-\x1f]", t) else t.split() for t in texts]
@@ -94,23 +91,21 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
     the capacity are cut.  A repeated row gives its pieces again.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str | None]) -> tuple[list[int], dict[str, list]]:
         encoder = _ENCODERS.setdefault(tokenizer, None) or WordIds(tokenizer)
         _ENCODERS[tokenizer] = encoder
-        for whole in batches:
-            for k in range(0, len(whole), TEXTS_AT_ONCE):
-                batch = whole.iloc[k : k + TEXTS_AT_ONCE]
-                rows = []
-                for doc, ids in zip(batch["doc_id"], encoder.encode([t or "" for t in batch["text"]]), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start : start + capacity]
-                        rows.append((doc, piece, start, len(part), zlib.crc32(part.tobytes())))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                yield out.astype({"doc_id": batch["doc_id"].dtype})
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+        at, out = [], {name: [] for name in made}
+        for k, ids in enumerate(encoder.encode([t or "" for t in texts])):
+            ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+            for piece, start in enumerate(range(0, len(ids), capacity)):
+                part = ids[start : start + capacity]
+                at.append(k)
+                for name, value in zip(made, (piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                    out[name].append(value)
+        return at, out
+
+    made = {"piece": ("int", pa.int32())} | {c: ("long", pa.int64()) for c in ("start", "length", "ids_crc32")}
+    return map_texts(docs, ["doc_id"], "text", made, run, TEXTS_AT_ONCE)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -196,30 +191,31 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, patience:
 
 def _pack_groups(pieces: DataFrame, groups: int, first_group: int, capacity: int) -> DataFrame:
     """Pack each of ``groups`` random parts; adds ``sequence_id, offset, fill``."""
-    names = [c for c in pieces.columns if c != "__group"]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    def run(part: pa.Table) -> pa.Table:
         # Ties between equal lengths fall the same way however the rows arrive.
-        part = part.sort_values([c for c in ("length", "doc_id", "piece", "start") if c in part], kind="stable").reset_index(drop=True)
-        lengths = part["length"].tolist()
+        keys = [c for c in ("length", "doc_id", "piece", "start") if c in part.column_names]
+        part = part.sort_by([(c, "ascending") for c in keys])
+        lengths = part["length"].to_pylist()
         bins = improve(best_fit(lengths, capacity), lengths, capacity)
-        order = [i for b in bins for i in b]
-        out = part.iloc[order][names].reset_index(drop=True)
-        size = np.array([len(b) for b in bins])
-        own = out["length"].to_numpy()
-        ends = np.cumsum(own)
-        first = np.repeat(np.cumsum(size) - size, size)
+        out = part.take(pa.array([i for b in bins for i in b], pa.int64())).drop_columns(["__group"])
+        size, own = np.array([len(b) for b in bins]), out["length"].to_numpy()
+        ends, first = np.cumsum(own), np.repeat(np.cumsum(size) - size, size)
         fill = np.add.reduceat(own, np.cumsum(size) - size)
-        group = first_group + int(part["__group"].iloc[0])
-        out["sequence_id"] = (group << GROUP_BITS) + np.repeat(np.arange(len(bins)), size)
-        out["offset"] = ends - own - (ends - own)[first]
-        out["fill"] = np.repeat(fill, size)
+        group = first_group + part["__group"][0].as_py()
+        made = {
+            "sequence_id": (group << GROUP_BITS) + np.repeat(np.arange(len(bins)), size),
+            "offset": ends - own - (ends - own)[first],
+            "fill": np.repeat(fill, size),
+        }
+        for name, values in made.items():
+            out = out.append_column(name, pa.array(values, pa.int64()))
         return out
 
     # Rows of a stored table are numbered alike in every run of a task.
     dealt = pieces.withColumn("__group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int"))
     kinds = ", ".join(f"`{c}` {k}" for c, k in pieces.dtypes)
-    return dealt.groupBy("__group").applyInPandas(run, f"{kinds}, sequence_id long, offset long, fill long")
+    return dealt.groupBy("__group").applyInArrow(run, f"{kinds}, sequence_id long, offset long, fill long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_bins: int = GROUP_BINS) -> DataFrame:
