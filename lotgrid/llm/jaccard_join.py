@@ -129,14 +129,21 @@ def _lacking(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
 
 
-def _may_link(p: str, q: str) -> Column:
-    """Whether sizes and bitmaps of two rows leave a similarity of 3/4 possible."""
+def _bound(p: str, q: str) -> Column:
+    """Bound of the intersection of two rows over the sum of their sizes, from the bitmaps."""
     np_, nq = F.col(f"{p}.n"), F.col(f"{q}.n")
     wp, wq = F.size(f"{p}.wide"), F.size(f"{q}.wide")
     bp = F.when(wp > wq, F.col(f"{p}.narrow")).otherwise(F.col(f"{p}.wide"))
     bq = F.when(wq > wp, F.col(f"{q}.narrow")).otherwise(F.col(f"{q}.wide"))
-    bound = F.least(np_ - _lacking(bp, bq), nq - _lacking(bq, bp))
-    return (4 * F.least(np_, nq) >= 3 * F.greatest(np_, nq)) & (7 * bound >= 3 * (np_ + nq))
+    return F.least(np_ - _lacking(bp, bq), nq - _lacking(bq, bp)) / (np_ + nq)
+
+
+def _sizes_fit(p: str, q: str) -> Column:
+    return 4 * F.least(f"{p}.n", f"{q}.n") >= 3 * F.greatest(f"{p}.n", f"{q}.n")
+
+
+# Bounds are compared with a little slack for their rounding.
+LEAST_SHARE = 3 / 7 - 1e-9
 
 
 def _token_sets(nodes: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -167,14 +174,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose nodes are not in one component yet."""
+    """``a, b, bound, ca, cb``: the pairs whose nodes are not in one component yet, with the two components."""
     of = lambda n: comps.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))
     known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return known.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    known = known.select("a", "b", "bound", F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"))
+    return known.where("x <> y").select("a", "b", "bound", F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb"))
 
 
 def _across_groups(postings: DataFrame, comps: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes in different groups that the token-group matrix cannot rule out.
+    """Pairs ``(a, b, bound)`` of nodes in different groups that the token-group matrix cannot rule out.
 
     ``postings(token, node)`` has every prefix token of three or more nodes; tokens of two
     are settled by their leader.
@@ -205,8 +213,8 @@ def _across_groups(postings: DataFrame, comps: DataFrame, signatures: DataFrame)
     mine = F.when(wq > wg, F.col("q.narrow")).otherwise(F.col("q.wide"))
     theirs = F.when(wg > wq, F.col("narrow")).otherwise(F.col("wide"))
     fits = (2 * wq >= wg) & (2 * wg >= wq) & (4 * (F.col("q.n") - _lacking(mine, theirs)) >= 3 * F.col("q.n"))
-    pairs = opened.where(fits).select("a", "q", F.explode("m").alias("g")).where(_may_link("q", "g"))
-    return stored(pairs.select("a", F.col("g.node").alias("b")), "join_pairs")
+    pairs = opened.where(fits).select("a", "q", F.explode("m").alias("g")).where(_sizes_fit("q", "g"))
+    return pairs.select("a", F.col("g.node").alias("b"), _bound("q", "g").alias("bound")).where(F.col("bound") >= LEAST_SHARE)
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -222,31 +230,39 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     levels = _frequency_levels(survey)
     signatures = stored(_signatures(docs, levels), "join_signatures")
     rows = signatures.select("node", F.explode_outer("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("token", "leader")
+    shared = rows.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")
     shared = stored(shared, "join_shared")
-    postings = stored(rows.join(shared, "token").select("token", "node", "leader").distinct(), "join_postings")
+    postings = stored(rows.join(shared, "token").select("token", "node", "leader", "last").distinct(), "join_postings")
     dropped(shared)
     sides = signatures.select("node", F.struct("n", "wide", "narrow").alias("s")).dropDuplicates(["node"])
     sides = stored(sides.join(postings.select("node").distinct(), "node", "left_semi"), "join_sides")
     dropped(signatures)
-    led = postings.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("w"))
+    led = postings.select(F.col("node").alias("a"), F.explode(F.array("leader", "last")).alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
     led = led.join(sides.select(F.col("node").alias("a"), F.col("s").alias("p")), "a").join(sides.select(F.col("node").alias("b"), F.col("s").alias("q")), "b")
-    led = stored(led.where(_may_link("p", "q")).select("a", "b", "w"), "join_led")
+    led = led.where(_sizes_fit("p", "q")).select("a", "b", "w", _bound("p", "q").alias("bound")).where(F.col("bound") >= LEAST_SHARE)
+    led = stored(led, "join_led")
     sets = _token_sets(led.select(F.explode(F.array("a", "b")).alias("node")), docs, members)
     # Most nodes settle with the leader they share most tokens with; only pairs that are still
     # apart afterwards have to be compared.
     best = led.groupBy("a").agg(F.max_by("b", F.struct("w", "b")).alias("b"))
     links = _verified(best, sets)
     comps = components(links)
-    more = _across_groups(postings.select("token", "node"), comps, sides.select("node", "s.*"))
-    rest = stored(_between(led.select("a", "b"), comps).unionByName(more).distinct(), "join_rest")
+    rest = led.select("a", "b", "bound").unionByName(_across_groups(postings.select("token", "node"), comps, sides.select("node", "s.*")))
+    rest = stored(_between(rest, comps), "join_rest")
+    missing = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
+    missing = stored(missing, "join_missing")
+    if not missing.isEmpty():
+        sets = sets.unionByName(_token_sets(missing, docs, members))
+    # One link joins two components: their most promising pair goes first, and only where
+    # components stay apart all their pairs are compared.
     if not rest.isEmpty():
-        missing = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
-        missing = stored(missing, "join_missing")
-        if not missing.isEmpty():
-            sets = sets.unionByName(_token_sets(missing, docs, members))
-        links = links.unionByName(_verified(rest, sets))
-    comps = components(links)
+        first = rest.groupBy("ca", "cb").agg(F.max(F.struct("bound", "a", "b")).alias("p")).select("p.a", "p.b")
+        links = links.unionByName(_verified(first, sets))
+        comps = components(links)
+        rest = stored(_between(rest.select("a", "b", "bound").distinct(), comps), "join_rest")
+        if not rest.isEmpty():
+            links = links.unionByName(_verified(rest, sets))
+            comps = components(links)
     dropped(sets, sides, postings)
     ids = stored(members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id")), "join_ids")
     placed = ids.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
