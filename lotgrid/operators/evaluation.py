@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotgrid.functions.attributes import class_prefix, class_prefix_label, clean_land_use, land_use_label
-from lotgrid.operators.ranking import ROWS_PER_TASK, best_by, column_quantiles, running_totals
+from lotgrid.operators.ranking import best_by, column_quantiles, running_totals
 from lotgrid.operators.summary import share_within
 from lotgrid.session import cut_lineage
 
@@ -144,11 +144,11 @@ def counts_from_totals(totals: DataFrame, *, by=(), threshold: float = 0.5) -> D
     )
 
 
-def curve_from_totals(totals: DataFrame, *, by=(), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def curve_from_totals(totals: DataFrame, *, by=()) -> DataFrame:
     """(by, threshold, precision, recall) per distinct score, highest first, plus the recall gained there."""
     by = list(by)
     sums = {"_cum_pos": "pos", "_cum_neg": "neg"}
-    run = running_totals(totals, "prob", sums, by=tuple(by), descending=True, rows_per_task=rows_per_task, stored=True)
+    run = running_totals(totals, "prob", sums, by=tuple(by), descending=True)
     if by:
         positives = totals.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.sum("pos").alias("_all"))
         joined = run.join(positives, [run[c].eqNullSafe(positives[f"_g_{c}"]) for c in by])
@@ -163,22 +163,18 @@ def curve_from_totals(totals: DataFrame, *, by=(), rows_per_task: int = ROWS_PER
     )
 
 
-def precision_from_totals(totals: DataFrame, *, by=(), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def precision_from_totals(totals: DataFrame, *, by=()) -> DataFrame:
     """Step-wise average precision with tied scores merged; null without positives."""
-    curve = curve_from_totals(totals, by=by, rows_per_task=rows_per_task)
+    curve = curve_from_totals(totals, by=by)
     return curve.groupBy(*by).agg(F.sum(F.col("_gain") * F.col("precision")).alias("average_precision"))
 
 
-def average_precision(scores: DataFrame, *, by=(), weight: str | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    return precision_from_totals(score_totals(scores, by=by, weight=weight), by=by, rows_per_task=rows_per_task)
+def average_precision(scores: DataFrame, *, by=(), weight: str | None = None) -> DataFrame:
+    return precision_from_totals(score_totals(scores, by=by, weight=weight), by=by)
 
 
-def pr_points(scores: DataFrame, *, by=(), weight: str | None = None, cap: int | None = None, key: str | None = None, seed: int = 42) -> DataFrame:
-    """PR curve points; with ``cap`` from a uniform sample of the scores by the integer ``key``."""
-    from lotgrid.operators.ranking import sample_exact
-
-    if cap is not None:
-        scores = sample_exact(scores, cap, key, seed=seed, strata=tuple(by))
+def pr_points(scores: DataFrame, *, by=(), weight: str | None = None) -> DataFrame:
+    """PR curve points: one per distinct score."""
     return curve_from_totals(score_totals(scores, by=by, weight=weight), by=by).drop("_gain")
 
 
@@ -210,27 +206,11 @@ def evaluate_scores(scored: DataFrame, *, by=(), threshold: float = 0.5) -> Data
     return _combine(metrics, precision_from_totals(totals, by=by), by)
 
 
-def evaluate_model(features: DataFrame, model, *, by=(), reservoir: int | None = None, key: str = "cell_id", seed: int = 42) -> DataFrame:
-    """One model applied to a split: confusion over every labelled cell, AP over all or a class-stratified sample.
-
-    Every cell is scored once.  With ``reservoir`` the AP uses at most half of it per
-    class, weighted by seen/kept.
-    """
-    from lotgrid.operators.ranking import sample_exact
+def evaluate_model(features: DataFrame, model, *, by=()) -> DataFrame:
+    """One model applied to splits: confusion and average precision over every labelled cell, each scored once."""
     from lotgrid.operators.scoring import score_with_model
 
-    by = list(by)
-    scored = score_with_model(features.where(F.col("label").isin(0, 1)), model)
-    if reservoir is None:
-        return evaluate_scores(scored, by=by)
-    scored = cut_lineage(scored.select(*by, key, "label", F.col("label").alias("y"), "prob"), "scored")
-    metrics = with_metrics(confusion_counts(scored, F.col("label"), (F.col("prob") > 0.5).cast("int"), by=by))
-    strata = (*by, "label")
-    kept = sample_exact(scored, reservoir // 2, key, seed=seed, strata=strata)
-    seen = scored.groupBy(*strata).agg(F.count("*").alias("_seen"))
-    weights = seen.join(kept.groupBy(*strata).agg(F.count("*").alias("_kept")), list(strata))
-    weighted = kept.join(weights.withColumn("_w", F.col("_seen") / F.col("_kept")), list(strata))
-    return _combine(metrics, average_precision(weighted, by=by, weight="_w"), by)
+    return evaluate_scores(score_with_model(features.where(F.col("label").isin(0, 1)), model), by=by)
 
 
 # ---------------------------------------------------------------- parcel recall

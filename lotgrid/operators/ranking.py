@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 from lotgrid.functions.hashing import HASH_RANGE, hash32
 from lotgrid.session import cut_lineage
 
-# Rows one task may order; below this a plain window is used.
-ROWS_PER_TASK = 500_000
-
 _HASH_BUCKETS = 1 << 16
 
 
@@ -90,14 +87,13 @@ def hash_positions(df: DataFrame, key: str, *, by: str, seed: int = 0, hash_buck
     )
 
 
-def value_cuts(df: DataFrame, order: str, buckets: int) -> list[float]:
-    """Approximate quantile cuts of a column: buckets - 1 numbers.
+def ranged(df: DataFrame, order: str, name: str = "ordered") -> DataFrame:
+    """``df`` stored in ranges of ``order``; ``_bucket`` numbers the ranges upwards.
 
-    They only decide where work is split, never the result.
+    Equal values share a range.  There are as many ranges as the session has shuffle
+    partitions, fewer where adaptive execution finds them small.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, 10000)).first()[0]
-    return sorted(set(found or []))
+    return cut_lineage(df.repartitionByRange(order).withColumn("_bucket", F.spark_partition_id()), name)
 
 
 def running_totals(
@@ -108,30 +104,17 @@ def running_totals(
     prior_max: dict[str, str] | None = None,
     by: tuple[str, ...] = (),
     descending: bool = False,
-    rows_per_task: int = ROWS_PER_TASK,
-    stored: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums, and maxima over earlier rows, along ``order`` within ``by``.
 
     ``totals`` and ``prior_max`` map new column -> source column.  (by, order) must
-    be unique.  The input is stored once (unless it already is) and counted; a table
-    within ``rows_per_task`` rows takes a plain window, a larger one is split into
-    value buckets so that even a group holding everything is shared by many tasks.
+    be unique.  The input is stored in ranges of the order, the ranges are totalled, and
+    rows are only ordered inside their range, so even a group that holds everything is
+    shared by many tasks.
     """
     by, prior_max = list(by), prior_max or {}
     sign = F.desc if descending else F.asc
-    b = df if stored else cut_lineage(df, "ordered")
-    cuts = value_cuts(b, order, min(1024, b.count() // rows_per_task + 1))
-    if not cuts:
-        inside = Window.partitionBy(*by).orderBy(sign(order))
-        upto, above = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
-        return b.select(
-            *df.columns,
-            *[F.sum(src).over(upto).alias(out) for out, src in totals.items()],
-            *[F.max(src).over(above).alias(out) for out, src in prior_max.items()],
-        )
-    limits = F.array(*[F.lit(c) for c in cuts])
-    b = b.withColumn("_bucket", F.coalesce(F.size(F.filter(limits, lambda c: c <= F.col(order).cast("double"))), F.lit(0)))
+    b = ranged(df, order)
     per_bucket = b.groupBy(*by, "_bucket").agg(
         *[F.sum(src).alias(f"_t_{out}") for out, src in totals.items()],
         *[F.max(src).alias(f"_t_{out}") for out, src in prior_max.items()],
@@ -153,14 +136,12 @@ def running_totals(
     )
 
 
-def global_row_number(df: DataFrame, order: str, name: str = "row_no", *, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def global_row_number(df: DataFrame, order: str, name: str = "row_no") -> DataFrame:
     """1-based position over a unique numeric ``order`` column."""
-    return running_totals(df.withColumn("_one", F.lit(1)), order, {name: "_one"}, rows_per_task=rows_per_task).drop("_one")
+    return running_totals(df.withColumn("_one", F.lit(1)), order, {name: "_one"}).drop("_one")
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probs, *, by: tuple[str, ...] = (), rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs, *, by: tuple[str, ...] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles per group: columns (by, prob, quantile).
 
     Equal values are merged before anything is ordered, so a constant that fills
@@ -170,7 +151,7 @@ def exact_quantiles(
     counted = cut_lineage(
         df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")), "value-counts"
     )
-    ranked = running_totals(counted, value, {"_upto": "_n"}, by=tuple(by), rows_per_task=rows_per_task, stored=True)
+    ranked = running_totals(counted, value, {"_upto": "_n"}, by=tuple(by))
     if by:
         sizes = counted.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.sum("_n").alias("_size"))
         sized = ranked.join(sizes, _all(ranked[c].eqNullSafe(sizes[f"_g_{c}"]) for c in by))
@@ -197,13 +178,14 @@ def exact_quantiles(
 _APPROX = 10_000  # rank accuracy of percentile_approx: within n / _APPROX
 
 
-def column_quantiles(df: DataFrame, columns, probs, *, whole_below: int = 100_000) -> dict[str, dict[float, float]]:
+def column_quantiles(df: DataFrame, columns, probs) -> dict[str, dict[float, float]]:
     """Exact linear-interpolated quantiles of whole columns as driver numbers: {column: {prob: value}}.
 
     A first pass brackets each quantile with the guaranteed error of the approximate
-    one; the second counts what lies below the bracket and merges only the values
-    inside it, about 4/10000 of the rows.  Short columns are bracketed whole.  A bracket
-    that misses its rank is widened to the whole column, so the result is always exact.
+    one; the second counts what lies below the bracket and takes the nearest values on
+    both sides of it; the third merges only the values inside, about 4/10000 of the rows.
+    A bracket that misses its rank by more than those neighbours is widened to the whole
+    column, so the result is always exact.
     """
     columns, probs = list(columns), [float(p) for p in probs]
     slack = 2.0 / _APPROX
@@ -218,7 +200,7 @@ def column_quantiles(df: DataFrame, columns, probs, *, whole_below: int = 100_00
         n = first[f"n{i}"]
         for j, p in enumerate(probs):
             if n:
-                low, high = first[f"q{i}"][2 * j : 2 * j + 2] if n > whole_below else (float("-inf"), float("inf"))
+                low, high = first[f"q{i}"][2 * j : 2 * j + 2]
                 brackets.append((c, p, p * (n - 1), low, high))
     missed = _fill_from_brackets(df, brackets, out)
     if missed:
@@ -235,7 +217,17 @@ def _fill_from_brackets(df: DataFrame, brackets, out) -> list:
     def value(b) -> Column:
         return F.col(b[0]).cast("double")
 
-    below = df.agg(*[F.count_if(value(b) < F.lit(b[3])).alias(f"b{k}") for k, b in enumerate(brackets)]).first()
+    sides = [
+        c
+        for k, b in enumerate(brackets)
+        for c in (
+            F.count_if(value(b) < F.lit(b[3])).alias(f"b{k}"),
+            F.count_if(value(b).between(F.lit(b[3]), F.lit(b[4]))).alias(f"i{k}"),
+            F.max(F.when(value(b) < F.lit(b[3]), value(b))).alias(f"p{k}"),
+            F.min(F.when(value(b) > F.lit(b[4]), value(b))).alias(f"x{k}"),
+        )
+    ]
+    below = df.agg(*sides).first()
     inside = F.array(
         *[
             F.when(value(b).between(F.lit(b[3]), F.lit(b[4])), F.struct(F.lit(k).alias("k"), value(b).alias("v")))
@@ -246,7 +238,7 @@ def _fill_from_brackets(df: DataFrame, brackets, out) -> list:
         df.select(F.explode(F.array_compact(inside)).alias("s")).select("s.k", "s.v").groupBy("k", "v").agg(F.count("*").alias("_n")),
         "quantile-brackets",
     )
-    ranked = running_totals(merged, "v", {"_upto": "_n"}, by=("k",), stored=True)
+    ranked = running_totals(merged, "v", {"_upto": "_n"}, by=("k",))
     wanted = [(k, r, int(r_pos) + 1 - below[f"b{k}"]) for k, b in enumerate(brackets) for r, r_pos in ((0, math.floor(b[2])), (1, math.ceil(b[2])))]
     hit = F.lit(False)
     for k, _, rank in wanted:
@@ -258,6 +250,10 @@ def _fill_from_brackets(df: DataFrame, brackets, out) -> list:
         ends = []
         for kk, _, rank in wanted:
             if kk == k:
+                if rank == 0 and below[f"p{k}"] is not None:
+                    ends.append(below[f"p{k}"])
+                elif rank == below[f"i{k}"] + 1 and below[f"x{k}"] is not None:
+                    ends.append(below[f"x{k}"])
                 ends += [r["v"] for r in found if r["k"] == k and r["_upto"] - r["_n"] < rank <= r["_upto"]]
         if len(ends) != 2:
             missed.append(b)

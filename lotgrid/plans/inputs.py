@@ -24,6 +24,9 @@ VACANT_CODES = ["M7"] + [f"E{i}" for i in range(10)]
 def div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b))
 
+# Entries of an embedding, all of them features.
+N_FEATURES = 64
+
 
 class Inputs:
     """Tables of one scale-factor folder seen through the adapters."""
@@ -149,6 +152,11 @@ class Inputs:
         """Raster height as a scalar subquery."""
         return self.table("orders").agg((div(F.max("o_orderkey"), WIDTH) + 1).cast("int").alias("h")).scalar()
 
+    @cached_property
+    def n_rows(self) -> int:
+        """Raster height as a number, from one aggregate."""
+        return self.table("orders").select(self.height.alias("h")).first()["h"]
+
     @property
     def grid(self) -> Grid:
         return Grid(width=WIDTH, height=self.height)
@@ -275,18 +283,18 @@ class Inputs:
 
     @cached_property
     def features(self) -> DataFrame:
-        """``embeddings`` as parcel statistics: ten features, class = label, vacant = label 0."""
+        """``embeddings`` as parcel statistics: one feature per entry, class = label, vacant = label 0."""
         return self.table("embeddings").select(
             F.col("vec_id").alias("bbl"),
-            *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(10)],
+            *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(N_FEATURES)],
             F.col("label"),
             (F.col("label") == 0).cast("int").alias("y"),
         )
 
     @cached_property
     def features_with_gaps(self) -> DataFrame:
-        """Features with negative values of the first three columns blanked out."""
-        gaps = {f"f{i}": F.when(F.col(f"f{i}") >= -0.1, F.col(f"f{i}")) for i in range(3)}
+        """Features with values below -0.1 of every fourth column blanked out."""
+        gaps = {f"f{i}": F.when(F.col(f"f{i}") >= -0.1, F.col(f"f{i}")) for i in range(0, N_FEATURES, 4)}
         return self.features.withColumns(gaps)
 
     # ---------------------------------------------------------------- registry

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lotgrid.functions.hashing import cell_key
 from lotgrid.functions.spectral import FEATURES, feature_stack
 from lotgrid.operators import evaluation as E
 from lotgrid.operators import impute, ml, scoring
 from lotgrid.operators import patches as PT
-from lotgrid.plans.inputs import Inputs
+from lotgrid.plans.inputs import N_FEATURES, Inputs
+from lotgrid.plans.raster_queries import _PATCHES, _PW8, split_grid
 from lotgrid.plans.registry import query
+from lotgrid.plans.sql_views import hash_sql
 from lotgrid.session import cut_lineage, scratch_path
 
-COLS = [f"f{i}" for i in range(10)]
+COLS = [f"f{i}" for i in range(N_FEATURES)]
 
 
 def _round(df, columns):
@@ -21,28 +24,28 @@ def _round(df, columns):
 
 def _filled(method: str) -> str:
     fill = "quantile_cont({c}, 0.5)" if method == "median" else "avg({c})"
-    return "SELECT bbl, " + ", ".join(f"round(coalesce({c}, (SELECT {fill.format(c=c)} FROM emb_gaps)), 6) AS {c}" for c in COLS[:3]) + " FROM emb_gaps"
+    return "SELECT bbl, " + ", ".join(f"round(coalesce({c}, (SELECT {fill.format(c=c)} FROM emb_gaps)), 6) AS {c}" for c in COLS) + " FROM emb_gaps"
 
 
 for _method in ("median", "mean"):
 
     @query(f"impute_{_method}_D17", _filled(_method), "emb_gaps")
     def _(t: Inputs, method=_method):
-        return _round(impute.impute(t.features_with_gaps, COLS[:3], method).select("bbl", *COLS[:3]), COLS[:3])
+        return _round(impute.impute(t.features_with_gaps, COLS, method).select("bbl", *COLS), COLS)
 
 
-@query("impute_drop_D17", "SELECT bbl FROM emb_gaps WHERE f0 IS NOT NULL AND f1 IS NOT NULL AND f2 IS NOT NULL", "emb_gaps")
+@query("impute_drop_D17", "SELECT bbl FROM emb_gaps WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in COLS), "emb_gaps")
 def _(t: Inputs):
-    return impute.impute(t.features_with_gaps, COLS[:3], "drop").select("bbl")
+    return impute.impute(t.features_with_gaps, COLS, "drop").select("bbl")
 
 
 @query(
     "imputed_cells_D17",
-    " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c} IS NULL) AS filled FROM emb_gaps" for c in COLS[:3]),
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c} IS NULL) AS filled FROM emb_gaps" for c in COLS),
     "emb_gaps",
 )
 def _(t: Inputs):
-    return impute.missing_counts(t.features_with_gaps, COLS[:3])
+    return impute.missing_counts(t.features_with_gaps, COLS)
 
 
 @query("feature_selection_D18", "SELECT label, round(avg(f0), 6) AS f0_mean, round(stddev_pop(f1), 6) AS \"f1_stdDev\" FROM emb GROUP BY 1", "emb")
@@ -134,42 +137,86 @@ for _name, _tag in (("logistic", "M9"), ("kernel_svm", "M10"), ("forest", "M11")
         return ml.positive_score(model.transform(_scaled(t))).select("bbl", "y", F.round("prob", 6).alias("prob"))
 
 
+# Settings of the pixel models.  The sample bounds the labelled rows of a fit, per class.
+PIXEL_SAMPLE = {"n_vacant": 2000, "n_other": 4000}
+PIXEL_FOREST = {"trees": 200, "depth": 20, "min_leaf": 50}
+# 500 rounds of depth 12 are the full setting; rounds follow each other, see README for the time.
+PIXEL_BOOSTING = {"rounds": 10, "depth": 12, "rate": 0.05, "min_leaf": 50}
+PATCH = 8
+
+_KEEP = ["prow", "pcol", "label", "split", "cell_id"]
+
+
 def _cells(t: Inputs):
-    """Raster cells with an integer key for sampling."""
-    key = F.col("prow").cast("bigint") * 1000003 + F.col("pcol")
-    return t.raster.withColumn("cell_id", key)
+    """Raster cells of the patches that have a split, with it and an integer key for sampling."""
+    splits = split_grid(t, PATCH, PATCH).where("split <> 'excluded'").select("row_off", "col_off", "split")
+    cells = t.raster.withColumn("cell_id", cell_key(F.col("prow"), F.col("pcol")))
+    at = {"row_off": F.col("prow") - F.col("prow") % PATCH, "col_off": F.col("pcol") - F.col("pcol") % PATCH}
+    return cells.withColumns(at).join(splits, ["row_off", "col_off"]).drop("row_off", "col_off")
 
 
-_KEEP = ["prow", "pcol", "label", "boro_code", "cell_id"]
+def _held_out(t: Inputs):
+    """Features of the validation and test cells."""
+    return feature_stack(_cells(t).where("split <> 'train'"), _KEEP)
 
 
-def _pixels(t: Inputs):
-    return feature_stack(_cells(t), _KEEP)
+def _fit_sample(t: Inputs):
+    return PT.reservoir_pixels(_cells(t).where("split = 'train'"), **PIXEL_SAMPLE)
 
 
 def _pixel_model(t: Inputs, pipeline):
-    """Reservoir sample, seen/kept weights, fit.  Features are computed for the sampled cells only."""
-    cells = _cells(t)
-    sample = cut_lineage(PT.reservoir_pixels(cells, 2000, 4000), "pixel-sample")
-    weights = {r["label"]: r["class_weight"] for r in PT.class_weights(PT.reservoir_report(cells, sample)).collect()}
+    """Reservoir sample of the train split, seen/kept weights, fit.  Features are computed for the sampled cells only."""
+    train = _cells(t).where("split = 'train'")
+    sample = cut_lineage(_fit_sample(t), "pixel-sample")
+    weights = {r["label"]: r["class_weight"] for r in PT.class_weights(PT.reservoir_report(train, sample)).collect()}
     features = feature_stack(sample, _KEEP).withColumn("y", F.col("label").cast("int"))
-    with ml.kept(ml.class_weight_column(features, weights)) as train:
-        return pipeline.fit(train)
+    with ml.kept(ml.class_weight_column(features, weights)) as rows:
+        return pipeline.fit(rows)
+
+
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def _pixel_forest(t: Inputs):
-    return _pixel_model(t, ml.forest(FEATURES, trees=20, depth=8, min_leaf=50))
+    """The pixel forest of these tables: fitted once in a session, stored, and loaded by every query."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _STORED:
+        path = scratch_path(t.spark, "pixel-forest")
+        ml.save_model(t.spark, _pixel_model(t, ml.forest(FEATURES, **PIXEL_FOREST)), path, {"features": FEATURES, **PIXEL_FOREST})
+        _STORED[key] = path
+    return ml.load_model(t.spark, _STORED[key])[0]
 
 
 @query("pixel_forest_M12")
 def _(t: Inputs):
-    return E.evaluate_model(_pixels(t), _pixel_forest(t), by=["boro_code"])
+    return E.evaluate_model(_held_out(t), _pixel_forest(t), by=["split"])
 
 
 @query("pixel_boosting_M13")
 def _(t: Inputs):
-    model = _pixel_model(t, ml.boosting(FEATURES, rounds=10, depth=5, rate=0.05, min_leaf=50))
-    return E.evaluate_model(_pixels(t), model, by=["boro_code"])
+    return E.evaluate_model(_held_out(t), _pixel_model(t, ml.boosting(FEATURES, **PIXEL_BOOSTING)), by=["split"])
+
+
+# Cells of a fit that are evaluated too: none with the split, some when the sample is drawn from all cells.
+_FIT_SQL = (
+    _PW8
+    + _PATCHES
+    + """, cells AS (SELECT prow, pcol, r.label, split FROM raster r JOIN sp ON row_off = (prow//8)*8 AND col_off = (pcol//8)*8 WHERE split <> 'excluded'),
+    fit AS (SELECT 'train' AS drawn_from, * FROM cells WHERE split = 'train' AND label <> 255 UNION ALL SELECT 'all', * FROM cells WHERE label <> 255),
+    kept AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY drawn_from, label ORDER BY {h}, prow, pcol) <= CASE label WHEN 1 THEN {v} ELSE {o} END)
+    SELECT drawn_from, count(*) AS fitted, count(*) FILTER (split <> 'train') AS evaluated_too FROM kept GROUP BY 1""".format(
+        h=hash_sql("prow*3000000019+pcol", 42), v=PIXEL_SAMPLE["n_vacant"], o=PIXEL_SAMPLE["n_other"]
+    )
+)
+
+
+@query("fit_overlap_M12", _FIT_SQL, "raster dims")
+def _(t: Inputs):
+    held = _cells(t).where("split <> 'train' AND label <> 255").select("cell_id", F.lit(1).alias("held"))
+    drawn = _fit_sample(t).withColumn("drawn_from", F.lit("train")).unionByName(
+        PT.reservoir_pixels(_cells(t), **PIXEL_SAMPLE).withColumn("drawn_from", F.lit("all"))
+    )
+    return drawn.join(held, "cell_id", "left").groupBy("drawn_from").agg(F.count("*").alias("fitted"), F.count("held").alias("evaluated_too"))
 
 
 @query("cross_validation_M14")
@@ -200,10 +247,10 @@ def _(t: Inputs):
 
 @query("model_scoring_I1")
 def _(t: Inputs):
-    scored = scoring.score_with_model(_pixels(t), _pixel_forest(t))
-    return scored.select("prow", "pcol", "label", "pred", F.round("prob", 6).alias("prob"))
+    scored = scoring.score_with_model(_held_out(t), _pixel_forest(t))
+    return scored.select("prow", "pcol", "split", "label", "pred", F.round("prob", 6).alias("prob"))
 
 
 @query("model_evaluation_E2")
 def _(t: Inputs):
-    return E.evaluate_model(_pixels(t), _pixel_forest(t), by=["boro_code"], reservoir=2000)
+    return E.evaluate_model(_held_out(t), _pixel_forest(t), by=["split"])

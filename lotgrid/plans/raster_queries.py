@@ -322,7 +322,7 @@ _FULL = "full_px AS (SELECT prow, pcol, coalesce(n, 0) AS v FROM allcells LEFT J
 
 def _full_band(t: Inputs):
     """The near-infrared band on every cell of the rectangle."""
-    cells = t.spark.range(1).select(F.explode(F.sequence(F.lit(0), t.height - 1)).alias("prow")).select(
+    cells = t.spark.range(0, t.n_rows).select(F.col("id").cast("int").alias("prow")).select(
         "prow", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("pcol")
     )
     return cells.join(t.pixels.select("prow", "pcol", "n"), ["prow", "pcol"], "left").select("prow", "pcol", F.coalesce("n", F.lit(0)).alias("v"))
@@ -379,7 +379,7 @@ _OUTCOME = "CASE WHEN label = 1 THEN CASE WHEN prob > 0.5 THEN 'TP' ELSE 'FN' EN
     f"""WITH o AS (SELECT prow, pcol, {_OUTCOME} AS outcome FROM score_cells WHERE prob IS NOT NULL AND label <> 255),
     c AS (SELECT outcome, prow//10 AS brow, pcol//10 AS bcol, count(*) AS cells FROM o GROUP BY ALL),
     p AS (SELECT c.*, row_number() OVER (PARTITION BY outcome ORDER BY cells DESC, brow, bcol)::INT AS density_rank FROM c, dims WHERE brow < height//10 AND bcol < width//10 AND cells > 2)
-    SELECT outcome, cells, density_rank, (bcol*10 + 5.5)::DOUBLE AS x, (-(brow*10 + 5.5))::DOUBLE AS y FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY {hash_sql('brow*1000003+bcol', 42)}, brow, bcol) AS k
+    SELECT outcome, cells, density_rank, (bcol*10 + 5.5)::DOUBLE AS x, (-(brow*10 + 5.5))::DOUBLE AS y FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY {hash_sql('brow*3000000019+bcol', 42)}, brow, bcol) AS k
     FROM p WHERE density_rank <= 20) WHERE k <= 4""",
     "score_cells dims",
 )
@@ -500,7 +500,7 @@ def _patch_copies(t: Inputs):
 
 
 def _draw_sql(seed: int) -> str:
-    return f"({hash_sql('(' + hash_sql('row_off*1000003+col_off', seed) + ') + copy_no*7919', seed + 1)} / 4294967296.0::DOUBLE)"
+    return f"({hash_sql('(' + hash_sql('row_off*3000000019+col_off', seed) + ') + copy_no*7919', seed + 1)} / 4294967296.0::DOUBLE)"
 
 
 _COPIES = (
@@ -551,7 +551,7 @@ def _(t: Inputs):
     )
 
 
-_RESERVOIR = f"""SELECT prow, pcol, label FROM (SELECT prow, pcol, label, row_number() OVER (PARTITION BY label ORDER BY {hash_sql('prow*1000003+pcol', 42)}, prow, pcol) AS k
+_RESERVOIR = f"""SELECT prow, pcol, label FROM (SELECT prow, pcol, label, row_number() OVER (PARTITION BY label ORDER BY {hash_sql('prow*3000000019+pcol', 42)}, prow, pcol) AS k
 FROM raster WHERE label <> 255) WHERE k <= CASE label WHEN 1 THEN 1000 ELSE 2500 END"""
 
 
@@ -579,7 +579,7 @@ def _(t: Inputs):
 
 @query(
     "random_patches_D16",
-    _PW8 + _PATCHES + f"SELECT row_off, col_off FROM sp ORDER BY {hash_sql('row_off*1000003+col_off', 42)}, row_off, col_off LIMIT 12",
+    _PW8 + _PATCHES + f"SELECT row_off, col_off FROM sp ORDER BY {hash_sql('row_off*3000000019+col_off', 42)}, row_off, col_off LIMIT 12",
     "raster dims",
 )
 def _(t: Inputs):

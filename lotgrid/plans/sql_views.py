@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from lotgrid.functions.hashing import seed_terms
+
 BOROUGH_VALUES = "(VALUES (1,'Manhattan'),(2,'Bronx'),(3,'Brooklyn'),(4,'Queens'),(5,'Staten Island')) AS d(boro_code, borough)"
 
 
 def hash_sql(key: str, seed: int = 0) -> str:
-    first = f"((((({key})::BIGINT) % 2147483647) * 2654435761 + {seed}) % 4294967296)"
-    return f"((xor({first}, {first} >> 16) * 1103515245 + 12345) % 4294967296)"
+    offset, factor = seed_terms(seed)
+    first = f"((((({key})::BIGINT) % 2147483647) * 2654435761 + {offset}) % 4294967296)"
+    second = f"((xor({first}, {first} >> 16) * {factor} + 12345) % 4294967296)"
+    return f"xor({second}, {second} >> 15)"
 
 
 
@@ -170,12 +174,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "emb": (
         (),
         "SELECT vec_id AS bbl, label, (label = 0)::INT AS y, "
-        + ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(10))
+        + ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(64))
         + " FROM embeddings",
     ),
     "emb_gaps": (
         ("emb",),
-        "SELECT * REPLACE (" + ", ".join(f"CASE WHEN f{i} >= -0.1 THEN f{i} END AS f{i}" for i in range(3)) + ") FROM emb",
+        "SELECT * REPLACE (" + ", ".join(f"CASE WHEN f{i} >= -0.1 THEN f{i} END AS f{i}" for i in range(0, 64, 4)) + ") FROM emb",
     ),
     # Parcel prediction fraction over the scored cells.
     "fractions": (

@@ -29,3 +29,9 @@ def rows():
         return sorted((tuple(r) for r in out.collect()), key=lambda t: tuple((x is None, x) for x in t))
 
     return collect
+
+
+@pytest.fixture(autouse=True)
+def adaptive_defaults(spark):
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

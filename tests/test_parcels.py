@@ -137,11 +137,13 @@ def test_exact_sample_is_stable_and_full_when_small(spark, rows):
     assert ranking.sample_exact(df, 10_000, "id").count() == 5000
 
 
-@pytest.mark.parametrize("per_task", [10, 1_000_000])
-def test_running_totals_split_and_plain_agree(spark, rows, per_task):
+@pytest.mark.parametrize("merge", ["true", "false"])
+def test_running_totals_split_and_plain_agree(spark, rows, merge):
+    # Adaptive merging of small ranges is switched off to have many of them.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge)
     # One group holds nearly everything and one value repeats across groups.
     df = spark.range(400).select(F.when(F.col("id") % 50 == 0, 1).otherwise(0).alias("g"), F.col("id").cast("double").alias("v"), (F.col("id") % 7).alias("w"))
-    out = ranking.running_totals(df, "v", {"t": "w"}, prior_max={"m": "w"}, by=("g",), descending=True, rows_per_task=per_task)
+    out = ranking.running_totals(df, "v", {"t": "w"}, prior_max={"m": "w"}, by=("g",), descending=True)
     expected = []
     for g in (0, 1):
         total, best = 0, None
@@ -152,19 +154,23 @@ def test_running_totals_split_and_plain_agree(spark, rows, per_task):
     assert rows(out) == sorted(expected, key=lambda t: tuple((x is None, x) for x in t))
 
 
-@pytest.mark.parametrize("per_task", [5, 1_000_000])
-def test_exact_quantiles_match_numpy(spark, per_task):
+@pytest.mark.parametrize("merge", ["true", "false"])
+def test_exact_quantiles_match_numpy(spark, merge):
+    # Adaptive merging of small ranges is switched off to have many of them.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge)
     import numpy as np
 
     values = [float((i * 37) % 101) for i in range(97)] + [5.0] * 60
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = {r.prob: r.quantile for r in ranking.exact_quantiles(df, "v", [0.025, 0.5, 0.975], rows_per_task=per_task).collect()}
+    got = {r.prob: r.quantile for r in ranking.exact_quantiles(df, "v", [0.025, 0.5, 0.975]).collect()}
     for p, q in got.items():
         assert q == pytest.approx(np.quantile(values, p))
 
 
-@pytest.mark.parametrize("whole_below", [10, 100_000])
-def test_column_quantiles_bracketed_and_whole(spark, whole_below):
+@pytest.mark.parametrize("merge", ["true", "false"])
+def test_column_quantiles_bracketed_and_whole(spark, merge):
+    # Adaptive merging of small ranges is switched off to have many of them.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge)
     import numpy as np
 
     # A third of one column is a single value; the other has gaps.
@@ -173,7 +179,7 @@ def test_column_quantiles_bracketed_and_whole(spark, whole_below):
     b = [None if i % 5 == 0 else float((i * 104729) % 30011) for i in range(n)]
     df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
     probs = [0.0, 0.025, 0.25, 0.5, 0.975, 1.0]
-    got = ranking.column_quantiles(df, ["a", "b"], probs, whole_below=whole_below)
+    got = ranking.column_quantiles(df, ["a", "b"], probs)
     for c, values in (("a", a), ("b", [v for v in b if v is not None])):
         for p in probs:
             assert got[c][p] == pytest.approx(np.quantile(values, p)), (c, p)
