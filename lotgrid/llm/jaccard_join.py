@@ -32,7 +32,10 @@ WIDTH = 5
 CELL_BITS = 24  # the counting table has 2**24 cells of one byte: 16 MB, whatever the corpus
 CELL_BLOCKS = 64
 RARE = 16  # tokens counted at most this often (beside the table's noise) are alike rare
-GROUP_SIZE = 64
+GROUP_SIZE = 64  # members of a group of the matrix
+BLOCK_SIZE = 128  # nodes of a block that is compared with another at once
+COLUMNS_AT_ONCE = 16_384
+NEAR_SHARE = 0.36  # bound of the intersection over both sizes from which nodes are grouped; 3/7 is needed to link
 # Rows of 16 bytes up to this number are sent to all tasks: 8 MB.
 BROADCAST_ROWS = 500_000
 TEXTS_AT_ONCE = 256
@@ -181,14 +184,71 @@ def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return known.where("x <> y").select("a", "b", "bound", F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb"))
 
 
+def _within_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that connect the similar nodes inside each group of ``groups(node, comp)``.
+
+    All nodes of a group are compared, in blocks: a block pair is one task's matrix of common
+    tokens and returns only as many links as connect its nodes.  A large group is cut into
+    blocks, small groups share one.
+    """
+    sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    placed = stored(groups.join(sizes, "comp"), "join_sized")
+    small = placed.where(F.col("size") <= BLOCK_SIZE)
+    bundles = max(1, small.count() // BLOCK_SIZE)
+    dealt = small.select("node", "comp", F.expr(f"pmod(xxhash64(comp), {bundles})").alias("x"), F.lit(-1).alias("y"), F.lit(-1).alias("z"))
+    count = f"CAST(ceil(size / {BLOCK_SIZE}) AS INT)"
+    large = placed.where(F.col("size") > BLOCK_SIZE).select("node", "comp", F.expr(f"CAST(pmod(xxhash64(node), {count}) AS INT)").alias("k"), F.expr(count).alias("n"))
+    # A node meets its own block with every other one.
+    large = large.select("node", "comp", "k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    dealt = dealt.unionByName(large.select("node", "comp", F.col("comp").alias("x"), F.least("k", "j").alias("y"), F.greatest("k", "j").alias("z")))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, group in part.drop_duplicates("node").groupby("comp"):
+            if len(group) > 1:
+                nodes, tokens = group["node"].to_numpy(), group["tokens"].tolist()
+                root = nodes[_connected(tokens)]
+                found.append(pd.DataFrame({"a": nodes, "b": root})[nodes != root])
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="i8")
+
+    rows = dealt.join(sets, "node").select("x", "y", "z", "comp", "node", "tokens")
+    return stored(rows.groupBy("x", "y", "z").applyInPandas(compare, "a long, b long").distinct(), "join_links")
+
+
+def _connected(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the first one that it reaches by links of a similarity of 3/4."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    token, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    shared = count[at] > 1
+    owner, column = owner[shared], number[at[shared]]
+    common = np.zeros((len(sets), len(sets)), "f4")
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS_AT_ONCE):
+        a, b = np.searchsorted(column, [first, first + COLUMNS_AT_ONCE])
+        table = np.zeros((len(sets), COLUMNS_AT_ONCE), "f4")
+        table[owner[a:b], column[a:b] - first] = 1.0
+        common += table @ table.T
+    linked = 7 * common >= 3 * (size[:, None] + size[None, :])
+    np.fill_diagonal(linked, True)
+    label = np.arange(len(sets))
+    while True:
+        least = np.where(linked, label[None, :], len(sets)).min(axis=1)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
 def _across_groups(postings: DataFrame, comps: DataFrame, signatures: DataFrame) -> DataFrame:
     """Pairs ``(a, b, bound)`` of nodes in different groups that the token-group matrix cannot rule out.
 
-    ``postings(token, node)`` has every prefix token of three or more nodes; tokens of two
-    are settled by their leader.
+    ``postings(token, node)`` has every prefix token of two or more nodes.
     """
     placed = postings.join(comps, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
-    open_tokens = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi AND k > 2")
+    open_tokens = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     placed = stored(placed.join(open_tokens.select("token"), "token", "left_semi"), "join_open")
     nodes = placed.select("node", "comp").distinct()
     sizes = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
@@ -237,17 +297,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     sides = signatures.select("node", F.struct("n", "wide", "narrow").alias("s")).dropDuplicates(["node"])
     sides = stored(sides.join(postings.select("node").distinct(), "node", "left_semi"), "join_sides")
     dropped(signatures)
-    led = postings.select(F.col("node").alias("a"), F.explode(F.array("leader", "last")).alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
+    led = postings.select(F.col("node").alias("a"), F.explode(F.array("leader", "last")).alias("b")).where("a <> b").distinct()
     led = led.join(sides.select(F.col("node").alias("a"), F.col("s").alias("p")), "a").join(sides.select(F.col("node").alias("b"), F.col("s").alias("q")), "b")
-    led = led.where(_sizes_fit("p", "q")).select("a", "b", "w", _bound("p", "q").alias("bound")).where(F.col("bound") >= LEAST_SHARE)
-    led = stored(led, "join_led")
-    sets = _token_sets(led.select(F.explode(F.array("a", "b")).alias("node")), docs, members)
-    # Most nodes settle with the leader they share most tokens with; only pairs that are still
-    # apart afterwards have to be compared.
-    best = led.groupBy("a").agg(F.max_by("b", F.struct("w", "b")).alias("b"))
-    links = _verified(best, sets)
+    # Groups take in what is only near, so that whole clusters of variants are compared inside them.
+    near = stored(led.select("a", "b", _bound("p", "q").alias("bound")).where(F.col("bound") >= NEAR_SHARE).select("a", "b"), "join_near")
+    groups = components(near)
+    sets = _token_sets(groups.select("node"), docs, members)
+    links = _within_groups(groups, sets)
     comps = components(links)
-    rest = led.select("a", "b", "bound").unionByName(_across_groups(postings.select("token", "node"), comps, sides.select("node", "s.*")))
+    rest = _across_groups(postings.select("token", "node"), groups, sides.select("node", "s.*"))
     rest = stored(_between(rest, comps), "join_rest")
     missing = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
     missing = stored(missing, "join_missing")
