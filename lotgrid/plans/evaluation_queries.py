@@ -96,7 +96,8 @@ def _(t: Inputs):
 
 @query(
     "outcome_map_I6",
-    """SELECT prow, pcol, outcome, CASE outcome WHEN 'FP' THEN 255 WHEN 'ignore' THEN 255 ELSE 0 END AS red, CASE outcome WHEN 'ignore' THEN 0 ELSE 255 END AS alpha FROM (
+    """SELECT prow, pcol, outcome, CASE outcome WHEN 'FP' THEN 255 WHEN 'ignore' THEN 255 ELSE 0 END AS red,
+    CASE outcome WHEN 'TP' THEN 255 WHEN 'ignore' THEN 255 ELSE 0 END AS green, CASE outcome WHEN 'FN' THEN 255 WHEN 'ignore' THEN 255 ELSE 0 END AS blue, CASE outcome WHEN 'ignore' THEN 0 ELSE 255 END AS alpha FROM (
     SELECT prow, pcol, CASE WHEN label = 255 OR prob IS NULL THEN 'ignore' WHEN label = 1 THEN CASE WHEN prob > 0.298 THEN 'TP' ELSE 'FN' END
     ELSE CASE WHEN prob > 0.298 THEN 'FP' ELSE 'TN' END END AS outcome FROM score_cells)""",
     "score_cells",
@@ -104,7 +105,8 @@ def _(t: Inputs):
 def _(t: Inputs):
     out = scoring.outcome_map(t.score_cells, t.mask, 0.298)
     rgba = scoring.outcome_rgba(F.col("outcome"))
-    return out.select("prow", "pcol", "outcome", F.get(rgba, F.lit(0)).alias("red"), F.get(rgba, F.lit(3)).alias("alpha"))
+    channels = [F.get(rgba, F.lit(k)).alias(c) for k, c in enumerate(("red", "green", "blue", "alpha"))]
+    return out.select("prow", "pcol", "outcome", *channels)
 
 
 # ---------------------------------------------------------------- pixel metrics

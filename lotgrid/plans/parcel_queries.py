@@ -10,6 +10,7 @@ from lotgrid.operators import change, parcels, ranking, summary
 from lotgrid.plans.inputs import VACANT_CODES, Inputs
 from lotgrid.plans.registry import query
 from lotgrid.plans.sql_views import hash_sql
+from lotgrid.sources import readers
 
 # ---------------------------------------------------------------- change (C, A5, A6, J1)
 
@@ -295,7 +296,8 @@ def _(t: Inputs):
     f"SELECT o_orderkey AS bbl FROM orders ORDER BY {hash_sql('o_orderkey', 42)}, o_orderkey LIMIT 2000",
 )
 def _(t: Inputs):
-    return ranking.sample_exact(t.table("orders").select(F.col("o_orderkey").alias("bbl")), 2000, "bbl", seed=42)
+    subset = readers.scan_parcels(t.spark, f"{t.sf_dir}/orders.parquet", subset_size=2000, key="o_orderkey", seed=42)
+    return subset.select(F.col("o_orderkey").alias("bbl"))
 
 
 @query(

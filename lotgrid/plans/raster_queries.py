@@ -288,12 +288,14 @@ _PALETTE = {1: (228, 26, 28), 2: (55, 126, 184), 3: (77, 175, 74), 4: (152, 78,
     "SELECT prow, pcol, category, CASE category "
     + " ".join(f"WHEN {k} THEN {v[0]}" for k, v in _PALETTE.items())
     + " END AS red, CASE category "
+    + " ".join(f"WHEN {k} THEN {v[1]}" for k, v in _PALETTE.items())
+    + " END AS green, CASE category "
     + " ".join(f"WHEN {k} THEN {v[2]}" for k, v in _PALETTE.items())
     + " END AS blue FROM (SELECT prow, pcol, max(category) AS category FROM lot_cells GROUP BY 1, 2)",
     "lot_cells",
 )
 def _(t: Inputs):
-    return R.colour_raster(t.lots.select("category", "geom"), t.grid, "category", _PALETTE).select("prow", "pcol", "category", "red", "blue")
+    return R.colour_raster(t.lots.select("category", "geom"), t.grid, "category", _PALETTE).select("prow", "pcol", "category", "red", "green", "blue")
 
 
 @query(
@@ -468,6 +470,18 @@ def _(t: Inputs):
     return PT.split_leaks(split_grid(t))
 
 
+@query(
+    "split_leaks_planted_W10",
+    _PW8 + _PATCHES + "SELECT row_off, col_off, 'train' AS first_split, 'val' AS last_split FROM sp WHERE split = 'train' AND row_off % 16 = 0",
+    "raster dims",
+)
+def _(t: Inputs):
+    # Every second row of training patches is stored a second time, for validation.
+    patches = split_grid(t).select("row_off", "col_off", "split")
+    again = patches.where("split = 'train' AND row_off % 16 = 0").withColumn("split", F.lit("val"))
+    return PT.split_leaks(patches.unionByName(again))
+
+
 @query(
     "patch_outlines_D5",
     _PW8 + _PATCHES + "SELECT row_off, col_off, split, col_off::DOUBLE AS xmin, -(row_off+8)::DOUBLE AS ymin, (col_off+8)::DOUBLE AS xmax, (0 - row_off)::DOUBLE AS ymax FROM sp",

@@ -19,10 +19,16 @@ log = logging.getLogger(__name__)
 # Road classes burned into the label mask by default.
 ROAD_CLASSES = ["S1100", "S1200", "S1630", "S1640"]
 
+# Band and statistic names of the statistics table.
 BANDS = ("R", "G", "B", "N", "NDVI", "SAVI", "Brightness", "BareSoilProxy", "EVI", "GNDVI")
 STATS = ("mean", "stdDev", "median", "count")
 
 
+def path_is_absent(error: AnalysisException) -> bool:
+    """Whether a scan failed because nothing is at its path; any other error is the caller's to see."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def scan_parcels(spark: SparkSession, path: str, *, subset_size: int | None = None, key: str = "bbl", seed: int = 42) -> DataFrame:
     """Parcel table, or exactly ``subset_size`` hash-chosen rows when it is larger."""
     parcels = spark.read.parquet(path)
@@ -40,7 +46,9 @@ def scan_overlay(spark: SparkSession, paths: dict[str, str], *, classes=None) ->
     for county, path in paths.items():
         try:
             parts.append(spark.read.parquet(path).withColumn("county", F.lit(county)))
-        except AnalysisException:
+        except AnalysisException as error:
+            if not path_is_absent(error):
+                raise
             log.warning("no overlay table for county %s at %s", county, path)
     if not parts:
         raise FileNotFoundError("no overlay table found")
@@ -100,7 +108,9 @@ def read_runs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     def load(file: str, schema: T.StructType) -> DataFrame:
         try:
             df = spark.read.schema(schema).json(f"{root}/*/*/{file}", multiLine=True)
-        except AnalysisException:
+        except AnalysisException as error:
+            if not path_is_absent(error):
+                raise
             df = spark.createDataFrame([], schema)
         return df.withColumn("run_dir", F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+)/[^/]+$", 1))
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,44 +47,33 @@ def document_origins(document: DataFrame) -> DataFrame:
     return document.select("split", F.inline("origins"))
 
 
-def cached_grid(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame], *, patch_size: int, stride: int, min_valid_pixels: int
-) -> DataFrame:
-    """Stored patch grid for exactly these parameters, built and added to the store when absent.
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a complete table was written at ``path``: Spark's writers leave a marker at the end."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
-    The store is partitioned by the three parameters, so a lookup reads one folder.
-    """
-    params = {"patch_size": patch_size, "stride": stride, "min_valid_pixels": min_valid_pixels}
 
-    def stored() -> DataFrame | None:
-        try:
-            df = spark.read.parquet(path)
-        except AnalysisException:
-            return None
-        for k, v in params.items():
-            df = df.where(F.col(k) == v)
-        return df
+def stored_or_built(spark: SparkSession, path: str, build: Callable[[], DataFrame], *, overwrite: bool = False) -> DataFrame:
+    """The finished table at ``path``; built and stored first when there is none or ``overwrite`` is set.
 
-    found = stored()
-    if found is None or found.isEmpty():
-        grid = build().withColumns({k: F.lit(v) for k, v in params.items()})
-        grid.write.mode("append").partitionBy(*params).parquet(path)
-        found = stored()
-    return found.drop(*params)
+    For long-lived outputs such as the parcel id raster and its mapping.  A table that is
+    there but cannot be read is an error, never a reason to replace it.
+    """
+    if overwrite or not _finished(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
-def stored_or_built(spark: SparkSession, path: str, build: Callable[[], DataFrame], *, overwrite: bool = False) -> DataFrame:
-    """The table at ``path``; built and stored first when it is absent or ``overwrite`` is set.
+def cached_grid(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], *, patch_size: int, stride: int, min_valid_pixels: int
+) -> DataFrame:
+    """Stored patch grid for exactly these parameters, built when absent.
 
-    For long-lived outputs such as the parcel id raster and its mapping.
+    Each parameter set has a folder of its own that is replaced as a whole, so two writers
+    do not add up and a grid without patches counts as stored.
     """
-    if not overwrite:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    folder = f"{path}/patch_size={patch_size}-stride={stride}-min_valid_pixels={min_valid_pixels}"
+    return stored_or_built(spark, folder, build)
 
 
 def store_raster(cells: DataFrame, table: str, *, buckets: int) -> DataFrame:
@@ -98,10 +87,14 @@ def store_raster(cells: DataFrame, table: str, *, buckets: int) -> DataFrame:
 
 
 def write_layers(layers: dict[str, DataFrame], path: str) -> None:
-    """Every layer under ``<path>/layer=<name>``; layers without rows are left out."""
-    for name, df in layers.items():
-        if not df.isEmpty():
-            df.write.mode("overwrite").parquet(f"{path}/layer={name}")
+    """Every layer under ``<path>/layer=<name>``, in one write; layers without rows are left out.
+
+    Layers have columns of their own, null where a layer lacks them; earlier layers at the
+    path are replaced.
+    """
+    tagged = [df.withColumn("layer", F.lit(name)) for name, df in layers.items()]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    whole.write.mode("overwrite").partitionBy("layer").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, columns) -> DataFrame:
