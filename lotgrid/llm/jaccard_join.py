@@ -31,7 +31,6 @@ from lotgrid.llm.wordhash import shingle_sets, split_words
 WIDTH = 5
 CELL_BITS = 24  # the counting table has 2**24 cells of one byte: 16 MB, whatever the corpus
 CELL_BLOCKS = 64
-RARE = 16  # tokens counted at most this often (beside the table's noise) are alike rare
 GROUP_SIZE = 64  # members of a group of the matrix
 BLOCK_SIZE = 128  # nodes of a block that is compared with another at once
 COLUMNS_AT_ONCE = 16_384
@@ -89,7 +88,8 @@ def _frequency_levels(survey: DataFrame) -> np.ndarray:
     rows = survey.where("block IS NOT NULL").select("block", "cells").groupBy("block").applyInPandas(add, "block int, sum long, cells binary").collect()
     noise = sum(r["sum"] for r in rows) / (1 << CELL_BITS)
     levels = np.zeros((CELL_BLOCKS, (1 << CELL_BITS) // CELL_BLOCKS), "u1")
-    rare = RARE + 4 * noise
+    # A token of one document may look this frequent; below that counts say nothing.
+    rare = 1 + noise + 2 * noise**0.5
     for r in rows:
         count = np.frombuffer(zlib.decompress(r["cells"]), "u4")
         levels[r["block"]] = np.minimum(255, np.ceil(8 * np.log2(np.maximum(count / rare, 1.0)))).astype("u1")
@@ -104,7 +104,7 @@ def _bitmap(tokens: np.ndarray, bits: int) -> list[int]:
 
 
 def _signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``node, n, prefix, wide, narrow``: prefix tokens and two bitmaps, of 4 to 8 and 2 to 4 bits a token.
+    """``node, n, prefix, bits``: prefix tokens and a bitmap of 2 to 4 bits a token.
 
     Equal sets within a batch of texts give one row.
     """
@@ -120,24 +120,31 @@ def _signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     continue
                 keep = n - (3 * n + 3) // 4 + 1
                 order = np.argsort(level[s >> np.uint64(64 - CELL_BITS)], kind="stable")[:keep]
-                bits = 1 << max(7, (4 * n - 1).bit_length())
-                rows[node] = (node, n, s[order].astype("i8").tolist(), _bitmap(s, bits), _bitmap(s, bits // 2))
-            yield pd.DataFrame(list(rows.values()), columns=["node", "n", "prefix", "wide", "narrow"])
+                rows[node] = (node, n, s[order].astype("i8").tolist(), _bitmap(s, 1 << max(6, (2 * n - 1).bit_length())))
+            yield pd.DataFrame(list(rows.values()), columns=["node", "n", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "node long, n long, prefix array<long>, wide array<long>, narrow array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "node long, n long, prefix array<long>, bits array<long>")
 
 
 def _lacking(a: Column, b: Column) -> Column:
-    """Bits of ``a`` that ``b`` does not have: as many tokens at least are only in ``a``."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+    """Bits of ``a`` that ``b`` does not have: as many tokens at least are only in ``a``.
+
+    Widths are powers of two; of two that differ by a factor of two the wider is folded.
+    """
+
+    def folded(x: Column, other: Column) -> Column:
+        half = F.floor(F.size(x) / 2).cast("int")
+        fold = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q))
+        return F.when(F.size(x) > F.size(other), fold).otherwise(x)
+
+    missing = F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.aggregate(missing, F.lit(0), lambda s, x: s + x)
 
 
 def _bound(p: str, q: str) -> Column:
     """Bound of the intersection of two rows over the sum of their sizes, from the bitmaps."""
     np_, nq = F.col(f"{p}.n"), F.col(f"{q}.n")
-    wp, wq = F.size(f"{p}.wide"), F.size(f"{q}.wide")
-    bp = F.when(wp > wq, F.col(f"{p}.narrow")).otherwise(F.col(f"{p}.wide"))
-    bq = F.when(wq > wp, F.col(f"{q}.narrow")).otherwise(F.col(f"{q}.wide"))
+    bp, bq = F.col(f"{p}.bits"), F.col(f"{q}.bits")
     return F.least(np_ - _lacking(bp, bq), nq - _lacking(bq, bp)) / (np_ + nq)
 
 
@@ -255,24 +262,22 @@ def _across_groups(postings: DataFrame, comps: DataFrame, signatures: DataFrame)
     kinds = signatures.dropDuplicates(["node"])
     members = nodes.join(sizes, "comp").join(kinds, "node").withColumn("block", F.expr(f"pmod(xxhash64(node), CAST(ceil(members / {GROUP_SIZE}) AS INT))"))
     # Members of a group have bitmaps of one width.
-    group = F.struct("comp", "block", F.size("wide").alias("width"))
-    members = stored(members.select("node", "comp", "members", "n", "wide", "narrow", group.alias("grp")), "join_members")
-    tokens = placed.select("token", "node").join(members.select("node", "comp", "members", "grp"), "node")
-    queries = tokens.select("token", F.col("node").alias("a"), F.struct("members", "comp").alias("own"))
+    group = F.struct("comp", "block", F.size("bits").alias("width"))
+    members = stored(members.select("node", "comp", "members", "n", "bits", group.alias("grp")), "join_members")
+    tokens = placed.select("token", "node").join(members.select("node", "comp", "members", "n", "grp"), "node")
+    queries = tokens.select("token", F.col("node").alias("a"), "n", F.struct("members", "comp").alias("own"))
     holders = tokens.select("token", "grp", F.struct("members", "comp").alias("other")).distinct()
     # Of two groups the members of the smaller one ask; equal sizes go by name.
-    asked = stored(queries.join(holders, "token").where("own < other").select("a", "grp").distinct(), "join_asked")
-    union = lambda name: F.expr(
-        f"aggregate(slice(m, 2, size(m)), m[0].{name}, (u, x) -> zip_with(u, x.{name}, (p, q) -> p | q))"
-    )
-    matrix = members.groupBy("grp").agg(F.collect_list(F.struct("node", "n", "wide", "narrow")).alias("m"))
-    matrix = stored(matrix.select("grp", union("wide").alias("wide"), union("narrow").alias("narrow"), "m"), "join_matrix")
-    q = members.select(F.col("node").alias("a"), F.struct("n", "wide", "narrow").alias("q"))
+    asked = queries.join(holders, "token").where("own < other").select("a", "n", "grp").distinct()
+    spans = members.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    asked = stored(asked.join(spans, "grp").where("4 * n >= 3 * lo AND 4 * hi >= 3 * n").select("a", "grp"), "join_asked")
+    matrix = members.groupBy("grp").agg(F.collect_list(F.struct("node", "n", "bits")).alias("m"))
+    union = F.expr("aggregate(slice(m, 2, size(m)), m[0].bits, (u, x) -> zip_with(u, x.bits, (p, q) -> p | q))")
+    matrix = stored(matrix.select("grp", union.alias("bits"), "m"), "join_matrix")
+    q = members.select(F.col("node").alias("a"), F.struct("n", "bits").alias("q"))
     opened = asked.join(q, "a").join(matrix, "grp")
-    wq, wg = F.size("q.wide"), F.size("wide")
-    mine = F.when(wq > wg, F.col("q.narrow")).otherwise(F.col("q.wide"))
-    theirs = F.when(wg > wq, F.col("narrow")).otherwise(F.col("wide"))
-    fits = (2 * wq >= wg) & (2 * wg >= wq) & (4 * (F.col("q.n") - _lacking(mine, theirs)) >= 3 * F.col("q.n"))
+    wq, wg = F.size("q.bits"), F.size("bits")
+    fits = (2 * wq >= wg) & (2 * wg >= wq) & (4 * (F.col("q.n") - _lacking(F.col("q.bits"), F.col("bits"))) >= 3 * F.col("q.n"))
     pairs = opened.where(fits).select("a", "q", F.explode("m").alias("g")).where(_sizes_fit("q", "g"))
     return pairs.select("a", F.col("g.node").alias("b"), _bound("q", "g").alias("bound")).where(F.col("bound") >= LEAST_SHARE)
 
@@ -294,7 +299,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     shared = stored(shared, "join_shared")
     postings = stored(rows.join(shared, "token").select("token", "node", "leader", "last").distinct(), "join_postings")
     dropped(shared)
-    sides = signatures.select("node", F.struct("n", "wide", "narrow").alias("s")).dropDuplicates(["node"])
+    sides = signatures.select("node", F.struct("n", "bits").alias("s")).dropDuplicates(["node"])
     sides = stored(sides.join(postings.select("node").distinct(), "node", "left_semi"), "join_sides")
     dropped(signatures)
     led = postings.select(F.col("node").alias("a"), F.explode(F.array("leader", "last")).alias("b")).where("a <> b").distinct()
