@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,7 @@ TEXTS_AT_ONCE = 256
 
 
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Parts of the frames with their texts' shingle sets; numbers read here have no nulls beside them."""
     for whole in frames:
         for k in range(0, len(whole), TEXTS_AT_ONCE):
             batch = whole.iloc[k : k + TEXTS_AT_ONCE]
@@ -58,21 +60,29 @@ def _node(tokens: np.ndarray) -> int | None:
 def _survey(docs: DataFrame) -> DataFrame:
     """One row per document (``doc_id, n, node``) and, per task, its token counts by block of cells (``block, cells``)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, "u2")
-        names = ["doc_id", "n", "node", "block", "cells"]
-        for batch, sets in _batches(frames):
-            every = np.concatenate(sets) >> np.uint64(64 - CELL_BITS)
-            at, count = np.unique(every, return_counts=True)
-            cells[at] = np.minimum(cells[at] + count, 60_000)
-            rows = [(d, len(s), _node(s), None, None) for d, s in zip(batch["doc_id"], sets, strict=True)]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": batch["doc_id"].dtype, "node": "Int64", "block": "Int32"})
+        kind = None
+
+        def rows(doc_id, n, node, block, packed) -> pa.RecordBatch:
+            columns = [doc_id, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(block, pa.int32()), pa.array(packed, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "block", "cells"])
+
+        for whole in batches:
+            kind = whole.column("doc_id").type
+            for k in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(k, TEXTS_AT_ONCE)
+                sets = shingle_sets(split_words(batch.column("text").to_pylist()), WIDTH)
+                at, count = np.unique(np.concatenate(sets) >> np.uint64(64 - CELL_BITS), return_counts=True)
+                cells[at] = np.minimum(cells[at] + count, 60_000)
+                none = [None] * len(sets)
+                yield rows(batch.column("doc_id"), [len(s) for s in sets], [_node(s) for s in sets], none, none)
         for k, part in enumerate(np.split(cells, CELL_BLOCKS)):
             if part.any():
-                yield pd.DataFrame([(None, None, None, k, zlib.compress(part.tobytes(), 1))], columns=names)
+                yield rows(pa.nulls(1, kind), [None], [None], [k], [zlib.compress(part.tobytes(), 1)])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, node long, block int, cells binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, block int, cells binary")
 
 
 def _frequency_levels(survey: DataFrame) -> np.ndarray:
