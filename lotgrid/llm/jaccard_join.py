@@ -32,6 +32,7 @@ from lotgrid.llm.wordhash import shingle_sets, split_words
 WIDTH = 5
 CELL_BITS = 24  # the counting table has 2**24 cells of one byte: 16 MB, whatever the corpus
 CELL_BLOCKS = 64
+LEADER_TOKENS = 3  # prefix tokens with one leader from which its nearness is looked at
 GROUP_SIZE = 64  # members of a group of the matrix
 BLOCK_SIZE = 128  # nodes of a block that is compared with another at once
 COLUMNS_AT_ONCE = 16_384
@@ -312,7 +313,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     sides = signatures.select("node", F.struct("n", "bits").alias("s")).dropDuplicates(["node"])
     sides = stored(sides.join(postings.select("node").distinct(), "node", "left_semi"), "join_sides")
     dropped(signatures)
-    led = postings.select(F.col("node").alias("a"), F.explode(F.array("leader", "last")).alias("b")).where("a <> b").distinct()
+    led = postings.select(F.col("node").alias("a"), F.explode(F.array("leader", "last")).alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
+    # One common token rarely means nearness; what is missed here is left to the matrix.
+    led = led.where(F.col("w") >= LEADER_TOKENS).select("a", "b")
     led = led.join(sides.select(F.col("node").alias("a"), F.col("s").alias("p")), "a").join(sides.select(F.col("node").alias("b"), F.col("s").alias("q")), "b")
     # Groups take in what is only near, so that whole clusters of variants are compared inside them.
     near = stored(led.select("a", "b", _bound("p", "q").alias("bound")).where(F.col("bound") >= NEAR_SHARE).select("a", "b"), "join_near")
