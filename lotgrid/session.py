@@ -41,7 +41,7 @@ def scratch_root(spark: SparkSession) -> str:
         base = named.get() if named.isDefined() else None
     if not base:
         warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        if urlparse(warehouse).scheme in ("", "file") and not context.master.startswith("local["):
+        if urlparse(warehouse).scheme in ("", "file") and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"{warehouse.rstrip('/')}/scratch"
     return base.rstrip("/")
