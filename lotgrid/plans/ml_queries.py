@@ -203,8 +203,8 @@ _FIT_SQL = (
     + _PATCHES
     + """, cells AS (SELECT prow, pcol, r.label, split FROM raster r JOIN sp ON row_off = (prow//8)*8 AND col_off = (pcol//8)*8 WHERE split <> 'excluded'),
     fit AS (SELECT 'train' AS drawn_from, * FROM cells WHERE split = 'train' AND label <> 255 UNION ALL SELECT 'all', * FROM cells WHERE label <> 255),
-    kept AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY drawn_from, label ORDER BY {h}, prow, pcol) <= CASE label WHEN 1 THEN {v} ELSE {o} END)
-    SELECT drawn_from, count(*) AS fitted, count(*) FILTER (split <> 'train') AS evaluated_too FROM kept GROUP BY 1""".format(
+    drawn AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY drawn_from, label ORDER BY {h}, prow, pcol) <= CASE label WHEN 1 THEN {v} ELSE {o} END)
+    SELECT drawn_from, count(*) AS fitted, count(*) FILTER (split <> 'train') AS evaluated_too FROM drawn GROUP BY 1""".format(
         h=hash_sql("prow*3000000019+pcol", 42), v=PIXEL_SAMPLE["n_vacant"], o=PIXEL_SAMPLE["n_other"]
     )
 )
