@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from lotgrid.session import cut_lineage
@@ -49,6 +50,22 @@ def dropped(*tables: DataFrame) -> None:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+def text_parts(lengths: list[int], rows: int, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Start and number of rows of parts of at most ``rows`` rows and ``size`` bytes; a longer text is a part alone."""
+    start = held = 0
+    for k, n in enumerate(lengths):
+        if k > start and (k - start == rows or held + n > size):
+            yield start, k - start
+            start, held = k, 0
+        held += n
+    if len(lengths) > start:
+        yield start, len(lengths) - start
+
+
+def byte_lengths(texts: pa.Array) -> list[int]:
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+
+
 def map_texts(
     df: DataFrame,
     keep: list[str],
@@ -57,7 +74,7 @@ def map_texts(
     work: Callable[[list[str | None]], tuple[list[int] | None, dict[str, list]]],
     at_once: int = 256,
 ) -> DataFrame:
-    """Run ``work`` over the texts of ``df``, ``at_once`` rows at a time.
+    """Run ``work`` over the texts of ``df``, at most ``at_once`` rows and about a megabyte at a time.
 
     ``work`` returns the columns of ``made`` (name to Spark and Arrow type) and, unless there
     is one output row per text, the text's position for every output row.  The ``keep``
@@ -68,8 +85,8 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, at_once):
-                batch = whole.slice(k, at_once)
+            for start, count in text_parts(byte_lengths(whole.column(text)), at_once):
+                batch = whole.slice(start, count)
                 rows, columns = work(batch.column(text).to_pylist())
                 kept = [batch.column(c) if rows is None else batch.column(c).take(pa.array(rows, pa.int64())) for c in keep]
                 new = [pa.array(columns[c], kind) for c, (_, kind) in made.items()]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotgrid.llm.common import dropped, fresh, stored
+from lotgrid.llm.common import byte_lengths, dropped, fresh, stored, text_parts
 from lotgrid.llm.components import components
 from lotgrid.llm.wordhash import shingle_sets, split_words
 
@@ -45,8 +45,8 @@ TEXTS_AT_ONCE = 256
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
     """Parts of the frames with their texts' shingle sets; numbers read here have no nulls beside them."""
     for whole in frames:
-        for k in range(0, len(whole), TEXTS_AT_ONCE):
-            batch = whole.iloc[k : k + TEXTS_AT_ONCE]
+        for start, count in text_parts([len(t or "") for t in whole["text"]], TEXTS_AT_ONCE):
+            batch = whole.iloc[start : start + count]
             yield batch, shingle_sets(split_words(batch["text"].tolist()), WIDTH)
 
 
@@ -71,8 +71,8 @@ def _survey(docs: DataFrame) -> DataFrame:
 
         for whole in batches:
             kind = whole.column("doc_id").type
-            for k in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(k, TEXTS_AT_ONCE)
+            for start, size in text_parts(byte_lengths(whole.column("text")), TEXTS_AT_ONCE):
+                batch = whole.slice(start, size)
                 sets = shingle_sets(split_words(batch.column("text").to_pylist()), WIDTH)
                 at, count = np.unique(np.concatenate(sets) >> np.uint64(64 - CELL_BITS), return_counts=True)
                 cells[at] = np.minimum(cells[at] + count, 60_000)
