@@ -4,7 +4,8 @@ Vectors are scaled to unit length within ranges of norms (one more coordinate ta
 a shorter vector lacks, which turns the largest inner product into the smallest angle).  A
 table rotates them with three rounds of random signs and fast Hadamard transforms and puts
 each on the nearest signed axis.  A query looks into the buckets of its nearest axes in
-every table and its candidates are ranked by exact inner products, block by block.
+every table and its candidates are ranked by exact inner products, block by block.  A query
+that finds fewer others than it asks for is ranked against all vectors of its length.
 
 Equal vectors are hashed once; of their ids only the ``k + 1`` smallest can be in a result.
 """
@@ -94,7 +95,8 @@ def nearest(embeddings: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, t
     """``query_id, rank, vec_id, score`` for the rows whose vec_id is divisible by ``every``.
 
     Vectors are compared with those of their own length.  Repeated rows are one; the same id
-    with two vectors is two candidates and two queries.  An empty table gives no rows.
+    with two vectors is two candidates and two queries.  Every query gets ``k`` rows, or all
+    others of its length if there are fewer.  An empty table gives no rows.
     """
     rows = usable(embeddings)
     kind = dict(rows.dtypes)
@@ -133,15 +135,6 @@ def nearest(embeddings: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, t
     schema = "tab int, width int, band int, axis int, node long"
     place = stored(nodes.select("node", "v").mapInPandas(placed, schema), "ann_place")
     probe = stored(queries.mapInPandas(probed, schema), "ann_probe")
-    # Buckets are counted to cut crowded ones into blocks; there are at most tables * axes a band.
-    crowd = place.groupBy(*KEY).agg(F.count(F.lit(1)).alias("c")).join(probe.groupBy(*KEY).agg(F.count(F.lit(1)).alias("q")), KEY)
-    crowd = stored(crowd.select(*KEY, F.ceil(F.col("c") / BLOCK).cast("int").alias("cs"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qs")), "ann_crowd")
-    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    block = [*KEY, "cpart", "qpart"]
-    held = place.join(crowd, KEY).select(*KEY, part("cs").alias("cpart"), spread("qs").alias("qpart"), "node").join(nodes.select("node", "v", F.col("ids")[0].alias("least")), "node")
-    asked = probe.join(crowd, KEY).select(*KEY, part("qs").alias("qpart"), spread("cs").alias("cpart"), "node").join(queries, "node")
-
     def rank(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"qnode": [], "node": [], "score": [], "least": []}, dtype="i8").astype({"score": "f8"})
@@ -156,11 +149,32 @@ def nearest(embeddings: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, t
         exact = (a[i] * b[j]).sum(axis=1)
         return pd.DataFrame({"qnode": q["node"].to_numpy()[i], "node": c["node"].to_numpy()[j], "score": exact, "least": c["least"].to_numpy()[j]})
 
-    scored = asked.groupBy(*block).cogroup(held.groupBy(*block)).applyInPandas(rank, f"qnode long, node long, score double, least {kind['vec_id']}")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = [*KEY, "cpart", "qpart"]
     best = Window.partitionBy("qnode").orderBy(F.desc("score"), "least", "node")
-    # A vector turns up once a table at most; after the first cut the tables' finds are merged.
-    found = scored.withColumn("at", F.row_number().over(best)).where(F.col("at") <= tables * (k + 1)).dropDuplicates(["qnode", "node"])
-    found = stored(found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).select("qnode", "node", "score"), "ann_found")
+
+    def ranked(place: DataFrame, probe: DataFrame, times: int, name: str) -> DataFrame:
+        """``qnode, node, score``: the best ``k + 1`` nodes among those that share a key, at most ``times`` each."""
+        # Buckets are counted to cut crowded ones into blocks; there are at most tables * axes a band.
+        crowd = place.groupBy(*KEY).agg(F.count(F.lit(1)).alias("c")).join(probe.groupBy(*KEY).agg(F.count(F.lit(1)).alias("q")), KEY)
+        crowd = stored(crowd.select(*KEY, F.ceil(F.col("c") / BLOCK).cast("int").alias("cs"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qs")), f"{name}_crowd")
+        held = place.join(crowd, KEY).select(*KEY, part("cs").alias("cpart"), spread("qs").alias("qpart"), "node").join(nodes.select("node", "v", F.col("ids")[0].alias("least")), "node")
+        asked = probe.join(crowd, KEY).select(*KEY, part("qs").alias("qpart"), spread("cs").alias("cpart"), "node").join(queries, "node")
+        scored = asked.groupBy(*block).cogroup(held.groupBy(*block)).applyInPandas(rank, f"qnode long, node long, score double, least {kind['vec_id']}")
+        # A vector turns up ``times`` at most; after the first cut the finds are merged.
+        found = scored.withColumn("at", F.row_number().over(best)).where(F.col("at") <= times * (k + 1)).dropDuplicates(["qnode", "node"])
+        return stored(found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).select("qnode", "node", "score"), f"{name}_found")
+
+    found = ranked(place, probe, tables, "ann")
+    # Queries whose buckets hold fewer than k others are ranked against all vectors of their length.
+    others = F.sum(F.size("ids") - F.when(F.col("qnode") == F.col("node"), 1).otherwise(0))
+    full = found.join(nodes.select("node", "ids"), "node").groupBy("qnode").agg(others.alias("n")).where(F.col("n") >= k)
+    short = stored(queries.join(full, queries["node"] == full["qnode"], "left_anti").select("node", "v"), "ann_short")
+    if not short.isEmpty():
+        whole = lambda df: df.select(F.lit(-1).alias("tab"), F.size("v").alias("width"), F.lit(0).alias("band"), F.lit(0).alias("axis"), "node")
+        every_one = ranked(whole(nodes), whole(short), 1, "ann_all")
+        found = found.join(short, found["qnode"] == short["node"], "left_anti").unionByName(every_one)
     ids = found.join(nodes.select("node", "ids"), "node").select("qnode", "node", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("qnode").orderBy(F.desc("score"), "vec_id", "node")
     ids = ids.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)

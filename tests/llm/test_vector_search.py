@@ -1,6 +1,7 @@
 """Vector search: recall against brute force, exact scores, copies and unusable vectors."""
 
 import numpy as np
+import pytest
 
 from lotgrid.llm.vector_search import nearest, rotate
 
@@ -53,3 +54,27 @@ def test_copies_ties_and_unusable(spark):
 
 def test_empty(spark):
     assert nearest(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("n", [5, 15, 21, 40])
+def test_small_tables_give_all_or_twenty(spark, n):
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.random.default_rng(n).normal(size=(n, 64)).astype("f4"))]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, SCHEMA), every=1).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    want = brute(rows, 20, 1)
+    assert {q: len(v) for q, v in got.items()} == dict.fromkeys(range(n), min(20, n - 1))
+    if n <= 21:
+        assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_rare_length_and_cone(spark):
+    rng = np.random.default_rng(9)
+    cone = np.eye(64)[0] * 10 + rng.normal(size=(400, 64)) * 0.01
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(cone.astype("f4"))]
+    rows += [(1000, (-np.eye(64)[0]).tolist(), 0), (1020, np.eye(64)[5].tolist(), 0)]
+    rows += [(2000 + i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(13, 32)).astype("f4"))]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, SCHEMA)).collect():
+        got[r["query_id"]] = got.get(r["query_id"], 0) + 1
+    assert got == {q: 20 for q in [*range(0, 400, 20), 1000, 1020]} | {2000: 12}
