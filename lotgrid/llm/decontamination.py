@@ -1,14 +1,12 @@
-"""Benchmark decontamination with SimHash over item-sized windows.
+"""Benchmark decontamination over item-sized windows, with exact verification of every candidate.
 
-For every size of benchmark item, windows of that many words are fingerprinted and looked up
-among the items' fingerprints of that size: both are cut into ``RADIUS + 1`` blocks, so two
-fingerprints within the radius agree in a block.  Candidates are verified exactly by the
-similarity of their weighted 5-word shingles (a shingle weighs as often as it occurs).
-
-Windows that share too few shingles with any item cannot qualify and are not fingerprinted:
+Windows that share too few shingles with any item cannot qualify and are not laid:
 a similarity ``t`` of two equally long windows needs ``2t / (1 + t)`` of an item's shingles,
 so of any larger rest of an item's shingles one occurs in the window.  Those few anchor
-shingles per item decide where windows are laid.  Only built-in functions run here.
+shingles per item decide where windows are laid and with which items they are compared: by
+the similarity of their weighted 5-word shingles (a shingle weighs as often as it occurs).
+No fingerprint stands before that comparison; the SimHash distance of a find is reported
+only.  Only built-in functions run here.
 """
 
 from __future__ import annotations
@@ -23,7 +21,6 @@ from lotgrid.llm.common import stored
 # Production parameters.
 WIDTH = 5
 MIN_SIMILARITY = 0.75
-RADIUS = 12  # of 64 bits
 # Item rows up to this number are sent to all tasks; a larger benchmark is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -53,8 +50,9 @@ def _shingle_hashes(words: str, width: int = WIDTH) -> Column:
 def _counted_shingles(words: str) -> Column:
     """Shingles as text, numbered by occurrence, so that a set intersection respects weights."""
     plain = f"transform(sequence(1, greatest(size({words}) - {WIDTH - 1}, 1)), i -> array_join(slice({words}, i, {WIDTH}), ' '))"
-    # The outer one-element transform names the shingles, so that they are built once.
-    return F.expr(f"get(transform(array({plain}), p -> transform(p, (s, i) -> s || '#' || size(filter(slice(p, 1, i + 1), o -> o = s)))), 0)")
+    counted = "transform(p, (s, i) -> s || '#' || size(filter(slice(p, 1, i + 1), o -> o = s)))"
+    # The outer one-element transform names the shingles, so that they are built once; only repeated ones are counted.
+    return F.expr(f"get(transform(array({plain}), p -> IF(size(array_distinct(p)) = size(p), transform(p, s -> s || '#1'), {counted})), 0)")
 
 
 def simhash(words: str) -> Column:
@@ -64,42 +62,25 @@ def simhash(words: str) -> Column:
     return F.expr(f"get(transform(array(transform({words}, w -> xxhash64(w))), hs -> {bits}), 0)")
 
 
-def _block_masks(radius: int) -> list[tuple[int, int]]:
-    """First bit and width of ``radius + 1`` blocks that share the 64 bits evenly."""
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-
-def _blocks(fingerprint: str, radius: int) -> Column:
-    parts = [F.expr(f"struct({k} AS block, shiftrightunsigned({fingerprint}, {a}) & {(1 << w) - 1}L AS bits)") for k, (a, w) in enumerate(_block_masks(radius))]
-    return F.explode(F.array(*parts))
-
-
 # Exploding uses the outer forms: the inner ones make the optimizer test the size of an array
 # first, by computing it a second time, with its own inputs recomputed for every element.
 
 
-def _first_equal_block(difference: Column, radius: int) -> Column:
-    first = F.lit(None).cast("int")
-    for k, (a, w) in reversed(list(enumerate(_block_masks(radius)))):
-        first = F.when(F.shiftrightunsigned(difference, a).bitwiseAND(F.lit((1 << w) - 1)) == 0, k).otherwise(first)
-    return first
-
-
 def prepare_items(benchmark: DataFrame) -> DataFrame:
-    """``item_id, words, size, fingerprint, shingles`` of the items that have words; equal rows once."""
+    """``item_id, words, size, item, fingerprint, shingles`` of the items that have words; equal rows once.  ``item`` is the words' hash."""
     items = benchmark.select("item_id", _words("text").alias("words")).where(F.size("words") > 0).distinct()
-    items = items.withColumn("size", F.size("words"))
+    items = items.withColumn("size", F.size("words")).withColumn("item", F.xxhash64("words"))
     return stored(items.select("*", simhash("words").alias("fingerprint"), _counted_shingles("words").alias("shingles")), "leak_items")
 
 
 def _anchors(items: DataFrame) -> DataFrame:
-    """``hash, at, size, slack``: the anchor shingles of the items, at most one row per place and size."""
-    shingles = items.select("size", _shingle_count("words").alias("n"), _shingle_hashes("words").alias("hashes"))
+    """``hash, at, size, slack, of``: the anchor shingles of the items, one row per place and size, with the items that have it."""
+    shingles = items.select("size", "item", _shingle_count("words").alias("n"), _shingle_hashes("words").alias("hashes"))
     shingles = shingles.withColumn("slack", (F.col("n") - _needed(F.col("n"))).cast("int"))
     # The anchors are the shingles with the smallest hashes: any choice that is fixed per item will do.
     ranked = F.expr("slice(array_sort(transform(hashes, (h, i) -> struct(h AS hash, i AS at))), 1, slack + 1)")
-    return shingles.select("size", "slack", F.explode(ranked).alias("a")).select("a.hash", "a.at", "size", "slack").distinct()
+    placed = shingles.select("size", "slack", "item", F.explode(ranked).alias("a"))
+    return placed.groupBy("a.hash", "a.at", "size", "slack").agg(F.collect_set("item").alias("of"))
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -107,7 +88,7 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", radius: int = RADIUS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Passages of ``benchmark(item_id, text)`` in ``docs(doc_id, text)``.
 
     One row per document and item: ``doc_id, key, item_id, first_word, n_words, distance,
@@ -138,36 +119,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", radius
     starts = F.expr("transform(sequence(-slack, slack), d -> greatest(0, least(pos - at + d, n - size)))")
     windows = (
         placed.join(_bounded(anchors, anchors.count()), "hash")
-        .select("doc_id", "key", "size", F.explode_outer(F.array_distinct(starts)).alias("first"))
-        .distinct()
+        .select("doc_id", "key", "size", "of", F.explode_outer(F.array_distinct(starts)).alias("first"))
+        .select("doc_id", "key", "size", "first", F.explode_outer("of").alias("item"))
+        .groupBy("doc_id", "key", "first", "size")
+        .agg(F.collect_set("item").alias("of"))
         .groupBy("doc_id", "key")
-        .agg(F.collect_set(F.struct("first", "size")).alias("windows"))
+        .agg(F.collect_list(F.struct("first", "size", "of")).alias("windows"))
     )
     windows = stored(windows, "leak_windows").select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "windows")
-    cut = F.expr("transform(windows, w -> struct(w.first AS first, w.size AS size, slice(words, w.first + 1, w.size) AS words))")
+    cut = F.expr("transform(windows, w -> struct(w.first AS first, w.size AS size, w.of AS of, slice(words, w.first + 1, w.size) AS words))")
     laid = (
         named.join(windows, named["doc_id"].eqNullSafe(windows["d"]) & (named["key"] == windows["k"]))
         .select("doc_id", "key", "windows", _words("text").alias("words"))
         .select("doc_id", "key", F.explode_outer(cut).alias("w"))
         .select("doc_id", "key", "w.*")
-        .withColumn("fingerprint", simhash("words"))
-    )
-    index = items.select("item_id", "size", F.col("fingerprint").alias("item_bits"), "shingles", _blocks("fingerprint", radius).alias("b"))
-    index = index.select("item_id", "size", "item_bits", "shingles", "b.block", "b.bits")
-    probes = laid.select("*", _blocks("fingerprint", radius).alias("b")).select("doc_id", "key", "first", "size", "words", "fingerprint", "b.block", "b.bits")
-    difference = F.col("fingerprint").bitwiseXOR(F.col("item_bits"))
-    near = (
-        probes.join(_bounded(index, index.count()), ["size", "block", "bits"])
-        .where((F.bit_count(difference) <= radius) & (_first_equal_block(difference, radius) == F.col("block")))
-        .select("doc_id", "key", "item_id", "first", "words", "shingles", F.bit_count(difference).alias("distance"), F.size("words").alias("n_words"), _counted_shingles("words").alias("own"))
+        .withColumn("own", _counted_shingles("words"))
+        .select("doc_id", "key", "first", "size", "words", "own", F.explode_outer("of").alias("item"))
     )
-    near = near.withColumn("common", F.size(F.array_intersect("own", "shingles"))).drop("words")
-    scored = near.withColumn("similarity", F.col("common") / (F.size("own") + F.size("shingles") - F.col("common")))
+    sought = items.select("item_id", "item", "size", F.col("fingerprint").alias("item_bits"), "shingles")
+    near = laid.join(_bounded(sought, sought.count()), ["item", "size"]).withColumn("common", F.size(F.array_intersect("own", "shingles")))
+    scored = near.withColumn("similarity", F.col("common") / (F.size("own") + F.size("shingles") - F.col("common"))).where(F.col("similarity") >= min_similarity)
+    scored = scored.withColumn("n_words", F.size("words")).withColumn("distance", F.bit_count(simhash("words").bitwiseXOR(F.col("item_bits"))))
     best = F.max(F.struct("similarity", (-F.col("first")).alias("back"), "n_words", (-F.col("distance")).alias("near")))
     return (
         scored.groupBy("doc_id", "key", "item_id")
         .agg(best.alias("b"))
-        .where(F.col("b.similarity") >= min_similarity)
         .select(
             "doc_id",
             "key",

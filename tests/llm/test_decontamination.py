@@ -84,3 +84,19 @@ def test_awkward_rows(spark):
     assert drop_leaking(df, bench.limit(0)).count() == len(docs)
     with pytest.raises(ValueError):
         find_leaks(df, bench, min_similarity=0.5)
+
+
+def test_changed_heads_and_tails(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 8)))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([20, 50, 60, 75, 100] * 12)]
+    docs = []
+    for k, text in items:
+        w = text.split()
+        cut = (len(w) - 4) // 7  # similarity 0.75 to 0.78
+        new = [word() for _ in range(cut)]
+        docs.append((k, " ".join([word() for _ in range(9)] + (new + w[cut:] if k % 2 else w[:-cut] + new) + [word() for _ in range(9)])))
+    got = find_leaks(spark.createDataFrame([(*d, "c") for d in docs], DOCS), spark.createDataFrame([(*i, 1) for i in items], BENCH)).collect()
+    want = {(k, k): brute([docs[k]], [items[k]]).get((k, k)) for k, _ in items}
+    assert all(want.values())
+    assert {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.similarity) for r in got} == want
