@@ -2,7 +2,8 @@
 
 Windows that share too few shingles with any item cannot qualify and are not laid:
 a similarity ``t`` of two equally long windows needs ``2t / (1 + t)`` of an item's shingles,
-so of any larger rest of an item's shingles one occurs in the window.  Those few anchor
+so of any larger rest of an item's shingles one occurs in the window.  A document shorter than
+the item needs only ``t`` of them, so more anchors are laid for it.  Those few anchor
 shingles per item decide where windows are laid and with which items they are compared: by
 the similarity of their weighted 5-word shingles (a shingle weighs as often as it occurs).
 No fingerprint stands before that comparison; the SimHash distance of a find is reported
@@ -74,13 +75,17 @@ def prepare_items(benchmark: DataFrame) -> DataFrame:
 
 
 def _anchors(items: DataFrame) -> DataFrame:
-    """``hash, at, size, slack, of``: the anchor shingles of the items, one row per place and size, with the items that have it."""
+    """``hash, at, size, slack, brief, of``: the anchor shingles of the items, one row per place and size, with the items that have it.
+
+    ``brief`` ones are only for documents of fewer words than the item, which may miss more shingles.
+    """
     shingles = items.select("size", "item", _shingle_count("words").alias("n"), _shingle_hashes("words").alias("hashes"))
     shingles = shingles.withColumn("slack", (F.col("n") - _needed(F.col("n"))).cast("int"))
+    shingles = shingles.withColumn("spare", (F.col("n") - F.ceil(F.col("n") * MIN_SIMILARITY - 1e-9)).cast("int"))
     # The anchors are the shingles with the smallest hashes: any choice that is fixed per item will do.
-    ranked = F.expr("slice(array_sort(transform(hashes, (h, i) -> struct(h AS hash, i AS at))), 1, slack + 1)")
-    placed = shingles.select("size", "slack", "item", F.explode(ranked).alias("a"))
-    return placed.groupBy("a.hash", "a.at", "size", "slack").agg(F.collect_set("item").alias("of"))
+    ranked = F.expr("slice(array_sort(transform(hashes, (h, i) -> struct(h AS hash, i AS at))), 1, spare + 1)")
+    placed = shingles.select("size", "slack", "item", F.posexplode(ranked).alias("rank", "a"))
+    return placed.groupBy("a.hash", "a.at", "size", "slack", (F.col("rank") > F.col("slack")).alias("brief")).agg(F.collect_set("item").alias("of"))
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -119,6 +124,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_si
     starts = F.expr("transform(sequence(-slack, slack), d -> greatest(0, least(pos - at + d, n - size)))")
     windows = (
         placed.join(_bounded(anchors, anchors.count()), "hash")
+        .where(~F.col("brief") | (F.col("n") < F.col("size")))
         .select("doc_id", "key", "size", "of", F.explode_outer(F.array_distinct(starts)).alias("first"))
         .select("doc_id", "key", "size", "first", F.explode_outer("of").alias("item"))
         .groupBy("doc_id", "key", "first", "size")

@@ -100,3 +100,18 @@ def test_changed_heads_and_tails(spark):
     want = {(k, k): brute([docs[k]], [items[k]]).get((k, k)) for k, _ in items}
     assert all(want.values())
     assert {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.similarity) for r in got} == want
+
+
+def test_documents_shorter_than_the_item(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 8)))
+    items = [(k, " ".join(word() for _ in range(8 + k % 20))) for k in range(60)]
+    docs = []
+    for k, text in items:
+        w = text.split()
+        cut = (len(w) - 4) // 4
+        docs.append((k, " ".join(w[cut:] if k % 2 else w[:-cut])))
+    got = find_leaks(spark.createDataFrame([(*d, "c") for d in docs], DOCS), spark.createDataFrame([(*i, 1) for i in items], BENCH)).collect()
+    want = brute(docs, items)
+    assert len(want) == 60
+    assert {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.similarity) for r in got} == want
