@@ -19,8 +19,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their site's boilerplate lines; ``n_chars`` follows the text."""
-    return line_dedup.drop_site_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    """All documents, without their site's boilerplate lines; ``n_chars`` follows the text.
+
+    The ratio alone decides; a line of a single page is no repetition.
+    """
+    return line_dedup.drop_site_lines(docs, min_pages=2).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

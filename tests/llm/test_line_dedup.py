@@ -1,5 +1,6 @@
 """Line dedup by site frequency, on planted lines and awkward rows."""
 
+import corpus_pipeline
 from lotgrid.llm.line_dedup import drop_site_lines
 
 SCHEMA = "doc_id long, source string, text string, __hot int, site string, key string"
@@ -32,3 +33,9 @@ def test_empty_and_long(spark):
     assert run(spark, []) == []
     long = "\n".join(f"line {i}" for i in range(50_000))
     assert run(spark, [(1, "a", long + "\nfoot"), (2, "a", "foot")]) == [(1, long, 50_001, 1), (2, "", 1, 1)]
+
+
+def test_pipeline_drops_footers_of_small_sites(spark):
+    rows = [(i, f"s{n}", f"own {n} {i}\nfoot") for n in (1, 2, 3, 9) for i in range(n)]
+    out = corpus_pipeline.dedup_lines(spark, spark.createDataFrame([(*r, 7, "s", "k") for r in rows], SCHEMA), "")
+    assert {(r.source, r.text) for r in out.collect()} == {(s, t if s == "s1" else t.removesuffix("\nfoot")) for _, s, t in rows}
