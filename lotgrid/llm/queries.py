@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lotgrid.llm import decontamination, html_text, jaccard_join, language_id, license_scan, line_dedup, packing, quality, vector_search, warc
+from lotgrid.llm import decontamination, html_text, jaccard_join, language_id, license_scan, line_dedup, packing, quality, vector_codes, vector_search, warc
 from lotgrid.llm.common import table, tokenizer_path
 
 
@@ -52,6 +52,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.drop("key", "distance")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("tried")
+
+
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -63,6 +67,7 @@ LLM_QUERIES = {
     "op8_packing": op8_packing,
     "op9_html_text": op9_html_text,
     "op10_decontamination": op10_decontamination,
+    "op11_vector_codes": op11_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -71,4 +76,5 @@ LLM_SQL = {
     "op2_jaccard_join": jaccard_join.SQL,
     "op3_warc": warc.SQL,
     "op10_decontamination": decontamination.SQL,
+    "op11_vector_codes": vector_codes.SQL,
 }
