@@ -6,8 +6,10 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from lotgrid.session import cut_lineage
@@ -93,3 +95,22 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays([*kept, *new], [*keep, *made])
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+
+
+def pack_integers(values: np.ndarray) -> bytes:
+    """Integers as compressed bytes, low bytes of all first, which compresses small numbers well."""
+    values = np.ascontiguousarray(values)
+    planes = values.view("u1").reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(values.dtype.char.encode() + planes.tobytes())
+
+
+def unpack_integers(data: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    kind = np.dtype(raw[:1].decode())
+    planes = np.frombuffer(raw, "u1", offset=1).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def small_integers(values: np.ndarray) -> np.ndarray:
+    """Non-negative integers in 32 bits where they fit."""
+    return values.astype("u4") if not len(values) or values.max() < 1 << 32 else values.astype("u8")

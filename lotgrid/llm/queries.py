@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lotgrid.llm import decontamination, html_text, jaccard_join, language_id, license_scan, line_dedup, packing, quality, vector_codes, vector_search, warc
+from lotgrid.llm import collocations, decontamination, html_text, interpolated_lm, jaccard_join, language_id, license_scan, line_dedup, packing, quality, vector_codes, vector_search, warc
 from lotgrid.llm.common import table, tokenizer_path
 
 
@@ -56,6 +56,14 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("tried")
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -68,6 +76,8 @@ LLM_QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_decontamination": op10_decontamination,
     "op11_vector_codes": op11_vector_codes,
+    "op12_language_model": op12_language_model,
+    "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -77,4 +87,5 @@ LLM_SQL = {
     "op3_warc": warc.SQL,
     "op10_decontamination": decontamination.SQL,
     "op11_vector_codes": vector_codes.SQL,
+    "op13_collocations": collocations.SQL,
 }

@@ -49,10 +49,11 @@ class Words:
     bounds: np.ndarray
 
 
-def split_words(texts: list[str | None]) -> Words:
+def split_words(texts: list[str | None], gaps: np.ndarray = _SPACE) -> Words:
+    """Words between the bytes that ``gaps`` marks; the line feed must be one of them."""
     encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(encoded) + b"\n", "u1")
-    space = _SPACE[data]
+    space = gaps[data]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     begin, end = edge[0::2], edge[1::2]
     power, inverse = _power_tables(len(data) + 1)
