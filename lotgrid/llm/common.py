@@ -48,8 +48,13 @@ def dropped(*tables: DataFrame) -> None:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        released(tables[0].sparkSession)
+
+
+def released(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished queries that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_parts(lengths: list[int], rows: int, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -75,8 +80,9 @@ def map_texts(
     made: dict[str, tuple[str, pa.DataType]],
     work: Callable[[list[str | None]], tuple[list[int] | None, dict[str, list]]],
     at_once: int = 256,
+    bytes_at_once: int = 1 << 20,
 ) -> DataFrame:
-    """Run ``work`` over the texts of ``df``, at most ``at_once`` rows and about a megabyte at a time.
+    """Run ``work`` over the texts of ``df``, at most ``at_once`` rows and ``bytes_at_once`` bytes at a time.
 
     ``work`` returns the columns of ``made`` (name to Spark and Arrow type) and, unless there
     is one output row per text, the text's position for every output row.  The ``keep``
@@ -87,7 +93,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start, count in text_parts(byte_lengths(whole.column(text)), at_once):
+            for start, count in text_parts(byte_lengths(whole.column(text)), at_once, bytes_at_once):
                 batch = whole.slice(start, count)
                 rows, columns = work(batch.column(text).to_pylist())
                 kept = [batch.column(c) if rows is None else batch.column(c).take(pa.array(rows, pa.int64())) for c in keep]

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotgrid.llm.common import byte_lengths, dropped, fresh, pack_integers, small_integers, stored, text_parts, unpack_integers
+from lotgrid.llm.common import byte_lengths, dropped, fresh, pack_integers, released, small_integers, stored, text_parts, unpack_integers
 from lotgrid.llm.language_id import fold_of
 from lotgrid.llm.wordhash import mix, split_words
 
@@ -182,7 +182,7 @@ def _answer(table: pa.Table) -> pa.Table:
         "block": [r["block"] for r in rows] + [None],
         "n": [r["n"] for r in rows] + [rows[0]["n"]],
         "bucket": [r["bucket"] for r in rows] + [rows[0]["bucket"]],
-        "kept": [pack_integers(small_integers(kept[number[e - s : e]])) for s, e in zip(sizes, ends, strict=True)] + [b""],
+        "deleted": [pack_integers(small_integers(total[1][number[e - s : e]])) for s, e in zip(sizes, ends, strict=True)] + [b""],
         "both": [pack_integers(small_integers(both[number[e - s : e]])) for s, e in zip(sizes, ends, strict=True)] + [b""],
         "sums": [None] * len(rows) + [[int((both > 0).sum()), int(both.sum()), int(kept.sum())]],
     }
@@ -190,13 +190,20 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 _ANSWER = pa.schema(
-    [("block", pa.int64()), ("n", pa.int32()), ("bucket", pa.int32()), ("kept", pa.binary()), ("both", pa.binary()), ("sums", pa.list_(pa.int64()))]
+    [("block", pa.int64()), ("n", pa.int32()), ("bucket", pa.int32()), ("deleted", pa.binary()), ("both", pa.binary()), ("sums", pa.list_(pa.int64()))]
 )
 
 
 def _counted(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """Blocks with their tokens' counts: ``kept`` and ``both``, one packed array per n.  Rows of totals have no block."""
-    answers = _requests(blocks, order, buckets).groupBy("bucket", "n").applyInArrow(_answer, "block long, n int, bucket int, kept binary, both binary, sums array<long>")
+    """Blocks with their tokens' counts, one packed array per n.  Rows of totals have no block.
+
+    ``both`` counts over all that is learnt from; ``kept`` without the deleted documents, and
+    for tokens of deleted documents only.
+    """
+    answers = _requests(blocks, order, buckets).groupBy("bucket", "n").applyInArrow(_answer, "block long, n int, bucket int, deleted binary, both binary, sums array<long>")
+    # Stored, so that the requests' shuffle, the largest of all, can be let go before the next one.
+    answers = stored(answers, "lm_answers")
+    released(blocks.sparkSession)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -204,17 +211,18 @@ def _counted(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
             empty = {"ids": left.schema.field("ids").type, "role": pa.binary(), "sizes": pa.binary(), "kept": pa.list_(pa.binary()), "both": pa.list_(pa.binary())}
             return pa.table({c: pa.nulls(n, kind) for c, kind in empty.items()} | {"n": right["n"], "sums": right["sums"]})
         row = left.drop_columns(["ids"]).to_pylist()[0]
-        words, tokens, sizes, _ = _opened(row)
+        words, tokens, sizes, role = _opened(row)
+        deleted = np.repeat(role == PART, sizes)
         given: dict[tuple[int, str], dict[int, bytes]] = {}
         for r in right.to_pylist():
-            for name in ("kept", "both"):
+            for name in ("deleted", "both"):
                 given.setdefault((r["n"], name), {})[r["bucket"]] = r[name]
         packed: dict[str, list[bytes]] = {"kept": [], "both": []}
         for n, _, number in _distinct(words, tokens, sizes, order):
-            for name, out in packed.items():
-                counts = [unpack_integers(data) for _, data in sorted(given.get((n, name), {}).items())]
-                whole = np.concatenate(counts) if counts else np.zeros(0, "u4")
-                out.append(pack_integers(small_integers(whole[number])))
+            gone, both = (np.concatenate([unpack_integers(data) for _, data in sorted(given[n, name].items())]) for name in ("deleted", "both"))
+            packed["both"].append(pack_integers(small_integers(both[number])))
+            mine = number[deleted]
+            packed["kept"].append(pack_integers(small_integers(both[mine].astype("i8") - gone[mine])))
         columns = {
             "ids": left["ids"],
             "role": left["role"],
@@ -228,7 +236,9 @@ def _counted(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
 
     kind = dict(blocks.dtypes)["ids"]
     schema = f"ids {kind}, role binary, sizes binary, kept array<binary>, both array<binary>, n int, sums array<long>"
-    return stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, schema), "lm_counts")
+    counted = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, schema), "lm_counts")
+    dropped(blocks, answers)
+    return counted
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
@@ -301,9 +311,8 @@ def _learnt(counted: DataFrame, order: int, totals: dict[str, int]) -> list[np.n
                     sizes, role = unpack_integers(row["sizes"]).astype("i8"), unpack_integers(row["role"])
                     if not (role == PART).any():
                         continue
-                    mine = np.repeat(role == PART, sizes)
                     own = sizes[role == PART]
-                    counts = [unpack_integers(c)[mine] for c in row["kept"][:n]]
+                    counts = [unpack_integers(c) for c in row["kept"][:n]]
                     below = mixed(counts, own, totals["kept"], totals["kept_docs"], totals["kinds"], given)
                     *_, (estimate, context) = _estimates(counts, own, totals["kept"], totals["kept_docs"])
                     bucket = context_bucket(context)
@@ -351,7 +360,6 @@ def score_texts(
     blocks = _blocks(plain, name)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     counted = _counted(blocks, order, max(1, size // BUCKET_BYTES))
-    dropped(blocks)
     sums = counted.where(F.col("n") == 1).agg(*[F.sum(F.col("sums")[k]).alias(c) for k, c in enumerate(("kinds", "both", "kept"))]).first()
     totals = {c: sums[c] or 0 for c in ("kinds", "both", "kept")}
     in_part = plain.agg(F.count_if(F.col("role") == KEPT), F.count_if(F.col("role") == PART)).first()
