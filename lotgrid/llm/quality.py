@@ -9,18 +9,19 @@ Scores are cut at the quantile that leaves as many labelled documents below as h
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotgrid.llm.common import byte_lengths, map_texts, stored, text_parts
+from lotgrid.llm.common import byte_lengths, dropped, map_texts, stored, text_parts
 from lotgrid.llm.language_id import fold_of
 from lotgrid.llm.wordhash import Words, shingle_sets, split_words
+from lotgrid.operators.ranking import column_quantiles
 
 # Production parameters.
 TRAIN_ROWS = 20_000  # labelled rows that are learnt from, about half per label; the only bounded sample
@@ -29,6 +30,8 @@ FOLDS, HELD_FOLD = 5, 0
 CUT = 0.3  # score at the quantile threshold
 REGULARISATION = 1e-4
 TEXTS_AT_ONCE = 256
+BROADCAST_LABELS = 1_000_000  # rows of an id and a label: 16 MB
+BYTES_AT_ONCE = 256 << 10  # of text; features take about a hundred times as much for a moment
 
 FEATURES = [
     "log_words",
@@ -132,7 +135,7 @@ def with_features(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``features array<double>``, in Arrow batches."""
 
     made = {"features": ("array<double>", pa.list_(pa.float64()))}
-    return map_texts(docs, keep, text, made, lambda texts: (None, {"features": text_features(texts).tolist()}), TEXTS_AT_ONCE)
+    return map_texts(docs, keep, text, made, lambda texts: (None, {"features": text_features(texts).tolist()}), TEXTS_AT_ONCE, BYTES_AT_ONCE)
 
 
 @dataclass(frozen=True)
@@ -159,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fold
 
     At most ``train_rows // 2`` documents per label, those of the smallest text hashes, are
     read; equal texts with one label count once and contradictory labels of an id count as
-    given.  None when one of the labels is missing.
+    given; the threshold is taken over all labelled documents, not the sample.  None when one
+    of the labels is missing.
     """
     marked = labels.where(F.col("quality").isin(0, 1) & (fold_of("doc_id", folds) != held_fold)).select("doc_id", "quality").distinct()
     hashed = docs.select("doc_id", F.xxhash64("text").alias("key"))
@@ -189,22 +193,49 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fold
     pairs = docs.sparkSession.createDataFrame(rows, "gap array<double>, label double")
     pairs = pairs.select(array_to_vector("gap").alias("gap"), "label")
     fit = LogisticRegression(featuresCol="gap", labelCol="label", fitIntercept=False, standardization=False, regParam=REGULARISATION, maxIter=100).fit(pairs)
-    weights = fit.coefficients.toArray()
-    strength = z @ weights
-    # The sample has its own share of label 0; weights restore the share among all labelled rows.
-    weight = np.where(y == 0, sizes[0] / len(bad), sizes[1] / len(good))
-    order = np.argsort(strength, kind="stable")
-    share = np.cumsum(weight[order]) / weight.sum()
-    at = min(int(np.searchsorted(share, sizes[0] / (sizes[0] + sizes[1]), "right")), len(order) - 1)
-    threshold = float((strength[order[max(at - 1, 0)]] + strength[order[at]]) / 2)
-    return Ranking(mean, spread, weights, threshold, 1.0)
+    ranking = Ranking(mean, spread, fit.coefficients.toArray(), 0.0, 1.0)
+    return replace(ranking, threshold=cut_point(docs, marked, ranking))
+
+
+def strengths(texts: Column, model: Ranking) -> Column:
+    """Strength of every text under a model; only texts go to Python and one number comes back."""
+
+    @F.arrow_udf("double")
+    def strength(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = text_parts(byte_lengths(batch), TEXTS_AT_ONCE, BYTES_AT_ONCE)
+            found = [model.strength(text_features(batch.slice(a, n).to_pylist())) for a, n in parts]
+            yield pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())
+
+    return strength(texts)
+
+
+def cut_point(docs: DataFrame, marked: DataFrame, model: Ranking) -> float:
+    """Strength with as many labelled documents below as have label 0, over all of ``marked(doc_id, quality)``.
+
+    All labelled texts are scored where they lie; the quantile is exact and distributed.  It
+    lies half way between the two neighbours.
+    """
+    marked = stored(marked, "quality_labels")
+    if marked.count() <= BROADCAST_LABELS:
+        scored = docs.join(F.broadcast(marked), "doc_id").select("quality", strengths(F.col("text"), model).alias("strength"))
+    else:
+        # Too many labels to send about: numbers are shuffled to them, not texts.
+        scored = docs.select("doc_id", strengths(F.col("text"), model).alias("strength")).join(marked, "doc_id").select("quality", "strength")
+    scored = stored(scored, "quality_strengths")
+    low, n = scored.agg(F.count_if(F.col("quality") == 0), F.count(F.lit(1))).first()
+    at = min(max((low - 0.5) / max(n - 1, 1), 0.0), 1.0)
+    threshold = column_quantiles(scored, ["strength"], [at])["strength"][at]
+    dropped(scored, marked)
+    return threshold
 
 
 def score_documents(docs: DataFrame, model: Ranking | None, folds: int = FOLDS, held_fold: int = HELD_FOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs(doc_id, text)``.
 
     A null or empty text has the features of no words and is scored like any other.  Without
-    a model every score is 0.5.  A null id is in no fold and so not held out.
+    a model every score is 0.5.  A null id is in no fold and so not held out.  Repeated rows
+    are scored each.
     """
 
     def run(texts: list[str | None]) -> tuple[None, dict[str, list]]:
@@ -213,22 +244,15 @@ def score_documents(docs: DataFrame, model: Ranking | None, folds: int = FOLDS,
 
     held = F.coalesce(fold_of("doc_id", folds) == held_fold, F.lit(False))
     made = {"score": ("double", pa.float64()), "predicted": ("int", pa.int32())}
-    return map_texts(docs.select("doc_id", held.alias("held_out"), "text"), ["doc_id", "held_out"], "text", made, run, TEXTS_AT_ONCE)
+    return map_texts(docs.select("doc_id", held.alias("held_out"), "text"), ["doc_id", "held_out"], "text", made, run, TEXTS_AT_ONCE, BYTES_AT_ONCE)
 
 
 def keep_good(docs: DataFrame, model: Ranking | None, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` with a score of at least ``CUT``; all columns stay as they are."""
+    """Rows of ``docs`` with a score of at least ``CUT``; all columns stay as they are.
+
+    A null or empty text is scored as one without words; repeated rows are kept or dropped
+    together.  Without a model (a label is missing) all rows stay.
+    """
     if model is None:
         return docs
-    names = docs.columns
-    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    at = f"c{names.index(text)}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at)
-            parts = text_parts(byte_lengths(texts), TEXTS_AT_ONCE)
-            score = np.concatenate([np.zeros(0), *(model.score(text_features(texts.slice(a, n).to_pylist())) for a, n in parts)])
-            yield batch.filter(pa.array(score >= CUT))
-
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return docs.where(strengths(F.col(text), model) >= F.lit(model.threshold))
