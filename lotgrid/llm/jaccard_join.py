@@ -59,15 +59,15 @@ def _node(tokens: np.ndarray) -> int | None:
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """One row per document (``doc_id, n, node``) and, per task, its token counts by block of cells (``block, cells``)."""
+    """One row per document (``doc_id, text_key, n, node``) and, per task, its token counts by block of cells (``block, cells``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, "u2")
         kind = None
 
-        def rows(doc_id, n, node, block, packed) -> pa.RecordBatch:
-            columns = [doc_id, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(block, pa.int32()), pa.array(packed, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "block", "cells"])
+        def rows(doc_id, key, n, node, block, packed) -> pa.RecordBatch:
+            columns = [doc_id, key, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(block, pa.int32()), pa.array(packed, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "node", "block", "cells"])
 
         for whole in batches:
             kind = whole.column("doc_id").type
@@ -77,13 +77,14 @@ def _survey(docs: DataFrame) -> DataFrame:
                 at, count = np.unique(np.concatenate(sets) >> np.uint64(64 - CELL_BITS), return_counts=True)
                 cells[at] = np.minimum(cells[at] + count, 60_000)
                 none = [None] * len(sets)
-                yield rows(batch.column("doc_id"), [len(s) for s in sets], [_node(s) for s in sets], none, none)
+                yield rows(batch.column("doc_id"), batch.column("text_key"), [len(s) for s in sets], [_node(s) for s in sets], none, none)
         for k, part in enumerate(np.split(cells, CELL_BLOCKS)):
             if part.any():
-                yield rows(pa.nulls(1, kind), [None], [None], [k], [zlib.compress(part.tobytes(), 1)])
+                yield rows(pa.nulls(1, kind), pa.nulls(1, pa.int64()), [None], [None], [k], [zlib.compress(part.tobytes(), 1)])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, block int, cells binary")
+    named = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return named.mapInArrow(run, f"doc_id {kind}, text_key long, n long, node long, block int, cells binary")
 
 
 def _frequency_levels(survey: DataFrame) -> np.ndarray:
@@ -168,16 +169,18 @@ LEAST_SHARE = 3 / 7 - 1e-9
 
 
 def _token_sets(nodes: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``node, tokens`` of the given nodes, from the text of one document each."""
-    owners = stored(members.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("owner")), "join_owners")
+    """``node, tokens`` of the given nodes, from one document each; it is named by its id and its text's hash, so that a null id names one too."""
+    owners = stored(members.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("owner")).select("node", "owner.doc_id", "owner.text_key"), "join_owners")
     # Texts stay where they are while the list of owners is short; a longer one is met by shuffle.
     side = F.broadcast(owners) if owners.count() <= BROADCAST_ROWS else owners
-    chosen = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("owner")).select("text", "node")
+    named = docs.select("text", F.xxhash64("text").alias("key"), F.col("doc_id").alias("id"))
+    chosen = named.join(side, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, sets in _batches(frames):
-            # An id that stands for several texts brings all of them.
-            rows = [(k, s.astype("i8").tolist()) for k, s in zip(batch["node"], sets, strict=True) if _node(s) == k]
+            # Repeated rows of a batch, and copies with null ids, give one row.
+            rows = {k: s.astype("i8").tolist() for k, s in zip(batch["node"], sets, strict=True) if _node(s) == k}
+            rows = list(rows.items())
             yield pd.DataFrame(rows, columns=["node", "tokens"])
 
     return stored(chosen.mapInPandas(run, "node long, tokens array<long>"), "join_sets")
@@ -205,58 +208,126 @@ def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 def _within_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Links ``(a, b)`` that connect the similar nodes inside each group of ``groups(node, comp)``.
 
-    All nodes of a group are compared, in blocks: a block pair is one task's matrix of common
-    tokens and returns only as many links as connect its nodes.  A large group is cut into
-    blocks, small groups share one.
+    A group is compared block by block first, each node only with those of its own block.
+    One representative for each component found then meets those of the other components,
+    until no two of them link.  Only where a group is still in parts, every node outside its
+    largest part meets all nodes of the group.  Links between parts name the parts by one
+    node each, so no pair of parts is linked twice.
     """
     sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     placed = stored(groups.join(sizes, "comp"), "join_sized")
-    small = placed.where(F.col("size") <= BLOCK_SIZE)
+    small, large = placed.where(F.col("size") <= BLOCK_SIZE), placed.where(F.col("size") > BLOCK_SIZE)
     bundles = max(1, small.count() // BLOCK_SIZE)
-    dealt = small.select("node", "comp", F.expr(f"pmod(xxhash64(comp), {bundles})").alias("x"), F.lit(-1).alias("y"), F.lit(-1).alias("z"))
-    count = f"CAST(ceil(size / {BLOCK_SIZE}) AS INT)"
-    large = placed.where(F.col("size") > BLOCK_SIZE).select("node", "comp", F.expr(f"CAST(pmod(xxhash64(node), {count}) AS INT)").alias("k"), F.expr(count).alias("n"))
-    # A node meets its own block with every other one.
-    large = large.select("node", "comp", "k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-    dealt = dealt.unionByName(large.select("node", "comp", F.col("comp").alias("x"), F.least("k", "j").alias("y"), F.greatest("k", "j").alias("z")))
+    dealt = small.select("node", "comp", F.expr(f"pmod(xxhash64(comp), {bundles})").alias("x"), F.lit(-1).alias("y"))
+    dealt = dealt.unionByName(large.select("node", "comp", F.col("comp").alias("x"), F.expr(_block("node", "size")).alias("y")))
+    found = _compared(dealt, sets, "join_blocks")
+    links = found.where("a <> b").select("a", "b")
+    if large.isEmpty():
+        return links
+    # Parts of large groups: every node with its part's name and how many of its block it links to.
+    parts = found.select(F.col("a").alias("node"), F.col("b").alias("part"), "degree").join(large.select("node", "comp"), "node")
+    parts = stored(parts.select("comp", "node", "part", "degree"), "join_parts")
+    while True:
+        open_groups = parts.groupBy("comp").agg(F.countDistinct("part").alias("size")).where("size > 1")
+        first = parts.join(open_groups, "comp").groupBy("comp", "size", "part").agg(F.max(F.struct("degree", "node")).alias("hub"))
+        dealt = first.select(F.col("hub.node").alias("node"), "comp", F.col("comp").alias("x"), F.expr(_block("part", "size")).alias("y"))
+        dealt = stored(dealt, "join_dealt")
+        met = _compared(dealt, sets, "join_hubs").where("a <> b").select("a", "b") if not dealt.isEmpty() else None
+        if met is None or met.isEmpty():
+            break
+        links = links.unionByName(met)
+        parts = _renamed(parts, met)
+    if not dealt.isEmpty():
+        links = links.unionByName(_between_parts(parts, sets))
+    return links
+
+
+def _block(key: str, size: str) -> str:
+    return f"CAST(pmod(xxhash64({key}), CAST(ceil({size} / {BLOCK_SIZE}) AS INT)) AS INT)"
+
+
+def _renamed(parts: DataFrame, met: DataFrame) -> DataFrame:
+    """Parts under the names that new links between some of their nodes give them."""
+    named = parts.select("node", "part")
+    between = met.join(named.select(F.col("node").alias("a"), F.col("part").alias("x")), "a").join(named.select(F.col("node").alias("b"), F.col("part").alias("y")), "b")
+    new = components(between.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "part")
+    out = parts.join(new.withColumnRenamed("comp", "new"), "part", "left").select("comp", "node", F.coalesce("new", "part").alias("part"), "degree")
+    return stored(out, "join_parts")
+
+
+def _compared(dealt: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """``a, b, degree``: every node of ``dealt(node, comp, x, y)``, the first node of its block that it reaches, and its links."""
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         found = []
         for _, group in part.drop_duplicates("node").groupby("comp"):
-            if len(group) > 1:
-                nodes, tokens = group["node"].to_numpy(), group["tokens"].tolist()
-                root = nodes[_connected(tokens)]
-                found.append(pd.DataFrame({"a": nodes, "b": root})[nodes != root])
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="i8")
+            nodes = group["node"].to_numpy()
+            root, degree = _connected(group["tokens"].tolist())
+            found.append(pd.DataFrame({"a": nodes, "b": nodes[root], "degree": degree}))
+        return pd.concat(found)
 
-    rows = dealt.join(sets, "node").select("x", "y", "z", "comp", "node", "tokens")
-    return stored(rows.groupBy("x", "y", "z").applyInPandas(compare, "a long, b long").distinct(), "join_links")
+    rows = dealt.join(sets, "node").select("x", "y", "comp", "node", "tokens")
+    return stored(rows.groupBy("x", "y").applyInPandas(compare, "a long, b long, degree long"), name)
 
 
-def _connected(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the first one that it reaches by links of a similarity of 3/4."""
+def _between_parts(parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the parts of the groups that are still apart: all nodes outside the largest part meet all nodes.
+
+    Every link is given as the names of the two parts.
+    """
+    sizes = parts.groupBy("comp", "part").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("comp").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    most = most.select("comp", F.col("top.part").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("outer"))
+    rows = stored(parts.join(most, "comp"), "join_apart")
+    asks, all_ = F.expr(f"CAST(ceil(outer / {BLOCK_SIZE}) AS INT)"), F.expr(f"CAST(ceil(all / {BLOCK_SIZE}) AS INT)")
+    # The asking nodes of a block go to every block of the others, and the other way round.
+    left = rows.where("part <> main").select("comp", "node", "part", F.lit(0).alias("side"), F.expr(_block("node", "outer")).alias("y"), F.explode(F.sequence(F.lit(0), all_ - 1)).alias("z"))
+    right = rows.select("comp", "node", "part", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), asks - 1)).alias("y"), F.expr(_block("node", "all")).alias("z"))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        ask, other = part[part["side"] == 0], part[part["side"] == 1]
+        if not len(ask) or not len(other):
+            return pd.DataFrame({"a": [], "b": []}, dtype="i8")
+        linked = _linked(ask["tokens"].tolist(), other["tokens"].tolist())
+        i, j = np.nonzero(linked)
+        a, b = ask["part"].to_numpy()[i], other["part"].to_numpy()[j]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        return pd.DataFrame({"a": low, "b": high})[low != high].drop_duplicates()
+
+    dealt = left.unionByName(right).join(sets, "node").select("comp", "y", "z", "side", "part", "tokens")
+    return stored(dealt.groupBy("comp", "y", "z").applyInPandas(compare, "a long, b long").distinct(), "join_links")
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Whether each set of ``left`` and each of ``right`` have a similarity of 3/4."""
+    sets = [*left, *right]
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     token, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     number = np.cumsum(count > 1) - 1
     shared = count[at] > 1
     owner, column = owner[shared], number[at[shared]]
-    common = np.zeros((len(sets), len(sets)), "f4")
+    common = np.zeros((len(left), len(right)), "f4")
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS_AT_ONCE):
         a, b = np.searchsorted(column, [first, first + COLUMNS_AT_ONCE])
         table = np.zeros((len(sets), COLUMNS_AT_ONCE), "f4")
         table[owner[a:b], column[a:b] - first] = 1.0
-        common += table @ table.T
-    linked = 7 * common >= 3 * (size[:, None] + size[None, :])
+        common += table[: len(left)] @ table[len(left) :].T
+    return 7 * common >= 3 * (size[: len(left), None] + size[None, len(left) :])
+
+
+def _connected(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the first one that it reaches by links of a similarity of 3/4, and its number of links."""
+    linked = _linked(sets, sets)
     np.fill_diagonal(linked, True)
     label = np.arange(len(sets))
     while True:
         least = np.where(linked, label[None, :], len(sets)).min(axis=1)
         least = least[least]
         if (least == label).all():
-            return label
+            return label, linked.sum(axis=1) - 1
         label = least
 
 
@@ -302,7 +373,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     component that has no other rows has a null id.
     """
     survey = stored(_survey(docs), "join_survey")
-    members = survey.where("block IS NULL").select("doc_id", "n", "node")
+    members = survey.where("block IS NULL").select("doc_id", "text_key", "n", "node")
     levels = _frequency_levels(survey)
     signatures = stored(_signatures(docs, levels), "join_signatures")
     rows = signatures.select("node", F.explode_outer("prefix").alias("token"))
