@@ -13,7 +13,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotgrid.llm.common import map_texts, stored
+from lotgrid.llm.wordhash import split_words
 
 # Production parameters.
 CAPACITY = 2048
@@ -30,14 +30,18 @@ GROUP_BINS = 2048  # sequences that one packing task fills
 FULL = 0.999  # bins filled less than this go to the second round
 MEMO_WORDS = 1_000_000  # words whose ids one Python worker remembers
 TEXTS_AT_ONCE = 256
-PATIENCE = 16  # bins in a row that the local search fails to empty before it stops
 
 GROUP_BITS = 24  # bins of a group in the low bits of a sequence id
 
 
 class WordIds:
-    """Ids of a tokenizer whose tokens never cross white space, remembered per word."""
+    """Ids of a tokenizer whose tokens never cross white space and do not tell A-Z from a-z, remembered per word.
 
+    Words are cut and hashed for many texts at once; ids are looked up for the distinct ones.
+    """
+
+    # White space beyond ASCII takes two or three bytes; texts that have it go through str.split().
+    WIDE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
     SPACE = re.compile(r"[^\S\x1c-\x1f]+")  # str.split() also breaks at four control characters
 
     def __init__(self, path: str):
@@ -48,36 +52,40 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[int, int] = {}
         self.starts, self.sizes, self.flat = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "u4")
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, keys: list[int], words: list[str]) -> None:
         encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         lengths = np.fromiter(map(len, words), "i8", len(words))
         begins = np.cumsum(lengths + 1) - lengths - 1
         at = np.fromiter(map(itemgetter(0), encoded.offsets), "i8", len(encoded.ids))
         sizes = np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(words))
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+        self.index.update(zip(keys, range(len(self.index), len(self.index) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, np.array(encoded.ids, "u4")])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.SPACE.split(t) if re.search(r"[\x1c-\x1f]", t) else t.split() for t in texts]
-        split = [[w for w in ws if w] if ws and not (ws[0] and ws[-1]) else ws for ws in split]
-        every = list(chain.from_iterable(split))
+        # One blank stands for every wide one.
+        plain = [" ".join(filter(None, self.SPACE.split(t))) if not t.isascii() and self.WIDE.search(t) else t for t in texts]
+        words = split_words(plain)
+        kinds, first, number = np.unique(words.hashes, return_index=True, return_inverse=True)
         if len(self.index) > MEMO_WORDS:
             self._forget()
-        found = list(map(self.index.get, every))
+        keys = kinds.tolist()
+        found = list(map(self.index.get, keys))
         if None in found:
-            self._learn(list({w for w, k in zip(every, found, strict=True) if k is None}))
-            found = map(self.index.__getitem__, every)
-        at = np.fromiter(found, "i8", len(every))
+            new = [k for k, at in enumerate(found) if at is None]
+            data, at = words.data.tobytes(), first[new]
+            spans = zip(words.begin[at].tolist(), words.end[at].tolist(), strict=True)
+            self._learn([keys[k] for k in new], [data[a:b].decode("utf-8", "surrogatepass") for a, b in spans])
+            found = list(map(self.index.__getitem__, keys))
+        at = np.array(found, "i8")[number] if keys else np.zeros(0, "i8")
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        words = np.cumsum([0, *map(len, split)])
-        marks = np.concatenate([[0], ends])[words]
+        marks = np.concatenate([[0], ends])[words.bounds]
         return [ids[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)]
 
 
@@ -131,26 +139,29 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, patience: int = PATIENCE) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Local search: drain the emptiest bins into fuller ones that still have room.
 
     A step moves one document, or exchanges one or two documents of the drained bin for one
     shorter document elsewhere; the step that moves most is taken.  The receiving bin is the
-    fuller one, so every step raises the sum of squared fills and the search ends.  It also
-    ends at the fewest bins that can exist, or after ``patience`` bins in a row that could
-    not be emptied.
+    fuller one, so every step raises the sum of squared fills and the search ends.  Every
+    underfull bin is tried, emptiest first, and all are tried again as long as that empties
+    one; the search also ends at the fewest bins that can exist.
     """
     fewest = -(-sum(lengths) // capacity)
     size, home = np.array(lengths, "i8"), np.zeros(len(lengths), "i8")
     for b, held in enumerate(bins):
         home[held] = b
     fill = np.bincount(home, size, len(bins)).astype("i8") if bins else np.zeros(0, "i8")
-    alive, failed = len(bins), 0
+    alive, emptied = len(bins), False
     tried = np.zeros(len(bins), bool)
-    while alive > fewest and failed < patience:
+    while alive > fewest:
         open_bins = np.flatnonzero((fill > 0) & (fill < capacity) & ~tried)
         if not len(open_bins):
-            break
+            if not emptied:
+                break
+            tried[:], emptied = False, False
+            continue
         source = open_bins[np.argmin(fill[open_bins])]
         tried[source] = True
         while fill[source]:
@@ -179,11 +190,8 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, patience:
                 home[taken] = source
             fill[target] += gain
             fill[source] -= gain
-        if fill[source]:
-            failed += 1
-        else:
-            alive, failed = alive - 1, 0
-            tried[:] = False
+        if not fill[source]:
+            alive, emptied = alive - 1, True
     order = np.argsort(home, kind="stable")
     parts = np.split(order, np.flatnonzero(np.diff(home[order])) + 1)
     return [p.tolist() for p in parts if len(p)]
