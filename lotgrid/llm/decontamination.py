@@ -1,13 +1,22 @@
-"""Benchmark decontamination over item-sized windows, with exact verification of every candidate.
-
-Windows that share too few shingles with any item cannot qualify and are not laid:
-a similarity ``t`` of two equally long windows needs ``2t / (1 + t)`` of an item's shingles,
-so of any larger rest of an item's shingles one occurs in the window.  A document shorter than
-the item needs only ``t`` of them, so more anchors are laid for it.  Those few anchor
-shingles per item decide where windows are laid and with which items they are compared: by
-the similarity of their weighted 5-word shingles (a shingle weighs as often as it occurs).
-No fingerprint stands before that comparison; the SimHash distance of a find is reported
-only.  Only built-in functions run here.
+"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact verification.
+
+Three steps, all of built-in functions.
+
+1. Windows of an item's size are laid where one of the item's anchor shingles stands: a
+   similarity ``t`` of two equally long windows needs ``2t / (1 + t)`` of an item's
+   shingles, so of any larger rest of an item's shingles one occurs in the window.  A
+   document shorter than the item needs only ``t`` of them, so more anchors are laid for it.
+2. Every window has a 64-bit SimHash of its words.  Fingerprints are cut into ``BLOCKS``
+   blocks; of two within ``RADIUS`` bits at least one pair of blocks differs in at most
+   ``RADIUS // BLOCKS`` bits.  Items are indexed under all such neighbours of their blocks,
+   windows look their own blocks up, and the full distance is compared after that: all
+   windows within the radius of an item of their size are candidates, whichever item's
+   anchor laid them.
+3. The similarity of the weighted 5-word shingles (a shingle weighs as often as it occurs)
+   of window and item decides.
+
+The radius is a filter of words' votes, not of shingles; README has the share of windows at
+a similarity of 0.75 that it lets through.
 """
 
 from __future__ import annotations
@@ -22,8 +31,10 @@ from lotgrid.llm.common import stored
 # Production parameters.
 WIDTH = 5
 MIN_SIMILARITY = 0.75
-# Item rows up to this number are sent to all tasks; a larger benchmark is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+BLOCKS, BLOCK_BITS = 8, 8
+RADIUS = 23  # bits of 64 in which a window's fingerprint may differ from its item's
+# Tables about the benchmark up to this number of bytes are sent to all tasks; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -75,22 +86,63 @@ def prepare_items(benchmark: DataFrame) -> DataFrame:
 
 
 def _anchors(items: DataFrame) -> DataFrame:
-    """``hash, at, size, slack, brief, of``: the anchor shingles of the items, one row per place and size, with the items that have it.
+    """``hash, at, size, slack, brief``: the anchor shingles of the items, one row per place and size.
 
     ``brief`` ones are only for documents of fewer words than the item, which may miss more shingles.
     """
-    shingles = items.select("size", "item", _shingle_count("words").alias("n"), _shingle_hashes("words").alias("hashes"))
+    shingles = items.select("size", _shingle_count("words").alias("n"), _shingle_hashes("words").alias("hashes"))
     shingles = shingles.withColumn("slack", (F.col("n") - _needed(F.col("n"))).cast("int"))
     shingles = shingles.withColumn("spare", (F.col("n") - F.ceil(F.col("n") * MIN_SIMILARITY - 1e-9)).cast("int"))
     # The anchors are the shingles with the smallest hashes: any choice that is fixed per item will do.
     ranked = F.expr("slice(array_sort(transform(hashes, (h, i) -> struct(h AS hash, i AS at))), 1, spare + 1)")
-    placed = shingles.select("size", "slack", "item", F.posexplode(ranked).alias("rank", "a"))
-    return placed.groupBy("a.hash", "a.at", "size", "slack", (F.col("rank") > F.col("slack")).alias("brief")).agg(F.collect_set("item").alias("of"))
+    placed = shingles.select("size", "slack", F.posexplode(ranked).alias("rank", "a"))
+    return placed.select("a.hash", "a.at", "size", "slack", (F.col("rank") > F.col("slack")).alias("brief")).distinct()
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Send ``df`` to all tasks when its counted rows are within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """Send ``df`` to all tasks when its rows are within the bound of bytes."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def _block(bits: str, at: str) -> str:
+    return f"CAST(shiftrightunsigned({bits}, {at} * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1} AS INT)"
+
+
+def _index(items: DataFrame) -> DataFrame:
+    """``size, block, value, entries``: items by every value that a block of a near fingerprint can have."""
+    flips = sorted(m for m in range(1 << BLOCK_BITS) if m.bit_count() <= RADIUS // BLOCKS)
+    near = F.array(*[F.lit(m) for m in flips])
+    rows = items.select("size", "item", "fingerprint", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")).distinct()
+    rows = rows.withColumn("value", F.expr(_block("fingerprint", "block"))).withColumn("value", F.explode(F.transform(near, lambda m: F.col("value").bitwiseXOR(m))))
+    return rows.groupBy("size", "block", "value").agg(F.collect_set(F.struct("item", "fingerprint")).alias("entries"))
+
+
+def _candidates(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, key, first, size, item, distance``: windows and items of one size within the radius."""
+    index = stored(_index(items), "leak_index")
+    at = F.expr(f"transform(sequence(0, {BLOCKS - 1}), b -> struct(b AS block, {_block('bits', 'b')} AS value))")
+    asked = windows.select("doc_id", "key", "first", "size", "bits", F.explode_outer(at).alias("at")).select("*", "at.*")
+    met = asked.join(_bounded(index, 32 + 24 * F.size("entries")), ["size", "block", "value"])
+    near = F.expr(f"filter(entries, e -> bit_count(bits ^ e.fingerprint) <= {RADIUS})")
+    found = met.select("doc_id", "key", "first", "size", "bits", near.alias("near")).where(F.size("near") > 0)
+    found = found.select("doc_id", "key", "first", "size", "bits", F.explode_outer("near").alias("e"))
+    return found.groupBy("doc_id", "key", "first", "size", F.col("e.item").alias("item")).agg(F.min(F.bit_count(F.expr("bits ^ e.fingerprint"))).alias("distance"))
+
+
+def _laid(named: DataFrame, windows: DataFrame, name: str) -> DataFrame:
+    """The words of ``windows(doc_id, key, first, size, ...)``, cut from their documents; a document is met once."""
+    extra = [c for c in windows.columns if c not in ("doc_id", "key", "first", "size")]
+    by_doc = windows.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "size", *extra)).alias("windows"))
+    by_doc = stored(by_doc, name).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "windows")
+    kept = "".join(f", w.{c} AS {c}" for c in extra)
+    cut = F.expr(f"transform(windows, w -> struct(w.first AS first, w.size AS size{kept}, slice(words, w.first + 1, w.size) AS words))")
+    return (
+        named.join(by_doc, named["doc_id"].eqNullSafe(by_doc["d"]) & (named["key"] == by_doc["k"]))
+        .dropDuplicates(["doc_id", "key"])
+        .select("doc_id", "key", "windows", _words("text").alias("words"))
+        .select("doc_id", "key", F.explode_outer(cut).alias("w"))
+        .select("doc_id", "key", "w.*")
+    )
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -99,9 +151,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_si
     One row per document and item: ``doc_id, key, item_id, first_word, n_words, distance,
     similarity`` of the most similar window (the first of equals); ``key`` is the text's
     hash.  Words are runs of letters and digits in lower case.  A document shorter than an
-    item is one window.  Null and empty texts have no windows; equal rows are one.  An empty
-    benchmark leaks nowhere.  ``min_similarity`` may be raised, not lowered below
-    ``MIN_SIMILARITY``.
+    item is one window.  Null and empty texts have no windows; equal rows are one; texts of
+    any length are read whole.  An empty benchmark leaks nowhere.  ``min_similarity`` may be
+    raised, not lowered below ``MIN_SIMILARITY``.
     """
     if min_similarity < MIN_SIMILARITY:
         raise ValueError(f"anchors are laid for a similarity of {MIN_SIMILARITY} or more")
@@ -123,29 +175,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_si
     # Every window of the item's size whose anchor is no further off its place than shingles may be missing.
     starts = F.expr("transform(sequence(-slack, slack), d -> greatest(0, least(pos - at + d, n - size)))")
     windows = (
-        placed.join(_bounded(anchors, anchors.count()), "hash")
+        placed.join(_bounded(anchors, F.lit(64)), "hash")
         .where(~F.col("brief") | (F.col("n") < F.col("size")))
-        .select("doc_id", "key", "size", "of", F.explode_outer(F.array_distinct(starts)).alias("first"))
-        .select("doc_id", "key", "size", "first", F.explode_outer("of").alias("item"))
-        .groupBy("doc_id", "key", "first", "size")
-        .agg(F.collect_set("item").alias("of"))
-        .groupBy("doc_id", "key")
-        .agg(F.collect_list(F.struct("first", "size", "of")).alias("windows"))
-    )
-    windows = stored(windows, "leak_windows").select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "windows")
-    cut = F.expr("transform(windows, w -> struct(w.first AS first, w.size AS size, w.of AS of, slice(words, w.first + 1, w.size) AS words))")
-    laid = (
-        named.join(windows, named["doc_id"].eqNullSafe(windows["d"]) & (named["key"] == windows["k"]))
-        .select("doc_id", "key", "windows", _words("text").alias("words"))
-        .select("doc_id", "key", F.explode_outer(cut).alias("w"))
-        .select("doc_id", "key", "w.*")
-        .withColumn("own", _counted_shingles("words"))
-        .select("doc_id", "key", "first", "size", "words", "own", F.explode_outer("of").alias("item"))
+        .select("doc_id", "key", "size", F.explode_outer(F.array_distinct(starts)).alias("first"))
+        .distinct()
     )
-    sought = items.select("item_id", "item", "size", F.col("fingerprint").alias("item_bits"), "shingles")
-    near = laid.join(_bounded(sought, sought.count()), ["item", "size"]).withColumn("common", F.size(F.array_intersect("own", "shingles")))
-    scored = near.withColumn("similarity", F.col("common") / (F.size("own") + F.size("shingles") - F.col("common"))).where(F.col("similarity") >= min_similarity)
-    scored = scored.withColumn("n_words", F.size("words")).withColumn("distance", F.bit_count(simhash("words").bitwiseXOR(F.col("item_bits"))))
+    laid = _laid(named, windows, "leak_windows").select("doc_id", "key", "first", "size", simhash("words").alias("bits"))
+    near = _laid(named, _candidates(stored(laid, "leak_prints"), items), "leak_near").withColumn("own", _counted_shingles("words"))
+    sought = items.select("item_id", "item", "size", "shingles")
+    size = 64 + F.aggregate("shingles", F.lit(0), lambda s, x: s + F.octet_length(x) + 16)
+    met = near.join(_bounded(sought, size), ["item", "size"]).withColumn("common", F.size(F.array_intersect("own", "shingles")))
+    scored = met.withColumn("similarity", F.col("common") / (F.size("own") + F.size("shingles") - F.col("common"))).where(F.col("similarity") >= min_similarity)
+    scored = scored.withColumn("n_words", F.size("words"))
     best = F.max(F.struct("similarity", (-F.col("first")).alias("back"), "n_words", (-F.col("distance")).alias("near")))
     return (
         scored.groupBy("doc_id", "key", "item_id")
@@ -156,7 +197,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_si
             "item_id",
             (-F.col("b.back")).cast("long").alias("first_word"),
             F.col("b.n_words").cast("long").alias("n_words"),
-            (-F.col("b.near")).alias("distance"),
+            (-F.col("b.near")).cast("int").alias("distance"),
             F.col("b.similarity").alias("similarity"),
         )
     )
