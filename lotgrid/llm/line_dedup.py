@@ -15,7 +15,7 @@ from lotgrid.llm.common import fresh, stored
 
 # Production parameters.
 MAX_RATIO = 0.02
-MIN_PAGES = 10
+MIN_PAGES = 2  # a line of a single page is no repetition; beyond that the ratio alone decides
 SALTS = 64
 
 
@@ -69,8 +69,7 @@ def drop_site_lines(
 
     All columns and rows stay; ``n_lines`` and ``n_dropped`` name optional count columns.
     A line is compared without blanks, tabs and carriage returns at its ends; blank lines
-    are never boilerplate.  A line needs ``min_pages`` pages, so that small sites lose
-    nothing.  Rows without a host form one site.  A null text stays null with zero lines;
+    are never boilerplate.  A line of fewer than ``min_pages`` pages is no repetition.  Rows without a host form one site.  A null text stays null with zero lines;
     a page of boilerplate alone becomes the empty text.
     """
     if pages.where(F.col(text).isNotNull()).isEmpty():
