@@ -9,8 +9,11 @@ buckets, so the largest task handles about 1/``buckets`` of the rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,13 +90,13 @@ def hash_positions(df: DataFrame, key: str, *, by: str, seed: int = 0, hash_buck
     )
 
 
-def ranged(df: DataFrame, order: str, name: str = "ordered") -> DataFrame:
-    """``df`` stored in ranges of ``order``; ``_bucket`` numbers the ranges upwards.
+def ranged(df: DataFrame, *order: str, name: str = "ordered") -> DataFrame:
+    """``df`` stored in ranges of the ``order`` columns; ``_bucket`` numbers the ranges upwards.
 
-    Equal values share a range.  There are as many ranges as the session has shuffle
+    Equal values of all columns share a range.  There are as many ranges as the session has shuffle
     partitions, fewer where adaptive execution finds them small.
     """
-    return cut_lineage(df.repartitionByRange(order).withColumn("_bucket", F.spark_partition_id()), name)
+    return cut_lineage(df.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()), name)
 
 
 def running_totals(
@@ -108,13 +111,13 @@ def running_totals(
     """Add inclusive running sums, and maxima over earlier rows, along ``order`` within ``by``.
 
     ``totals`` and ``prior_max`` map new column -> source column.  (by, order) must
-    be unique.  The input is stored in ranges of the order, the ranges are totalled, and
-    rows are only ordered inside their range, so even a group that holds everything is
-    shared by many tasks.
+    be unique.  The input is stored in ranges of (by, order), the ranges are totalled, and
+    rows are only ordered inside their range: a group that holds everything is shared by
+    many tasks, and so are many groups that have the same few values of the order.
     """
     by, prior_max = list(by), prior_max or {}
     sign = F.desc if descending else F.asc
-    b = ranged(df, order)
+    b = ranged(df, *by, order)
     per_bucket = b.groupBy(*by, "_bucket").agg(
         *[F.sum(src).alias(f"_t_{out}") for out, src in totals.items()],
         *[F.max(src).alias(f"_t_{out}") for out, src in prior_max.items()],
@@ -148,15 +151,28 @@ def exact_quantiles(df: DataFrame, value: str, probs, *, by: tuple[str, ...] = (
     the column costs one row.
     """
     by = list(by)
-    counted = cut_lineage(
-        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")), "value-counts"
-    )
-    ranked = running_totals(counted, value, {"_upto": "_n"}, by=tuple(by))
-    if by:
-        sizes = counted.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.sum("_n").alias("_size"))
-        sized = ranked.join(sizes, _all(ranked[c].eqNullSafe(sizes[f"_g_{c}"]) for c in by))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    return weighted_quantiles(counted, value, "_n", probs, by=tuple(by))
+
+
+def weighted_quantiles(counted: DataFrame, value: str, count: str, probs, *, by: tuple[str, ...] = (), few: bool = False) -> DataFrame:
+    """The same of values that occur ``count`` times each; (by, value) is unique.
+
+    ``few`` says that no group has more distinct values than one task can hold, and saves
+    the ranges.
+    """
+    by = list(by)
+    counted = cut_lineage(counted.select(*by, value, F.col(count).alias("_n")), "value-counts")
+    if few:
+        upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        sized = counted.withColumns({"_upto": F.sum("_n").over(upto), "_size": F.sum("_n").over(Window.partitionBy(*by))})
     else:
-        sized = ranked.withColumn("_size", counted.agg(F.sum("_n")).scalar())
+        ranked = running_totals(counted, value, {"_upto": "_n"}, by=tuple(by))
+        if by:
+            sizes = counted.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.sum("_n").alias("_size"))
+            sized = ranked.join(sizes, _all(ranked[c].eqNullSafe(sizes[f"_g_{c}"]) for c in by))
+        else:
+            sized = ranked.withColumn("_size", counted.agg(F.sum("_n")).scalar())
 
     # Rank r (1-based) falls on the value whose ranks (upto - n, upto] contain it.
     def holds(rank: Column) -> Column:
@@ -175,91 +191,81 @@ def exact_quantiles(df: DataFrame, value: str, probs, *, by: tuple[str, ...] = (
     return hits.groupBy(*by, "prob").agg((low + (high - low) * F.max(F.col("_pos") - F.floor("_pos"))).alias("quantile"))
 
 
-_APPROX = 10_000  # rank accuracy of percentile_approx: within n / _APPROX
+_DIGIT_BITS = 16  # of the 64 bits of a value that one scan looks at
+
+
+def order_bits(values: np.ndarray) -> np.ndarray:
+    """Doubles as 64-bit numbers in the same order; both zeros are one value, NaN comes last."""
+    values = np.where(np.isnan(values), np.nan, values + 0.0)
+    bits = values.view("u8")
+    negative = bits >> np.uint64(63) == 1
+    return np.where(negative, ~bits, bits | np.uint64(1 << 63))
+
+
+def _from_order_bits(bits: int) -> float:
+    raw = bits & ((1 << 63) - 1) if bits >> 63 else ~bits & ((1 << 64) - 1)
+    return float(np.array([raw], "u8").view("f8")[0])
 
 
 def column_quantiles(df: DataFrame, columns, probs) -> dict[str, dict[float, float]]:
     """Exact linear-interpolated quantiles of whole columns as driver numbers: {column: {prob: value}}.
 
-    A first pass brackets each quantile with the guaranteed error of the approximate
-    one; the second counts what lies below the bracket and takes the nearest values on
-    both sides of it; the third merges only the values inside, about 4/10000 of the rows.
-    A bracket that misses its rank by more than those neighbours is widened to the whole
-    column, so the result is always exact.
+    Radix selection: the bits of a value in the order of the values are looked at 16 at a
+    time, highest first.  A scan counts, for all columns and wanted ranks together, the next
+    digit of the values that share the digits found so far; after four scans every rank's
+    value is known to the last bit.  The number of scans depends on nothing else, and the
+    driver holds at most 65536 counts per wanted rank.
     """
     columns, probs = list(columns), [float(p) for p in probs]
-    slack = 2.0 / _APPROX
-    ends = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
-    first = df.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(F.col(c).cast("double"), ends, _APPROX).alias(f"q{i}") for i, c in enumerate(columns)],
-    ).first()
+    values = cut_lineage(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]), "quantile-columns")
+    sizes = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first()
+    # Per column: 0-based rank -> (digits found so far, rank among the values that share them).
+    open_ranks: dict[int, dict[int, tuple[int, int]]] = {}
+    for i in range(len(columns)):
+        if sizes[i]:
+            wanted = {r for p in probs for r in (math.floor(p * (sizes[i] - 1)), math.ceil(p * (sizes[i] - 1)))}
+            open_ranks[i] = {r: (0, r) for r in wanted}
+    for shift in range(64 - _DIGIT_BITS, -1, -_DIGIT_BITS):
+        prefixes = {i: sorted({prefix for prefix, _ in ranks.values()}) for i, ranks in open_ranks.items()}
+        counts = _digit_counts(values, prefixes, shift) if prefixes else {}
+        for i, ranks in open_ranks.items():
+            for rank, (prefix, left) in ranks.items():
+                digits, n = counts[i, prefix]
+                at = int(np.searchsorted(np.cumsum(n), left, "right"))
+                ranks[rank] = (prefix << _DIGIT_BITS | int(digits[at]), left - int(n[:at].sum()))
     out: dict[str, dict[float, float]] = {c: {} for c in columns}
-    brackets = []
-    for i, c in enumerate(columns):
-        n = first[f"n{i}"]
-        for j, p in enumerate(probs):
-            if n:
-                low, high = first[f"q{i}"][2 * j : 2 * j + 2]
-                brackets.append((c, p, p * (n - 1), low, high))
-    missed = _fill_from_brackets(df, brackets, out)
-    if missed:
-        still = _fill_from_brackets(df, [(c, p, h, float("-inf"), float("inf")) for c, p, h, _, _ in missed], out)
-        assert not still
+    for i, ranks in open_ranks.items():
+        for p in probs:
+            at = p * (sizes[i] - 1)
+            low, high = (_from_order_bits(ranks[r][0]) for r in (math.floor(at), math.ceil(at)))
+            out[columns[i]][p] = low + (high - low) * (at - math.floor(at)) if low != high else low
     return out
 
 
-def _fill_from_brackets(df: DataFrame, brackets, out) -> list:
-    """Resolve the brackets that hold their ranks; return the others."""
-    if not brackets:
-        return []
-
-    def value(b) -> Column:
-        return F.col(b[0]).cast("double")
-
-    sides = [
-        c
-        for k, b in enumerate(brackets)
-        for c in (
-            F.count_if(value(b) < F.lit(b[3])).alias(f"b{k}"),
-            F.count_if(value(b).between(F.lit(b[3]), F.lit(b[4]))).alias(f"i{k}"),
-            F.max(F.when(value(b) < F.lit(b[3]), value(b))).alias(f"p{k}"),
-            F.min(F.when(value(b) > F.lit(b[4]), value(b))).alias(f"x{k}"),
-        )
-    ]
-    below = df.agg(*sides).first()
-    inside = F.array(
-        *[
-            F.when(value(b).between(F.lit(b[3]), F.lit(b[4])), F.struct(F.lit(k).alias("k"), value(b).alias("v")))
-            for k, b in enumerate(brackets)
-        ]
-    )
-    merged = cut_lineage(
-        df.select(F.explode(F.array_compact(inside)).alias("s")).select("s.k", "s.v").groupBy("k", "v").agg(F.count("*").alias("_n")),
-        "quantile-brackets",
-    )
-    ranked = running_totals(merged, "v", {"_upto": "_n"}, by=("k",))
-    wanted = [(k, r, int(r_pos) + 1 - below[f"b{k}"]) for k, b in enumerate(brackets) for r, r_pos in ((0, math.floor(b[2])), (1, math.ceil(b[2])))]
-    hit = F.lit(False)
-    for k, _, rank in wanted:
-        hit = hit | ((F.col("k") == k) & (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank))
-    # At most two values per bracket.
-    found = ranked.where(hit).collect()
-    missed = []
-    for k, b in enumerate(brackets):
-        ends = []
-        for kk, _, rank in wanted:
-            if kk == k:
-                if rank == 0 and below[f"p{k}"] is not None:
-                    ends.append(below[f"p{k}"])
-                elif rank == below[f"i{k}"] + 1 and below[f"x{k}"] is not None:
-                    ends.append(below[f"x{k}"])
-                ends += [r["v"] for r in found if r["k"] == k and r["_upto"] - r["_n"] < rank <= r["_upto"]]
-        if len(ends) != 2:
-            missed.append(b)
-        else:
-            out[b[0]][b[1]] = ends[0] + (ends[1] - ends[0]) * (b[2] - math.floor(b[2]))
-    return missed
+def _digit_counts(values: DataFrame, prefixes: dict[int, list[int]], shift: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Counts of the digit above ``shift`` among the values with each of the given higher digits, per column."""
+    names = [f"v{i}" for i in prefixes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {(i, k): np.zeros(1 << _DIGIT_BITS, "i8") for i, own in prefixes.items() for k in range(len(own))}
+        for batch in batches:
+            for i, own in prefixes.items():
+                bits = order_bits(batch.column(f"v{i}").drop_null().to_numpy(zero_copy_only=False))
+                digit = (bits >> np.uint64(shift)) & np.uint64((1 << _DIGIT_BITS) - 1)
+                high = bits >> np.uint64(shift + _DIGIT_BITS) if shift + _DIGIT_BITS < 64 else np.zeros(len(bits), "u8")
+                for k, prefix in enumerate(own):
+                    total[i, k] += np.bincount(digit[high == np.uint64(prefix)].astype("i8"), minlength=1 << _DIGIT_BITS)
+        for (i, k), n in total.items():
+            digits = np.flatnonzero(n)
+            columns = [pa.array(np.full(len(digits), v), pa.int32()) for v in (i, k)] + [pa.array(digits, pa.int32()), pa.array(n[digits], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["col", "prefix", "digit", "n"])
+
+    counted = values.select(*names).mapInArrow(run, "col int, prefix int, digit int, n long").groupBy("col", "prefix", "digit").agg(F.sum("n").alias("n"))
+    merged = counted.groupBy("col", "prefix").agg(F.array_sort(F.collect_list(F.struct("digit", "n"))).alias("c"))
+    out = {}
+    for r in merged.collect():
+        out[r["col"], prefixes[r["col"]][r["prefix"]]] = (np.array([d["digit"] for d in r["c"]]), np.array([d["n"] for d in r["c"]], "i8"))
+    return out
 
 
 def even_subset(df: DataFrame, order: str, size: int) -> DataFrame:

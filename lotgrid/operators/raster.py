@@ -7,6 +7,7 @@ which cells a polygon covers.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from lotgrid.functions import geometry as G
 from lotgrid.functions.attributes import BOROUGHS
 from lotgrid.functions.grid import Grid
 from lotgrid.functions.spectral import clamp
+from lotgrid.operators import tiles as TL
 from lotgrid.session import cut_lineage
 
 VACANT, OTHER, IGNORE = 1, 0, 255
@@ -260,57 +262,34 @@ def parcel_raster_stats(parcel_px: DataFrame, width, height) -> DataFrame:
 # ---------------------------------------------------------------- label mask
 
 
-def disk(radius: int) -> Column:
-    """Offsets of a filled disk as ``array<struct<di, dj>>``."""
-    return F.array(
-        *[
-            F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj"))
-            for i in range(-radius, radius + 1)
-            for j in range(-radius, radius + 1)
-            if i * i + j * j <= radius * radius
-        ]
-    )
-
+def dilate(cells: DataFrame, radius: int, side: int = TL.SIDE) -> DataFrame:
+    """Distinct cells within ``radius`` of any given cell, inside the tiles that hold one."""
+    tiles = TL.from_cells(cells.select(*CELL).distinct().withColumn("_in", F.lit(VACANT)), ["_in"], side)
+    inside = slice(radius, radius + side)
 
-def neighbours_within(cells: DataFrame, radius: int, keep=()) -> DataFrame:
-    """Cells paired with every cell position in the disk around them (ni, nj)."""
-    return cells.select(*keep, *CELL, F.inline(disk(radius))).select(
-        *keep, *CELL, (F.col("prow") + F.col("di")).alias("ni"), (F.col("pcol") + F.col("dj")).alias("nj")
-    )
+    def grow(given: np.ndarray) -> dict:
+        near = TL.squared_distance(given == VACANT, radius) <= radius * radius
+        return {"_in": np.where(near, VACANT, TL.ABSENT)[inside, inside]}
 
+    return TL.to_cells(TL.with_halo(tiles, ["_in"], radius, grow, {"_in": "bigint"}, side), {"_in": "int"}, side).select(*CELL)
 
-def dilate(cells: DataFrame, radius: int) -> DataFrame:
-    """Distinct cells within the disk of any given cell (not clipped to the raster)."""
-    return neighbours_within(cells.select(*CELL), radius).select(F.col("ni").alias("prow"), F.col("nj").alias("pcol")).distinct()
 
-
-def erode_boundary(mask: DataFrame, radius: int) -> DataFrame:
+def erode_boundary(mask: DataFrame, radius: int, side: int = TL.SIDE) -> DataFrame:
     """Vacant cells within ``radius`` of a non-vacant cell become "ignore".
 
-    Vacant cells are the small class, so they are the side that is multiplied by
-    the disk; the non-vacant side is only probed.
+    ``mask`` has cells or tiles, and so has the result.  The distance is exact; tiles meet
+    their neighbours' edges in one shuffle.
     """
     if radius <= 0:
         return mask
-    vacant = neighbours_within(mask.where(F.col("label") == VACANT), radius)
-    other = mask.where(F.col("label") == OTHER).select(F.col("prow").alias("oi"), F.col("pcol").alias("oj"))
-    edge = (
-        vacant.join(other, (F.col("ni") == F.col("oi")) & (F.col("nj") == F.col("oj")), "left_semi")
-        .select(F.col("prow").alias("ei"), F.col("pcol").alias("ej"))
-        .distinct()
-    )
-    return (
-        mask.join(edge, (F.col("prow") == F.col("ei")) & (F.col("pcol") == F.col("ej")), "left")
-        .withColumn("label", F.when(F.col("ei").isNotNull(), IGNORE).otherwise(F.col("label")).cast("smallint"))
-        .drop("ei", "ej")
-    )
+    eroded = TL.erode(TL.as_tiles(mask, ["label"], side), radius, inner=VACANT, outer=OTHER, value=IGNORE, side=side)
+    return eroded if "trow" in mask.columns else TL.to_cells(eroded, {"label": "smallint"}, side)
 
 
-def burn_labels(parcels: DataFrame, overrides: DataFrame | None, grid: Grid, *, min_pixels: int = 0) -> DataFrame:
-    """Parcel passes of the label mask in one aggregate: all 0, vacant 1, forced 0, forced 1.
+def pass_spans(parcels: DataFrame, overrides: DataFrame | None, grid: Grid, *, min_pixels: int = 0) -> DataFrame:
+    """Row spans of the parcel passes of the label mask: all 1, vacant 2, forced other 3, forced vacant 4.
 
-    ``parcels`` needs bbl, is_vacant, geom.  Later passes win, so the final value
-    of a cell is the value of its highest pass among the covering parcels.
+    ``parcels`` needs bbl, is_vacant, geom.  Later passes win.
     """
     big = parcels.where(G.area(F.col("geom")) >= F.lit(float(min_pixels)) * _c(grid.dx) * _c(grid.dy))
     rank = F.when(F.col("is_vacant"), 2).otherwise(1)
@@ -320,27 +299,14 @@ def burn_labels(parcels: DataFrame, overrides: DataFrame | None, grid: Grid, *,
         )
         big = big.join(marks, big["bbl"] == marks["_mark"], "left")
         rank = F.coalesce(F.col("_forced"), rank)
-    passes = big.select(rank.alias("_pass"), "geom")
-    cells = polygon_cells(passes, grid).groupBy(*CELL).agg(F.max("_pass").alias("_pass"))
-    return cells.select(*CELL, F.when(F.col("_pass").isin(2, 4), VACANT).otherwise(OTHER).cast("smallint").alias("label"))
+    return polygon_spans(big.select(rank.alias("pass"), "geom"), grid)
 
 
-def overlay_ignore(mask: DataFrame, layers: list[DataFrame]) -> DataFrame:
-    """Set cells of the layers to "ignore": the layers are united and joined once."""
-    if not layers:
-        return mask
-    cover = layers[0].select(*CELL)
-    for layer in layers[1:]:
-        cover = cover.unionByName(layer.select(*CELL))
-    covered = cover.distinct().select(F.col("prow").alias("ci"), F.col("pcol").alias("cj"))
-    return mask.join(covered, (F.col("prow") == F.col("ci")) & (F.col("pcol") == F.col("cj")), "full_outer").select(
-        F.coalesce("prow", "ci").alias("prow"),
-        F.coalesce("pcol", "cj").alias("pcol"),
-        F.when(F.col("ci").isNotNull(), IGNORE).otherwise(F.col("label")).cast("smallint").alias("label"),
-    )
+PASS_LABELS = {1: OTHER, 2: VACANT, 3: OTHER, 4: VACANT}
+COVER_PASS = 9
 
 
-def label_mask(
+def label_tiles(
     parcels: DataFrame,
     overrides: DataFrame | None,
     grid: Grid,
@@ -350,15 +316,33 @@ def label_mask(
     water: DataFrame | None = None,
     roads: DataFrame | None = None,
     roadbed: DataFrame | None = None,
-) -> dict[str, DataFrame]:
-    """Layered label mask; each value of the result is the mask after that stage."""
-    # The erosion reads the burned mask three times and the overlay once more.
-    burned = cut_lineage(burn_labels(parcels, overrides, grid, min_pixels=min_pixels), "burned")
-    eroded = erode_boundary(burned, erosion)
-    layers = [polygon_cells(p.select("geom"), grid) for p in (water, roadbed) if p is not None]
+    side: int = TL.SIDE,
+) -> DataFrame:
+    """Tiles of the layered label mask with the bands ``burned``, ``eroded`` and ``final``.
+
+    Parcels and overlays reach the tiles as row spans in one shuffle; the erosion's strips
+    are the second and last one.
+    """
+    spans = pass_spans(parcels, overrides, grid, min_pixels=min_pixels)
+    for layer in (water, roadbed):
+        if layer is not None:
+            spans = spans.unionByName(polygon_spans(layer.select("geom"), grid).withColumn("pass", F.lit(COVER_PASS)))
     if roads is not None:
-        layers.append(rasterise_lines(roads, grid))
-    return {"burned": burned, "eroded": eroded, "final": overlay_ignore(eroded, layers)}
+        spans = spans.unionByName(line_spans(roads.select("geom"), grid).withColumn("pass", F.lit(COVER_PASS)))
+    painted = TL.burn_passes(spans, PASS_LABELS, "burned", side, cover=COVER_PASS)
+    # The band that is eroded travels beside the burned one and the overlay.
+    eroded = TL.erode(painted.withColumn("label", F.col("burned")), erosion, inner=VACANT, outer=OTHER, value=IGNORE, side=side, keep=("burned", "covered"))
+    final = F.transform(F.arrays_zip("label", "covered"), lambda z: F.when(z["covered"] == 1, F.lit(IGNORE).cast("bigint")).otherwise(z["label"]))
+    return eroded.select(*TL.TILE, "burned", F.col("label").alias("eroded"), final.alias("final"))
+
+
+def label_mask(parcels: DataFrame, overrides: DataFrame | None, grid: Grid, *, side: int = TL.SIDE, **layers) -> dict[str, DataFrame]:
+    """Layered label mask; each value of the result has the cells of the mask after that stage.
+
+    The tiles are stored once and read by every stage; see ``label_tiles`` for the arguments.
+    """
+    tiles = cut_lineage(label_tiles(parcels, overrides, grid, side=side, **layers), "label-tiles")
+    return {stage: TL.to_cells(tiles.select(*TL.TILE, F.col(stage).alias("label")), {"label": "smallint"}, side) for stage in ("burned", "eroded", "final")}
 
 
 def class_counts(mask: DataFrame, step: str | None = None, total_cells=None) -> DataFrame:
@@ -395,17 +379,21 @@ def _with_every_borough(counts: DataFrame, columns) -> DataFrame:
     )
 
 
-def borough_counts(mask: DataFrame, boro: DataFrame) -> DataFrame:
+def borough_counts(mask: DataFrame, boro: DataFrame, side: int = TL.SIDE) -> DataFrame:
     """Vacant, other and ignore cells per borough, every borough listed.
 
-    A borough cell without a mask row is an ignore cell.
+    Both are cells or tiles; one tile table that has both bands may be given for both.  A
+    borough cell without a label is an ignore cell.  Cells are counted tile by tile.
     """
-    joined = boro.join(mask, CELL, "left")
-    label = F.coalesce(F.col("label"), F.lit(IGNORE))
-    counts = joined.groupBy("boro_code").agg(
-        F.count_if(label == VACANT).alias("vacant"),
-        F.count_if(label == OTHER).alias("nonvacant"),
-        F.count_if(label == IGNORE).alias("ignored"),
+    if mask is boro and "trow" in mask.columns:
+        tiles = mask
+    else:
+        tiles = TL.stack(TL.as_tiles(boro, ["boro_code"], side), TL.as_tiles(mask, ["label"], side), side)
+    cells = TL.count_classes(tiles, "boro_code", "label", side)
+    counts = cells.groupBy("boro_code").agg(
+        F.coalesce(F.sum(F.when(F.col("label") == VACANT, F.col("n"))), F.lit(0)).alias("vacant"),
+        F.coalesce(F.sum(F.when(F.col("label") == OTHER, F.col("n"))), F.lit(0)).alias("nonvacant"),
+        F.coalesce(F.sum(F.when(F.col("label").isin(IGNORE, TL.ABSENT), F.col("n"))), F.lit(0)).alias("ignored"),
     )
     share = F.coalesce(F.col("vacant") / F.nullif(F.col("vacant") + F.col("nonvacant"), F.lit(0)), F.lit(0.0))
     return _with_every_borough(counts, ["vacant", "nonvacant", "ignored"]).withColumn("vacant_fraction", share)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from math import pi
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotgrid.functions.grid import encode_probability
 from lotgrid.functions.spectral import clamp
+from lotgrid.operators import tiles as TL
 
 CELL = ["prow", "pcol"]
 
@@ -93,9 +95,38 @@ def outcome(label: Column, prob: Column, threshold) -> Column:
     )
 
 
-def outcome_map(scores: DataFrame, mask: DataFrame, threshold) -> DataFrame:
-    """Outcome per scored cell; stored scores can be re-cut at any threshold without scoring again."""
-    return scores.join(mask, CELL, "left").withColumn("outcome", outcome(F.col("label"), F.col("prob"), threshold))
+OUTCOMES = ["ignore", "TN", "FP", "FN", "TP"]
+
+
+def outcome_map(scores: DataFrame, mask: DataFrame, threshold: float, side: int = TL.SIDE) -> DataFrame:
+    """Outcome per scored cell, ``prow, pcol, prob, label, outcome``.
+
+    Scores and mask are cells or tiles; they meet tile by tile.  Stored scores can be re-cut
+    at any threshold without scoring again.  A score row without a probability is "ignore";
+    score tiles that have such cells need a band ``scored`` of 1 where a score row stands.
+    """
+    if "trow" not in scores.columns:
+        scores = scores.withColumn("scored", F.lit(1))
+    elif "scored" not in scores.columns:
+        scores = scores.withColumn("scored", F.transform("prob", lambda p: F.when(F.isnan(p), TL.ABSENT).otherwise(1).cast("bigint")))
+    tiles = TL.stack(TL.as_tiles(scores, ["prob", "scored"], side), TL.as_tiles(mask, ["label"], side), side)
+
+    def compare(_r: int, _c: int, prob: np.ndarray, scored: np.ndarray, label: np.ndarray) -> dict:
+        known = (label != TL.ABSENT) & (label != 255) & ~np.isnan(prob)
+        code = np.where(known, 1 + 2 * (label == 1) + (prob > threshold), 0)
+        keep = np.flatnonzero(scored == 1)
+        at = {"prow": _r * side + keep // side, "pcol": _c * side + keep % side}
+        values = {"prob": prob.reshape(-1)[keep], "label": label.reshape(-1)[keep], "code": code.reshape(-1)[keep]}
+        return {k: v.astype("i4") for k, v in at.items()} | values
+
+    cells = TL.map_tiles(tiles, ["prob", "scored", "label"], compare, "prow int, pcol int, prob double, label long, code long", side)
+    names = F.array(*[F.lit(o) for o in OUTCOMES])
+    return cells.select(
+        *CELL,
+        F.nanvl("prob", F.lit(None).cast("double")).alias("prob"),
+        F.when(F.col("label") != TL.ABSENT, F.col("label")).cast("smallint").alias("label"),
+        F.get(names, F.col("code").cast("int")).alias("outcome"),
+    )
 
 
 def outcome_rgba(code: Column) -> Column:

@@ -1,50 +1,70 @@
-"""Statistics of raster cells per zone."""
+"""Statistics of raster cells per zone, tile by tile."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lotgrid.functions.grid import Grid
-from lotgrid.operators.ranking import exact_quantiles
-from lotgrid.operators.raster import CELL, polygon_cells
-from lotgrid.session import cut_lineage
+from lotgrid.operators import tiles as TL
+from lotgrid.operators.ranking import weighted_quantiles
+from lotgrid.operators.raster import parcel_ids, polygon_spans
 
+FEW_LEVELS = 4096  # values of a band that one zone's counts may hold in a task
 
-def _stats(bands, stats) -> list[Column]:
-    build = {"mean": F.avg, "stdDev": F.stddev_pop, "median": lambda b: F.percentile(b, F.lit(0.5)), "count": F.count}
-    return [build[s](F.col(b)).alias(f"{b}_{s}") for b in bands for s in stats]
 
+def _statistics(partials, bands: list[str], stats, levels: int | None) -> DataFrame:
+    """``zone, <band>_<stat>...`` from partial moments and, for medians, partial value counts."""
+    merged = TL.merged_moments(partials("moments"))
+    pick = {"mean": "mean", "stdDev": "std", "count": "n"}
 
-def _has_few_values(pixels: DataFrame, band: str) -> bool:
-    return isinstance(pixels.schema[band].dataType, (T.ByteType, T.ShortType))
+    def of(column: str, k: int):
+        return F.max(F.when(F.col("band") == k, F.col(column)))
+
+    columns = {f"{b}_{s}": of(pick[s], k) for k, b in enumerate(bands) for s in stats if s != "median"}
+    out = merged.groupBy("zone").agg(F.max("n").alias("_most"), *[c.alias(name) for name, c in columns.items()]).where("_most > 0")
+    if "median" in stats:
+        counted = partials("counts").groupBy("zone", "band", "value").agg(F.sum("n").alias("n"))
+        found = weighted_quantiles(counted, "value", "n", [0.5], by=("zone", "band"), few=levels is not None and levels <= FEW_LEVELS)
+        medians = found.groupBy(F.col("zone").alias("_z")).agg(*[of("quantile", k).alias(f"{b}_median") for k, b in enumerate(bands)])
+        out = out.join(medians, out["zone"] == medians["_z"], "left")
+    return out.select("zone", *[f"{b}_{s}" for b in bands for s in stats])
 
 
 def zonal_by_raster(
-    pixels: DataFrame, zones: DataFrame, bands, *, zone: str = "parcel_id", stats=("mean", "stdDev", "count"), subset: DataFrame | None = None
+    pixels: DataFrame,
+    zones: DataFrame,
+    bands,
+    *,
+    zone: str = "parcel_id",
+    stats=("mean", "stdDev", "count"),
+    subset: DataFrame | None = None,
+    levels: int | None = None,
+    side: int = TL.SIDE,
 ) -> DataFrame:
-    """Band statistics per zone of an id raster; every statistic is a partial aggregate.
+    """Band statistics per zone of an id raster; pixels and zones are cells or tiles.
 
-    The median of an 8-bit band is one too: its state is at most 256 value counts.
-    Other bands could fill a task with the distinct values of one large zone, so their
-    medians are ranked in a distributed way and joined back.
+    Every tile gives partial sums per zone.  ``levels`` states how many values the bands can
+    have; medians of bands with few are counted per zone in one task, those of others, whose
+    values could fill a task, are ranked in a distributed way.  Zones without a value in
+    any band have no row.
     """
+    bands = list(bands)
+    kind = "int" if zone not in dict(zones.dtypes) else dict(zones.dtypes)[zone]
+    stacked = TL.stack(TL.as_tiles(zones, [zone], side), TL.as_tiles(pixels, bands, side), side)
+    out = _statistics(lambda what: TL.zone_partials(stacked, zone, bands, what, side), bands, stats, levels)
     if subset is not None:
-        zones = zones.join(subset.select(F.col(zone).alias("_z")), F.col(zone) == F.col("_z"), "left_semi")
-    joined = pixels.select(*CELL, *bands).join(zones, CELL)
-    ranked = [b for b in bands if "median" in stats and not _has_few_values(pixels, b)]
-    plain = [c for b in bands for c in _stats([b], [s for s in stats if s != "median" or b not in ranked])]
-    if not ranked:
-        return joined.groupBy(zone).agg(*plain)
-    joined = cut_lineage(joined, "zone-cells")
-    long = joined.select(zone, *[F.col(b).cast("double").alias(b) for b in ranked]).unpivot([zone], ranked, "band", "value")
-    medians = exact_quantiles(long, "value", [0.5], by=(zone, "band")).groupBy(F.col(zone).alias("_m")).agg(
-        *[F.max(F.when(F.col("band") == b, F.col("quantile"))).alias(f"{b}_median") for b in ranked]
-    )
-    counted = joined.groupBy(zone).agg(*plain)
-    wanted = [zone, *[f"{b}_{s}" for b in bands for s in stats]]
-    return counted.join(medians, counted[zone] == medians["_m"], "left").select(*wanted)
+        out = out.join(subset.select(F.col(zone).alias("_s")), F.col("zone") == F.col("_s"), "left_semi")
+    kind = kind if not kind.startswith("array") else "bigint"
+    return out.select(F.col("zone").cast(kind).alias(zone), *[c for c in out.columns if c != "zone"])
+
+
+def _numbered(parcels: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Parcels with a whole-number ``zone``, and the table that names it if the key is none itself."""
+    if dict(parcels.dtypes)[key] in ("tinyint", "smallint", "int", "bigint"):
+        return parcels.select(F.col(key).cast("bigint").alias("zone"), "geom"), None
+    ids = parcel_ids(parcels, key)
+    return parcels.join(ids, key).select(F.col("parcel_id").alias("zone"), "geom"), ids
 
 
 def zonal_by_polygon(
@@ -55,28 +75,45 @@ def zonal_by_polygon(
     *,
     key: str = "bbl",
     stats=("mean", "stdDev", "median", "count"),
+    levels: int | None = None,
+    side: int = TL.SIDE,
 ) -> DataFrame:
-    """Band statistics per polygon, overlapping polygons allowed; columns ``<band>_<stat>``."""
-    zones = polygon_cells(parcels.select(key, "geom"), grid)
-    return zonal_by_raster(pixels, zones, bands, zone=key, stats=stats)
+    """Band statistics per polygon, overlapping polygons allowed; columns ``<band>_<stat>``.
+
+    Polygons meet the tiles as row spans; neither side's cells are shuffled.  ``levels`` as
+    for ``zonal_by_raster``.
+    """
+    bands = list(bands)
+    shapes, ids = _numbered(parcels, key)
+    tiles, spans = TL.as_tiles(pixels, bands, side), polygon_spans(shapes, grid)
+    out = _statistics(lambda what: TL.span_partials(tiles, spans, "zone", bands, what, side), bands, stats, levels)
+    rest = [c for c in out.columns if c != "zone"]
+    if ids is None:
+        return out.select(F.col("zone").cast(dict(parcels.dtypes)[key]).alias(key), *rest)
+    return out.join(ids, out["zone"] == ids["parcel_id"]).select(key, *rest)
 
 
 def prediction_fraction(
-    parcels: DataFrame, scores: DataFrame, grid: Grid, *, key: str = "bbl", pixel_threshold: float = 0.5, min_pixels: int = 5
+    parcels: DataFrame,
+    scores: DataFrame,
+    grid: Grid,
+    *,
+    key: str = "bbl",
+    pixel_threshold: float = 0.5,
+    min_pixels: int = 5,
+    side: int = TL.SIDE,
 ) -> DataFrame:
     """Scored cells, cells at or above the threshold, and their ratio per parcel.
 
-    Null probabilities are not valid cells.  Only (key, geom) travels through the
-    cell expansion; the attributes come back by one join on the key.
+    Null probabilities are not valid cells.  Only (key, geom) meets the score tiles, as row
+    spans against running counts; the attributes come back by one join on the key.
     """
-    zones = polygon_cells(parcels.select(key, "geom"), grid)
-    scored = scores.where(F.col("prob").isNotNull()).select(*CELL, "prob")
-    per_parcel = (
-        zones.join(scored, CELL)
-        .groupBy(F.col(key).alias("_zone"))
-        .agg(F.count("*").alias("valid_pixels"), F.count_if(F.col("prob") >= pixel_threshold).alias("pred_pixels"))
-    )
-    out = parcels.drop("geom").join(per_parcel, F.col(key) == F.col("_zone"), "left").drop("_zone")
+    shapes, ids = _numbered(parcels, key)
+    sums = TL.span_sums(TL.as_tiles(scores, ["prob"], side), polygon_spans(shapes, grid), "zone", "prob", pixel_threshold, side)
+    if ids is not None:
+        sums = sums.join(ids, sums["zone"] == ids["parcel_id"]).select(F.col(key).alias("zone"), "n", "hits")
+    sums = sums.select(F.col("zone").alias("_zone"), F.col("n").alias("valid_pixels"), F.col("hits").alias("pred_pixels"))
+    out = parcels.drop("geom").join(sums, F.col(key) == F.col("_zone"), "left").drop("_zone")
     out = out.fillna(0, ["valid_pixels", "pred_pixels"]).withColumn(
         "pred_fraction", F.col("pred_pixels") / F.nullif(F.col("valid_pixels"), F.lit(0))
     )
