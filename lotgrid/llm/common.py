@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,6 +58,14 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trimmed() -> None:
+    """Give memory that finished parts left free in a Python worker back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def text_parts(lengths: list[int], rows: int, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Start and number of rows of parts of at most ``rows`` rows and ``size`` bytes; a longer text is a part alone."""
     start = held = 0
@@ -99,6 +108,7 @@ def map_texts(
                 kept = [batch.column(c) if rows is None else batch.column(c).take(pa.array(rows, pa.int64())) for c in keep]
                 new = [pa.array(columns[c], kind) for c, (_, kind) in made.items()]
                 yield pa.RecordBatch.from_arrays([*kept, *new], [*keep, *made])
+        trimmed()
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotgrid.llm.common import byte_lengths, dropped, fresh, stored, text_parts
+from lotgrid.llm.common import byte_lengths, dropped, fresh, stored, text_parts, trimmed
 from lotgrid.llm.components import components
 from lotgrid.llm.wordhash import shingle_sets, split_words
 
@@ -40,14 +40,16 @@ NEAR_SHARE = 0.36  # bound of the intersection over both sizes from which nodes
 # Rows of 16 bytes up to this number are sent to all tasks: 8 MB.
 BROADCAST_ROWS = 500_000
 TEXTS_AT_ONCE = 256
+BYTES_AT_ONCE = 256 << 10
 
 
-def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    """Parts of the frames with their texts' shingle sets; numbers read here have no nulls beside them."""
-    for whole in frames:
-        for start, count in text_parts([len(t or "") for t in whole["text"]], TEXTS_AT_ONCE):
-            batch = whole.iloc[start : start + count]
-            yield batch, shingle_sets(split_words(batch["text"].tolist()), WIDTH)
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of the batches with their texts' shingle sets."""
+    for whole in batches:
+        for start, count in text_parts(byte_lengths(whole.column("text")), TEXTS_AT_ONCE, BYTES_AT_ONCE):
+            batch = whole.slice(start, count)
+            yield batch, shingle_sets(split_words(batch.column("text").to_pylist()), WIDTH)
+    trimmed()
 
 
 def _node(tokens: np.ndarray) -> int | None:
@@ -69,15 +71,12 @@ def _survey(docs: DataFrame) -> DataFrame:
             columns = [doc_id, key, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(block, pa.int32()), pa.array(packed, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "node", "block", "cells"])
 
-        for whole in batches:
-            kind = whole.column("doc_id").type
-            for start, size in text_parts(byte_lengths(whole.column("text")), TEXTS_AT_ONCE):
-                batch = whole.slice(start, size)
-                sets = shingle_sets(split_words(batch.column("text").to_pylist()), WIDTH)
-                at, count = np.unique(np.concatenate(sets) >> np.uint64(64 - CELL_BITS), return_counts=True)
-                cells[at] = np.minimum(cells[at] + count, 60_000)
-                none = [None] * len(sets)
-                yield rows(batch.column("doc_id"), batch.column("text_key"), [len(s) for s in sets], [_node(s) for s in sets], none, none)
+        for batch, sets in _sets(batches):
+            kind = batch.column("doc_id").type
+            at, count = np.unique(np.concatenate(sets) >> np.uint64(64 - CELL_BITS), return_counts=True)
+            cells[at] = np.minimum(cells[at] + count, 60_000)
+            none = [None] * len(sets)
+            yield rows(batch.column("doc_id"), batch.column("text_key"), [len(s) for s in sets], [_node(s) for s in sets], none, none)
         for k, part in enumerate(np.split(cells, CELL_BLOCKS)):
             if part.any():
                 yield rows(pa.nulls(1, kind), pa.nulls(1, pa.int64()), [None], [None], [k], [zlib.compress(part.tobytes(), 1)])
@@ -122,9 +121,9 @@ def _signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
-        for _, sets in _batches(frames):
+        for _, sets in _sets(batches):
             rows = {}
             for s in sets:
                 node, n = _node(s), len(s)
@@ -133,9 +132,11 @@ def _signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 keep = n - (3 * n + 3) // 4 + 1
                 order = np.argsort(level[s >> np.uint64(64 - CELL_BITS)], kind="stable")[:keep]
                 rows[node] = (node, n, s[order].astype("i8").tolist(), _bitmap(s, 1 << max(6, (2 * n - 1).bit_length())))
-            yield pd.DataFrame(list(rows.values()), columns=["node", "n", "prefix", "bits"])
+            node, n, prefix, bits = zip(*rows.values(), strict=True) if rows else ((), (), (), ())
+            lists = [pa.array(list(v), pa.list_(pa.int64())) for v in (prefix, bits)]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), *lists], ["node", "n", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "node long, n long, prefix array<long>, bits array<long>")
+    return docs.select("text").mapInArrow(run, "node long, n long, prefix array<long>, bits array<long>")
 
 
 def _lacking(a: Column, b: Column) -> Column:
@@ -176,14 +177,16 @@ def _token_sets(nodes: DataFrame, docs: DataFrame, members: DataFrame) -> DataFr
     named = docs.select("text", F.xxhash64("text").alias("key"), F.col("doc_id").alias("id"))
     chosen = named.join(side, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, sets in _batches(frames):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(batches):
             # Repeated rows of a batch, and copies with null ids, give one row.
-            rows = {k: s.astype("i8").tolist() for k, s in zip(batch["node"], sets, strict=True) if _node(s) == k}
-            rows = list(rows.items())
-            yield pd.DataFrame(rows, columns=["node", "tokens"])
+            rows = {k: s.astype("i8") for k, s in zip(batch.column("node").to_pylist(), sets, strict=True) if _node(s) == k}
+            ends = np.cumsum([0, *map(len, rows.values())])
+            tokens = pa.array(np.concatenate([np.zeros(0, "i8"), *rows.values()]), pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), lists], ["node", "tokens"])
 
-    return stored(chosen.mapInPandas(run, "node long, tokens array<long>"), "join_sets")
+    return stored(chosen.mapInArrow(run, "node long, tokens array<long>"), "join_sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -264,6 +267,7 @@ def _compared(dealt: DataFrame, sets: DataFrame, name: str) -> DataFrame:
             nodes = group["node"].to_numpy()
             root, degree = _connected(group["tokens"].tolist())
             found.append(pd.DataFrame({"a": nodes, "b": nodes[root], "degree": degree}))
+        trimmed()
         return pd.concat(found)
 
     rows = dealt.join(sets, "node").select("x", "y", "comp", "node", "tokens")

@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotgrid.llm.common import byte_lengths, dropped, map_texts, stored, text_parts
+from lotgrid.llm.common import byte_lengths, dropped, map_texts, stored, text_parts, trimmed
 from lotgrid.llm.language_id import fold_of
 from lotgrid.llm.wordhash import Words, shingle_sets, split_words
 from lotgrid.operators.ranking import column_quantiles
@@ -206,6 +206,7 @@ def strengths(texts: Column, model: Ranking) -> Column:
             parts = text_parts(byte_lengths(batch), TEXTS_AT_ONCE, BYTES_AT_ONCE)
             found = [model.strength(text_features(batch.slice(a, n).to_pylist())) for a, n in parts]
             yield pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())
+        trimmed()
 
     return strength(texts)
 
