@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,9 +54,15 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished queries that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of the shuffle files of finished queries that nothing refers to any more.
+
+    The first collection only finds that Python has let go of a plan; the second finds the
+    plan's shuffles.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def trimmed() -> None:

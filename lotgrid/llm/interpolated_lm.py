@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotgrid.llm.common import byte_lengths, dropped, fresh, pack_integers, released, small_integers, stored, text_parts, unpack_integers
+from lotgrid.llm.common import byte_lengths, dropped, fresh, pack_integers, released, small_integers, stored, text_parts, trimmed, unpack_integers
 from lotgrid.llm.language_id import fold_of
 from lotgrid.llm.wordhash import mix, split_words
 
@@ -115,6 +115,7 @@ def _blocks(docs: DataFrame, key: str) -> DataFrame:
                 size += held
         if parts:
             yield block(ids, role, parts)
+        trimmed()
 
     schema = f"block long, ids array<{kind}>, role binary, sizes binary, tokens binary, words binary"
     return stored(docs.select(F.col(key).alias("id"), "role", "text").mapInArrow(run, schema), "lm_blocks")
@@ -157,6 +158,7 @@ def _requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                             pa.array([pack_integers(small_integers(deleted[a:b])) for *_, a, b in part], pa.binary()),
                         ]
                         yield pa.RecordBatch.from_arrays(columns, ["bucket", "n", "block", "grams", "kept", "deleted"])
+                trimmed()
 
     return blocks.select("block", "role", "sizes", "tokens", "words").mapInArrow(run, "bucket int, n int, block long, grams binary, kept binary, deleted binary")
 

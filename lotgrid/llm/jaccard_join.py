@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotgrid.llm.common import byte_lengths, dropped, fresh, stored, text_parts, trimmed
+from lotgrid.llm.common import byte_lengths, dropped, fresh, released, stored, text_parts, trimmed
 from lotgrid.llm.components import components
 from lotgrid.llm.wordhash import shingle_sets, split_words
 
@@ -395,6 +395,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # Groups take in what is only near, so that whole clusters of variants are compared inside them.
     near = stored(led.select("a", "b", _bound("p", "q").alias("bound")).where(F.col("bound") >= NEAR_SHARE).select("a", "b"), "join_near")
     groups = components(near)
+    del rows, led
+    released(docs.sparkSession)
     sets = _token_sets(groups.select("node"), docs, members)
     links = _within_groups(groups, sets)
     comps = components(links)
