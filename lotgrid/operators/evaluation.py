@@ -207,10 +207,12 @@ def evaluate_scores(scored: DataFrame, *, by=(), threshold: float = 0.5) -> Data
 
 
 def evaluate_model(features: DataFrame, model, *, by=()) -> DataFrame:
-    """One model applied to splits: confusion and average precision over every labelled cell, each scored once."""
-    from lotgrid.operators.scoring import score_with_model
+    """One model, a fitted pipeline or a flat forest, applied to splits: confusion and average precision over every labelled cell, each scored once."""
+    from lotgrid.operators.scoring import FlatForest, score_with_forest, score_with_model
 
-    return evaluate_scores(score_with_model(features.where(F.col("label").isin(0, 1)), model), by=by)
+    labelled = features.where(F.col("label").isin(0, 1))
+    scored = score_with_forest(labelled, model) if isinstance(model, FlatForest) else score_with_model(labelled, model)
+    return evaluate_scores(scored, by=by)
 
 
 # ---------------------------------------------------------------- parcel recall

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from lotgrid.functions.hashing import hash32
 from lotgrid.operators import evaluation as E
 from lotgrid.operators.impute import Imputer, Scaler, fit_imputer, fit_scaler
 from lotgrid.operators.parcels import stratified_folds
@@ -41,11 +42,158 @@ def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
 # ---------------------------------------------------------------- clustering
 
 
-def fit_kmeans(df: DataFrame, k: int, *, restarts: int = 10, seed: int = 42, features: str = "features") -> KMeansModel:
+MAX_STEPS = 20  # of Lloyd's iteration, fewer where no centre moves
+
+
+@dataclass(frozen=True)
+class Centres:
+    """Fitted k-means centres, (cluster, feature), and the sum of squared distances of the training rows."""
+
+    values: np.ndarray
+    inertia: float
+    column: str = "features"
+
+    def clusterCenters(self) -> list[np.ndarray]:  # noqa: N802 - the name that fitted models of Spark have
+        return list(self.values)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``cluster``, the nearest centre; the lower number on ties."""
+        centres = self.values
+
+        @F.arrow_udf("int")
+        def nearest(rows: pa.Array) -> pa.Array:
+            return pa.array(_distances(_points(rows), centres).argmin(axis=1).astype("i4"))
+
+        return df.withColumn("cluster", nearest(vector_to_array(self.column)))
+
+
+def _points(column: pa.Array) -> np.ndarray:
+    """Rows of an ``array<double>`` column as (row, feature)."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances (row, centre)."""
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2.0 * x @ centres.T + (centres * centres).sum(axis=1), 0.0)
+
+
+def _starts(points: DataFrame, ks: list[int], restarts: int, seed: int, key: str | None) -> dict[tuple[int, int], np.ndarray]:
+    """Start centres of every (k, restart): the first k rows in a seeded hash order, one order per restart.
+
+    Only ``restarts * max(ks)`` rows come to the driver.
+    """
+    most = max(ks)
+    number = F.col(key) if key else F.xxhash64("x")
+    order = points.withColumn("_key", number)
+    tops = [order.select(F.lit(r).alias("r"), hash32(F.col("_key"), seed + r).alias("h"), "_key", "x").orderBy("h", "_key", "x").limit(most) for r in range(restarts)]
+    rows: dict[int, list] = {}
+    for row in union_all(tops).collect():
+        rows.setdefault(row["r"], []).append((row["h"], row["_key"], row["x"]))
+    if not rows:
+        raise ValueError("no rows to cluster")
+    ordered = {r: np.array([x for _, _, x in sorted(v)]) for r, v in rows.items()}
+    return {(k, r): x[:k] for r, x in ordered.items() for k in ks}
+
+
+def _lloyd_pass(points: DataFrame, models: dict[tuple[int, int], np.ndarray]) -> dict[tuple[int, int], dict[str, np.ndarray]]:
+    """One reading of the rows for all models: per cluster the rows, their sum and squares, and the distances to the centre.
+
+    Every task adds up its own rows first; what reaches the driver is one row per cluster
+    and feature.
+    """
+    keys = list(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            x = _points(batch.column("x"))
+            for m, key in enumerate(keys):
+                centres = models[key]
+                at = _distances(x, centres).argmin(axis=1)
+                member = np.zeros((len(centres), len(x)))
+                member[at, np.arange(len(x))] = 1.0
+                cost = ((x - centres[at]) ** 2).sum(axis=1)
+                own = [member.sum(axis=1), member @ x, member @ (x * x).sum(axis=1), member @ cost]
+                total[m] = [a + b for a, b in zip(total[m], own, strict=True)] if m in total else own
+        for m, (n, sums, squares, cost) in total.items():
+            k, p = sums.shape
+            # Per cluster: count, squares, distances, then the sums of the features.
+            flat = np.concatenate([np.stack([n, squares, cost], axis=1), sums], axis=1).reshape(-1)
+            index = np.arange(k * (p + 3))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), m), pa.int32()), pa.array(index, pa.int32()), pa.array(flat, pa.float64())], ["m", "i", "v"])
+
+    found = points.select("x").mapInArrow(run, "m int, i int, v double").groupBy("m", "i").agg(F.sum("v").alias("v"))
+    merged = found.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c"))
+    out = {}
+    for row in merged.collect():
+        centres = models[keys[row["m"]]]
+        table = np.array([c["v"] for c in row["c"]]).reshape(len(centres), -1)
+        out[keys[row["m"]]] = {"n": table[:, 0], "squares": table[:, 1], "cost": table[:, 2], "sums": table[:, 3:]}
+    return out
+
+
+def fit_many_kmeans(
+    df: DataFrame, ks, *, restarts: int = 10, seed: int = 42, features: str = "features", key: str | None = None, steps: int = MAX_STEPS
+) -> tuple[dict[int, Centres], dict[int, dict]]:
+    """k-means for every k, the lowest cost of ``restarts`` each, all fitted together.
+
+    One reading of the rows per step assigns each row under all (k, restart) centre sets at
+    once, so the number of jobs is that of the steps.  Start rows are the first of a seeded
+    hash order of ``key`` (of the features without one); a cluster that loses all rows keeps
+    its centre; the first restart wins equal costs.  With fewer rows than k there are as
+    many clusters.  Also returns the clusters' sums for every k.
+    """
+    ks = [int(k) for k in ks]
+    points = cut_lineage(df.select(vector_to_array(features).alias("x"), *([key] if key else [])), "cluster-points")
+    models = _starts(points, ks, restarts, seed, key)
+    moving = dict(models)
+    for _ in range(steps):
+        after = {}
+        for m, s in _lloyd_pass(points, moving).items():
+            n = s["n"][:, None]
+            after[m] = np.where(n > 0, s["sums"] / np.maximum(n, 1.0), models[m])
+        moving = {m: c for m, c in after.items() if not np.array_equal(c, models[m])}
+        models.update(after)
+        if not moving:
+            break
+    last = _lloyd_pass(points, models)
+    best = {k: min((r for kk, r in models if kk == k), key=lambda r: (round(float(last[k, r]["cost"].sum()), 9), r)) for k in ks}
+    fitted = {k: Centres(models[k, r], float(last[k, r]["cost"].sum()), features) for k, r in best.items()}
+    return fitted, {k: last[k, r] for k, r in best.items()}
+
+
+def fit_kmeans(df: DataFrame, k: int, *, restarts: int = 10, seed: int = 42, features: str = "features", key: str | None = None) -> Centres:
     """Lowest-cost of ``restarts`` k-means fits."""
-    with kept(df.select(features)) as train:
-        fits = [KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="cluster").fit(train) for i in range(restarts)]
-    return min(fits, key=lambda m: m.summary.trainingCost)
+    return fit_many_kmeans(df, [k], restarts=restarts, seed=seed, features=features, key=key)[0][k]
+
+
+def silhouettes(df: DataFrame, fitted: dict[int, Centres], sums: dict[int, dict], *, features: str = "features") -> dict[int, float]:
+    """Mean silhouette of every clustering in one reading, with squared Euclidean distances.
+
+    The mean distance of a row to a cluster follows from the cluster's count, sum and
+    squares; a row alone in its cluster has 0.
+    """
+    points = df.select(vector_to_array(features).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _points(batch.column("x"))
+            for k, model in fitted.items():
+                s, rows = sums[k], np.arange(len(x))
+                at = _distances(x, model.values).argmin(axis=1)
+                n = np.maximum(s["n"], 1.0)
+                mean = (x * x).sum(axis=1)[:, None] + s["squares"] / n - 2.0 * x @ (s["sums"] / n[:, None]).T
+                mean = np.where(s["n"] > 0, mean, np.inf)
+                own_n = s["n"][at]
+                a = mean[rows, at] * own_n / np.maximum(own_n - 1.0, 1.0)
+                mean[rows, at] = np.inf
+                b = mean.min(axis=1)
+                most = np.maximum(a, b)
+                value = np.where((own_n > 1) & np.isfinite(b) & (most > 0), (b - a) / np.where(most > 0, most, 1.0), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([float(value.sum())]), pa.array([len(x)], pa.int64())], ["k", "s", "n"])
+
+    found = points.mapInArrow(run, "k int, s double, n long").groupBy("k").agg((F.sum("s") / F.sum("n")).alias("v"))
+    return {r["k"]: r["v"] for r in found.collect()}
 
 
 @dataclass(frozen=True)
@@ -79,6 +227,31 @@ def fit_pca(df: DataFrame, components: int, *, features: str = "features") -> Pr
     return Projection(model, tuple(float(np.sign(loadings[t, i]) or 1.0) for i, t in enumerate(top)))
 
 
+def pca_residuals(df: DataFrame, projection: Projection, *, features: str = "features") -> DataFrame:
+    """(component, residual, norm, total_variance): how well ``C v = lambda v`` holds, with the covariance of one aggregate.
+
+    Driver rows: one per component.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.concatenate([_points(batch.column("x")), np.ones((batch.num_rows, 1))], axis=1)
+            flat = (x.T @ x).reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["i", "v"])
+
+    sums = df.select(vector_to_array(features).alias("x")).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    flat = np.array([r["v"] for r in sums.orderBy("i").collect()])
+    size = int(round(len(flat) ** 0.5))
+    table = flat.reshape(size, size)
+    n = table[-1, -1]
+    mean = table[:-1, -1] / n
+    covariance = table[:-1, :-1] / n - np.outer(mean, mean)
+    rows = []
+    for j, v in enumerate(projection.components.T):
+        image = covariance @ v
+        rows.append((j + 1, float(np.abs(image - (v @ image) * v).max()), float(v @ v), float(np.trace(covariance))))
+    return df.sparkSession.createDataFrame(rows, "component int, residual double, norm double, total_variance double")
+
+
 @dataclass(frozen=True)
 class ClusterModel:
     """Imputer, scaler, k-means and optional projection, all fitted on the training table."""
@@ -86,7 +259,7 @@ class ClusterModel:
     features: tuple[str, ...]
     imputer: Imputer
     scaler: Scaler
-    kmeans: KMeansModel
+    kmeans: Centres
     projection: Projection | None
 
     def prepare(self, df: DataFrame) -> DataFrame:
@@ -102,29 +275,26 @@ class ClusterModel:
 
 
 def fit_clusters(
-    df: DataFrame, features, k: int, *, method: str = "median", restarts: int = 10, components: int | None = 2, seed: int = 42
+    df: DataFrame, features, k: int, *, method: str = "median", restarts: int = 10, components: int | None = 2, seed: int = 42, key: str | None = None
 ) -> ClusterModel:
     features = tuple(features)
     imputer = fit_imputer(df, features, method)
     filled = imputer.apply(df)
     scaler = fit_scaler(filled, features)
-    with kept(assemble(scaler.apply(filled), features).select("features")) as train:
-        kmeans = fit_kmeans(train, k, restarts=restarts, seed=seed)
+    with kept(assemble(scaler.apply(filled), features).select("features", *([key] if key else []))) as train:
+        kmeans = fit_kmeans(train, k, restarts=restarts, seed=seed, key=key)
         projection = fit_pca(train, components) if components else None
     return ClusterModel(features, imputer, scaler, kmeans, projection)
 
 
-def sweep_clusters(df: DataFrame, ks=range(2, 11), *, restarts: int = 3, seed: int = 42) -> DataFrame:
+def sweep_clusters(df: DataFrame, ks=range(2, 11), *, restarts: int = 10, seed: int = 42, key: str | None = None) -> DataFrame:
     """(k, inertia, silhouette) per k; silhouette uses squared Euclidean distance.
 
-    Driver rows: one per k.
+    All k and restarts are fitted together.  Driver rows: one per k.
     """
-    evaluator = ClusteringEvaluator(predictionCol="cluster", metricName="silhouette", distanceMeasure="squaredEuclidean")
-    rows = []
-    with kept(df.select("features")) as train:
-        for k in ks:
-            model = fit_kmeans(train, k, restarts=restarts, seed=seed)
-            rows.append((int(k), float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(train)))))
+    fitted, sums = fit_many_kmeans(df, ks, restarts=restarts, seed=seed, key=key)
+    scores = silhouettes(df, fitted, sums)
+    rows = [(k, m.inertia, float(scores[k])) for k, m in fitted.items()]
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
@@ -179,6 +349,102 @@ def logistic(features, *, label: str = "y", weight: str | None = "weight", max_i
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), lr])
 
 
+NEWTON_STEPS = 50
+INVERSE_PENALTY = 1.0  # C: the penalty is |w|^2 / (2 C) beside the weighted sum of losses
+
+
+@dataclass(frozen=True)
+class LogisticModel:
+    """Coefficients and intercept of a fitted logistic regression."""
+
+    features: tuple[str, ...]
+    coefficients: tuple[float, ...]
+    intercept: float
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``prob`` and ``prediction``."""
+        margin = F.lit(float(self.intercept))
+        for f, w in zip(self.features, self.coefficients, strict=True):
+            margin = margin + F.col(f) * F.lit(float(w))
+        prob = 1.0 / (1.0 + F.exp(-margin))
+        return df.withColumn("prob", prob).withColumn("prediction", (F.col("prob") > 0.5).cast("int"))
+
+
+def _newton_pass(rows: DataFrame, betas: dict[int, np.ndarray], weights: dict[int, tuple[float, float]]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Loss, gradient and Hessian of every model in one reading; model f leaves fold f out."""
+    size = len(next(iter(betas.values())))
+    at = np.triu_indices(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {f: np.zeros(1 + size + len(at[0])) for f in betas}
+        for batch in batches:
+            x = np.concatenate([_points(batch.column("x")), np.ones((batch.num_rows, 1))], axis=1)
+            y, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "fold"))
+            for f, beta in betas.items():
+                mine = fold != f
+                z, t = x[mine], y[mine]
+                w = np.where(t == 1, weights[f][1], weights[f][0])
+                margin = z @ beta
+                p = 1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700)))
+                loss = (w * (np.logaddexp(0.0, margin) - t * margin)).sum()
+                hessian = (z * (w * p * (1.0 - p))[:, None]).T @ z
+                total[f] += np.concatenate([[loss], z.T @ (w * (p - t)), hessian[at]])
+        for f, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), f), pa.int32()), pa.array(np.arange(len(v)), pa.int32()), pa.array(v)], ["f", "i", "v"])
+
+    sums = rows.select("x", "y", "fold").mapInArrow(run, "f int, i int, v double").groupBy("f", "i").agg(F.sum("v").alias("v"))
+    out = {}
+    for r in sums.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c")).collect():
+        v = np.array([c["v"] for c in r["c"]])
+        hessian = np.zeros((size, size))
+        hessian[at] = v[1 + size :]
+        out[r["f"]] = (float(v[0]), v[1 : 1 + size], hessian + np.triu(hessian, 1).T)
+    return out
+
+
+def fit_logistic_folds(df: DataFrame, features, *, label: str = "y", fold: str | None = None, c: float = INVERSE_PENALTY, steps: int = NEWTON_STEPS) -> dict[int, LogisticModel]:
+    """Balanced logistic regressions, one that leaves out each fold and, as -1, one of all rows.
+
+    Every step reads the rows once for all models and adds up their gradients and Hessians;
+    the driver solves one small system per model.  A step that would raise a model's loss is
+    halved.  Rows with a null label or feature take no part; a fold without both labels
+    beside it has no model.
+    """
+    features = tuple(features)
+    known = F.col(label).isin(0, 1)
+    for f in features:
+        known = known & F.col(f).isNotNull()
+    number = F.col(fold).cast("int") if fold else F.lit(0)
+    rows_ = df.where(known).select(F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.col(label).cast("double").alias("y"), number.alias("fold"))
+    rows = cut_lineage(rows_, "logistic-rows")
+    sizes = {(r["fold"], int(r["y"])): r["n"] for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
+    folds = sorted({f for f, _ in sizes}) if fold else []
+    weights = {}
+    for f in [-1, *folds]:
+        n = [sum(v for (g, y), v in sizes.items() if g != f and y == t) for t in (0, 1)]
+        if all(n):
+            weights[f] = (sum(n) / (2.0 * n[0]), sum(n) / (2.0 * n[1]))
+    penalty = np.append(np.full(len(features), 1.0 / c), 0.0)
+    best = {f: np.zeros(len(features) + 1) for f in weights}
+    trial, known_at, scale = dict(best), {}, {f: 1.0 for f in best}
+    for _ in range(steps):
+        if not trial:
+            break
+        for f, (loss, gradient, hessian) in _newton_pass(rows, trial, weights).items():
+            beta = trial[f]
+            loss += 0.5 * float((penalty * beta * beta).sum())
+            if f in known_at and loss > known_at[f][0] + 1e-12 * abs(known_at[f][0]):
+                scale[f] /= 2.0
+            else:
+                step = np.linalg.solve(hessian + np.diag(penalty) + 1e-12 * np.eye(len(beta)), gradient + penalty * beta)
+                best[f], known_at[f], scale[f] = beta, (loss, step), 1.0
+            if np.abs(scale[f] * known_at[f][1]).max() < 1e-9:
+                del trial[f]
+            else:
+                trial[f] = best[f] - scale[f] * known_at[f][1]
+    return {f: LogisticModel(features, tuple(b[:-1].tolist()), float(b[-1])) for f, b in best.items()}
+
+
 def forest(
     features, *, label: str = "y", weight: str | None = "weight", trees: int = 200, depth: int = 20, min_leaf: int = 50, seed: int = 42
 ) -> Pipeline:
@@ -246,6 +512,8 @@ def fit_kernel_svm(df: DataFrame, features, *, label: str = "y", weight: str = "
 
 def positive_score(scored: DataFrame) -> DataFrame:
     """Add ``prob``: P(1), else the decision value, else the prediction."""
+    if "prob" in scored.columns:
+        return scored
     if "probability" in scored.columns:
         return scored.withColumn("prob", vector_to_array("probability")[1])
     if "rawPrediction" in scored.columns:
@@ -268,18 +536,27 @@ def evaluate_classifier(scored: DataFrame, *, label: str = "y") -> dict[str, Dat
 def cross_validate(df: DataFrame, models: dict, *, label: str = "y", key: str = "bbl", folds: int = 5, seed: int = 42) -> DataFrame:
     """(model, fold, f1, average_precision) over stratified folds.
 
-    ``models`` maps a name to a function from a weighted training table to a fitted
-    model with ``transform``.
+    ``models`` maps a name to a function from a weighted training table to a fitted model
+    with ``transform``, or to the tuple of features of a logistic regression, whose folds
+    are fitted together.
     """
     folded = cut_lineage(stratified_folds(df, label, key, folds, seed), "folds")
     scored = []
+
+    def held_out(name: str, fold: int, model) -> None:
+        out = positive_score(model.transform(folded.where(F.col("fold") == fold)))
+        scored.append(
+            out.select(F.lit(name).alias("model"), "fold", F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("p"), "prob")
+        )
+
     for name, fit in models.items():
+        if isinstance(fit, tuple):
+            for fold, model in fit_logistic_folds(folded, fit, label=label, fold="fold").items():
+                if fold >= 0:
+                    held_out(name, fold, model)
+            continue
         for fold in range(folds):
-            model = fit(balanced_weights(folded.where(F.col("fold") != fold), label))
-            out = positive_score(model.transform(folded.where(F.col("fold") == fold)))
-            scored.append(
-                out.select(F.lit(name).alias("model"), "fold", F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("p"), "prob")
-            )
+            held_out(name, fold, fit(balanced_weights(folded.where(F.col("fold") != fold), label)))
     # All folds of all models are measured together, in one aggregate and one ordering.
     rows = cut_lineage(union_all(scored), "fold-scores")
     by = ["model", "fold"]
@@ -287,6 +564,13 @@ def cross_validate(df: DataFrame, models: dict, *, label: str = "y", key: str =
     return counts.join(E.average_precision(rows, by=by), by, "left")
 
 
+def held_out_scores(df: DataFrame, features, *, label: str = "y", key: str = "bbl", folds: int = 5, seed: int = 42) -> DataFrame:
+    """Every row of ``df`` with ``fold``, ``prob`` and ``prediction`` of the logistic model that was fitted without its fold."""
+    folded = cut_lineage(stratified_folds(df, label, key, folds, seed), "folds")
+    models = fit_logistic_folds(folded, features, label=label, fold="fold")
+    return union_all([m.transform(folded.where(F.col("fold") == f)) for f, m in models.items() if f >= 0])
+
+
 def cv_summary(folds: DataFrame) -> DataFrame:
     """Mean and population std per (model, metric)."""
     long = folds.unpivot(["model", "fold"], ["f1", "average_precision"], "metric", "value")
@@ -312,8 +596,3 @@ def save_model(spark: SparkSession, model: PipelineModel, path: str, metadata: d
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
     record = spark.read.schema("metadata string").json(f"{path}/metadata").first()
     return PipelineModel.load(f"{path}/model"), json.loads(record["metadata"])
-
-
-def union_metrics(frames: dict[str, DataFrame]) -> DataFrame:
-    """Metric rows of several models with their names."""
-    return union_all([df.withColumn("model", F.lit(name)) for name, df in frames.items()])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from math import pi
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotgrid.functions.grid import encode_probability
@@ -147,6 +150,82 @@ def score_with_model(features: DataFrame, model, *, label: str = "label", thresh
     )
 
 
+@dataclass(frozen=True)
+class FlatForest:
+    """Trees of a classifier as flat arrays: a node's feature (-1 at a leaf), threshold, children and P(1) of a leaf."""
+
+    features: tuple[str, ...]
+    roots: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    leaf: np.ndarray
+
+    @staticmethod
+    def of(features, trees: list[list[tuple]]) -> FlatForest:
+        """From trees of nodes ``(feature, threshold, left, right, P(1))``, children numbered inside their tree, root first."""
+        at = np.cumsum([0] + [len(t) for t in trees])
+        rows = [(f, t, a + lo if f >= 0 else 0, a + hi if f >= 0 else 0, p) for a, tree in zip(at, trees) for f, t, lo, hi, p in tree]
+        columns = [np.array(c) for c in zip(*rows)]
+        kinds = ["i4", "f8", "i4", "i4", "f8"]
+        return FlatForest(tuple(features), at[:-1].astype("i4"), *[c.astype(k) for c, k in zip(columns, kinds)])
+
+    @staticmethod
+    def stored(spark: SparkSession, path: str, features) -> FlatForest:
+        """From a saved pipeline whose tree ensemble is the only stage with data.  The model's nodes come to the driver."""
+        nodes = spark.read.parquet(f"{path}/model/stages/*/data")
+        n = F.col("nodeData") if "nodeData" in nodes.columns else F.struct("*")
+        tree = F.col("treeID") if "treeID" in nodes.columns else F.lit(0)
+        rows = nodes.select(tree.alias("tree"), n["id"].alias("id"), n["leftChild"].alias("lo"), n["rightChild"].alias("hi"), n["split"].alias("split"), n["impurityStats"].alias("stats"))
+        split = F.col("split.leftCategoriesOrThreshold")
+        flat = rows.select("tree", "id", "lo", "hi", F.col("split.featureIndex").alias("f"), F.get(split, F.lit(0)).alias("t"), (F.get("stats", F.lit(1)) / (F.get("stats", F.lit(0)) + F.get("stats", F.lit(1)))).alias("p"))
+        trees: dict[int, list] = {}
+        for r in flat.orderBy("tree", "id").collect():
+            trees.setdefault(r["tree"], []).append((r["f"] if r["lo"] >= 0 else -1, r["t"] if r["lo"] >= 0 else 0.0, r["lo"], r["hi"], r["p"]))
+        return FlatForest.of(features, [trees[k] for k in sorted(trees)])
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Mean P(1) over the trees of rows ``(row, feature)``; all rows of a tree go down one level at a time."""
+        total = np.zeros(len(x))
+        every = np.arange(len(x))
+        for root in self.roots:
+            node = np.full(len(x), root)
+            live = every
+            while len(live):
+                at = node[live]
+                inner = self.feature[at] >= 0
+                live, at = live[inner], at[inner]
+                down = np.where(x[live, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
+                node[live] = down
+            total += self.leaf[node]
+        return total / len(self.roots)
+
+
+SCORE_ROWS = 16_384
+
+
+def score_with_forest(features: DataFrame, forest: FlatForest, *, label: str = "label", threshold: float = 0.5) -> DataFrame:
+    """``score_with_model`` with a flat forest, over Arrow batches.
+
+    The forest is sent to every executor once; its size is that of the model, whatever the
+    rows.  A null or NaN feature goes right, as it does in the fitted trees.
+    """
+    shared = features.sparkSession.sparkContext.broadcast(forest)
+
+    @F.arrow_udf("double")
+    def probability(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        model = shared.value
+        for batch in columns:
+            x = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), "f8") for c in batch], axis=1)
+            parts = [model.score(x[k : k + SCORE_ROWS]) for k in range(0, len(x), SCORE_ROWS)]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]))
+
+    scored = features.withColumn("prob", probability(*[F.col(f) for f in forest.features]))
+    unlabelled = F.col(label) == 255
+    return scored.withColumn("pred", F.when(unlabelled, 255).otherwise((F.col("prob") > threshold).cast("int"))).withColumn("prob", F.when(~unlabelled, F.col("prob")))
+
+
 def patch_tensors(cells: DataFrame, bands, patch: int, *, by=("row_off", "col_off")) -> DataFrame:
     """One row per patch with a row-major ``array<double>`` per band (patch*patch values, absent cells 0).
 

@@ -154,9 +154,18 @@ def _(t: Inputs):
 # ---------------------------------------------------------------- streams (ST)
 
 
-def _stream(t: Inputs, table: str):
-    schema = t.table(table).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.sf_dir)
+STREAM_FILES = 3
+
+
+def _arriving(t: Inputs, table: str, root: str):
+    """A table as three files that arrive one after the other: the function that lets the next one arrive, and the stream."""
+    rows, key = t.table(table), {"lineitem": "l_orderkey", "orders": "o_orderkey"}[table]
+
+    def arrive(k: int) -> None:
+        rows.where(F.pmod(F.xxhash64(key), F.lit(STREAM_FILES)) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+    arrive(0)
+    return arrive, lambda: t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
 
 
 @query(
@@ -165,18 +174,23 @@ def _stream(t: Inputs, table: str):
     "scores",
 )
 def _(t: Inputs):
-    out = scratch_path(t.spark, "stream-confusion")
-    scored = t.scores_of(_stream(t, "lineitem"))
-    confusion.start_confusion(scored, out + "/table", out + "/checkpoint", by=["split", "run_no"]).awaitTermination()
-    return EQ._round(t.spark.read.parquet(out + "/table"), EQ._ROUNDED)
+    root, by = scratch_path(t.spark, "stream-confusion"), ["split", "run_no"]
+    arrive, stream = _arriving(t, "lineitem", root)
+    # The stream is started anew for every file, and compacts after every second batch.
+    for k in range(STREAM_FILES):
+        if k:
+            arrive(k)
+        confusion.start_confusion(t.scores_of(stream()), f"{root}/table", f"{root}/checkpoint", by=by, compact_every=2).awaitTermination()
+    return EQ._round(confusion.read_confusion(t.spark, f"{root}/table", by=by), EQ._ROUNDED)
 
 
 @query("stream_blend_ST2", f"SELECT prow, pcol, round(sum(prob*{EQ._W})/sum({EQ._W}), 6) AS prob FROM patch_px GROUP BY 1, 2", "patch_px")
 def _(t: Inputs):
-    out = scratch_path(t.spark, "stream-blend")
+    root = scratch_path(t.spark, "stream-blend")
     to_scores = lambda batch: t.patch_scores_of(t.raster_of(batch))
-    blend.start_blend(_stream(t, "orders"), out + "/table", out + "/checkpoint", 8, to_patch_scores=to_scores).awaitTermination()
-    return EQ._round(blend.read_blend(t.spark, out + "/table"), ["prob"])
-
-
-
+    arrive, stream = _arriving(t, "orders", root)
+    for k in range(STREAM_FILES):
+        if k:
+            arrive(k)
+        blend.start_blend(stream(), f"{root}/table", f"{root}/checkpoint", 8, to_patch_scores=to_scores, compact_every=2).awaitTermination()
+    return EQ._round(blend.read_blend(t.spark, f"{root}/table"), ["prob"])

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import json
 import logging
+import re
+import zipfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lotgrid.functions.attributes import COUNTY_BOROUGH, lookup
 from lotgrid.operators.ranking import sample_exact
@@ -99,10 +107,120 @@ def read_run_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_METRICS).json(path)
 
 
+_SCALARS = {"true": True, "yes": True, "on": True, "false": False, "no": False, "off": False, "null": None, "~": None, "": None}
+_NUMBER = re.compile(r"[-+]?(\d[\d_]*)?(\.\d*)?([eE][-+]?\d+)?")
+
+
+def _scalar(text: str):
+    text = text.strip()
+    if text[:1] in ("'", '"'):
+        end = text.rfind(text[0])
+        return text[1:end] if end > 0 else text[1:]
+    text = re.sub(r"(^|\s)#.*$", "", text).strip()
+    if text.lower() in _SCALARS:
+        return _SCALARS[text.lower()]
+    if _NUMBER.fullmatch(text) and any(c.isdigit() for c in text):
+        plain = text.replace("_", "")
+        return int(plain) if re.fullmatch(r"[-+]?\d+", plain) else float(plain)
+    return text
+
+
+def parse_config(text: str) -> dict:
+    """Nested mappings of a YAML configuration: keys by indentation, plain and quoted values, comments.
+
+    List items and block texts are passed over; no key of a run's record is one.
+    """
+    root: dict = {}
+    levels: list[tuple[int, dict]] = [(-1, root)]
+    for line in text.splitlines():
+        bare = line.strip()
+        match = re.match(r"""(?:"([^"]*)"|'([^']*)'|([^\s:#'"\-\[{][^:#]*?))\s*:(?:\s+(.*)|\s*)$""", bare)
+        if not match or bare.startswith("#"):
+            continue
+        indent = len(line) - len(line.lstrip())
+        while levels[-1][0] >= indent:
+            levels.pop()
+        name, value = next(g for g in match.groups()[:3] if g is not None), (match[4] or "").strip()
+        if not value or value.startswith("#"):
+            child: dict = {}
+            levels[-1][1][name] = child
+            levels.append((indent, child))
+        else:
+            levels[-1][1][name] = _scalar(value)
+    return root
+
+
+def _fitted(value, kind: T.DataType):
+    """``value`` as the given type, null where it is none."""
+    if isinstance(kind, T.StructType):
+        held = value if isinstance(value, dict) else {}
+        return {f.name: _fitted(held.get(f.name), f.dataType) for f in kind}
+    if value is None or isinstance(value, dict):
+        return None
+    if isinstance(kind, T.StringType):
+        return str(value)
+    try:
+        number = float(value)
+    except (TypeError, ValueError):
+        return None
+    return int(number) if isinstance(kind, T.LongType) and number == int(number) else number if isinstance(kind, T.DoubleType) else None
+
+
+def _files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """``run_dir, content`` of one file of every run folder, the last by name where several fit; a folder without one has no row."""
+    try:
+        files = spark.read.format("binaryFile").load(f"{root}/*/*/{name}")
+    except AnalysisException as error:
+        if not path_is_absent(error):
+            raise
+        return spark.createDataFrame([], "run_dir string, content binary")
+    named = files.select(F.regexp_extract("path", r"([^/]+/[^/]+)/[^/]+$", 1).alias("run_dir"), "path", "content")
+    return named.groupBy("run_dir").agg(F.max_by("content", "path").alias("content"))
+
+
+def read_configs(spark: SparkSession, root: str) -> DataFrame:
+    """``run_dir`` and the fields of ``RUN_CONFIG`` of every ``config.yaml``, or ``config.json`` where there is none, parsed in tasks."""
+    kind = to_arrow_schema(RUN_CONFIG)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [c.decode("utf-8", "replace") for c in batch.column("content").to_pylist()]
+            rows = [_fitted(json.loads(c) if c.lstrip().startswith("{") else parse_config(c), RUN_CONFIG) for c in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("run_dir"), *[pa.array([r[f.name] for r in rows], f.type) for f in kind]], ["run_dir", *kind.names])
+
+    schema = T.StructType([T.StructField("run_dir", T.StringType()), *RUN_CONFIG.fields])
+    return _files(spark, root, "config.{yaml,json}").mapInArrow(parse, schema)
+
+
+def read_curves(spark: SparkSession, root: str) -> DataFrame:
+    """``run_dir, name, values`` of every array in the ``pr_curves.npz`` of a run; a file that is no archive gives none."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run_dir, content in zip(batch.column("run_dir").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    with np.load(io.BytesIO(content), allow_pickle=False) as stored:
+                        arrays = {n: np.asarray(stored[n], "f8").reshape(-1) for n in stored.files}
+                except (ValueError, OSError, zipfile.BadZipFile) as error:
+                    log.warning("no curves in %s: %s", run_dir, error)
+                    continue
+                for name, values in arrays.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([run_dir]), pa.array([name]), pa.array([values], pa.list_(pa.float64()))], ["run_dir", "name", "values"])
+
+    return _files(spark, root, "pr_curves.npz").mapInArrow(unpack, "run_dir string, name string, values array<double>")
+
+
+def curve_points(curves: DataFrame, key: str = "run_id") -> DataFrame:
+    """``key, split, threshold`` rows of the threshold arrays, whichever of their two names they have."""
+    split = F.coalesce(F.nullif(F.regexp_extract("name", "^(.+)_thresholds$", 1), F.lit("")), F.nullif(F.regexp_extract("name", "^thresholds_(.+)$", 1), F.lit("")))
+    return curves.select(key, split.alias("split"), "values").where("split IS NOT NULL").select(key, "split", F.explode("values").alias("threshold"))
+
+
 def read_runs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """``metrics``, ``configs`` and ``history`` of every ``<root>/<model>/<run>/`` folder, keyed by run folder.
+    """``metrics``, ``configs``, ``history`` and ``curves`` of every ``<root>/<model>/<run>/`` folder, keyed by run.
 
-    A folder without metrics has no row in ``metrics``, which drives every join.
+    The files are ``metrics.json``, ``config.yaml``, ``history.json`` and ``pr_curves.npz``.
+    A folder without metrics has no row anywhere; the other files may be missing.
     """
 
     def load(file: str, schema: T.StructType) -> DataFrame:
@@ -118,9 +236,8 @@ def read_runs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     folder = F.element_at(F.split("run_dir", "/"), -1)
     keyed = metrics.withColumn("run_id", F.coalesce("run_id", folder))
     ids = keyed.select("run_dir", "run_id")
-    configs = load("config.json", RUN_CONFIG).join(ids, "run_dir").drop("run_dir")
-    history = load("history.json", HISTORY_EPOCH).join(ids, "run_dir").drop("run_dir")
-    return {"metrics": keyed.drop("run_dir"), "configs": configs, "history": history}
+    parts = {"configs": read_configs(spark, root), "history": load("history.json", HISTORY_EPOCH), "curves": read_curves(spark, root)}
+    return {"metrics": keyed.drop("run_dir")} | {name: df.join(ids, "run_dir").drop("run_dir") for name, df in parts.items()}
 
 
 def read_permits(spark: SparkSession, path: str, *, one_document: bool = True) -> DataFrame:

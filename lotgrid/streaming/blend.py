@@ -1,8 +1,8 @@
 """Overlap blending as scored patches arrive.
 
-The blend is a ratio of two sums, so every micro-batch can store its own partial
-sums and readers add them up.  Nothing is kept in the state store: a city-wide
-raster has far more cells than state should hold.
+The blend is a ratio of two sums, so every micro-batch stores its own partial sums and
+readers add them up.  Nothing is kept in the state store: a city-wide raster has far more
+cells than state should hold.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lotgrid.operators.scoring import CELL, global_cells, hann_weight
+from lotgrid.streaming.deltas import Totals, store_batches
 
 
 def partial_sums(patch_scores: DataFrame, patch: int) -> DataFrame:
@@ -22,18 +23,22 @@ def partial_sums(patch_scores: DataFrame, patch: int) -> DataFrame:
     return placed.groupBy(*CELL).agg(F.sum(F.col("prob") * F.col("_w")).alias("pw"), F.sum("_w").alias("w"))
 
 
-def start_blend(
-    stream: DataFrame, out: str, checkpoint: str, patch: int, *, to_patch_scores: Callable[[DataFrame], DataFrame] | None = None
-) -> StreamingQuery:
-    """Store each batch's partial sums in its own folder; a replayed batch overwrites itself."""
+def blend_totals(spark: SparkSession, out: str) -> Totals:
+    return Totals(spark, out, CELL, ["pw", "w"])
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        scores = to_patch_scores(batch) if to_patch_scores else batch
-        partial_sums(scores, patch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
+def start_blend(
+    stream: DataFrame, out: str, checkpoint: str, patch: int, *, to_patch_scores: Callable[[DataFrame], DataFrame] | None = None, compact_every: int = 100
+) -> StreamingQuery:
+    """Add what is available to the sums under ``out``; batches of any number of streams add up there."""
+    convert = to_patch_scores or (lambda batch: batch)
+    store = store_batches(blend_totals(stream.sparkSession, out), lambda batch: partial_sums(convert(batch), patch), compact_every=compact_every)
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
 
 
 def read_blend(spark: SparkSession, out: str) -> DataFrame:
     """Blended probability per cell from all batches so far."""
-    return spark.read.parquet(out).groupBy(*CELL).agg((F.sum("pw") / F.sum("w")).alias("prob"))
+    rows = blend_totals(spark, out).read()
+    if rows is None:
+        return spark.createDataFrame([], "prow int, pcol int, prob double")
+    return rows.select(*CELL, (F.col("pw") / F.col("w")).alias("prob"))

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from lotgrid.operators import registry as RG
 from lotgrid.schemas import RUN_METRICS
 from lotgrid.sources import readers, writers
 from lotgrid.streaming import blend, confusion
+from lotgrid.streaming.deltas import Totals
 
 
 def test_metrics_and_zero_counts(spark):
@@ -169,15 +171,68 @@ def test_csv_order_and_layers(spark, tmp_path):
 def test_streams_equal_batch(spark, tmp_path, rows):
     cells = [(r, 0, i, j, ((r + i * 3 + j) % 10) / 10, (i + j) % 2) for r in (0, 2, 4) for i in range(4) for j in range(4)]
     batch = spark.createDataFrame(cells, "row_off int, col_off int, i int, j int, prob double, y int").withColumn("split", F.lit("val"))
-    batch.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    confusion.start_confusion(stream, str(tmp_path / "m"), str(tmp_path / "ck1"), by=["split"]).awaitTermination()
+    m, b = str(tmp_path / "m"), str(tmp_path / "b")
+    assert confusion.read_confusion(spark, m, by=["split"]) is None
+    # Three files, the streams started anew for each; a base is made after the second.
+    for k, r in enumerate((0, 2, 4)):
+        batch.where(F.col("row_off") == r).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        confusion.start_confusion(stream, m, str(tmp_path / "ck1"), by=["split"], compact_every=2).awaitTermination()
+        blend.start_blend(stream, b, str(tmp_path / "ck2"), 4, compact_every=2).awaitTermination()
     want = E.with_metrics(E.confusion_counts(batch, F.col("y"), (F.col("prob") > 0.5).cast("int"), by=["split"]))
-    assert rows(spark.read.parquet(str(tmp_path / "m")), *want.columns) == rows(want)
-    blend.start_blend(stream, str(tmp_path / "b"), str(tmp_path / "ck2"), 4).awaitTermination()
-    got = {r[:2]: r[2] for r in rows(blend.read_blend(spark, str(tmp_path / "b")))}
+    assert rows(confusion.read_confusion(spark, m, by=["split"]), *want.columns) == rows(want)
+    got = {r[:2]: r[2] for r in rows(blend.read_blend(spark, b))}
     for (i, j, p) in rows(scoring.blend_hann(batch, 4), "prow", "pcol", "prob"):
         assert got[i, j] == pytest.approx(p)
+    manifest = confusion.confusion_totals(spark, m, ["split"]).manifest()
+    assert manifest["number"] == 1 and len(manifest["merged"]) == 2
+    # A second stream over the same folder adds to it instead of replacing the first one's batches.
+    confusion.start_confusion(stream, m, str(tmp_path / "ck3"), by=["split"]).awaitTermination()
+    assert confusion.read_confusion(spark, m, by=["split"]).first()["n"] == 2 * want.first()["n"]
+
+
+def test_totals_survive_replays_and_half_done_compactions(spark, tmp_path, rows):
+    t = Totals(spark, str(tmp_path / "t"), ["k"], ["n"])
+    df = lambda *n: spark.createDataFrame(list(n), "k string, n bigint")
+    t.upsert(df(("a", 1), ("a", 2), ("b", 5)), "s", 0)
+    t.upsert(df(("a", 1), ("a", 2), ("b", 5)), "s", 0)
+    assert rows(t.read()) == [("a", 3), ("b", 5)]
+    assert t.compact() and not t.compact()
+    t.upsert(df(("a", 3), ("b", 5)), "s", 0)  # replayed after it went into the base
+    t.upsert(df(("a", 10)), "s", 1)
+    assert rows(t.read()) == [("a", 13), ("b", 5)]
+    # A delta without its end marker, and a base that no manifest names, do not count.
+    (tmp_path / "t/delta/s-2").mkdir()
+    df(("a", 99)).write.parquet(str(tmp_path / "t/base/2-lost"))
+    assert rows(t.read()) == [("a", 13), ("b", 5)]
+    assert t.compact() and t.manifest()["merged"] == ["s-0", "s-1"] and rows(t.read()) == [("a", 13), ("b", 5)]
+
+
+def test_run_folders(spark, tmp_path, rows):
+    first, second = tmp_path / "unet/001", tmp_path / "unet/002"
+    for d in (first, second, tmp_path / "unet/003"):
+        d.mkdir(parents=True)
+    (first / "metrics.json").write_text('{"run_id": "r1", "model_type": "unet",\n "metrics": {"val": {"f2": 0.5}}}')
+    (first / "config.yaml").write_text(
+        "# run\ndata_paths:\n  vrt: /d/a.vrt  # tiles\n  patch_splits: '/d/splits_512_64.json'\n  bands:\n    - 1\n    - 2\npatch:\n    size: 512\nlist: [1, 2]\neval_stride: 256\n"
+    )
+    np.savez_compressed(first / "pr_curves.npz", val_thresholds=np.array([0.1, 0.7254]), precision=np.array([1.0, 0.5]))
+    (second / "metrics.json").write_text("{}")
+    (second / "pr_curves.npz").write_bytes(b"no archive")
+    (tmp_path / "unet/003/config.yaml").write_text("patch:\n  size: 64\n")
+    runs = readers.read_runs(spark, str(tmp_path))
+    assert rows(runs["metrics"], "run_id", "model_type") == [("002", None), ("r1", "unet")]
+    assert rows(runs["configs"], "run_id", "data_paths.vrt", "data_paths.patch_splits", "patch.size", "eval_stride") == [("r1", "/d/a.vrt", "/d/splits_512_64.json", 512, 256)]
+    points = readers.curve_points(runs["curves"])
+    assert rows(points) == [("r1", "val", 0.1), ("r1", "val", 0.7254)]
+    flat = RG.flatten_runs(runs["metrics"], runs["configs"], None, points)
+    assert rows(flat, "run_id", "patch_size", "val_f2", "threshold_sweep_extent") == [("002", "", "", ""), ("r1", "512", "0.5000", "0.725")]
+
+
+def test_config_values():
+    text = "a: 1\nb: 1.5e-3\nc: true\nd: null\ne: 'x # y'\nf: \"q\"\ng: a b # c\nh:\n  i:\n    j: -2\n  k: .5\nl: ~\n"
+    want = {"a": 1, "b": 0.0015, "c": True, "d": None, "e": "x # y", "f": "q", "g": "a b", "h": {"i": {"j": -2}, "k": 0.5}, "l": None}
+    assert readers.parse_config(text) == want
 
 
 def test_scorer_sees_whole_patches(spark):
