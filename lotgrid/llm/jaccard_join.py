@@ -34,6 +34,7 @@ CELL_BITS = 24  # the counting table has 2**24 cells of one byte: 16 MB, whateve
 CELL_BLOCKS = 64
 LEADER_TOKENS = 3  # prefix tokens with one leader from which its nearness is looked at
 GROUP_SIZE = 64  # members of a group of the matrix
+HUB_ROUNDS = 2  # in which only representatives of the parts of a large group are compared
 BLOCK_SIZE = 128  # nodes of a block that is compared with another at once
 COLUMNS_AT_ONCE = 16_384
 NEAR_SHARE = 0.36  # bound of the intersection over both sizes from which nodes are grouped; 3/7 is needed to link
@@ -213,9 +214,9 @@ def _within_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
     A group is compared block by block first, each node only with those of its own block.
     One representative for each component found then meets those of the other components,
-    until no two of them link.  Only where a group is still in parts, every node outside its
-    largest part meets all nodes of the group.  Links between parts name the parts by one
-    node each, so no pair of parts is linked twice.
+    for at most ``HUB_ROUNDS`` rounds.  Only where a group is still in parts, every node
+    outside its largest part meets all nodes of the group.  A task returns only the links that
+    connect the parts it has seen.
     """
     sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     placed = stored(groups.join(sizes, "comp"), "join_sized")
@@ -230,7 +231,7 @@ def _within_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
     # Parts of large groups: every node with its part's name and how many of its block it links to.
     parts = found.select(F.col("a").alias("node"), F.col("b").alias("part"), "degree").join(large.select("node", "comp"), "node")
     parts = stored(parts.select("comp", "node", "part", "degree"), "join_parts")
-    while True:
+    for _ in range(HUB_ROUNDS):
         open_groups = parts.groupBy("comp").agg(F.countDistinct("part").alias("size")).where("size > 1")
         first = parts.join(open_groups, "comp").groupBy("comp", "size", "part").agg(F.max(F.struct("degree", "node")).alias("hub"))
         dealt = first.select(F.col("hub.node").alias("node"), "comp", F.col("comp").alias("x"), F.expr(_block("part", "size")).alias("y"))
@@ -240,6 +241,7 @@ def _within_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
             break
         links = links.unionByName(met)
         parts = _renamed(parts, met)
+    # Nothing is dealt where every group is one part.
     if not dealt.isEmpty():
         links = links.unionByName(_between_parts(parts, sets))
     return links
@@ -277,7 +279,7 @@ def _compared(dealt: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 def _between_parts(parts: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the parts of the groups that are still apart: all nodes outside the largest part meet all nodes.
 
-    Every link is given as the names of the two parts.
+    Every link is given as the names of two parts.
     """
     sizes = parts.groupBy("comp", "part").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("comp").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
@@ -292,11 +294,20 @@ def _between_parts(parts: DataFrame, sets: DataFrame) -> DataFrame:
         ask, other = part[part["side"] == 0], part[part["side"] == 1]
         if not len(ask) or not len(other):
             return pd.DataFrame({"a": [], "b": []}, dtype="i8")
-        linked = _linked(ask["tokens"].tolist(), other["tokens"].tolist())
-        i, j = np.nonzero(linked)
-        a, b = ask["part"].to_numpy()[i], other["part"].to_numpy()[j]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        return pd.DataFrame({"a": low, "b": high})[low != high].drop_duplicates()
+        i, j = np.nonzero(_linked(ask["tokens"].tolist(), other["tokens"].tolist()))
+        names, number = np.unique(np.concatenate([ask["part"].to_numpy(), other["part"].to_numpy()]), return_inverse=True)
+        a, b = number[i], number[len(ask) + j]
+        root = np.arange(len(names))
+        while True:
+            # Every part takes the smallest name among the parts that it links to.
+            least = root.copy()
+            np.minimum.at(least, a, root[b])
+            np.minimum.at(least, b, root[a])
+            least = least[least]
+            if (least == root).all():
+                break
+            root = least
+        return pd.DataFrame({"a": names, "b": names[root]})[names != names[root]]
 
     dealt = left.unionByName(right).join(sets, "node").select("comp", "y", "z", "side", "part", "tokens")
     return stored(dealt.groupBy("comp", "y", "z").applyInPandas(compare, "a long, b long").distinct(), "join_links")
