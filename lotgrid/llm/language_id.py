@@ -11,12 +11,12 @@ length per language, so a byte is looked up once for all languages.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +27,11 @@ TRAIN_DOCS = 800  # labelled documents per language, whole texts, the only bound
 MAX_ORDER = 3
 FOLDS, HELD_FOLD = 4, 2
 UNKNOWN = "und"
+SHARES = 64  # parts in which the training documents of a language are ranked first
 CHUNK = 1 << 20  # bytes scored at once
 
 START = b"\n" * MAX_ORDER  # context before the first byte
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # categories L*: neither digits nor numbers such as one half or Roman eight
 
 
 def fold_of(doc_id: str, folds: int) -> Column:
@@ -167,11 +168,17 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, folds: int = FOLDS, hel
     read; equal texts count once.  Rows with a null id, text or lang teach nothing.
     """
     usable = docs.where((fold_of("doc_id", folds) != held_fold) & F.col("lang").isNotNull() & (F.col("text") != "")).select("lang", "text", "doc_id")
-    order = Window.partitionBy("lang").orderBy("key")
+    share = F.pmod("key", F.lit(SHARES))
+    in_share, order = Window.partitionBy("lang", "share").orderBy("key"), Window.partitionBy("lang").orderBy("key")
     # Only hashes and ids are ranked; the chosen texts are fetched by id.
     chosen = (
         usable.groupBy("lang", F.xxhash64("text").alias("key"))
         .agg(F.min("doc_id").alias("doc_id"))
+        # First the smallest of every share of a language, then the smallest of those: no task has a whole language.
+        .withColumn("share", share)
+        .withColumn("rank", F.row_number().over(in_share))
+        .where(F.col("rank") <= train_docs)
+        .drop("share")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= train_docs)
         .drop("rank")
@@ -184,7 +191,8 @@ def predict(docs: DataFrame, model: Model, folds: int = FOLDS, held_fold: int =
     """``doc_id, held_out, lang_pred, score`` of every row of ``docs(doc_id, text)``.
 
     The score is the posterior of the best language under equal priors; equal code lengths
-    go to the first name.  A null text, one without a letter, and any text when nothing was
+    go to the first name.  Texts of any length are read whole, a megabyte at a time, and
+    repeated rows are predicted each.  A null text, one without a letter, and any text when nothing was
     learnt are ``und`` with score 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
