@@ -14,30 +14,48 @@ from lotgrid.llm.common import stored, table, tokenizer_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise-ranking classifier accepts."""
+    """Documents that the pairwise-ranking classifier accepts.
+
+    A null or empty text is scored as one without words, repeated rows alike; without labels
+    of both kinds all documents stay.
+    """
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their site's boilerplate lines; ``n_chars`` follows the text.
 
-    The ratio alone decides; a line of a single page is no repetition.
+    The ratio alone decides; a line of a single page is no repetition.  A null text stays
+    null, with null ``n_chars``; rows without a source are one site; a repeated row is a page
+    of its own.
     """
     return line_dedup.drop_site_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of linked ones."""
+    """One document of every group of linked ones: that of the smallest id, null ids last.
+
+    Documents without words (null and empty texts among them) all stay; of repeated rows one
+    stays.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts stay, and all documents do if the benchmark is empty; repeated rows
+    go or stay together.
+    """
     return decontamination.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every remaining document in sequences of at most 2048 tokens."""
+    """Every remaining document in sequences of at most 2048 tokens.
+
+    A null or empty text is its end token alone; repeated rows are packed each; no documents
+    give no rows.
+    """
     return packing.pack_documents(docs, tokenizer_path())
 
 
