@@ -454,14 +454,18 @@ def mosaic(scene_pixels: DataFrame, bands, *, date: str = "acq_date", excluded_d
     kept = scene_pixels
     if excluded_dates:
         kept = kept.where(~F.col(date).isin(list(excluded_dates)))
-    order = F.unix_date(F.col(date)).cast("bigint") * (1 << 32) + F.crc32(F.col(tie).cast("binary"))
-    placed = kept.select(*CELL, *bands, order.alias("_order"))
+    # Scenes are few beside their cells; numbered, the order is one integer that no two scenes share.
+    scenes = kept.select(date, tie).distinct()
+    order = F.row_number().over(Window.orderBy(date, F.crc32(F.col(tie).cast("binary")), tie))
+    numbered = scenes.select(F.col(date).alias("_date"), F.col(tie).alias("_tie"), order.alias("_order"))
+    placed = kept.join(numbered, kept[date].eqNullSafe(numbered["_date"]) & kept[tie].eqNullSafe(numbered["_tie"])).select(*CELL, *bands, "_order")
     return placed.groupBy(*CELL).agg(*[F.max_by(b, "_order").alias(b) for b in bands])
 
 
 def merge_first(sources: DataFrame, values, order: str) -> DataFrame:
-    """First source wins per cell."""
-    return sources.groupBy(*CELL).agg(*[F.min_by(v, order).alias(v) for v in values])
+    """First source wins per cell; of rows of equal order that with the smallest values, all from one row."""
+    first = sources.groupBy(*CELL).agg(F.min(F.struct(order, *values)).alias("_first"))
+    return first.select(*CELL, *[F.col(f"_first.{v}").alias(v) for v in values])
 
 
 def mode_composite(scenes: DataFrame, value: str, *, cells=None, date: str | None = None, start=None, end=None) -> DataFrame:

@@ -50,7 +50,7 @@ def zonal_by_raster(
     any band have no row.
     """
     bands = list(bands)
-    kind = "int" if zone not in dict(zones.dtypes) else dict(zones.dtypes)[zone]
+    kind = dict(zones.dtypes)[zone]
     stacked = TL.stack(TL.as_tiles(zones, [zone], side), TL.as_tiles(pixels, bands, side), side)
     out = _statistics(lambda what: TL.zone_partials(stacked, zone, bands, what, side), bands, stats, levels)
     if subset is not None:

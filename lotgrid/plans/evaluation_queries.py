@@ -103,7 +103,7 @@ def _(t: Inputs):
     "score_cells",
 )
 def _(t: Inputs):
-    out = scoring.outcome_map(t.score_cells, t.mask, 0.298)
+    out = scoring.outcome_map(t.score_tiles, t.tiles, 0.298)
     rgba = scoring.outcome_rgba(F.col("outcome"))
     channels = [F.get(rgba, F.lit(k)).alias(c) for k, c in enumerate(("red", "green", "blue", "alpha"))]
     return out.select("prow", "pcol", "outcome", *channels)
@@ -241,7 +241,7 @@ def fractions(t: Inputs):
     labelled = parcels.apply_overrides(
         t.lots.select("bbl", "bldg_class", "land_use", "boro_code", "geom"), t.overrides, VACANT_CODES + ["V0"]
     )
-    return zonal.prediction_fraction(labelled, t.score_cells, t.grid, pixel_threshold=0.5, min_pixels=5)
+    return zonal.prediction_fraction(labelled, t.score_tiles, t.grid, pixel_threshold=0.5, min_pixels=5)
 
 
 def outcomes(t: Inputs):

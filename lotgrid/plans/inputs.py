@@ -14,8 +14,10 @@ from lotgrid.functions import geometry as G
 from lotgrid.functions.attributes import BOROUGHS, lookup
 from lotgrid.functions.grid import Grid
 from lotgrid.functions.hashing import hash32
+from lotgrid.operators import tiles as TL
 from lotgrid.operators.patches import covering_patches
 from lotgrid.schemas import METRIC_FIELDS
+from lotgrid.session import cut_lineage
 
 WIDTH = 128
 VACANT_CODES = ["M7"] + [f"E{i}" for i in range(10)]
@@ -135,6 +137,16 @@ class Inputs:
             (div(col, 26) + 1).cast("smallint").alias("boro_code"),
         )
 
+    @cached_property
+    def tiles(self) -> DataFrame:
+        """The raster as stored tiles with all its bands."""
+        return cut_lineage(TL.from_cells(self.raster, ["r", "g", "b", "n", "label", "boro_code"]), "raster-tiles")
+
+    @cached_property
+    def score_tiles(self) -> DataFrame:
+        """The scored cells as stored tiles; ``scored`` marks cells that have a row, with or without a probability."""
+        return cut_lineage(TL.from_cells(self.score_cells.withColumn("scored", F.lit(1)), ["prob", "scored"]), "score-tiles")
+
     @property
     def pixels(self) -> DataFrame:
         return self.raster.select("prow", "pcol", "r", "g", "b", "n")

@@ -166,12 +166,12 @@ def _(t: Inputs):
 @query(
     "geometry_measures_P8",
     """SELECT bbl, CASE WHEN tri THEN side*side/2 ELSE side*side END AS area_m2, round(CASE WHEN tri THEN side*(2+sqrt(2)) ELSE 4*side END, 6) AS perimeter_m,
-    round(CASE WHEN tri THEN xl + side/3 ELSE xl + side/2 END, 6) AS cx, round(CASE WHEN tri THEN yl + side/3 ELSE yl + side/2 END, 6) AS cy, xl AS xmin, yl + side AS ymax FROM lots""",
+    round(CASE WHEN tri THEN xl + side/3 ELSE xl + side/2 END, 6) AS cx, round(CASE WHEN tri THEN yl + side/3 ELSE yl + side/2 END, 6) AS cy, xl AS xmin, yl AS ymin, xl + side AS xmax, yl + side AS ymax FROM lots""",
     "lots",
 )
 def _(t: Inputs):
     m = parcels.with_measures(t.lots.select("bbl", "geom"))
-    return m.select("bbl", F.round("area_m2", 6).alias("area_m2"), *[F.round(c, 6).alias(c) for c in ("perimeter_m", "cx", "cy")], "xmin", "ymax")
+    return m.select("bbl", F.round("area_m2", 6).alias("area_m2"), *[F.round(c, 6).alias(c) for c in ("perimeter_m", "cx", "cy")], "xmin", "ymin", "xmax", "ymax")
 
 
 @query(

@@ -112,10 +112,16 @@ def tagged_lots(t: Inputs):
     return t.lots.select("bbl", code.isin(VACANT_CODES).alias("is_vacant"), "geom")
 
 
+def _mask_layers(t: Inputs) -> dict:
+    return {"min_pixels": 12, "erosion": 2, "water": t.water, "roads": t.roads.drop("mtfcc", "county"), "roadbed": t.roadbed}
+
+
 def full_mask(t: Inputs):
-    return R.label_mask(
-        tagged_lots(t), t.overrides, t.grid, min_pixels=12, erosion=2, water=t.water, roads=t.roads.drop("mtfcc", "county"), roadbed=t.roadbed
-    )
+    return R.label_mask(tagged_lots(t), t.overrides, t.grid, **_mask_layers(t))
+
+
+def mask_tiles(t: Inputs):
+    return R.label_tiles(tagged_lots(t), t.overrides, t.grid, **_mask_layers(t))
 
 
 @query(
@@ -199,7 +205,7 @@ FROM boroughs d LEFT JOIN raster m USING (boro_code) GROUP BY 1, 2"""
 
 @query("borough_counts_R8_J7", f"SELECT *, round(coalesce(vacant/nullif(vacant+nonvacant, 0), 0), 6) AS vacant_fraction FROM ({_BORO})", "raster boroughs")
 def _(t: Inputs):
-    return R.borough_counts(t.mask, t.boro).withColumn("vacant_fraction", F.round("vacant_fraction", 6))
+    return R.borough_counts(t.tiles, t.tiles).withColumn("vacant_fraction", F.round("vacant_fraction", 6))
 
 
 @query(
@@ -210,7 +216,8 @@ def _(t: Inputs):
     "raster boroughs burned",
 )
 def _(t: Inputs):
-    return R.mask_diff(t.mask, full_mask(t)["burned"], t.boro)
+    burned = mask_tiles(t).select("trow", "tcol", F.col("burned").alias("label"))
+    return R.mask_diff(t.tiles, burned, t.tiles)
 
 
 # ---------------------------------------------------------------- land cover, mosaics, composites
@@ -355,7 +362,7 @@ _ZONAL_COLS = ", ".join(f"round(avg({b}), 6) AS {b}_mean, round(stddev_pop({b}),
 )
 def _(t: Inputs):
     px = R.rasterise(t.lots.select(F.col("bbl").alias("parcel_id"), "geom"), t.grid, "parcel_id", "parcel_id")
-    z = zonal.zonal_by_raster(t.pixels, px, ["r", "n"])
+    z = zonal.zonal_by_raster(t.tiles, px, ["r", "n"], levels=256)
     return z.select("parcel_id", *[(F.round(c, 6) if not c.endswith("count") else F.col(c)).alias(c) for c in z.columns if c != "parcel_id"])
 
 
@@ -369,7 +376,7 @@ def _(t: Inputs):
     "raster lot_cells",
 )
 def _(t: Inputs):
-    z = zonal.zonal_by_polygon(t.pixels, t.lots, t.grid, list("rgbn"))
+    z = zonal.zonal_by_polygon(t.tiles, t.lots, t.grid, list("rgbn"), levels=256)
     return z.select("bbl", *[(F.round(c, 6) if c.endswith(("mean", "stdDev")) else F.col(c)).alias(c) for c in z.columns if c != "bbl"])
 
 
@@ -388,7 +395,7 @@ _OUTCOME = "CASE WHEN label = 1 THEN CASE WHEN prob > 0.5 THEN 'TP' ELSE 'FN' EN
 def _(t: Inputs):
     from lotgrid.operators.scoring import outcome_map
 
-    outcomes = outcome_map(t.score_cells, t.mask, 0.5).where("outcome <> 'ignore' AND prob IS NOT NULL")
+    outcomes = outcome_map(t.score_tiles, t.tiles, 0.5).where("outcome <> 'ignore' AND prob IS NOT NULL")
     return R.densest_blocks(outcomes, t.grid, 10, 4)
 
 

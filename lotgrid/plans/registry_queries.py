@@ -40,7 +40,9 @@ def _run_history(t: Inputs):
     "runs scores",
 )
 def _(t: Inputs):
-    return RG.flatten_runs(t.runs, t.run_configs, _run_history(t), _points(t), machine="host")
+    # A curve ends at the highest score, so that its extent needs no curve.
+    scores = t.scores.select(F.format_string("%03d", "run_no").alias("run_id"), F.lit("val").alias("split"), F.col("prob").alias("threshold"))
+    return RG.flatten_runs(t.runs, t.run_configs, _run_history(t), scores, machine="host")
 
 
 @query(

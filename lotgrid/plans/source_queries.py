@@ -62,7 +62,7 @@ def _(t: Inputs):
 )
 def _(t: Inputs):
     path = scratch_path(t.spark, "parcel-stats")
-    stats = zonal.zonal_by_polygon(t.pixels, t.lots, t.grid, ["r", "n"])
+    stats = zonal.zonal_by_polygon(t.tiles, t.lots, t.grid, ["r", "n"], levels=256)
     writers.write_csv(stats, path, stats.columns)
     back = readers.read_parcel_stats(
         t.spark, path, t.part_attributes, schema=readers.stats_schema(("r", "n")), join_cols=["bldg_class"]
