@@ -9,6 +9,7 @@ template's order, into spans; a template covered well enough gives its label.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -58,6 +59,33 @@ TEMPLATES = [
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution.",
     ),
+    (
+        "mit",
+        'The Software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of '
+        "merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable "
+        "for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection "
+        "with the Software or the use or other dealings in the Software.",
+    ),
+    (
+        "bsd",
+        'This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not '
+        "limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the "
+        "copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages "
+        "(including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) "
+        "however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) "
+        "arising in any way out of the use of this software, even if advised of the possibility of such damage.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means.",
+    ),
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by", "licensed under CC BY 4.0"),
     ("cc-by-sa", "licensed under CC BY-SA 4.0"),
@@ -87,14 +115,14 @@ class Automaton:
     steps: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    ends: list[dict[int, int]] = field(default_factory=lambda: [{}])  # state -> template -> first end
+    ends: list[dict[int, list[int]]] = field(default_factory=lambda: [{}])  # state -> template -> all its ends, ascending
     phrases: list[tuple[tuple[int, int], ...]] = field(default_factory=list)  # state -> (words, phrase)
 
     def add(self, template: int, sequence: list[int]) -> None:
         last = 0
         for at, word in enumerate(sequence, 1):
             last = self._extend(last, word)
-            self.ends[last].setdefault(template, at)
+            self.ends[last].setdefault(template, []).append(at)
 
     def _state(self, length: int, link: int, steps: dict[int, int]) -> int:
         self.steps.append(steps)
@@ -130,7 +158,7 @@ class Automaton:
         for s in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
             for template, at in self.ends[s].items():
                 up = self.ends[self.link[s]]
-                up[template] = min(at, up.get(template, at))
+                up[template] = sorted({*at, *up.get(template, ())})
         own: dict[int, list[tuple[int, int]]] = {}
         for k, sequence in enumerate(phrases):
             s = 0
@@ -201,19 +229,22 @@ def scan(tokens: list[bytes], a: Automaton, sizes: list[int], min_match: int = M
             best[template] = (template, start, last, share)
 
     for end, n, s in matches:
-        for template, stop in a.ends[s].items():
+        for template, stops in a.ends[s].items():
             if template >= len(sizes) or n < min(min_match, sizes[template]):
                 continue
-            first = stop - n  # template words before the match
             chain = chains.get(template)
-            if chain and (end - n - chain[1] > max_gap or stop <= chain[2]):
+            # The nearest place further on in the template continues the chain, so that a repeated
+            # passage is read in its turn.
+            ahead = bisect_right(stops, chain[2]) if chain else 0
+            if chain and (end - n - chain[1] > max_gap or ahead == len(stops)):
                 close(template)
                 chain = None
             if chain:
-                chain[3] += stop - max(first, chain[2])
+                stop = stops[ahead]
+                chain[3] += stop - max(stop - n, chain[2])
                 chain[1], chain[2] = end, stop
             else:
-                chains[template] = [end - n + 1, end, stop, n]
+                chains[template] = [end - n + 1, end, stops[0], n]
     for template in list(chains):
         close(template)
     return places, sorted(best.values())
@@ -225,7 +256,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str
     ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, spans, score``.
     Files are independent, so nothing is shuffled.  A null text is empty; without a base
     phrase the word positions are null and the labels empty; the score is the largest
-    coverage of a template, and 1 where a base phrase stands.
+    coverage of a template, and 1 where a base phrase stands.  Of chains of one template with
+    equal coverage the first stays.  Files of any length are streamed whole, repeated rows
+    are scanned each.
     """
     used, spoken = TEMPLATES if templates is None else templates, list((BASE_PHRASES if phrases is None else phrases).values())
     automaton, sizes = build(templates, phrases)

@@ -25,8 +25,7 @@ def test_automaton(seed):
             for w in s[i:]:
                 state = a.steps[state][w]
             n = len(s) - i
-            first = next(e for e in range(n, len(s) + 1) if s[e - n : e] == s[i:])
-            assert a.ends[state][j] == first
+            assert a.ends[state][j] == [e for e in range(n, len(s) + 1) if s[e - n : e] == s[i:]]
 
 
 def test_spans():
@@ -37,6 +36,30 @@ def test_spans():
     assert scan(words(" ".join(w for w in text.split()[::-1])), a, sizes) == ([], [])
 
 
+def test_repeated_passages_are_read_in_their_turn():
+    a, sizes = build()
+    k = next(k for k, (label, t) in enumerate(TEMPLATES) if label == "bsd" and t.startswith("Redistribution and use"))
+    text = TEMPLATES[k][1].replace("reproduce", "show").replace("forms", "shapes", 1)
+    _, spans = scan(words("x y " + text), a, sizes)
+    (span,) = [s for s in spans if s[0] == k]
+    assert span[1] == 2 and span[3] >= 1 - 2 * 4 / sizes[k]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_spans_hold_what_direct_matching_covers(seed):
+    """Coverage of a changed template beside a longest common subsequence of runs of four words and more."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(12)]
+    template = [rng.choice(vocabulary) for _ in range(60)]
+    doc = list(template)
+    for at in rng.sample(range(60), 3):
+        doc[at] = "other"
+    a, sizes = build([("x", " ".join(template))], {"none such": "n"})
+    _, spans = scan([b"pre"] + [w.encode() for w in doc] + [b"post"], a, sizes, min_coverage=0.3)
+    runs = [len(r.split()) for r in " ".join(doc).split("other")]
+    assert spans and spans[0][3] >= sum(r for r in runs if r >= 4) / 60 - 1e-9 and spans[0][3] <= 57 / 60 + 1e-9
+
+
 def test_rows(spark):
     rows = [
         (1, "Under the MIT License; see the MIT\nlicense and Apache-License."),
