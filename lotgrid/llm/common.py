@@ -50,7 +50,8 @@ def dropped(*tables: DataFrame) -> None:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     if tables:
-        released(tables[0].sparkSession)
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def released(spark: SparkSession) -> None:
