@@ -110,9 +110,9 @@ def hotspots(
 ) -> DataFrame:
     """Rectangles of 3x3 cells around the densest change cells, recounted inside.
 
-    Change centroids are binned once.  A rectangle covers at most 3x3 cells, so the
-    recount is an equi-join of the top cells' nine neighbours with the binned
-    centroids followed by the strict inside test - no range join.
+    Change centroids are counted once per cell, apart by which edges of their cell they lie
+    on.  A rectangle takes its cells' counts and leaves out, along its own edges, those that
+    lie on them, which is the strict inside test; no centroid is looked at a second time.
     """
     # Read three times below, so the vintage join is stored once in this narrow form.
     located = cut_lineage(
@@ -136,35 +136,48 @@ def hotspots(
         F.least(F.floor((F.col("c.x") - x0) / cell), last_x).alias("ix"),
         F.least(F.floor((F.col("c.y") - y0) / cell), last_y).alias("iy"),
     )
-    top = (
-        binned.where(counted).groupBy("ix", "iy").agg(F.count("*").alias("seed_count")).orderBy(F.desc("seed_count"), "ix", "iy").limit(top_n)
-    )
+    # Which edges of its own cell a centroid lies on, or beyond by rounding.
+    on = {
+        "_left": F.col("cx") <= x0 + F.col("ix") * cell,
+        "_right": F.col("cx") >= x0 + (F.col("ix") + 1) * cell,
+        "_low": F.col("cy") <= y0 + F.col("iy") * cell,
+        "_high": F.col("cy") >= y0 + (F.col("iy") + 1) * cell,
+    }
+    cells = cut_lineage(binned.withColumns(on).groupBy("ix", "iy", *on, "change_category").agg(F.count("*").alias("n")), "change-cells")
+    top = cells.where(counted).groupBy("ix", "iy").agg(F.sum("n").alias("seed_count")).orderBy(F.desc("seed_count"), "ix", "iy").limit(top_n)
+    columns, lines = F.greatest(nx, F.lit(1)), F.greatest(ny, F.lit(1))
+    first_x, first_y = F.greatest(F.col("ix") - 1, F.lit(0)), F.greatest(F.col("iy") - 1, F.lit(0))
+    end_x, end_y = F.least(F.col("ix") + 2, columns), F.least(F.col("iy") + 2, lines)
     seeds = top.select(
         F.col("ix").alias("sx"),
         F.col("iy").alias("sy"),
-        (x0 + F.greatest(F.col("ix") - 1, F.lit(0)) * cell).alias("xmin"),
-        (y0 + F.greatest(F.col("iy") - 1, F.lit(0)) * cell).alias("ymin"),
-        (x0 + F.least(F.col("ix") + 2, F.greatest(nx, F.lit(1))) * cell).alias("xmax"),
-        (y0 + F.least(F.col("iy") + 2, F.greatest(ny, F.lit(1))) * cell).alias("ymax"),
-    )
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    covered = seeds.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).withColumns(
-        {"_ix": F.col("sx") + F.col("_dx"), "_iy": F.col("sy") + F.col("_dy")}
+        first_x.alias("_x0"),
+        (end_x - 1).alias("_x1"),
+        first_y.alias("_y0"),
+        (end_y - 1).alias("_y1"),
+        (x0 + first_x * cell).alias("xmin"),
+        (y0 + first_y * cell).alias("ymin"),
+        (x0 + end_x * cell).alias("xmax"),
+        (y0 + end_y * cell).alias("ymax"),
     )
-    inside = (
-        (F.col("ix") == F.col("_ix"))
-        & (F.col("iy") == F.col("_iy"))
-        & (F.col("cx") > F.col("xmin"))
-        & (F.col("cx") < F.col("xmax"))
-        & (F.col("cy") > F.col("ymin"))
-        & (F.col("cy") < F.col("ymax"))
+    covered = seeds.withColumn("_ix", F.explode(F.sequence("_x0", "_x1"))).withColumn("_iy", F.explode(F.sequence("_y0", "_y1")))
+    on_edge = (
+        (F.col("_left") & (F.col("ix") == F.col("_x0")))
+        | (F.col("_right") & (F.col("ix") == F.col("_x1")))
+        | (F.col("_low") & (F.col("iy") == F.col("_y0")))
+        | (F.col("_high") & (F.col("iy") == F.col("_y1")))
     )
-    per_category = [F.count_if(F.col("change_category") == c).alias(f"{c}_count") for c in ("became_vacant", "developed", "remained_vacant")]
+    names = ("became_vacant", "developed", "remained_vacant")
+
+    def total(which: Column) -> Column:
+        return F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+
     recount = (
-        binned.join(covered, inside)
+        cells.join(covered, (F.col("ix") == F.col("_ix")) & (F.col("iy") == F.col("_iy")))
+        .where(~on_edge)
         .groupBy("sx", "sy")
-        .agg(F.count_if(F.col("change_category").isin(list(categories))).alias("total_change"), *per_category)
-        .select(F.col("sx").alias("_sx"), F.col("sy").alias("_sy"), "total_change", *[f"{c}_count" for c in ("became_vacant", "developed", "remained_vacant")])
+        .agg(total(counted).alias("total_change"), *[total(F.col("change_category") == c).alias(f"{c}_count") for c in names])
+        .select(F.col("sx").alias("_sx"), F.col("sy").alias("_sy"), "total_change", *[f"{c}_count" for c in names])
     )
     # At most top_n rows from here on.
     rank = Window.orderBy(F.desc("total_change"), "sx", "sy")

@@ -304,7 +304,7 @@ def _pixel_model(t: Inputs, pipeline):
 _STORED: dict[tuple[str, str], str] = {}
 
 
-def _forest_path(t: Inputs) -> str:
+def forest_path(t: Inputs) -> str:
     """The pixel forest of these tables: fitted and stored once in a session."""
     key = (t.spark.sparkContext.applicationId, t.sf_dir)
     if key not in _STORED:
@@ -315,11 +315,11 @@ def _forest_path(t: Inputs) -> str:
 
 
 def _pixel_forest(t: Inputs):
-    return ml.load_model(t.spark, _forest_path(t))[0]
+    return ml.load_model(t.spark, forest_path(t))[0]
 
 
 def _flat_forest(t: Inputs) -> scoring.FlatForest:
-    return scoring.FlatForest.stored(t.spark, _forest_path(t), FEATURES)
+    return scoring.FlatForest.stored(t.spark, forest_path(t), FEATURES)
 
 
 @query("pixel_forest_M12")

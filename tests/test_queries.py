@@ -17,7 +17,7 @@ def test_entry_and_registry(spark):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="driver tables not present")
-@pytest.mark.parametrize("name", ["change_stats_A5_C5", "label_mask_R4", "average_precision_E3", "flatten_runs_G1", "overlap_grid_D3"])
+@pytest.mark.parametrize("name", ["change_stats_A5_C5", "label_mask_R4", "average_precision_E3", "flatten_runs_G1", "overlap_grid_D3", "zonal_by_polygon_R19", "outcome_map_I6", "mask_diff_R9", "change_hotspots_C4_J6"])
 def test_spark_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from check_queries import TABLES, normalise
