@@ -32,7 +32,7 @@ from lotgrid.llm.wordhash import mix, split_words
 ORDER = 2
 FOLDS, HELD_FOLD = 7, 2
 DELETED = 10  # one of so many text hashes is deleted from the counts that weights are learnt on
-BLOCK_BYTES = 16 << 20  # text of a block; a longer document is a block alone
+BLOCK_BYTES = 8 << 20  # text of a block; a longer document is a block alone
 BUCKET_BYTES = 8 << 20  # text for which there is one bucket of requests
 STEPS = 40  # of expectation-maximisation at most
 RATIO_STEPS = 64  # ratios of two estimates are told apart to this part of a doubling
@@ -126,6 +126,13 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["words"], "u8"), unpack_integers(row["tokens"]).astype("i8"), sizes, unpack_integers(row["role"])
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time: a row is a block, and only one is unpacked at once."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _distinct(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per n: the distinct n-gram hashes of a block, ascending, and the number of each token's n-gram."""
     for n, gram in enumerate(_grams(words, tokens, sizes, order), 1):
@@ -137,28 +144,27 @@ def _requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
     """Per (bucket, n, block): the block's n-grams of the bucket with their counts in kept and deleted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, tokens, sizes, role = _opened(row)
-                of = np.repeat(role, sizes)
-                for n, kinds, number in _distinct(words, tokens, sizes, order):
-                    kept = np.bincount(number[of == KEPT], minlength=len(kinds))
-                    deleted = np.bincount(number[of == PART], minlength=len(kinds))
-                    # Hashes ascend, and a bucket is a range of hashes.
-                    edge = np.searchsorted(kinds, _edges(buckets))
-                    out = [(k, n, row["block"], a, b) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
-                    for at in range(0, len(out), 64):
-                        part = out[at : at + 64]
-                        columns = [
-                            pa.array([p[0] for p in part], pa.int32()),
-                            pa.array([n] * len(part), pa.int32()),
-                            pa.array([p[2] for p in part], pa.int64()),
-                            pa.array([pack_integers(np.diff(kinds[a:b], prepend=np.uint64(0))) for *_, a, b in part], pa.binary()),
-                            pa.array([pack_integers(small_integers(kept[a:b])) for *_, a, b in part], pa.binary()),
-                            pa.array([pack_integers(small_integers(deleted[a:b])) for *_, a, b in part], pa.binary()),
-                        ]
-                        yield pa.RecordBatch.from_arrays(columns, ["bucket", "n", "block", "grams", "kept", "deleted"])
-                trimmed()
+        for row in _each(batches):
+            words, tokens, sizes, role = _opened(row)
+            of = np.repeat(role, sizes)
+            for n, kinds, number in _distinct(words, tokens, sizes, order):
+                kept = np.bincount(number[of == KEPT], minlength=len(kinds))
+                deleted = np.bincount(number[of == PART], minlength=len(kinds))
+                # Hashes ascend, and a bucket is a range of hashes.
+                edge = np.searchsorted(kinds, _edges(buckets))
+                out = [(k, n, row["block"], a, b) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+                for at in range(0, len(out), 64):
+                    part = out[at : at + 64]
+                    columns = [
+                        pa.array([p[0] for p in part], pa.int32()),
+                        pa.array([n] * len(part), pa.int32()),
+                        pa.array([p[2] for p in part], pa.int64()),
+                        pa.array([pack_integers(np.diff(kinds[a:b], prepend=np.uint64(0))) for *_, a, b in part], pa.binary()),
+                        pa.array([pack_integers(small_integers(kept[a:b])) for *_, a, b in part], pa.binary()),
+                        pa.array([pack_integers(small_integers(deleted[a:b])) for *_, a, b in part], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["bucket", "n", "block", "grams", "kept", "deleted"])
+            trimmed()
 
     return blocks.select("block", "role", "sizes", "tokens", "words").mapInArrow(run, "bucket int, n int, block long, grams binary, kept binary, deleted binary")
 
@@ -308,22 +314,21 @@ def _learnt(counted: DataFrame, order: int, totals: dict[str, int]) -> list[np.n
         given = list(weights)
 
         def run(batches: Iterator[pa.RecordBatch], n: int = n, given: list[np.ndarray] = given) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    sizes, role = unpack_integers(row["sizes"]).astype("i8"), unpack_integers(row["role"])
-                    if not (role == PART).any():
-                        continue
-                    own = sizes[role == PART]
-                    counts = [unpack_integers(c) for c in row["kept"][:n]]
-                    below = mixed(counts, own, totals["kept"], totals["kept_docs"], totals["kinds"], given)
-                    *_, (estimate, context) = _estimates(counts, own, totals["kept"], totals["kept_docs"])
-                    bucket = context_bucket(context)
-                    with np.errstate(divide="ignore"):
-                        ratio = np.log2(estimate / below) * RATIO_STEPS
-                    ratio = np.where(estimate > 0, np.round(ratio), -(2**20)).astype("i8")
-                    both, times = np.unique(bucket * 2**24 + ratio + 2**21, return_counts=True)
-                    columns = [pa.array(both >> 24, pa.int64()), pa.array((both & (2**24 - 1)) - 2**21, pa.int64()), pa.array(times, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["bucket", "ratio", "times"])
+            for row in _each(batches):
+                sizes, role = unpack_integers(row["sizes"]).astype("i8"), unpack_integers(row["role"])
+                if not (role == PART).any():
+                    continue
+                own = sizes[role == PART]
+                counts = [unpack_integers(c) for c in row["kept"][:n]]
+                below = mixed(counts, own, totals["kept"], totals["kept_docs"], totals["kinds"], given)
+                *_, (estimate, context) = _estimates(counts, own, totals["kept"], totals["kept_docs"])
+                bucket = context_bucket(context)
+                with np.errstate(divide="ignore"):
+                    ratio = np.log2(estimate / below) * RATIO_STEPS
+                ratio = np.where(estimate > 0, np.round(ratio), -(2**20)).astype("i8")
+                both, times = np.unique(bucket * 2**24 + ratio + 2**21, return_counts=True)
+                columns = [pa.array(both >> 24, pa.int64()), pa.array((both & (2**24 - 1)) - 2**21, pa.int64()), pa.array(times, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "ratio", "times"])
 
         found = counted.where(F.col("role").isNotNull()).select("sizes", "role", "kept").mapInArrow(run, "bucket long, ratio long, times long")
         events: dict[int, dict[int | None, int]] = {}
