@@ -79,14 +79,22 @@ def perimeter(geom: Column) -> Column:
 
 
 def centroid(geom: Column) -> Column:
-    """Area centroid as ``struct<x, y>``; null when the area is zero."""
+    """Area centroid as ``struct<x, y>``; null when the area is zero.
 
+    Moments are taken about the first point, so that a small polygon far from the origin
+    loses no digits, and divided once: a box with whole corners has its exact centre.
+    """
+    return F.get(F.transform(F.array(geom), lambda g: _centroid_about(g, F.get(F.flatten(F.flatten(g)), F.lit(0)))), F.lit(0))
+
+
+def _centroid_about(geom: Column, origin: Column) -> Column:
     def moments(acc: Column, e: Column) -> Column:
-        cross = e.ax * e.by - e.bx * e.ay
+        ax, ay, bx, by = e.ax - origin.x, e.ay - origin.y, e.bx - origin.x, e.by - origin.y
+        cross = ax * by - bx * ay
         return F.struct(
-            (acc.a + cross / 2.0).alias("a"),
-            (acc.mx + (e.ax + e.bx) * cross / 6.0).alias("mx"),
-            (acc.my + (e.ay + e.by) * cross / 6.0).alias("my"),
+            (acc.a + cross).alias("a"),
+            (acc.mx + (ax + bx) * cross).alias("mx"),
+            (acc.my + (ay + by) * cross).alias("my"),
         )
 
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
@@ -108,8 +116,8 @@ def centroid(geom: Column) -> Column:
         )
 
     def centre(acc: Column) -> Column:
-        weight = F.nullif(acc.a, F.lit(0.0))
-        return F.struct((acc.mx / weight).alias("x"), (acc.my / weight).alias("y"))
+        weight = F.nullif(acc.a, F.lit(0.0)) * 3.0
+        return F.struct((origin.x + acc.mx / weight).alias("x"), (origin.y + acc.my / weight).alias("y"))
 
     return F.aggregate(rings, zero, combine, centre)
 

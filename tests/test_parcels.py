@@ -209,3 +209,12 @@ def test_imputer_uses_training_medians(spark, rows):
     assert rows(impute.fit_imputer(train, ["a"]).apply(new)) == [(2.0,), (100.0,)]
     assert impute.impute(train, ["a"], "drop").count() == 3
     assert rows(impute.impute(train, ["a"], "mean"))[-2:] == [(4.0,), (9.0,)]
+
+
+def test_centroid_of_a_whole_box_is_its_exact_centre(spark):
+    corner = [F.col("id") * 37 % 5000, F.col("id") * 53 % 5000]
+    side = F.col("id") % 20 + 5
+    x, y = (c.cast("double") for c in corner)
+    c = G.centroid(G.box(x, y, x + side, y + side))
+    off = spark.range(5000).select((c.x != x + side / 2).alias("dx"), (c.y != y + side / 2).alias("dy")).where("dx OR dy")
+    assert off.count() == 0
