@@ -419,25 +419,30 @@ def _(t: Inputs):
 
 
 def _reloaded(t: Inputs):
-    """A fitted pipeline, the same after saving and loading, and its metadata."""
+    """A fitted pipeline, the same after saving and loading, its metadata and the scaled rows.
+
+    The rows are scaled once and stored: sums of doubles follow the order in which tasks end,
+    so a second scaling may differ in its last digits.
+    """
     path = scratch_path(t.spark, "model")
-    fitted = ml.logistic(COLS, reg=0.01, max_iter=50).fit(ml.balanced_weights(_scaled(t)))
+    rows = cut_lineage(_scaled(t), "scaled-rows")
+    fitted = ml.logistic(COLS, reg=0.01, max_iter=50).fit(ml.balanced_weights(rows))
     ml.save_model(t.spark, fitted, path, {"features": COLS, "threshold": 0.5})
-    return (fitted, *ml.load_model(t.spark, path))
+    return (fitted, *ml.load_model(t.spark, path), rows)
 
 
 @query("model_round_trip_same_M16", "SELECT bbl, true AS same FROM emb", "emb")
 def _(t: Inputs):
-    fitted, model, _ = _reloaded(t)
-    before = ml.positive_score(fitted.transform(_scaled(t))).select("bbl", "prob")
-    after = ml.positive_score(model.transform(_scaled(t))).select("bbl", F.col("prob").alias("again"))
+    fitted, model, _, rows = _reloaded(t)
+    before = ml.positive_score(fitted.transform(rows)).select("bbl", "prob")
+    after = ml.positive_score(model.transform(rows)).select("bbl", F.col("prob").alias("again"))
     return before.join(after, "bbl").select("bbl", (F.col("prob") == F.col("again")).alias("same"))
 
 
 @query("model_round_trip_M16")
 def _(t: Inputs):
-    _, model, metadata = _reloaded(t)
-    return ml.positive_score(model.transform(_scaled(t))).select(
+    _, model, metadata, rows = _reloaded(t)
+    return ml.positive_score(model.transform(rows)).select(
         "bbl", F.round("prob", 6).alias("prob"), (F.col("prob") > metadata["threshold"]).alias("is_vacant")
     )
 
