@@ -169,6 +169,8 @@ def points_in_polygons(points: DataFrame, shapes: DataFrame, *, x: str = "x", y:
     meets at most four tiles and a tile holds only polygons about as large as itself.
     Points look into one tile per size that occurs.  It is an ordinary equi-join, which
     adaptive execution splits where points crowd into one tile; the exact test follows.
+    The join asks for a merge: edges and tiles are made from a few bytes per shape, by whose
+    size Catalyst would take all shapes for small enough to pass through the driver.
     """
     keep = [c for c in shapes.columns if c != geom]
     boxed = shapes.where(F.col(geom).isNotNull()).select(*keep, geom, G.bounds(F.col(geom)).alias("_b"))
@@ -196,7 +198,7 @@ def points_in_polygons(points: DataFrame, shapes: DataFrame, *, x: str = "x", y:
         & F.col(y).between(F.col("_b.ymin"), F.col("_b.ymax"))
         & G.contains_point(F.col("_edges"), F.col(x), F.col(y))
     )
-    return keyed.join(tiled, hit).select(*points.columns, *keep)
+    return keyed.join(tiled.hint("merge"), hit).select(*points.columns, *keep)
 
 
 # ---------------------------------------------------------------- parcel id raster

@@ -300,3 +300,15 @@ def test_empty_and_missing_shapes_cover_nothing(spark):
 def test_mode_composite_tie_takes_smaller_class(spark, rows):
     df = spark.createDataFrame([(0, 0, 3), (0, 0, 1), (0, 1, 2), (0, 1, 2), (0, 1, 1)], "prow int, pcol int, class int")
     assert rows(R.mode_composite(df, "class")) == [(0, 0, 1), (0, 1, 2)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shapes_with_made_geometry_do_not_pass_the_driver(spark, rows):
+    shapes = spark.range(3).select(F.col("id").alias("bbl"), G.box(F.col("id") * 10.0, F.lit(0.0), F.col("id") * 10.0 + 4, F.lit(4.0)).alias("geom"))
+    points = spark.createDataFrame([(1.0, 1.0), (12.0, 3.0), (8.0, 1.0)], "x double, y double")
+    joined = R.points_in_polygons(points, shapes)
+    assert "Broadcast" not in _plan(joined)
+    assert rows(joined.select("x", "bbl")) == [(1.0, 0), (12.0, 1)]
