@@ -158,14 +158,17 @@ STREAM_FILES = 3
 
 
 def _arriving(t: Inputs, table: str, root: str):
-    """A table as three files that arrive one after the other: the function that lets the next one arrive, and the stream."""
+    """A table that arrives in three parts, one after the other: the function that lets the next part arrive, and the stream.
+
+    A part has as many files as the table is read in; a stream takes all that has arrived as one batch.
+    """
     rows, key = t.table(table), {"lineitem": "l_orderkey", "orders": "o_orderkey"}[table]
 
     def arrive(k: int) -> None:
-        rows.where(F.pmod(F.xxhash64(key), F.lit(STREAM_FILES)) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        rows.where(F.pmod(F.xxhash64(key), F.lit(STREAM_FILES)) == k).write.mode("append").parquet(f"{root}/in")
 
     arrive(0)
-    return arrive, lambda: t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    return arrive, lambda: t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
 
 
 @query(
@@ -176,7 +179,7 @@ def _arriving(t: Inputs, table: str, root: str):
 def _(t: Inputs):
     root, by = scratch_path(t.spark, "stream-confusion"), ["split", "run_no"]
     arrive, stream = _arriving(t, "lineitem", root)
-    # The stream is started anew for every file, and compacts after every second batch.
+    # The stream is started anew for every part, and compacts after every second batch.
     for k in range(STREAM_FILES):
         if k:
             arrive(k)
