@@ -457,10 +457,11 @@ def mosaic(scene_pixels: DataFrame, bands, *, date: str = "acq_date", excluded_d
     if excluded_dates:
         kept = kept.where(~F.col(date).isin(list(excluded_dates)))
     # Scenes are few beside their cells; numbered, the order is one integer that no two scenes share.
+    # The numbers go to the cells: dealt by scene, all cells of one scene would meet in one task.
     scenes = kept.select(date, tie).distinct()
     order = F.row_number().over(Window.orderBy(date, F.crc32(F.col(tie).cast("binary")), tie))
     numbered = scenes.select(F.col(date).alias("_date"), F.col(tie).alias("_tie"), order.alias("_order"))
-    placed = kept.join(numbered, kept[date].eqNullSafe(numbered["_date"]) & kept[tie].eqNullSafe(numbered["_tie"])).select(*CELL, *bands, "_order")
+    placed = kept.join(F.broadcast(numbered), kept[date].eqNullSafe(numbered["_date"]) & kept[tie].eqNullSafe(numbered["_tie"])).select(*CELL, *bands, "_order")
     return placed.groupBy(*CELL).agg(*[F.max_by(b, "_order").alias(b) for b in bands])
 
 

@@ -312,3 +312,15 @@ def test_shapes_with_made_geometry_do_not_pass_the_driver(spark, rows):
     joined = R.points_in_polygons(points, shapes)
     assert "Broadcast" not in _plan(joined)
     assert rows(joined.select("x", "bbl")) == [(1.0, 0), (12.0, 1)]
+
+
+def test_mosaic_deals_no_cells_by_scene(spark, rows):
+    data = [("a", "2021-01-01", 0, c, 1) for c in range(4)] + [("b", "2022-01-01", 0, c, 2) for c in range(2)]
+    cells = spark.createDataFrame(data, "scene_id string, acq_date string, prow int, pcol int, r int").withColumn("acq_date", F.to_date("acq_date"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = R.mosaic(cells, ["r"])
+        assert "SortMergeJoin" not in _plan(out)
+        assert rows(out) == [(0, 0, 2), (0, 1, 2), (0, 2, 1), (0, 3, 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
