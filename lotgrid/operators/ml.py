@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -19,6 +19,7 @@ from pyspark.storagelevel import StorageLevel
 
 from lotgrid.functions.hashing import hash32
 from lotgrid.operators import evaluation as E
+from lotgrid.operators.forest import forest_scores
 from lotgrid.operators.impute import Imputer, Scaler, fit_imputer, fit_scaler
 from lotgrid.operators.parcels import stratified_folds
 from lotgrid.operators.summary import mean_and_spread, union_all
@@ -453,6 +454,18 @@ def forest(
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), rf])
 
 
+@dataclass(frozen=True)
+class SharedForest:
+    """A random forest with the settings of ``make()``, grown and scored in tasks; see ``operators.forest``."""
+
+    make: Callable[[], Pipeline]
+
+    def __call__(self, df: DataFrame, *, label: str = "y", key: str = "bbl", fold: str | None = None) -> DataFrame:
+        assembler, rf = self.make().getStages()
+        settings = {"trees": rf.getNumTrees(), "depth": rf.getMaxDepth(), "min_leaf": rf.getMinInstancesPerNode(), "seed": rf.getSeed()}
+        return forest_scores(df, assembler.getInputCols(), label=label, key=key, fold=fold, **settings)
+
+
 def boosting(
     features, *, label: str = "y", weight: str | None = "weight", rounds: int = 500, depth: int = 12, rate: float = 0.05, min_leaf: int = 50, seed: int = 42
 ) -> Pipeline:
@@ -462,20 +475,21 @@ def boosting(
 
 
 def fourier_features(df: DataFrame, features, *, gamma: float | None = None, size: int = 128, seed: int = 42, prefix: str = "rff") -> tuple[DataFrame, list[str]]:
-    """Random Fourier features of the RBF kernel as one array expression; gamma defaults to 1/features."""
+    """Random Fourier features of the RBF kernel, one product of matrices per Arrow batch; gamma defaults to 1/features."""
     features = list(features)
     rng = np.random.default_rng(seed)
     gamma = gamma or 1.0 / len(features)
     w = rng.normal(0.0, np.sqrt(2.0 * gamma), (size, len(features)))
     b = rng.uniform(0.0, 2.0 * np.pi, size)
-    planes = F.array(*[F.array(*[F.lit(float(x)) for x in [*w[i], b[i]]]) for i in range(size)])
-    point = F.array(*[F.col(f) for f in features], F.lit(1.0))
+    scale = float(np.sqrt(2.0 / size))
 
-    def wave(plane: Column) -> Column:
-        dot = F.aggregate(F.zip_with(plane, point, lambda p, q: p * q), F.lit(0.0), lambda a, v: a + v)
-        return F.lit(float(np.sqrt(2.0 / size))) * F.cos(dot)
+    @F.arrow_udf("array<double>")
+    def waves(rows: pa.Array) -> pa.Array:
+        values = scale * np.cos(_points(rows) @ w.T + b)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * size, pa.int32()), pa.array(values.reshape(-1)))
 
-    return df.withColumn("features", array_to_vector(F.transform(planes, wave))), [f"{prefix}{i}" for i in range(size)]
+    point = F.array(*[F.col(f).cast("double") for f in features])
+    return df.withColumn("features", array_to_vector(waves(point))), [f"{prefix}{i}" for i in range(size)]
 
 
 @dataclass(frozen=True)
@@ -537,14 +551,16 @@ def cross_validate(df: DataFrame, models: dict, *, label: str = "y", key: str =
     """(model, fold, f1, average_precision) over stratified folds.
 
     ``models`` maps a name to a function from a weighted training table to a fitted model
-    with ``transform``, or to the tuple of features of a logistic regression, whose folds
-    are fitted together.
+    with ``transform``, to a ``SharedForest`` or to the tuple of features of a logistic
+    regression; the folds of these two are fitted together.
     """
     folded = cut_lineage(stratified_folds(df, label, key, folds, seed), "folds")
     scored = []
 
     def held_out(name: str, fold: int, model) -> None:
-        out = positive_score(model.transform(folded.where(F.col("fold") == fold)))
+        add(name, positive_score(model.transform(folded.where(F.col("fold") == fold))))
+
+    def add(name: str, out: DataFrame) -> None:
         scored.append(
             out.select(F.lit(name).alias("model"), "fold", F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("p"), "prob")
         )
@@ -555,6 +571,9 @@ def cross_validate(df: DataFrame, models: dict, *, label: str = "y", key: str =
                 if fold >= 0:
                     held_out(name, fold, model)
             continue
+        if isinstance(fit, SharedForest):
+            add(name, fit(folded, label=label, key=key, fold="fold"))
+            continue
         for fold in range(folds):
             held_out(name, fold, fit(balanced_weights(folded.where(F.col("fold") != fold), label)))
     # All folds of all models are measured together, in one aggregate and one ordering.

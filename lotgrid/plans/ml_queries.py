@@ -203,7 +203,7 @@ MODELS = {
     "logistic": tuple(COLS),
     "kernel_svm": lambda train: ml.fit_kernel_svm(train, COLS),
     # 30 is the deepest that Spark grows; the reference has no limit.
-    "forest": lambda train: ml.forest(COLS, depth=30, min_leaf=1).fit(train),
+    "forest": ml.SharedForest(lambda: ml.forest(COLS, depth=30, min_leaf=1)),
 }
 
 @query(
@@ -255,13 +255,16 @@ def _(t: Inputs):
     return ml.fit_logistic_folds(df, ["f0", "f1"])[-1].transform(df).select("bbl", "y", F.round("prob", 6).alias("prob"))
 
 
-for _name, _tag in (("kernel_svm", "M10"), ("forest", "M11")):
+@query("kernel_svm_M10")
+def _(t: Inputs):
+    rows = cut_lineage(_scaled(t), "scaled-rows")
+    model = MODELS["kernel_svm"](ml.balanced_weights(rows))
+    return ml.positive_score(model.transform(rows)).select("bbl", "y", F.round("prob", 6).alias("prob"))
 
-    @query(f"{_name}_{_tag}")
-    def _(t: Inputs, name=_name):
-        with ml.kept(_scaled(t)) as df:
-            model = MODELS[name](ml.balanced_weights(df))
-        return ml.positive_score(model.transform(_scaled(t))).select("bbl", "y", F.round("prob", 6).alias("prob"))
+
+@query("forest_M11")
+def _(t: Inputs):
+    return MODELS["forest"](_scaled(t)).select("bbl", "y", F.round("prob", 6).alias("prob"))
 
 
 # Settings of the pixel models.  The sample bounds the labelled rows of a fit, per class.
