@@ -8,6 +8,7 @@ which cells a polygon covers.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -527,40 +528,69 @@ def clip_polygon(cells: DataFrame, shapes: DataFrame, grid: Grid) -> DataFrame:
     return cells.join(polygon_cells(shapes.select("geom"), grid).select(*CELL), CELL, "left_semi")
 
 
+RESAMPLE_SIDE = 256  # target cells along the edge of one group
+
+
 def resample_bilinear(cells: DataFrame, value: str, height, width, scale_num: int, scale_den: int = 1) -> DataFrame:
     """Bilinear resize by scale_num/scale_den, half-pixel centres, edges clamped.
 
-    Every source cell is sent to the targets that use it with its weight; the
-    weights along rows and columns multiply, so one aggregate on the target cell
-    finishes the job.
+    Cells meet by square tile, in one shuffle; those of a tile's first row and column go to
+    the tile before as well, which makes every target whose upper left cell it holds.  An
+    absent cell counts as 0; a target has a row where any cell it uses has one, and is null
+    where all of those are.
     """
     s = scale_num / scale_den
-
-    def contributions(index: Column, size) -> Column:
-        out_size = F.floor(size * s)
-        # Targets whose source coordinate (t + .5)/s - .5 is within one cell of index.
-        low = F.greatest(F.floor((index - 1 + 0.5) * s - 0.5) - 1, F.lit(0))
-        high = F.least(F.ceil((index + 1 + 0.5) * s - 0.5) + 1, out_size - 1)
-
-        def weight(t: Column) -> Column:
-            pos = F.greatest((t + 0.5) / s - 0.5, F.lit(0.0))
-            base = F.least(F.floor(pos), size - 1)
-            frac = pos - base
-            upper = F.least(base + 1, size - 1)
-            return F.when(base == index, 1 - frac).otherwise(0.0) + F.when(upper == index, frac).otherwise(0.0)
-
-        found = F.transform(F.sequence(low, high), lambda t: F.struct(t.cast("int").alias("t"), weight(t).alias("w")))
-        return F.filter(found, lambda p: p.w > 0)
-
-    spread = (
-        cells.select(F.col(value).alias("_v"), *CELL, _c(height).alias("_h"), _c(width).alias("_w"))
-        .select("_v", contributions(F.col("prow"), F.col("_h")).alias("_r"), contributions(F.col("pcol"), F.col("_w")).alias("_c"))
-        .select("_v", "_c", F.explode("_r").alias("_r"))
-        .select("_v", "_r", F.explode("_c").alias("_c"))
-    )
-    return spread.groupBy(F.col("_r.t").alias("prow"), F.col("_c.t").alias("pcol")).agg(
-        F.sum(F.col("_v") * F.col("_r.w") * F.col("_c.w")).alias(value)
+    side = max(1, int(RESAMPLE_SIDE / max(s, 1.0)))
+
+    def targets(tile: int, size: int) -> tuple[np.ndarray, ...]:
+        """Targets whose lower source cell lies in the tile, that cell and the next, from the tile's first, and the next one's weight."""
+        first, most = tile * side, int(np.floor(size * s))
+        low, high = int(np.floor((first + 0.5) * s - 0.5)) - 1, int(np.ceil((first + side + 0.5) * s - 0.5)) + 1
+        t = np.arange(max(low, 0), min(high, most - 1) + 1)
+        at = np.maximum((t + 0.5) / s - 0.5, 0.0)
+        base = np.minimum(np.floor(at), size - 1).astype("i8")
+        own = (base >= first) & (base < first + side)
+        t, at, base = t[own], at[own], base[own]
+        return t, base - first, np.minimum(base + 1, size - 1) - first, at - base
+
+    def resize(part: pa.Table) -> pa.Table:
+        trow, tcol, h, w = (part[c][0].as_py() for c in ("trow", "tcol", "_h", "_w"))
+        place = part["_at"].to_numpy()
+        valid = part["_v"].is_valid().to_numpy()
+        shape = (side + 1, side + 1)
+        values = np.bincount(place[valid], part["_v"].drop_null().to_numpy(), shape[0] * shape[1]).reshape(shape)
+        has_row, has_value = (np.bincount(p, minlength=shape[0] * shape[1]).reshape(shape) > 0 for p in (place, place[valid]))
+        rows, r0, r1, fr = targets(trow, h)
+        cols, c0, c1, fc = targets(tcol, w)
+
+        def any_of(flag: np.ndarray) -> np.ndarray:
+            along = flag[:, c0] | (flag[:, c1] & (fc > 0))
+            return along[r0] | (along[r1] & (fr > 0)[:, None])
+
+        def blend(low: np.ndarray, high: np.ndarray, f: np.ndarray) -> np.ndarray:
+            return (1.0 - f) * low + np.where(f > 0, f * high, 0.0)
+
+        along = blend(values[:, c0], values[:, c1], fc)
+        out = blend(along[r0], along[r1], fr[:, None])
+        i, j = np.nonzero(any_of(has_row))
+        absent = ~any_of(has_value)[i, j]
+        return pa.table({"prow": pa.array(rows[i], pa.int32()), "pcol": pa.array(cols[j], pa.int32()), value: pa.array(out[i, j], pa.float64(), mask=absent)})
+
+    def copies(index: Column) -> Column:
+        """The tile of a row or column and its place there, and for a tile's first one also the place after the last of the tile before."""
+        own = F.struct(F.floor(index / side).cast("int").alias("t"), (index % side).cast("int").alias("k"))
+        before = F.struct((F.floor(index / side) - 1).cast("int").alias("t"), F.lit(side).alias("k"))
+        return F.when((index % side == 0) & (index > 0), F.array(own, before)).otherwise(F.array(own))
+
+    row, col = F.col("prow"), F.col("pcol")
+    placed = (
+        cells.select(F.col(value).cast("double").alias("_v"), *CELL, _c(height).cast("int").alias("_h"), _c(width).cast("int").alias("_w"))
+        .where((row >= 0) & (row < F.col("_h")) & (col >= 0) & (col < F.col("_w")))
+        .select("_v", "_h", "_w", F.explode(copies(row)).alias("_r"), "pcol")
+        .select("_v", "_h", "_w", "_r", F.explode(copies(col)).alias("_c"))
+        .select("_v", "_h", "_w", F.col("_r.t").alias("trow"), F.col("_c.t").alias("tcol"), (F.col("_r.k") * (side + 1) + F.col("_c.k")).alias("_at"))
     )
+    return placed.groupBy(*TL.TILE).applyInArrow(resize, f"prow int, pcol int, `{value}` double")
 
 
 def percentile_stretch(cells: DataFrame, bands, prob: float = 0.98) -> DataFrame:

@@ -324,3 +324,28 @@ def test_mosaic_deals_no_cells_by_scene(spark, rows):
         assert rows(out) == [(0, 0, 2), (0, 1, 2), (0, 2, 1), (0, 3, 1)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("num, den", [(2, 1), (1, 2), (3, 2)])
+def test_resize_sends_a_cell_to_its_tiles_only(spark, monkeypatch, num, den):
+    """Against the definition, on a sparse raster that is cut into small tiles; no cell is spread over its targets."""
+    monkeypatch.setattr(R, "RESAMPLE_SIDE", 8)
+    h, w, s = 21, 13, num / den
+    source = {(i, j): (None if (i + j) % 11 == 0 else float((i * 7 + j * 3) % 10)) for i in range(h) for j in range(w) if (i * 5 + j) % 4 and not (8 <= i < 16 and j >= 4)}
+    cells = spark.createDataFrame([(i, j, v) for (i, j), v in source.items()], "prow int, pcol int, v double")
+    out = R.resample_bilinear(cells, "v", h, w, num, den)
+    assert "Aggregate" not in _plan(out)
+
+    def axis(t, size):
+        at = max((t + 0.5) / s - 0.5, 0.0)
+        base = min(int(at), size - 1)
+        return [(base, 1 - (at - base)), (min(base + 1, size - 1), at - base)]
+
+    want = {}
+    for i in range(int(h * s)):
+        for j in range(int(w * s)):
+            used = [(source[r, c], a * b) for r, a in axis(i, h) for c, b in axis(j, w) if a * b > 0 and (r, c) in source]
+            if used:
+                known = [v * k for v, k in used if v is not None]
+                want[i, j] = round(sum(known), 9) if known else None
+    assert {(r.prow, r.pcol): None if r.v is None else round(r.v, 9) for r in out.collect()} == want
