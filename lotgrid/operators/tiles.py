@@ -327,7 +327,26 @@ def _value_counts(zone: np.ndarray, values: dict[str, np.ndarray], kinds: dict[s
     return {name: np.concatenate(v) for name, v in out.items()}
 
 
+def _summaries(zone: np.ndarray, values: dict[str, np.ndarray], kinds: dict[str, str]) -> dict:
+    """``_moments`` with each zone's median in the tile, NaN without a value."""
+    out = _moments(zone, values, kinds)
+    ids, at = np.unique(zone, return_inverse=True)
+    medians = []
+    for b, v in values.items():
+        known = v != ABSENT if kinds[b] == "bigint" else ~np.isnan(v)
+        own, x = at[known], v[known].astype("f8")
+        x = x[np.lexsort((x, own))]
+        n = np.bincount(own, minlength=len(ids))
+        first, has = np.cumsum(n) - n, n > 0
+        median = np.full(len(ids), np.nan)
+        low, high = x[(first + (n - 1) // 2)[has]], x[(first + n // 2)[has]]
+        median[has] = low + (high - low) * 0.5
+        medians.append(median)
+    return out | {"median": np.concatenate(medians)}
+
+
 MOMENTS = "zone long, band int, n long, mean double, m2 double"
+SUMMARIES = MOMENTS + ", median double"
 COUNTS = "zone long, band int, value double, n long"
 
 
@@ -344,9 +363,9 @@ def zone_partials(tiles: DataFrame, zone: str, bands: list[str], what: str, side
 
 
 def span_partials(tiles: DataFrame, spans: DataFrame, key: str, bands: list[str], what: str, side: int = SIDE) -> DataFrame:
-    """The same for the spans of polygons, which may overlap; spans and tiles meet by tile."""
+    """The same, or ``SUMMARIES``, for the spans of polygons, which may overlap; spans and tiles meet by tile."""
     kinds = {b: _kind(tiles, b) for b in bands}
-    make, schema = (_moments, MOMENTS) if what == "moments" else (_value_counts, COUNTS)
+    make, schema = {"moments": (_moments, MOMENTS), "summaries": (_summaries, SUMMARIES), "counts": (_value_counts, COUNTS)}[what]
     names = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
     fields = [(c.split()[0], names[c.split()[1]]) for c in schema.split(", ")]
 

@@ -9,6 +9,7 @@ from lotgrid.functions.grid import Grid
 from lotgrid.operators import tiles as TL
 from lotgrid.operators.ranking import weighted_quantiles
 from lotgrid.operators.raster import parcel_ids, polygon_spans
+from lotgrid.session import cut_lineage
 
 FEW_LEVELS = 4096  # values of a band that one zone's counts may hold in a task
 
@@ -31,6 +32,22 @@ def _statistics(partials, bands: list[str], stats, levels: int | None) -> DataFr
     return out.select("zone", *[f"{b}_{s}" for b in bands for s in stats])
 
 
+def _with_tile_medians(summaries: DataFrame, counts_of, bands: list[str], stats, levels: int | None) -> DataFrame:
+    """``_statistics`` from the summaries of tiles; ``counts_of(zones)`` counts the values of zones in several tiles."""
+    out = _statistics(lambda _: summaries, bands, [s for s in stats if s != "median"], levels)
+    known = F.col("n") > 0
+    met = summaries.groupBy("zone", "band").agg(F.count_if(known).alias("_tiles"), F.max(F.when(known, F.col("median"))).alias("quantile"))
+    found = met.where("_tiles = 1").select("zone", "band", "quantile")
+    spread = met.where("_tiles > 1").select("zone").distinct()
+    counted = counts_of(spread).groupBy("zone", "band", "value").agg(F.sum("n").alias("n"))
+    several = weighted_quantiles(counted, "value", "n", [0.5], by=("zone", "band"), few=levels is not None and levels <= FEW_LEVELS)
+    # A band with one tile of a zone with several has both medians, which are equal.
+    both = found.unionByName(several.select("zone", "band", "quantile"))
+    medians = both.groupBy(F.col("zone").alias("_z")).agg(*[F.max(F.when(F.col("band") == k, F.col("quantile"))).alias(f"{b}_median") for k, b in enumerate(bands)])
+    joined = out.join(medians, out["zone"] == medians["_z"], "left")
+    return joined.select("zone", *[f"{b}_{s}" for b in bands for s in stats])
+
+
 def zonal_by_raster(
     pixels: DataFrame,
     zones: DataFrame,
@@ -80,13 +97,21 @@ def zonal_by_polygon(
 ) -> DataFrame:
     """Band statistics per polygon, overlapping polygons allowed; columns ``<band>_<stat>``.
 
-    Polygons meet the tiles as row spans; neither side's cells are shuffled.  ``levels`` as
-    for ``zonal_by_raster``.
+    Polygons meet the tiles as row spans; neither side's cells are shuffled.  The median of a
+    zone that has values in one tile only is found there; values are counted, with ``levels``
+    as for ``zonal_by_raster``, for the zones of several tiles.
     """
     bands = list(bands)
     shapes, ids = _numbered(parcels, key)
-    tiles, spans = TL.as_tiles(pixels, bands, side), polygon_spans(shapes, grid)
-    out = _statistics(lambda what: TL.span_partials(tiles, spans, "zone", bands, what, side), bands, stats, levels)
+    tiles = TL.as_tiles(pixels, bands, side)
+
+    def partials(what: str, shapes: DataFrame = shapes) -> DataFrame:
+        return TL.span_partials(tiles, polygon_spans(shapes, grid), "zone", bands, what, side)
+
+    if "median" in stats:
+        out = _with_tile_medians(cut_lineage(partials("summaries"), "zone-summaries"), lambda zones: partials("counts", shapes.join(zones, "zone", "left_semi")), bands, stats, levels)
+    else:
+        out = _statistics(partials, bands, stats, levels)
     rest = [c for c in out.columns if c != "zone"]
     if ids is None:
         return out.select(F.col("zone").cast(dict(parcels.dtypes)[key]).alias(key), *rest)

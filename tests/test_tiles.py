@@ -138,3 +138,20 @@ def test_logistic_folds_are_optimal(spark):
         gradient = x.T @ (w * (1 / (1 + np.exp(-x @ beta)) - y)) + np.array([beta[0], beta[1], 0.0])
         assert np.abs(gradient).max() < 1e-6
     assert ml.fit_logistic_folds(df.where("y = 1"), ["a", "b"]) == {}
+
+
+def test_only_zones_of_several_tiles_have_their_values_counted(spark, monkeypatch):
+    px = spark.createDataFrame([(i, j, (i * 5 + j * 3) % 17) for i in range(8) for j in range(8)], "prow int, pcol int, v int")
+    boxes = [(1, 0.0, -3.0, 3.0, 0.0), (2, 2.0, -6.0, 6.0, -1.0), (3, 5.0, -7.0, 8.0, -4.0)]
+    lots = spark.createDataFrame(boxes, "bbl bigint, x0 double, y0 double, x1 double, y1 double").select("bbl", G.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("geom"))
+    counted, rank = set(), zonal.weighted_quantiles
+
+    def record(rows, *args, **kwargs):
+        counted.update(r.zone for r in rows.select("zone").distinct().collect())
+        return rank(rows, *args, **kwargs)
+
+    monkeypatch.setattr(zonal, "weighted_quantiles", record)
+    out = {r.bbl: r.v_median for r in zonal.zonal_by_polygon(px, lots, Grid(width=8, height=8), ["v"], levels=17, side=4).collect()}
+    want = {k: float(np.median([(i * 5 + j * 3) % 17 for i in range(8) for j in range(8) if x0 < j + 0.5 < x1 and y0 < -(i + 0.5) < y1])) for k, x0, y0, x1, y1 in boxes}
+    assert out == want
+    assert counted == {2}
