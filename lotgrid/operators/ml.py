@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -474,18 +474,23 @@ def boosting(
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), gbt])
 
 
-def fourier_features(df: DataFrame, features, *, gamma: float | None = None, size: int = 128, seed: int = 42, prefix: str = "rff") -> tuple[DataFrame, list[str]]:
-    """Random Fourier features of the RBF kernel, one product of matrices per Arrow batch; gamma defaults to 1/features."""
-    features = list(features)
+def _waves(width: int, gamma: float | None, size: int, seed: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The random Fourier features of rows of ``width`` values."""
     rng = np.random.default_rng(seed)
-    gamma = gamma or 1.0 / len(features)
-    w = rng.normal(0.0, np.sqrt(2.0 * gamma), (size, len(features)))
+    w = rng.normal(0.0, np.sqrt(2.0 * (gamma or 1.0 / width)), (size, width))
     b = rng.uniform(0.0, 2.0 * np.pi, size)
     scale = float(np.sqrt(2.0 / size))
+    return lambda x: scale * np.cos(x @ w.T + b)
+
+
+def fourier_features(df: DataFrame, features, *, gamma: float | None = None, size: int = 128, seed: int = 42, prefix: str = "rff") -> tuple[DataFrame, list[str]]:
+    """Random Fourier features of the RBF kernel, one product of matrices per Arrow batch; gamma defaults to 1/features."""
+    features = list(features)
+    made = _waves(len(features), gamma, size, seed)
 
     @F.arrow_udf("array<double>")
     def waves(rows: pa.Array) -> pa.Array:
-        values = scale * np.cos(_points(rows) @ w.T + b)
+        values = made(_points(rows))
         return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * size, pa.int32()), pa.array(values.reshape(-1)))
 
     point = F.array(*[F.col(f).cast("double") for f in features])
@@ -516,7 +521,7 @@ def fit_kernel_svm(df: DataFrame, features, *, label: str = "y", weight: str = "
     features = tuple(features)
     mapped, _ = fourier_features(df, features, size=size, seed=seed)
     with kept(mapped) as train:
-        svm = LinearSVC(maxIter=max_iter, regParam=0.001, **_common(label, weight)).fit(train)
+        svm = LinearSVC(maxIter=max_iter, regParam=SVM_PENALTY, **_common(label, weight)).fit(train)
         raw = svm.transform(train).withColumn("_margin", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
         calibration = LogisticRegression(featuresCol="_margin", labelCol=label, maxIter=100).fit(
             raw.select("_margin", label)
@@ -524,6 +529,156 @@ def fit_kernel_svm(df: DataFrame, features, *, label: str = "y", weight: str = "
     return KernelClassifier(features, svm, calibration, size, seed)
 
 
+SVM_PENALTY = 0.001  # beside the mean weighted hinge loss, on standardised features
+# The hinge's corner is rounded to width * log(1 + exp(u / width)); each search starts where the wider one ended.
+HINGE_WIDTHS = (0.5, 0.15, 0.05, 0.015)
+LEAST_GAIN = 1e-5  # of the loss, below which a search ends
+
+
+def _newton_search(penalty: np.ndarray, widths: tuple[float, ...], steps: int) -> Generator[tuple[np.ndarray, float], tuple, np.ndarray]:
+    """Newton's method as questions ``(point, width)`` answered by loss, gradient and Hessian; a step that would raise the loss is halved."""
+    best, left = np.zeros(len(penalty)), steps
+    for width in widths:
+        trial, known, scale = best, None, 1.0
+        while left:
+            left -= 1
+            loss, gradient, hessian = yield trial, width
+            loss += 0.5 * float((penalty * trial * trial).sum())
+            gain = np.inf if known is None else known[0] - loss
+            if gain < 0:
+                scale /= 2.0
+            else:
+                step = np.linalg.solve(hessian + np.diag(penalty) + 1e-9 * np.eye(len(trial)), gradient + penalty * trial)
+                best, known, scale = trial, (loss, step), 1.0
+            if 0 <= gain < LEAST_GAIN * max(loss, LEAST_GAIN) or scale < 1e-6:
+                break
+            trial = best - scale * known[1]
+    return best
+
+
+def _summed(rows: DataFrame, models: list[int], sums: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
+    """``sums(f, x, y)`` added up over the rows of ``rows(x, y, fold)`` outside fold f, for all models in one reading."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {f: 0.0 for f in models}
+        for batch in batches:
+            x = _points(batch.column("x"))
+            y, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "fold"))
+            for f in models:
+                mine = fold != f
+                if mine.any():
+                    total[f] = total[f] + sums(f, x[mine], y[mine])
+        for f, v in total.items():
+            if np.ndim(v):
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["f", "v"])
+
+    def add(part: pa.Table) -> pa.Table:
+        v = sum(np.frombuffer(b.as_py(), "f8") for b in part["v"])
+        return pa.table({"f": part["f"].slice(0, 1), "v": pa.array([v.tobytes()], pa.binary())})
+
+    found = rows.select("x", "y", "fold").mapInArrow(run, "f int, v binary").groupBy("f").applyInArrow(add, "f int, v binary").collect()
+    return {r["f"]: np.frombuffer(r["v"], "f8") for r in found}
+
+
+def _search_together(rows: DataFrame, searches: dict[int, Generator], measure: Callable) -> dict[int, np.ndarray]:
+    """The points at which the models' searches end; every reading of the rows answers one question of each.
+
+    ``measure(f, x, y, point, width)`` gives a matrix of features, and per row the loss and its first two derivatives by the margin.
+    """
+    asked, ended = {f: next(s) for f, s in searches.items()}, {}
+    while asked:
+        size = len(next(iter(asked.values()))[0])
+
+        def sums(f: int, x: np.ndarray, y: np.ndarray, asked=dict(asked)) -> np.ndarray:
+            z, loss, slope, bend = measure(f, x, y, *asked[f])
+            own = np.flatnonzero(bend > 1e-9 * bend.max())
+            return np.concatenate([[loss.sum()], z.T @ slope, ((z[own] * bend[own, None]).T @ z[own]).reshape(-1)])
+
+        for f, v in _summed(rows, sorted(asked), sums).items():
+            try:
+                asked[f] = searches[f].send((float(v[0]), v[1 : 1 + size], v[1 + size :].reshape(size, size)))
+            except StopIteration as end:
+                ended[f] = end.value
+                del asked[f]
+    return ended
+
+
+def kernel_fold_scores(folded: DataFrame, features, *, label: str = "y", fold: str = "fold", size: int = 128, max_iter: int = 100, seed: int = 42) -> DataFrame:
+    """``folded`` with ``prob`` and ``prediction`` of the kernel machine of the other folds.
+
+    The machine of ``fit_kernel_svm`` with balanced weights: the same Fourier features,
+    hinge loss, penalty and logistic map of the margin.  All folds are fitted together: a
+    step reads the rows once for all of them, and the driver solves one small system per
+    fold.  Rows with a null label or feature teach nothing, and have no score without a
+    feature; a fold without both labels beside it has none either.
+    """
+    features = tuple(features)
+    made = _waves(len(features), None, size, seed)
+    known = F.col(label).isin(0, 1)
+    for f in features:
+        known = known & F.col(f).isNotNull()
+    point = F.array(*[F.col(f).cast("double") for f in features])
+    rows = cut_lineage(folded.where(known).select(point.alias("x"), F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("fold")), "kernel-rows")
+    sizes = {(r["fold"], int(r["y"])): r["n"] for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
+    counts = {f: tuple(sum(n for (g, y), n in sizes.items() if g != f and y == t) for t in (0, 1)) for f in sorted({f for f, _ in sizes})}
+    counts = {f: n for f, n in counts.items() if all(n)}
+    # Weights are n / (2 * class size), so that they add up to n; losses are divided by that.
+    weight = {f: (0.5 / n[0], 0.5 / n[1]) for f, n in counts.items()}
+
+    def weights(f: int, y: np.ndarray) -> np.ndarray:
+        return np.where(y == 1, weight[f][1], weight[f][0])
+
+    def moments(f: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z, w = made(x), weights(f, y)
+        return np.concatenate([w @ z, w @ (z * z), [(w * w).sum()]])
+
+    def hinge(f: int, x: np.ndarray, y: np.ndarray, at: np.ndarray, width: float) -> tuple[np.ndarray, ...]:
+        z = np.concatenate([made(x), np.ones((len(x), 1))], axis=1)
+        sign, w = 2.0 * y - 1.0, weights(f, y)
+        u = 1.0 - sign * (z @ at)
+        p = 1.0 / (1.0 + np.exp(-np.clip(u / width, -700, 700)))
+        return z, w * width * np.logaddexp(0.0, u / width), -w * sign * p, w * p * (1.0 - p) / width
+
+    penalty = {}
+    for f, v in _summed(rows, sorted(counts), moments).items():
+        variance = np.maximum(v[size : 2 * size] - v[:size] ** 2, 0.0) / (1.0 - v[-1])
+        penalty[f] = np.append(SVM_PENALTY * variance, 0.0)
+    machines = _search_together(rows, {f: _newton_search(p, HINGE_WIDTHS, max_iter) for f, p in penalty.items()}, hinge)
+
+    def margin(f: int, x: np.ndarray) -> np.ndarray:
+        return made(x) @ machines[f][:-1] + machines[f][-1]
+
+    def logistic_loss(f: int, x: np.ndarray, y: np.ndarray, at: np.ndarray, width: float) -> tuple[np.ndarray, ...]:
+        z = np.stack([margin(f, x), np.ones(len(x))], axis=1)
+        m, w = z @ at, 1.0 / sum(counts[f])
+        p = 1.0 / (1.0 + np.exp(-np.clip(m, -700, 700)))
+        return z, w * (np.logaddexp(0.0, m) - y * m), w * (p - y), w * p * (1.0 - p)
+
+    maps = _search_together(rows, {f: _newton_search(np.zeros(2), (1.0,), 100) for f in machines}, logistic_loss)
+
+    @F.arrow_udf("double")
+    def scores(points: pa.Array, fold_of: pa.Array) -> pa.Array:
+        x, own = _points(points), fold_of.to_numpy(zero_copy_only=False)
+        out = np.full(len(x), np.nan)
+        for f, (slope, offset) in maps.items():
+            mine = own == f
+            out[mine] = 1.0 / (1.0 + np.exp(-np.clip(slope * margin(f, x[mine]) + offset, -700, 700)))
+        return pa.array(out, mask=np.isnan(out))
+
+    scored = folded.withColumn("prob", scores(point, F.col(fold).cast("int")))
+    return scored.withColumn("prediction", (F.col("prob") > 0.5).cast("int"))
+
+
+@dataclass(frozen=True)
+class SharedKernel:
+    """A kernel machine of all the defaults; the folds of a cross-validation are fitted together."""
+
+    features: tuple[str, ...]
+
+    def __call__(self, train: DataFrame) -> KernelClassifier:
+        return fit_kernel_svm(train, self.features)
+
+
 def positive_score(scored: DataFrame) -> DataFrame:
     """Add ``prob``: P(1), else the decision value, else the prediction."""
     if "prob" in scored.columns:
@@ -551,8 +706,8 @@ def cross_validate(df: DataFrame, models: dict, *, label: str = "y", key: str =
     """(model, fold, f1, average_precision) over stratified folds.
 
     ``models`` maps a name to a function from a weighted training table to a fitted model
-    with ``transform``, to a ``SharedForest`` or to the tuple of features of a logistic
-    regression; the folds of these two are fitted together.
+    with ``transform``, to a ``SharedForest``, to a ``SharedKernel`` or to the tuple of
+    features of a logistic regression; the folds of these three are fitted together.
     """
     folded = cut_lineage(stratified_folds(df, label, key, folds, seed), "folds")
     scored = []
@@ -574,6 +729,9 @@ def cross_validate(df: DataFrame, models: dict, *, label: str = "y", key: str =
         if isinstance(fit, SharedForest):
             add(name, fit(folded, label=label, key=key, fold="fold"))
             continue
+        if isinstance(fit, SharedKernel):
+            add(name, kernel_fold_scores(folded, fit.features, label=label))
+            continue
         for fold in range(folds):
             held_out(name, fold, fit(balanced_weights(folded.where(F.col("fold") != fold), label)))
     # All folds of all models are measured together, in one aggregate and one ordering.

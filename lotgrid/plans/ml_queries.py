@@ -199,9 +199,9 @@ def _scaled(t: Inputs):
 
 
 MODELS = {
-    # The folds of the logistic regression are fitted together.
+    # The folds of each are fitted together.
     "logistic": tuple(COLS),
-    "kernel_svm": lambda train: ml.fit_kernel_svm(train, COLS),
+    "kernel_svm": ml.SharedKernel(tuple(COLS)),
     # 30 is the deepest that Spark grows; the reference has no limit.
     "forest": ml.SharedForest(lambda: ml.forest(COLS, depth=30, min_leaf=1)),
 }
