@@ -129,8 +129,13 @@ def _candidates(windows: DataFrame, items: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "key", "first", "size", F.col("e.item").alias("item")).agg(F.min(F.bit_count(F.expr("bits ^ e.fingerprint"))).alias("distance"))
 
 
+def _holding(named: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``named`` whose text has one of ``keys(key)``, found where they lie while the keys are within the bound, so that other texts are not shuffled."""
+    return named.join(_bounded(keys.select("key").distinct(), F.lit(64)), "key", "left_semi")
+
+
 def _laid(named: DataFrame, windows: DataFrame, name: str) -> DataFrame:
-    """The words of ``windows(doc_id, key, first, size, ...)``, cut from their documents; a document is met once."""
+    """The words of ``windows(doc_id, key, first, size, ...)``, cut from their documents, which are one row each."""
     extra = [c for c in windows.columns if c not in ("doc_id", "key", "first", "size")]
     by_doc = windows.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "size", *extra)).alias("windows"))
     by_doc = stored(by_doc, name).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "windows")
@@ -138,7 +143,6 @@ def _laid(named: DataFrame, windows: DataFrame, name: str) -> DataFrame:
     cut = F.expr(f"transform(windows, w -> struct(w.first AS first, w.size AS size{kept}, slice(words, w.first + 1, w.size) AS words))")
     return (
         named.join(by_doc, named["doc_id"].eqNullSafe(by_doc["d"]) & (named["key"] == by_doc["k"]))
-        .dropDuplicates(["doc_id", "key"])
         .select("doc_id", "key", "windows", _words("text").alias("words"))
         .select("doc_id", "key", F.explode_outer(cut).alias("w"))
         .select("doc_id", "key", "w.*")
@@ -180,6 +184,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_si
         .select("doc_id", "key", "size", F.explode_outer(F.array_distinct(starts)).alias("first"))
         .distinct()
     )
+    windows = stored(windows, "leak_starts")
+    # Most documents hold no anchor; the others' texts are met from here on.
+    named = stored(_holding(named, windows).dropDuplicates(["doc_id", "key"]), "leak_texts")
     laid = _laid(named, windows, "leak_windows").select("doc_id", "key", "first", "size", simhash("words").alias("bits"))
     near = _laid(named, _candidates(stored(laid, "leak_prints"), items), "leak_near").withColumn("own", _counted_shingles("words"))
     sought = items.select("item_id", "item", "size", "shingles")
@@ -206,6 +213,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_si
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage; columns stay as they are."""
     leaks = stored(find_leaks(docs, benchmark, text).select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct(), "leaks")
+    leaks = _bounded(leaks, F.lit(64))
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["d"]) & (F.xxhash64(docs[text]) == leaks["k"]), "left_anti")
 
 

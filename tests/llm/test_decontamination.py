@@ -115,3 +115,29 @@ def test_documents_shorter_than_the_item(spark):
     want = brute(docs, items)
     assert len(want) == 60
     assert {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.similarity) for r in got} == want
+
+
+def shuffled_bytes(spark):
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_without_an_anchor_are_not_shuffled(spark):
+    """Only documents that may leak are moved, however small the tables are that Spark broadcasts by itself."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"{rng.getrandbits(40):x}" for _ in range(n))
+    passage = text(30)
+    docs = [(k, text(300) + (" " + passage if k % 100 == 0 else "")) for k in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        start = shuffled_bytes(spark)
+        assert {r.doc_id for r in find_leaks(frame, items).collect()} == {0, 100, 200, 300}
+        assert drop_leaking(frame, items).count() == 396
+        moved = shuffled_bytes(spark) - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert moved < 0.3 * sum(len(t) for _, t in docs)
