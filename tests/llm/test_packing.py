@@ -65,3 +65,19 @@ def test_documents(spark):
         want = [(p, p * 2048, len(part), zlib.crc32(part.tobytes())) for p, part in enumerate(np.split(ids, range(2048, len(ids), 2048)))]
         assert sorted(own[["piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want * times)
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).collect() == []
+
+
+def test_remembered_words_are_small():
+    pytest.importorskip("tokenizers")
+    import tracemalloc
+
+    words = WordIds(tokenizer_path())
+    words.encode(["one"])
+    tracemalloc.start()
+    try:
+        for k in range(20):
+            words.encode([" ".join(f"w{n}" for n in range(k * 5000, (k + 1) * 5000))])
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 80 * 100_000
