@@ -171,23 +171,26 @@ LEAST_SHARE = 3 / 7 - 1e-9
 
 
 def _token_sets(nodes: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``node, tokens`` of the given nodes, from one document each; it is named by its id and its text's hash, so that a null id names one too."""
-    owners = stored(members.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("owner")).select("node", "owner.doc_id", "owner.text_key"), "join_owners")
+    """``node, comp, size, tokens`` of the given ``nodes(node, comp, size)``, from one document each; it is named by its id and its text's hash, so that a null id names one too."""
+    named = members.join(nodes, "node").groupBy("node", "comp", "size").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("owner"))
+    owners = stored(named.select("node", "comp", "size", "owner.doc_id", "owner.text_key"), "join_owners")
     # Texts stay where they are while the list of owners is short; a longer one is met by shuffle.
     side = F.broadcast(owners) if owners.count() <= BROADCAST_ROWS else owners
     named = docs.select("text", F.xxhash64("text").alias("key"), F.col("doc_id").alias("id"))
-    chosen = named.join(side, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node")
+    chosen = named.join(side, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node", "comp", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches):
             # Repeated rows of a batch, and copies with null ids, give one row.
-            rows = {k: s.astype("i8") for k, s in zip(batch.column("node").to_pylist(), sets, strict=True) if _node(s) == k}
-            ends = np.cumsum([0, *map(len, rows.values())])
-            tokens = pa.array(np.concatenate([np.zeros(0, "i8"), *rows.values()]), pa.int64())
+            rows = {k: at for at, (k, s) in enumerate(zip(batch.column("node").to_pylist(), sets, strict=True)) if _node(s) == k}
+            kept = [sets[at].astype("i8") for at in rows.values()]
+            ends = np.cumsum([0, *map(len, kept)])
+            tokens = pa.array(np.concatenate([np.zeros(0, "i8"), *kept]), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), lists], ["node", "tokens"])
+            names = ["node", "comp", "size"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(list(rows.values()), pa.int64())) for c in names), lists], [*names, "tokens"])
 
-    return stored(chosen.mapInArrow(run, "node long, tokens array<long>"), "join_sets")
+    return stored(chosen.mapInArrow(run, "node long, comp long, size long, tokens array<long>"), "join_sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -209,8 +212,13 @@ def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return known.where("x <> y").select("a", "b", "bound", F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb"))
 
 
-def _within_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` that connect the similar nodes inside each group of ``groups(node, comp)``.
+def _sized(groups: DataFrame) -> DataFrame:
+    """``node, comp, size``: the nodes of ``groups(node, comp)`` with the number of nodes of their group."""
+    return stored(groups.join(groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp").select("node", "comp", "size"), "join_sized")
+
+
+def _within_groups(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that connect the similar nodes inside each group of ``placed(node, comp, size)``.
 
     A group is compared block by block first, each node only with those of its own block.
     One representative for each component found then meets those of the other components,
@@ -218,13 +226,11 @@ def _within_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
     outside its largest part meets all nodes of the group.  A task returns only the links that
     connect the parts it has seen.
     """
-    sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    placed = stored(groups.join(sizes, "comp"), "join_sized")
-    small, large = placed.where(F.col("size") <= BLOCK_SIZE), placed.where(F.col("size") > BLOCK_SIZE)
-    bundles = max(1, small.count() // BLOCK_SIZE)
-    dealt = small.select("node", "comp", F.expr(f"pmod(xxhash64(comp), {bundles})").alias("x"), F.lit(-1).alias("y"))
-    dealt = dealt.unionByName(large.select("node", "comp", F.col("comp").alias("x"), F.expr(_block("node", "size")).alias("y")))
-    found = _compared(dealt, sets, "join_blocks")
+    small, large = F.col("size") <= BLOCK_SIZE, placed.where(F.col("size") > BLOCK_SIZE)
+    bundles = max(1, placed.where(small).count() // BLOCK_SIZE)
+    # The sets know their groups, so that they move once, to their blocks.
+    x, y = F.when(small, F.expr(f"pmod(xxhash64(comp), {bundles})")).otherwise(F.col("comp")), F.when(small, -1).otherwise(F.expr(_block("node", "size")))
+    found = _compared(sets.select(x.alias("x"), y.alias("y"), "comp", "node", "tokens"), "join_blocks")
     links = found.where("a <> b").select("a", "b")
     if large.isEmpty():
         return links
@@ -236,7 +242,7 @@ def _within_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
         first = parts.join(open_groups, "comp").groupBy("comp", "size", "part").agg(F.max(F.struct("degree", "node")).alias("hub"))
         dealt = first.select(F.col("hub.node").alias("node"), "comp", F.col("comp").alias("x"), F.expr(_block("part", "size")).alias("y"))
         dealt = stored(dealt, "join_dealt")
-        met = _compared(dealt, sets, "join_hubs").where("a <> b").select("a", "b") if not dealt.isEmpty() else None
+        met = _compared(dealt.join(sets.select("node", "tokens"), "node"), "join_hubs").where("a <> b").select("a", "b") if not dealt.isEmpty() else None
         if met is None or met.isEmpty():
             break
         links = links.unionByName(met)
@@ -260,8 +266,8 @@ def _renamed(parts: DataFrame, met: DataFrame) -> DataFrame:
     return stored(out, "join_parts")
 
 
-def _compared(dealt: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """``a, b, degree``: every node of ``dealt(node, comp, x, y)``, the first node of its block that it reaches, and its links."""
+def _compared(dealt: DataFrame, name: str) -> DataFrame:
+    """``a, b, degree``: every node of ``dealt(node, comp, x, y, tokens)``, the first node of its block that it reaches, and its links."""
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -272,7 +278,7 @@ def _compared(dealt: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         trimmed()
         return pd.concat(found)
 
-    rows = dealt.join(sets, "node").select("x", "y", "comp", "node", "tokens")
+    rows = dealt.select("x", "y", "comp", "node", "tokens")
     return stored(rows.groupBy("x", "y").applyInPandas(compare, "a long, b long, degree long"), name)
 
 
@@ -309,7 +315,7 @@ def _between_parts(parts: DataFrame, sets: DataFrame) -> DataFrame:
             root = least
         return pd.DataFrame({"a": names, "b": names[root]})[names != names[root]]
 
-    dealt = left.unionByName(right).join(sets, "node").select("comp", "y", "z", "side", "part", "tokens")
+    dealt = left.unionByName(right).join(sets.select("node", "tokens"), "node").select("comp", "y", "z", "side", "part", "tokens")
     return stored(dealt.groupBy("comp", "y", "z").applyInPandas(compare, "a long, b long").distinct(), "join_links")
 
 
@@ -394,6 +400,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     rows = signatures.select("node", F.explode_outer("prefix").alias("token"))
     shared = rows.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")
     shared = stored(shared, "join_shared")
+    # The prefixes are moved twice; the first copy goes before the second is made.
+    released(docs.sparkSession)
     postings = stored(rows.join(shared, "token").select("token", "node", "leader", "last").distinct(), "join_postings")
     dropped(shared)
     sides = signatures.select("node", F.struct("n", "bits").alias("s")).dropDuplicates(["node"])
@@ -408,15 +416,17 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     groups = components(near)
     del rows, led
     released(docs.sparkSession)
-    sets = _token_sets(groups.select("node"), docs, members)
-    links = _within_groups(groups, sets)
+    placed = _sized(groups)
+    sets = _token_sets(placed, docs, members)
+    links = _within_groups(placed, sets)
     comps = components(links)
     rest = _across_groups(postings.select("token", "node"), groups, sides.select("node", "s.*"))
     rest = stored(_between(rest, comps), "join_rest")
     missing = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
     missing = stored(missing, "join_missing")
     if not missing.isEmpty():
-        sets = sets.unionByName(_token_sets(missing, docs, members))
+        alone = missing.select("node", F.col("node").alias("comp"), F.lit(1).cast("long").alias("size"))
+        sets = sets.unionByName(_token_sets(alone, docs, members))
     # One link joins two components: their most promising pair goes first, and only where
     # components stay apart all their pairs are compared.
     if not rest.isEmpty():

@@ -83,3 +83,21 @@ def test_components_of_chain_and_star(spark):
     pairs = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(5, 5)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {k: 1 for k in range(1, 41)} | {k: 100 for k in range(100, 130)}
+
+
+def test_sets_of_groups_move_once(spark, monkeypatch):
+    """Sets know their group when they are made, so that none are shuffled to be told it."""
+    from lotgrid.llm import jaccard_join
+
+    plans, compared = {}, jaccard_join._compared
+
+    def spy(*args):
+        plans[args[-1]] = args[0]._jdf.queryExecution().optimizedPlan().toString() if len(args) == 2 else "Join"
+        return compared(*args)
+
+    monkeypatch.setattr(jaccard_join, "_compared", spy)
+    words = [f"w{n}" for n in range(60)]
+    rows = [(k, " ".join([*words[:k], "other", *words[k:]])) for k in range(5)]
+    got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+    assert "Join" not in plans["join_blocks"]
