@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lotgrid.llm.common import byte_lengths, dropped, map_texts, stored, text_parts, trimmed
 from lotgrid.llm.language_id import fold_of
 from lotgrid.llm.wordhash import Words, shingle_sets, split_words
-from lotgrid.operators.ranking import column_quantiles
+from lotgrid.operators.ranking import column_quantiles, running_totals
 
 # Production parameters.
 TRAIN_ROWS = 20_000  # labelled rows that are learnt from, about half per label; the only bounded sample
@@ -176,27 +176,46 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fold
     # At most train_rows short rows: bounded by the parameter.
     sample = docs.join(F.broadcast(chosen), "doc_id").where(F.xxhash64("text") == F.col("key")).dropDuplicates(["quality", "key"])
     sample = stored(with_features(sample.select("doc_id", "text", "quality", "key"), "text", ["quality", "key"]), "quality_sample")
-    rows = sample.orderBy("quality", "key").toPandas()
-    x, y = np.stack(rows["features"].to_numpy()), rows["quality"].to_numpy()
-    mean, spread = x.mean(axis=0), x.std(axis=0)
-    spread[spread < 1e-9] = 1.0
-    z = (x - mean) / spread
-    good, bad = z[y == 1], z[y == 0]
-    # Every document meets partners of the other label at even steps through their list.
-    ahead = np.concatenate([np.arange(len(good)).repeat(PARTNERS), (np.arange(len(bad) * PARTNERS) * 7919) % len(good)])
-    behind = np.concatenate([(np.arange(len(good) * PARTNERS) * 7919) % len(bad), np.arange(len(bad)).repeat(PARTNERS)])
-    gaps = good[ahead] - bad[behind]
-    # Half of the differences are turned round, so that both outcomes occur.
-    turned = np.arange(len(gaps)) % 2 == 1
-    gaps[turned] *= -1.0
-    rows = list(zip(gaps.tolist(), np.where(turned, 0.0, 1.0).tolist(), strict=True))
-    pairs = docs.sparkSession.createDataFrame(rows, "gap array<double>, label double")
-    pairs = pairs.select(array_to_vector("gap").alias("gap"), "label")
-    fit = LogisticRegression(featuresCol="gap", labelCol="label", fitIntercept=False, standardization=False, regParam=REGULARISATION, maxIter=100).fit(pairs)
+    mean, spread, sizes = scales(sample)
+    pairs = stored(preferences(sample, spread, sizes), "quality_pairs")
+    vectors = pairs.select(array_to_vector("gap").alias("gap"), "label")
+    fit = LogisticRegression(featuresCol="gap", labelCol="label", fitIntercept=False, standardization=False, regParam=REGULARISATION, maxIter=100).fit(vectors)
+    dropped(sample, pairs)
     ranking = Ranking(mean, spread, fit.coefficients.toArray(), 0.0, 1.0)
     return replace(ranking, threshold=cut_point(docs, marked, ranking))
 
 
+def scales(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """Mean and spread of every feature of ``sample(quality, features)``, and its rows of quality 0 and of 1.
+
+    A feature that is the same everywhere has spread 1.
+    """
+    each = [F.col("features")[k] for k in range(len(FEATURES))]
+    n_bad, n_good, *found = sample.agg(F.count_if(F.col("quality") == 0), F.count_if(F.col("quality") == 1), *map(F.avg, each), *map(F.stddev_pop, each)).first()
+    mean, spread = np.array(found).reshape(2, -1)
+    spread[spread < 1e-9] = 1.0
+    return mean, spread, (n_bad, n_good)
+
+
+def preferences(sample: DataFrame, spread: np.ndarray, sizes: tuple[int, int]) -> DataFrame:
+    """``gap, label``: differences of scaled features, ``PARTNERS`` from the side of every row of ``sample(quality, key, features)``.
+
+    A document meets partners of the other label at even steps through their list, ordered
+    by key; (quality, key) is unique.  Half of the differences are turned round, so that both
+    outcomes occur.  They are made and stay on the executors.
+    """
+    placed = running_totals(sample.withColumn("one", F.lit(1)), "key", {"place": "one"}, by=("quality",))
+    placed = placed.select(F.col("quality").cast("int").alias("quality"), (F.col("place") - 1).alias("place"), "features")
+    own = placed.withColumn("turn", F.explode(F.array(*map(F.lit, range(PARTNERS))))).withColumn("turn", F.col("place") * PARTNERS + F.col("turn"))
+    others = F.when(F.col("quality") == 1, F.lit(sizes[0])).otherwise(F.lit(sizes[1]))
+    own = own.select("quality", "turn", "features", (F.col("turn") * 7919 % others).alias("place"))
+    met = own.join(placed.select((1 - F.col("quality")).alias("quality"), "place", F.col("features").alias("other")), ["quality", "place"])
+    label = (F.col("turn") % 2 == 0).cast("double")
+    sign = (label * 2 - 1) * (F.col("quality") * 2 - 1)
+    gap = F.zip_with(F.zip_with("features", "other", lambda x, y: sign * (x - y)), F.array(*map(F.lit, spread.tolist())), lambda d, s: d / s)
+    return met.select(gap.alias("gap"), label.alias("label"))
+
+
 def strengths(texts: Column, model: Ranking) -> Column:
     """Strength of every text under a model; only texts go to Python and one number comes back."""
 

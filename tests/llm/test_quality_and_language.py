@@ -82,6 +82,49 @@ def test_quality(spark):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in got if r["predicted"])
 
 
+def test_preferences_by_hand(spark):
+    """The differences of a plain version: partners at even steps through the other label's list, every other one turned round."""
+    rng = np.random.default_rng(3)
+    rows = [(int(q), int(key), x.tolist()) for q, key, x in zip([1] * 7 + [0] * 5, rng.permutation(12) - 6, rng.random((12, len(quality.FEATURES))), strict=True)]
+    sample = spark.createDataFrame(rows, "quality int, key long, features array<double>")
+    mean, spread, sizes = quality.scales(sample)
+    x = np.array([f for *_, f in rows])
+    assert sizes == (5, 7) and np.allclose(mean, x.mean(axis=0)) and np.allclose(spread, x.std(axis=0))
+    good, bad = (np.array([f for q, _, f in sorted(rows) if q == label]) / x.std(axis=0) for label in (1, 0))
+    want = []
+    for own, other, side in ((good, bad, 1), (bad, good, -1)):
+        for turn in range(len(own) * quality.PARTNERS):
+            gap = side * (own[turn // quality.PARTNERS] - other[turn * 7919 % len(other)])
+            want.append((1.0, *gap) if turn % 2 == 0 else (0.0, *-gap))
+    got = [(r["label"], *r["gap"]) for r in quality.preferences(sample, spread, sizes).collect()]
+    assert np.allclose(sorted(got), sorted(want))
+    flat = spark.createDataFrame([(q, k, [2.0] * len(quality.FEATURES)) for q, k, _ in rows], "quality int, key long, features array<double>")
+    assert (quality.scales(flat)[1] == 1).all()
+
+
+def test_training_rows_stay_off_the_driver(spark, monkeypatch):
+    """Neither the sample nor its pairs pass through the driver."""
+    rows, labels = corpus(random.Random(4))
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    passed = []
+
+    def counted(kind, name, size):
+        plain = getattr(kind, name)
+
+        def run(self, *args, **named):
+            out = plain(self, *args, **named)
+            passed.append(size(out, *args))
+            return out
+
+        monkeypatch.setattr(kind, name, run)
+
+    for name in ("collect", "toPandas"):
+        counted(type(docs), name, lambda out, *_: len(out))
+    counted(type(spark), "createDataFrame", lambda _, data, *__: len(data))
+    assert quality.train(docs, marked) is not None
+    assert passed and max(passed) < 20
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     model = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
