@@ -5,7 +5,8 @@ groups: tokens that several nodes have in their prefixes name a leader, and the
 really are similar to it form its group.  What may still link across groups is decided by
 the token-group matrix: every group holds the union of its members' tokens as bits, a query
 node's overlap with a group is bounded by its tokens whose bits the group lacks, and only
-groups that can qualify are opened and compared member by member.
+groups that can qualify are opened and compared member by member, blocks of large groups
+with all nodes that open them at once.
 
 Two sets with a Jaccard similarity of at least 3/4 share a token among the first
 ``n - ceil(3n/4) + 1`` tokens of both, in any order that is the same for all.  The order
@@ -296,27 +297,29 @@ def _between_parts(parts: DataFrame, sets: DataFrame) -> DataFrame:
     left = rows.where("part <> main").select("comp", "node", "part", F.lit(0).alias("side"), F.expr(_block("node", "outer")).alias("y"), F.explode(F.sequence(F.lit(0), all_ - 1)).alias("z"))
     right = rows.select("comp", "node", "part", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), asks - 1)).alias("y"), F.expr(_block("node", "all")).alias("z"))
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        ask, other = part[part["side"] == 0], part[part["side"] == 1]
-        if not len(ask) or not len(other):
-            return pd.DataFrame({"a": [], "b": []}, dtype="i8")
-        i, j = np.nonzero(_linked(ask["tokens"].tolist(), other["tokens"].tolist()))
-        names, number = np.unique(np.concatenate([ask["part"].to_numpy(), other["part"].to_numpy()]), return_inverse=True)
-        a, b = number[i], number[len(ask) + j]
-        root = np.arange(len(names))
-        while True:
-            # Every part takes the smallest name among the parts that it links to.
-            least = root.copy()
-            np.minimum.at(least, a, root[b])
-            np.minimum.at(least, b, root[a])
-            least = least[least]
-            if (least == root).all():
-                break
-            root = least
-        return pd.DataFrame({"a": names, "b": names[root]})[names != names[root]]
-
     dealt = left.unionByName(right).join(sets.select("node", "tokens"), "node").select("comp", "y", "z", "side", "part", "tokens")
-    return stored(dealt.groupBy("comp", "y", "z").applyInPandas(compare, "a long, b long").distinct(), "join_links")
+    return stored(dealt.groupBy("comp", "y", "z").applyInPandas(_parts_linked, "a long, b long").distinct(), "join_links")
+
+
+def _parts_linked(rows: pd.DataFrame) -> pd.DataFrame:
+    """``a, b``: names of parts that sets of ``side`` 0 and 1 connect, each with the smallest that it reaches."""
+    ask, other = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    if not len(ask) or not len(other):
+        return pd.DataFrame({"a": [], "b": []}, dtype="i8")
+    i, j = np.nonzero(_linked(ask["tokens"].tolist(), other["tokens"].tolist()))
+    names, number = np.unique(np.concatenate([ask["part"].to_numpy(), other["part"].to_numpy()]), return_inverse=True)
+    a, b = number[i], number[len(ask) + j]
+    root = np.arange(len(names))
+    while True:
+        # Every part takes the smallest name among the parts that it links to.
+        least = root.copy()
+        np.minimum.at(least, a, root[b])
+        np.minimum.at(least, b, root[a])
+        least = least[least]
+        if (least == root).all():
+            break
+        root = least
+    return pd.DataFrame({"a": names, "b": names[root]})[names != names[root]]
 
 
 def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -352,10 +355,26 @@ def _connected(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         label = least
 
 
-def _across_groups(postings: DataFrame, comps: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs ``(a, b, bound)`` of nodes in different groups that the token-group matrix cannot rule out.
+def _asked_blocks(opened: DataFrame, members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between components: the nodes of ``opened(a, grp)`` meet the members of their groups, block by block.
 
-    ``postings(token, node)`` has every prefix token of two or more nodes.
+    Every link is given as the names of two components.
+    """
+    asks = opened.groupBy("grp").agg(F.count(F.lit(1)).alias("asks"))
+    blocks = F.expr(f"CAST(ceil(asks / {BLOCK_SIZE}) AS INT)")
+    left = opened.join(asks, "grp").select("grp", F.col("a").alias("node"), F.lit(0).alias("side"), F.expr(_block("a", "asks")).alias("y"))
+    right = members.join(asks, "grp").select("grp", "node", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("y"))
+    dealt = left.unionByName(right).join(comps.select("node", F.col("comp").alias("part")), "node", "left").join(sets.select("node", "tokens"), "node")
+    dealt = dealt.select("grp.comp", "grp.block", "grp.width", "y", "side", F.coalesce("part", "node").alias("part"), "tokens")
+    return stored(dealt.groupBy("comp", "block", "width", "y").applyInPandas(_parts_linked, "a long, b long").distinct(), "join_links")
+
+
+def _across_groups(postings: DataFrame, comps: DataFrame, signatures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the token-group matrix cannot rule out between nodes in different groups.
+
+    ``postings(token, node)`` has every prefix token of two or more nodes.  Pairs
+    ``(a, b, bound)`` with members of groups of at most ``GROUP_SIZE``; the nodes ``(a, grp)``
+    that open a block of a larger group; and the members ``(node, grp)`` of the larger groups.
     """
     placed = postings.join(comps, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
     open_tokens = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
@@ -371,9 +390,9 @@ def _across_groups(postings: DataFrame, comps: DataFrame, signatures: DataFrame)
     queries = tokens.select("token", F.col("node").alias("a"), "n", F.struct("members", "comp").alias("own"))
     holders = tokens.select("token", "grp", F.struct("members", "comp").alias("other")).distinct()
     # Of two groups the members of the smaller one ask; equal sizes go by name.
-    asked = queries.join(holders, "token").where("own < other").select("a", "n", "grp").distinct()
+    asked = queries.join(holders, "token").where("own < other").select("a", "n", "grp", "other.members").distinct()
     spans = members.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    asked = stored(asked.join(spans, "grp").where("4 * n >= 3 * lo AND 4 * hi >= 3 * n").select("a", "grp"), "join_asked")
+    asked = stored(asked.join(spans, "grp").where("4 * n >= 3 * lo AND 4 * hi >= 3 * n").select("a", "grp", "members"), "join_asked")
     matrix = members.groupBy("grp").agg(F.collect_list(F.struct("node", "n", "bits")).alias("m"))
     union = F.expr("aggregate(slice(m, 2, size(m)), m[0].bits, (u, x) -> zip_with(u, x.bits, (p, q) -> p | q))")
     matrix = stored(matrix.select("grp", union.alias("bits"), "m"), "join_matrix")
@@ -381,8 +400,11 @@ def _across_groups(postings: DataFrame, comps: DataFrame, signatures: DataFrame)
     opened = asked.join(q, "a").join(matrix, "grp")
     wq, wg = F.size("q.bits"), F.size("bits")
     fits = (2 * wq >= wg) & (2 * wg >= wq) & (4 * (F.col("q.n") - _lacking(F.col("q.bits"), F.col("bits"))) >= 3 * F.col("q.n"))
-    pairs = opened.where(fits).select("a", "q", F.explode("m").alias("g")).where(_sizes_fit("q", "g"))
-    return pairs.select("a", F.col("g.node").alias("b"), _bound("q", "g").alias("bound")).where(F.col("bound") >= LEAST_SHARE)
+    opened, small = opened.where(fits), F.col("members") <= GROUP_SIZE
+    pairs = opened.where(small).select("a", "q", F.explode("m").alias("g")).where(_sizes_fit("q", "g"))
+    pairs = pairs.select("a", F.col("g.node").alias("b"), _bound("q", "g").alias("bound")).where(F.col("bound") >= LEAST_SHARE)
+    # Variants of one text open nearly all blocks of their family: its members stay together in rows of blocks.
+    return pairs, stored(opened.where(~small).select("a", "grp"), "join_opened"), members.where(~small).select("node", "grp")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -420,13 +442,19 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     sets = _token_sets(placed, docs, members)
     links = _within_groups(placed, sets)
     comps = components(links)
-    rest = _across_groups(postings.select("token", "node"), groups, sides.select("node", "s.*"))
+    rest, opened, large = _across_groups(postings.select("token", "node"), groups, sides.select("node", "s.*"))
     rest = stored(_between(rest, comps), "join_rest")
-    missing = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
+    missing = rest.select(F.explode(F.array("a", "b")).alias("node")).union(opened.select("a")).distinct().join(sets.select("node"), "node", "left_anti")
     missing = stored(missing, "join_missing")
     if not missing.isEmpty():
         alone = missing.select("node", F.col("node").alias("comp"), F.lit(1).cast("long").alias("size"))
         sets = sets.unionByName(_token_sets(alone, docs, members))
+    if not opened.isEmpty():
+        met = _asked_blocks(opened, large, comps, sets)
+        if not met.isEmpty():
+            links = links.unionByName(met)
+            comps = components(links)
+            rest = stored(_between(rest.select("a", "b", "bound"), comps), "join_rest")
     # One link joins two components: their most promising pair goes first, and only where
     # components stay apart all their pairs are compared.
     if not rest.isEmpty():

@@ -101,3 +101,64 @@ def test_sets_of_groups_move_once(spark, monkeypatch):
     got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {0}
     assert "Join" not in plans["join_blocks"]
+
+
+def family(n):
+    """Variants of one text; every fifth is changed so much that it stays outside the group of the others."""
+    rng = random.Random(1)
+    few, base = [f"e{k}" for k in range(12)], [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(n):
+        w = list(base)
+        for at in rng.sample(range(150), 12 if k % 5 == 0 else 4):
+            w[at] = rng.choice(few)
+        texts.append(" ".join(w))
+    return list(enumerate(texts))
+
+
+def made(spark, generator, run):
+    """The result of ``run`` and the number of rows that Spark's Generate nodes of this generator made meanwhile."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    tag = f"made-{random.random()}"
+    spark.sparkContext.setJobDescription(tag)
+    try:
+        result = run()
+    finally:
+        spark.sparkContext.setJobDescription(None)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    seen, rows = store.executionsList(), 0
+    for e in (seen.apply(k) for k in range(seen.size())):
+        if e.description() != tag:
+            continue
+        values, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if node.name() == "Generate" and generator in node.desc():
+                found = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                rows += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in found if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return result, rows
+
+
+def test_members_of_a_large_group_are_not_exploded(spark):
+    """A node that opens the blocks of a family meets them as a whole, not in one row a member."""
+    rows = family(150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, count = made(spark, "explode(m", lambda: similar_documents(docs).collect())
+    assert as_text(tuple(r) for r in got) == as_text(brute(rows))
+    assert count < 300
+
+
+def test_link_into_a_block_of_a_large_group(spark, monkeypatch):
+    """Nodes meet all members of the blocks that they open, however many blocks of nodes ask; links name components."""
+    from lotgrid.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK_SIZE", 2)
+    tokens = {1: range(8), 2: range(20, 28), 11: range(7), 12: range(6), 13: range(5), 14: range(21, 28), 15: range(40, 48)}
+    grp = {"comp": 1, "block": 0, "width": 1}
+    kind = "struct<comp:long,block:long,width:int>"
+    opened = spark.createDataFrame([(a, grp) for a in range(11, 16)], f"a long, grp {kind}")
+    members = spark.createDataFrame([(n, grp) for n in (1, 2)], f"node long, grp {kind}")
+    comps = spark.createDataFrame([(2, 0), (3, 0)], "node long, comp long")
+    sets = spark.createDataFrame([(n, list(s)) for n, s in tokens.items()], "node long, tokens array<long>")
+    met = jaccard_join._asked_blocks(opened, members, comps, sets)
+    links = {(r.a, r.b) for r in components(met).select("node", "comp").toDF("a", "b").collect()}
+    assert links == {(1, 1), (11, 1), (12, 1), (0, 0), (14, 0)}
